@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseload import schema as S
@@ -50,7 +50,7 @@ def number_cases(df: DataFrame, order_by: str = "family_id", start=1, name: str
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     local = F.col("_rid") - F.shiftleft(part, _ID_BITS)
-    first = start if isinstance(start, F.Column) else F.lit(start)
+    first = start if isinstance(start, Column) else F.lit(start)
     return (
         tagged.join(F.broadcast(offsets), part == F.col("_part"))
         .withColumn(name, (F.col("_off") + local + first).cast("bigint"))
