@@ -190,6 +190,19 @@ def json_array_span(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\[.*\]", 0)
 
 
+def with_strict_json(df: DataFrame, span: Column, ddl: str, name: str) -> DataFrame:
+    """Add column ``name``: ``span`` parsed as exactly one JSON value of type ``ddl``, else null.
+
+    Same rule as ``strict_json`` but staged over two projections, so the
+    JSON is parsed once per row even when many fields are read from it
+    (Catalyst does not inline an expensive alias that is used repeatedly).
+    """
+    arr = F.from_json(F.concat(F.lit("["), span, F.lit("]")), f"array<{ddl}>", {"mode": "PERMISSIVE"})
+    staged = df.withColumns({"_arr": arr, "_has": span != F.lit("")})
+    pick = F.when(F.col("_has") & (F.size("_arr") == F.lit(1)), F.col("_arr").getItem(0))
+    return staged.withColumn(name, pick).drop("_arr", "_has")
+
+
 def strict_json(span: Column, ddl: str) -> Column:
     """Parse ``span`` as exactly one JSON value of type ``ddl``, else null.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseload import schema as S
-from caseload.functions.scalars import flag, json_array_span, json_object_span, strict_json, text_int
+from caseload.functions.scalars import flag, json_array_span, json_object_span, text_int, with_strict_json
 from caseload.operators.scoring import number_cases, score
 
 RECORD_DDL = "struct<" + ", ".join(f"{f}: string" for f in S.INTAKE_FIELDS) + ">"
@@ -25,7 +25,9 @@ def parse_responses(df: DataFrame, text_col: str = "response", blank_as_zero: bo
     Numbers go text → double → truncated integer; unparseable gives null, or
     0 with ``blank_as_zero`` (the review form's behaviour, D13).
     """
-    rec = strict_json(json_object_span(F.col(text_col)), RECORD_DDL)
+    keep = [c for c in df.columns if c != text_col]
+    staged = with_strict_json(df, json_object_span(F.col(text_col)), RECORD_DDL, "_rec")
+    rec = F.col("_rec")
     fields = []
     for f in S.INTAKE_FIELDS:
         value = rec[f]
@@ -34,8 +36,7 @@ def parse_responses(df: DataFrame, text_col: str = "response", blank_as_zero: bo
             if blank_as_zero:
                 value = F.when(rec.isNotNull(), F.coalesce(value, F.lit(0)))
         fields.append(value.alias(f))
-    keep = [c for c in df.columns if c != text_col]
-    return df.select(*keep, F.col(text_col), rec.isNotNull().alias("parse_ok"), *fields)
+    return staged.select(*keep, F.col(text_col), rec.isNotNull().alias("parse_ok"), *fields)
 
 
 def parse_need_items(df: DataFrame, text_col: str = "response") -> DataFrame:
@@ -44,10 +45,10 @@ def parse_need_items(df: DataFrame, text_col: str = "response") -> DataFrame:
     The greedy ``[...]`` span must be exactly one JSON array; otherwise the
     response yields no items.
     """
-    items = F.coalesce(strict_json(json_array_span(F.col(text_col)), ITEM_DDL),
-                       F.array().cast(ITEM_DDL))
     keep = [c for c in df.columns if c != text_col]
-    return df.select(*keep, F.posexplode(items).alias("item_pos", "it")).select(
+    staged = with_strict_json(df, json_array_span(F.col(text_col)), ITEM_DDL, "_items")
+    items = F.coalesce(F.col("_items"), F.array().cast(ITEM_DDL))
+    return staged.select(*keep, F.posexplode(items).alias("item_pos", "it")).select(
         *keep, "item_pos", *[F.col("it")[f].alias(f) for f in S.NEED_ITEM_FIELDS])
 
 
