@@ -194,3 +194,59 @@ def case_profile(df: DataFrame, family_num: int | None = None) -> DataFrame:
                         F.col(f"`{c}`").cast("string").alias("value")) for c in fields]
     rows = case.select("family_num", F.inline(F.array(*structs)))
     return rows.where(F.col("value").isNotNull() & (F.trim(F.col("value")) != "") & (F.col("value") != "nan"))
+
+
+def needs_display(needs) -> DataFrame:
+    """The needs table as shown: icon by category (default icon), six columns."""
+    icon = F.create_map(*[F.lit(x) for pair in S.CATEGORY_ICON for x in pair])
+    return needs.select(
+        F.coalesce(icon[F.col("category")], F.lit(S.DEFAULT_ICON)).alias("icon"),
+        F.col("need_item").alias("need"), "category", "urgency",
+        F.col("families_count").alias("families"), F.col("pct_of_total").alias("pct_of_total"),
+    )
+
+
+def thousands(c: F.Column) -> F.Column:
+    """Whole number with thousands separators, e.g. 1,234,567."""
+    return F.format_number(c.cast("bigint"), 0)
+
+
+def headline_cards(df: DataFrame, budget: DataFrame) -> DataFrame:
+    """Overview and budget numbers formatted for display.
+
+    ``budget`` is the financial totals table; its grand total is attached as a
+    scalar subquery (one value), not joined.
+    """
+    grand = budget.where(F.col("category") == F.lit(S.GRAND_TOTAL)).select("total_usd").scalar()
+    h = headline(df)
+    return h.select(
+        thousands(F.col("families")).alias("families"),
+        thousands(F.col("individuals")).alias("individuals"),
+        *[thousands(F.col(t.lower())).alias(t.lower()) for t in S.TIER_ORDER],
+        F.concat(F.lit("$"), thousands(grand)).alias("monthly_budget"),
+    )
+
+
+def fallback_stats(df: DataFrame, top_n: int = 5) -> DataFrame:
+    """Short statistics: families, members, displaced / medical / homeless and the top city names."""
+    top = top_by_count(df, "city", top_n, "n")
+    names = top.agg(F.array_sort(F.collect_list(F.struct(F.negative("n").alias("k"), F.col("city")))).alias("l")).select(
+        F.coalesce(F.array_join(F.transform("l", lambda s: s["city"]), ", "), F.lit("")))
+    totals = df.agg(
+        F.count(F.lit(1)).alias("families"),
+        F.coalesce(F.sum(num(F.col("family_size"))), F.lit(0.0)).cast("bigint").alias("members"),
+        F.count_if(_signal(df, "is_displaced")).alias("displaced"),
+        F.count_if(_signal(df, "has_medical")).alias("with_medical_needs"),
+        F.count_if(_signal(df, "is_homeless")).alias("homeless"),
+    )
+    return totals.withColumn("top_cities", names.scalar())
+
+
+def queue_headline(df: DataFrame) -> DataFrame:
+    """Priority-queue cards over the (filtered) list: shown, critical, high, individuals."""
+    return df.agg(
+        F.count(F.lit(1)).alias("shown"),
+        F.count_if(F.col("priority_tier") == "CRITICAL").alias("critical"),
+        F.count_if(F.col("priority_tier") == "HIGH").alias("high"),
+        F.coalesce(F.sum(num(F.col("family_size"))), F.lit(0.0)).alias("individuals"),
+    )

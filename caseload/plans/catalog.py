@@ -219,6 +219,23 @@ def case_profile(spark, d):
     return reports.case_profile(context.cases(spark, d)).drop("field_pos")
 
 
+def needs_display(spark, d):
+    return reports.needs_display(planning.ordered_needs(planning.aggregate_needs(context.cases(spark, d))))
+
+
+def headline_cards(spark, d):
+    c = context.cases(spark, d)
+    return reports.headline_cards(c, planning.financial_totals(c))
+
+
+def fallback_stats(spark, d):
+    return reports.fallback_stats(context.cases(spark, d))
+
+
+def queue_headline(spark, d):
+    return reports.queue_headline(search.by_options(context.cases(spark, d), tiers=["CRITICAL", "HIGH"]))
+
+
 # --- search (F1, F8, F9, Q1-Q9) -------------------------------------------------
 
 SEARCHES = {
@@ -372,6 +389,10 @@ QUERIES: dict[str, Query] = {
     "case_labels": case_labels,
     "signal_labels": signal_labels,
     "case_profile": case_profile,
+    "needs_display": needs_display,
+    "headline_cards": headline_cards,
+    "fallback_stats": fallback_stats,
+    "queue_headline": queue_headline,
     "caseload_filter": caseload_filter,
     "filtered_counts": filtered_counts,
     **{k: _search(v) for k, v in SEARCHES.items()},

@@ -488,6 +488,28 @@ def statements() -> dict[str, str]:
                                 + ", ".join(f"CASE WHEN {c} THEN {q(lbl)} END" for c, lbl in S.SIGNAL_LABELS)
                                 + ") AS signal_labels FROM scored",
         "case_profile": BASE + _profile_sql(),
+        "needs_display": BASE + "SELECT CASE category " + " ".join(f"WHEN {q(c)} THEN {q(i)}" for c, i in S.CATEGORY_ICON)
+                         + f" ELSE {q(S.DEFAULT_ICON)} END AS icon, need_item AS need, category, urgency, "
+                           f"families_count AS families, pct_of_total FROM {needs_sql()}",
+        "headline_cards": BASE + ", fin AS " + financial_sql() + " SELECT format('{:,}', CAST(count(*) AS BIGINT)) AS families, "
+                          "format('{:,}', CAST(trunc(COALESCE(sum(family_size), 0.0)) AS BIGINT)) AS individuals, "
+                          + ", ".join(f"format('{{:,}}', CAST(count_if(priority_tier = {q(t)}) AS BIGINT)) AS {t.lower()}"
+                                      for t in S.TIER_ORDER)
+                          + f", '$' || format('{{:,}}', (SELECT total_usd FROM fin WHERE category = {q(S.GRAND_TOTAL)})) "
+                            "AS monthly_budget FROM scored",
+        "fallback_stats": BASE + ", top AS (SELECT city, count(*) AS n FROM scored WHERE city IS NOT NULL GROUP BY city "
+                          "ORDER BY n DESC, city LIMIT 5) SELECT CAST(count(*) AS BIGINT) AS families, "
+                          "CAST(trunc(COALESCE(sum(family_size), 0.0)) AS BIGINT) AS members, "
+                          "CAST(count_if(is_displaced) AS BIGINT) AS displaced, "
+                          "CAST(count_if(has_medical) AS BIGINT) AS with_medical_needs, "
+                          "CAST(count_if(is_homeless) AS BIGINT) AS homeless, "
+                          "(SELECT COALESCE(string_agg(city, ', ' ORDER BY n DESC, city), '') FROM top) AS top_cities "
+                          "FROM scored",
+        "queue_headline": BASE + "SELECT CAST(count(*) AS BIGINT) AS shown, "
+                          "CAST(count_if(priority_tier = 'CRITICAL') AS BIGINT) AS critical, "
+                          "CAST(count_if(priority_tier = 'HIGH') AS BIGINT) AS high, "
+                          "COALESCE(sum(family_size), 0.0) AS individuals FROM scored "
+                          "WHERE priority_tier IN ('CRITICAL', 'HIGH') AND city IS NOT NULL AND displacement_type IS NOT NULL",
         "caseload_filter": BASE + "SELECT family_num, family_id, priority_tier, city, displacement_type FROM scored "
                                   "WHERE priority_tier IN ('CRITICAL', 'HIGH') AND city IS NOT NULL "
                                   "AND displacement_type IS NOT NULL",
