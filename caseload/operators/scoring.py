@@ -20,6 +20,23 @@ def score(df: DataFrame, weights=S.WEIGHTS, bonus=S.SIZE_BONUS, tiers=S.TIERS, s
 _ID_BITS = 33  # monotonically_increasing_id(): partition index in the upper 31 bits, row index in the lower 33
 
 
+def range_tagged(df: DataFrame, order_by: str, num_partitions: int | None = None) -> DataFrame:
+    """Range-partition on (order key, row hash), sort within partitions and tag each row with ``_rid``.
+
+    ``_rid >> 33`` is the range partition, the low 33 bits the position in it.
+    """
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = df.columns
+    tiebreak = F.xxhash64(*[F.col(f"`{c}`") for c in cols]) if cols else F.lit(0)
+    return (
+        df.withColumn("_tb", tiebreak)
+        .repartitionByRange(n, F.col(order_by), F.col("_tb"))
+        .sortWithinPartitions(order_by, "_tb")
+        .withColumn("_rid", F.monotonically_increasing_id())
+        .drop("_tb")
+    )
+
+
 def number_cases(df: DataFrame, order_by: str = "family_id", start=1, name: str = "family_num",
                  num_partitions: int | None = None) -> DataFrame:
     """Number rows ``start, start+1, ...`` in ``order_by`` order without a single-task window.
@@ -33,18 +50,7 @@ def number_cases(df: DataFrame, order_by: str = "family_id", start=1, name: str
 
     ``start`` may be a column expression (e.g. max existing number + 1).
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = df.columns
-    tiebreak = F.xxhash64(*[F.col(f"`{c}`") for c in cols]) if cols else F.lit(0)
-    tagged = (
-        df.withColumn("_tb", tiebreak)
-        .repartitionByRange(n, F.col(order_by), F.col("_tb"))
-        .sortWithinPartitions(order_by, "_tb")
-        .withColumn("_rid", F.monotonically_increasing_id())
-        .drop("_tb")
-    )
-    tagged = materialize(tagged)
+    tagged = materialize(range_tagged(df, order_by, num_partitions))
     part = F.shiftright(F.col("_rid"), _ID_BITS)
     counts = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
