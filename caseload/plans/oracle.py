@@ -262,8 +262,8 @@ def _summary_sql() -> str:
 
 def _ration_totals_sql() -> str:
     rows = " UNION ALL ".join(
-        f"SELECT {pos} AS item_pos, {q(item)} AS item, {q(unit)} AS unit, {float(qty)!r} AS qty_per_basket, "
-        f"round({float(qty)!r} * scale, 1) AS total_needed FROM agg"
+        f"SELECT {pos} AS item_pos, {q(item)} AS item, {q(unit)} AS unit, CAST({float(qty)!r} AS DOUBLE) AS qty_per_basket, "
+        f"round(CAST({float(qty)!r} AS DOUBLE) * scale, 1) AS total_needed FROM agg"
         for pos, (item, qty, unit) in enumerate(S.RATION_BASKET))
     return f", agg AS (SELECT COALESCE(sum({_size_clip()} / 4.0), 0.0) AS scale FROM scored) {rows}"
 

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from tools.compare import TABLES, digest
+from tools.compare import TABLES, digest, type_mismatches
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,6 +41,7 @@ def test_query_matches_oracle(spark, con, name):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    assert type_mismatches(df, cur) == []
     assert len(rows) == len(drows)
     assert digest(df.columns, rows) == digest(dcols, drows)
 
