@@ -24,13 +24,17 @@ def range_tagged(df: DataFrame, order_by: str, num_partitions: int | None = None
     """Range-partition on (order key, row hash), sort within partitions and tag each row with ``_rid``.
 
     ``_rid >> 33`` is the range partition, the low 33 bits the position in it.
+    Without ``num_partitions`` the partition count is left to the session
+    (``spark.sql.shuffle.partitions``) and AQE may merge adjacent small ranges,
+    which keeps the order.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = df.columns
     tiebreak = F.xxhash64(*[F.col(f"`{c}`") for c in cols]) if cols else F.lit(0)
+    keys = (F.col(order_by), F.col("_tb"))
+    staged = df.withColumn("_tb", tiebreak)
+    ranged = staged.repartitionByRange(num_partitions, *keys) if num_partitions else staged.repartitionByRange(*keys)
     return (
-        df.withColumn("_tb", tiebreak)
-        .repartitionByRange(n, F.col(order_by), F.col("_tb"))
+        ranged
         .sortWithinPartitions(order_by, "_tb")
         .withColumn("_rid", F.monotonically_increasing_id())
         .drop("_tb")
