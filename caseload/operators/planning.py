@@ -223,6 +223,32 @@ def rate_table(spark, rates=S.FINANCIAL_RATES) -> DataFrame:
     return spark.createDataFrame(rows, "rate_pos int, category string, rate_usd bigint, applied_to string")
 
 
+def rate_usage(df: DataFrame, rates=S.FINANCIAL_RATES, summary: DataFrame | None = None) -> DataFrame:
+    """The rate assumptions (S7) with the caseload units each applies to and the resulting line total.
+
+    Per-person rates apply to the truncated planning sizes, the others to the
+    qualifying families; ``units * rate_usd`` equals the matching cost line.
+    """
+    row = summary if summary is not None else needs_summary(df, rates=rates)
+    rate = dict(rates)
+    structs = []
+    for pos, (label, col_name, rate_name, signal) in enumerate(S.COST_LINES):
+        per_person = "person" in rate_name
+        if per_person:
+            units = F.col("ration_people")
+        elif signal is None:
+            units = F.col("families")
+        else:
+            units = F.col(f"sum_{col_name}") / F.lit(rate[rate_name])
+        structs.append(F.struct(
+            F.lit(pos).alias("rate_pos"), F.lit(rate_name).alias("category"),
+            F.lit(rate[rate_name]).cast("bigint").alias("rate_usd"),
+            F.lit("per person" if per_person else "per qualifying family").alias("applied_to"),
+            units.cast("bigint").alias("units"), F.col(f"sum_{col_name}").cast("bigint").alias("total_usd"),
+        ))
+    return _unpivot(row, structs)
+
+
 def needs_report(df: DataFrame) -> dict[str, DataFrame]:
     """All needs-report tables from one cached single-row summary (one scan of the case table)."""
     summary = needs_summary(df).cache()

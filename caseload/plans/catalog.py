@@ -150,6 +150,10 @@ def budget_breakdown(spark, d):
     return planning.budget_breakdown(context.cases(spark, d))
 
 
+def rate_table(spark, d):
+    return planning.rate_usage(context.cases(spark, d))
+
+
 def needs_summary(spark, d):
     return planning.needs_summary(context.cases(spark, d))
 
@@ -373,6 +377,7 @@ QUERIES: dict[str, Query] = {
     "family_costs": family_costs,
     "financial_totals": financial_totals,
     "budget_breakdown": budget_breakdown,
+    "rate_table": rate_table,
     "needs_summary": needs_summary,
     "overview_headline": overview_headline,
     "top_cities": top_cities,

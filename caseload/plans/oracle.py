@@ -260,6 +260,19 @@ def _summary_sql() -> str:
             f"CAST(COALESCE(sum({_size_int()}), 0) AS BIGINT) AS ration_people, {costs} FROM scored")
 
 
+def _rate_sql() -> str:
+    rate = dict(S.FINANCIAL_RATES)
+    rows = []
+    for pos, (_, _, rate_name, sig) in enumerate(S.COST_LINES):
+        per_person = "person" in rate_name
+        units = (f"sum({_size_int()})" if per_person else "count(*)" if sig is None else f"count_if({sig})")
+        applied = "per person" if per_person else "per qualifying family"
+        rows.append(f"SELECT {pos} AS rate_pos, {q(rate_name)} AS category, CAST({rate[rate_name]} AS BIGINT) AS rate_usd, "
+                    f"{q(applied)} AS applied_to, CAST(COALESCE({units}, 0) AS BIGINT) AS units, "
+                    f"CAST(COALESCE({units}, 0) * {rate[rate_name]} AS BIGINT) AS total_usd FROM scored")
+    return " UNION ALL ".join(rows)
+
+
 def _ration_totals_sql() -> str:
     rows = " UNION ALL ".join(
         f"SELECT {pos} AS item_pos, {q(item)} AS item, {q(unit)} AS unit, CAST({float(qty)!r} AS DOUBLE) AS qty_per_basket, "
@@ -311,6 +324,20 @@ def _stats_sql() -> str:
         "FROM scored")
 
 
+def _stats_json_sql() -> str:
+    fields = [("total_families", "count(*)"), ("total_individuals", "trunc(COALESCE(sum(family_size), 0.0))"),
+              ("critical", "count_if(priority_tier = 'CRITICAL')"), ("high_priority", "count_if(priority_tier = 'HIGH')"),
+              ("widows", "count_if(is_widow)"), ("orphan_families", "count_if(is_orphan_family)"),
+              ("displaced", "count_if(is_displaced)"), ("with_medical_needs", "count_if(has_medical)"),
+              ("homeless", "count_if(is_homeless)"), ("unemployed", "count_if(is_unemployed)")]
+    body = " || ',' || ".join(f"'\"{k}\":' || CAST(CAST({v} AS BIGINT) AS VARCHAR)" for k, v in fields)
+    cities = ("(SELECT COALESCE(string_agg('\"' || city || '\":' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, city), '') "
+              "FROM top)")
+    return (", top AS (SELECT city, count(*) AS n FROM scored WHERE city IS NOT NULL GROUP BY city "
+            "ORDER BY n DESC, city LIMIT 5) "
+            f"SELECT '{{' || {body} || ',\"top_cities\":{{' || {cities} || '}}}}' AS stats_json FROM scored")
+
+
 def _profile_sql() -> str:
     fields = ["family_size", "dependents", "breadwinners", "survey_date", "governorate", "displacement_type",
               "housing_type", "has_damage", "service_received", "chronic_disease_members", "disability_members",
@@ -464,6 +491,7 @@ def statements() -> dict[str, str]:
         "financial_totals": BASE + f"SELECT * FROM {financial_sql()}",
         "budget_breakdown": BASE + f"SELECT * FROM {financial_sql()} WHERE category <> {q(S.GRAND_TOTAL)} AND total_usd > 0",
         "needs_summary": BASE + _summary_sql(),
+        "rate_table": BASE + _rate_sql(),
         "overview_headline": BASE + "SELECT CAST(count(*) AS BIGINT) AS families, "
                                     "CAST(trunc(COALESCE(sum(family_size), 0.0)) AS BIGINT) AS individuals, "
                                     + ", ".join(f"CAST(count_if(priority_tier = {q(t)}) AS BIGINT) AS {t.lower()}"
@@ -480,6 +508,7 @@ def statements() -> dict[str, str]:
                                  "UNION SELECT DISTINCT 'displacement_type', displacement_type FROM scored "
                                  "WHERE displacement_type IS NOT NULL",
         "caseload_stats": BASE + _stats_sql(),
+        "stats_json": BASE + _stats_json_sql(),
         "display_list": BASE + f"SELECT {DISPLAY} FROM scored",
         "case_labels": BASE + "SELECT family_num, priority_score, "
                               "printf('Family #%03d  ·  %s  ·  %s  (score %d)', family_num, COALESCE(city, '?'), "
