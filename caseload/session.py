@@ -51,3 +51,34 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scale_settings(families: int, total_cores: int, row_bytes: int = 256,
+                   partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Session settings for a caseload of ``families`` rows on ``total_cores`` executor cores.
+
+    Every exchange of the library is keyed on the family and carries at most
+    one row per family per map task after partial aggregation, so shuffle
+    volume scales with the case table, not with the raw child tables:
+
+    * shuffle partitions: about ``partition_bytes`` of case rows each
+      (``families * row_bytes / partition_bytes``), at least two waves of the
+      cores, rounded to whole waves; AQE then merges small partitions and splits
+      skewed join partitions;
+    * scan splits of ``partition_bytes`` (Parquet splits at row groups, so write
+      the survey tables with row groups of about that size);
+    * broadcast joins only below Spark's 10 MB size check; the library itself
+      broadcasts nothing that grows with the data.
+    """
+    partitions = max(2 * total_cores, -(-families * row_bytes // partition_bytes))
+    partitions = -(-partitions // total_cores) * total_cores
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(10 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }
