@@ -87,13 +87,13 @@ def needs_by_urgency(needs: DataFrame) -> DataFrame:
 
 
 def filter_options(df: DataFrame, dims=("city", "displacement_type")) -> DataFrame:
-    """Distinct non-null values per filter dimension, ascending."""
-    parts = [df.where(F.col(d).isNotNull()).select(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
-             for d in dims]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    """Distinct non-null values per filter dimension, ascending.
+
+    One scan: each row yields one (dimension, value) pair per dimension, and
+    the distinct is combined map-side before the shuffle.
+    """
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims])
+    return df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
 
 
 def column_profile(df: DataFrame) -> DataFrame:

@@ -1,20 +1,22 @@
 """Shared inputs of the registered queries.
 
 The scored, numbered case table is built once per (session, dataset) and
-checkpointed into the shared checkpoint folder; every report query then reads
-that materialised table instead of re-deriving it (SURVEY §4 point 4). Queries
-that exercise the build itself use ``built_cases`` (lazy, end to end from the
-four survey tables).
+written as Parquet into the shared checkpoint folder; every report query then
+reads that table instead of re-deriving it (SURVEY §4 point 4). A file-backed
+table survives executor loss by re-reading files, gets column pruning and
+filter pushdown in every report, and appears as a plain scan when a query
+reads it twice (self-union, scalar subquery). Queries that exercise the build
+itself use ``built_cases`` (lazy, end to end from the four survey tables).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from caseload.operators.cases import build_cases
 from caseload.operators.scoring import number_cases, score
 from caseload.schema import CaseTables
+from caseload.session import materialize
 from caseload.sources import adapters
 
 _CASES: dict[tuple, DataFrame] = {}
@@ -34,15 +36,12 @@ def built_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored and numbered case table, materialised once and reused."""
+    """Scored and numbered case table, written once and read by every report."""
     key = _key(spark, sf_dir)
     if key not in _CASES:
-        # persisted on top of the checkpoint: a lost block is re-read from the checkpoint, not rebuilt
-        _CASES[key] = number_cases(built_cases(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+        _CASES[key] = materialize(number_cases(built_cases(spark, sf_dir)))
     return _CASES[key]
 
 
 def clear() -> None:
-    for df in _CASES.values():
-        df.unpersist()
     _CASES.clear()

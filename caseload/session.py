@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,9 +49,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: write ``df`` as Parquet into the shared checkpoint folder and read it back.
+
+    Unlike ``checkpoint()`` (row-serialised files), a Parquet table lets the
+    next steps read only the columns they need, and it is a plain file scan
+    when a later query reads it twice.
+    """
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def scale_settings(families: int, total_cores: int, row_bytes: int = 256,

@@ -85,7 +85,8 @@ def test_build_matches_brute_force(spark, main, members, needs, damage):
     expect = brute_force(main, members, needs, damage)
     assert len(got) == len(main)  # rows in = rows out, duplicate ids kept
     keys = ["family_id", *S.SIGNALS, "priority_score", "need_type", "member_count", "city"]
-    assert sorted(tuple(r[k] for k in keys) for r in got) == sorted(tuple(e[k] for k in keys) for e in expect)
+    assert (sorted((tuple(r[k] for k in keys) for r in got), key=repr)
+            == sorted((tuple(e[k] for k in keys) for e in expect), key=repr))
     assert sorted(r["family_num"] for r in got) == list(range(1, len(main) + 1))
     ordered = sorted(got, key=lambda r: r["family_num"])
     assert [r["family_id"] for r in ordered] == sorted(r["family_id"] for r in got)
