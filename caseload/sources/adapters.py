@@ -31,14 +31,13 @@ def _flag_every(k: F.Column, n: int) -> F.Column:
     return F.when(k % n == 0, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def raw_main(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registration rows (one per customer) including two PII columns."""
+def _main_rows(spark: SparkSession, sf_dir: str, with_pii: bool) -> DataFrame:
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     n = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = _read(spark, sf_dir, "region").select("r_regionkey", "r_name")
     key = F.col("c_custkey")
     rows = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    return rows.select(
+    cols = [
         key.cast("bigint").alias(MainCols.ID),
         F.col("r_name").alias(MainCols.GOVERNORATE),
         F.col("n_name").alias(MainCols.DISTRICT),
@@ -54,23 +53,29 @@ def raw_main(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias(MainCols.FAMILY_SIZE),
         (key % 6).cast("double").alias(MainCols.DEPENDENTS),
         (key % 4).cast("double").alias(MainCols.BREADWINNERS),
-        F.col("c_name").alias("_submitted_by"),
-        F.concat(F.lit("balance "), F.col("c_acctbal").cast("string")).alias("ملاحظات عن العائلة"),
-    )
+    ]
+    if with_pii:
+        cols += [F.col("c_name").alias("_submitted_by"),
+                 F.concat(F.lit("balance "), F.col("c_acctbal").cast("string")).alias("ملاحظات عن العائلة")]
+    return rows.select(*cols)
 
 
 def main_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anonymised registration rows (PII columns not present)."""
-    return raw_main(spark, sf_dir).drop(*S.PII["main"])
+    """Registration rows (one per customer) as an anonymised export holds them."""
+    return _main_rows(spark, sf_dir, with_pii=False)
 
 
-def raw_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Person rows (one per order) with raw occupation and date-of-birth text."""
+def raw_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registration rows as the form tool exports them, with two PII columns."""
+    return _main_rows(spark, sf_dir, with_pii=True)
+
+
+def _member_rows(spark: SparkSession, sf_dir: str, with_free_text: bool) -> DataFrame:
     o = _read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     k = F.col("o_orderkey")
     day = F.to_date("o_orderdate")
-    return o.select(
+    cols = [
         F.col("o_custkey").cast("bigint").alias(MemberCols.FAMILY_ID),
         k.cast("bigint").alias("_index"),
         F.when((F.col("o_orderstatus") == "F") & (k % 4 == 0), F.lit(S.YES)).otherwise(F.lit(S.NO))
@@ -87,21 +92,30 @@ def raw_members(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 2 == 1, F.lit(None).cast("double")).otherwise(_flag_every(k, 62))
         .alias(MemberCols.V_PHYSICAL_DISABILITY),
         _flag_every(k, 29).alias(MemberCols.V_CHILD_DROPOUT),
-        _by(k % 12, [(1, ""), (2, "لا يعمل"), (3, "ربة منزل"), (4, "طالب جامعي"), (5, "مزارع"),
-                     (6, "فلاح"), (7, "موظف"), (8, "عامل"), (9, "متقاعد"), (10, "طفل"), (11, "Driver")],
-            None).alias(MemberCols.OCCUPATION_TEXT),
-        F.when(k % 6 == 1, F.date_format(day, "yyyy-MM-dd"))
-        .when(k % 6 == 2, F.date_format(day, "yyyy"))
-        .when(k % 6 == 3, F.date_format(day, "MM/dd/yyyy"))
-        .when(k % 6 == 4, F.concat(F.lit("born "), F.date_format(day, "yyyy")))
-        .when(k % 6 == 5, F.lit("unknown"))
-        .alias(MemberCols.DATE_OF_BIRTH),
-    )
+    ]
+    if with_free_text:
+        cols += [
+            _by(k % 12, [(1, ""), (2, "لا يعمل"), (3, "ربة منزل"), (4, "طالب جامعي"), (5, "مزارع"),
+                         (6, "فلاح"), (7, "موظف"), (8, "عامل"), (9, "متقاعد"), (10, "طفل"), (11, "Driver")],
+                None).alias(MemberCols.OCCUPATION_TEXT),
+            F.when(k % 6 == 1, F.date_format(day, "yyyy-MM-dd"))
+            .when(k % 6 == 2, F.date_format(day, "yyyy"))
+            .when(k % 6 == 3, F.date_format(day, "MM/dd/yyyy"))
+            .when(k % 6 == 4, F.concat(F.lit("born "), F.date_format(day, "yyyy")))
+            .when(k % 6 == 5, F.lit("unknown"))
+            .alias(MemberCols.DATE_OF_BIRTH),
+        ]
+    return o.select(*cols)
+
+
+def raw_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Person rows (one per order) as exported, with raw occupation and date-of-birth text."""
+    return _member_rows(spark, sf_dir, with_free_text=True)
 
 
 def members_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Person rows as the case builder reads them (raw free text not needed)."""
-    return raw_members(spark, sf_dir).drop(MemberCols.OCCUPATION_TEXT, MemberCols.DATE_OF_BIRTH)
+    """Person rows as an anonymised export holds them (the case builder's input)."""
+    return _member_rows(spark, sf_dir, with_free_text=False)
 
 
 def _lines_with_family(spark: SparkSession, sf_dir: str, cols: list[str], cond: F.Column) -> DataFrame:
