@@ -65,8 +65,7 @@ def main() -> None:
     run(cases)
 
     def needs_report():
-        for df in planning.needs_report(cases).values():
-            run(df)
+        run(planning.needs_report_table(cases))  # the whole report: one scan, one job
 
     for name, fn in (
         ("family_numbering", lambda: run(q["family_numbering"](spark, sf_dir))),

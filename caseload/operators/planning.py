@@ -249,14 +249,63 @@ def rate_usage(df: DataFrame, rates=S.FINANCIAL_RATES, summary: DataFrame | None
     return _unpivot(row, structs)
 
 
+REPORT_COLUMNS = ("section", "pos", "item", "category", "urgency", "unit", "families", "amount", "share")
+
+
+def needs_report_table(df: DataFrame, summary: DataFrame | None = None) -> DataFrame:
+    """The whole needs report as one long table, from one scan and one generator (§3.2).
+
+    Sections: ``needs`` (families, share in %), ``rations`` (amount = total
+    quantity), ``medical`` (families, amount = total quantity) and ``budget``
+    (amount = USD, last line the grand total). Zero-count need and medical
+    items are absent, as in the separate tables.
+    """
+    row = summary if summary is not None else needs_summary(df)
+    rank = dict(S.URGENCY_RANK)
+    total = F.greatest(F.col("families"), F.lit(1)).cast("double")
+    none_s, none_l, none_d = F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("double")
+
+    def line(section, pos, item, category, urgency, unit, families, amount, share):
+        return F.struct(F.lit(section).alias("section"), F.lit(pos).alias("pos"), F.lit(item).alias("item"),
+                        category.alias("category"), urgency.alias("urgency"), unit.alias("unit"),
+                        families.cast("bigint").alias("families"), amount.cast("double").alias("amount"),
+                        share.cast("double").alias("share"))
+
+    lines = []
+    for i, (item, cat, urg, _) in enumerate(need_items()):
+        n = F.col(f"need_{i}")
+        lines.append(line("needs", rank.get(urg, len(rank)), item, F.lit(cat), F.lit(urg), none_s, n, none_d,
+                          F.round(n.cast("double") / total * F.lit(100.0), 1)))
+    for pos, (item, qty, unit) in enumerate(S.RATION_BASKET):
+        lines.append(line("rations", pos, item, none_s, none_s, F.lit(unit), none_l,
+                          F.round(F.lit(float(qty)) * F.col("ration_scale"), 1), none_d))
+    for pos, (sig, item, qty, unit) in enumerate(S.MEDICAL_RULES):
+        n = F.col(f"med_{sig}")
+        lines.append(line("medical", pos, item, none_s, none_s, F.lit(unit), n, n * F.lit(qty), none_d))
+    grand = None
+    for pos, (label, col_name, _, _) in enumerate(S.COST_LINES):
+        v = F.col(f"sum_{col_name}")
+        grand = v if grand is None else grand + v
+        lines.append(line("budget", pos, label, none_s, none_s, F.lit("USD"), none_l, v, none_d))
+    lines.append(line("budget", len(S.COST_LINES), S.GRAND_TOTAL, none_s, none_s, F.lit("USD"), none_l, grand, none_d))
+    out = row.select(F.inline(F.array(*lines)))
+    zero = F.col("section").isin("needs", "medical") & (F.col("families") == 0)
+    return out.where(~zero)
+
+
 def needs_report(df: DataFrame) -> dict[str, DataFrame]:
-    """All needs-report tables from one cached single-row summary (one scan of the case table)."""
-    summary = needs_summary(df).cache()
+    """The needs report: the long table (one scan, cached; it is a few dozen rows) and per-section views."""
+    table = needs_report_table(df).cache()
+    needs = table.where(F.col("section") == "needs").select(
+        F.col("item").alias("need_item"), "category", "urgency", F.col("families").alias("families_count"),
+        F.col("share").alias("pct_of_total"), F.col("pos").alias("urgency_rank"))
     return {
-        "summary": summary,
-        "aggregate_needs": ordered_needs(aggregate_needs(df, summary=summary)),
-        "ration_totals": ration_totals(df, summary=summary).orderBy("item_pos"),
-        "ration_headline": ration_headline(df, summary=summary),
-        "medical_supplies": medical_supplies(df, summary=summary).orderBy("item_pos"),
-        "financial_totals": financial_totals(df, summary=summary).orderBy("line_pos"),
+        "table": table,
+        "aggregate_needs": ordered_needs(needs),
+        "ration_totals": table.where(F.col("section") == "rations").select(
+            F.col("pos").alias("item_pos"), "item", "unit", F.col("amount").alias("total_needed")),
+        "medical_supplies": table.where(F.col("section") == "medical").select(
+            F.col("pos").alias("item_pos"), "item", "unit", "families", F.col("amount").cast("bigint").alias("total_qty")),
+        "financial_totals": table.where(F.col("section") == "budget").select(
+            F.col("pos").alias("line_pos"), F.col("item").alias("category"), F.col("amount").cast("bigint").alias("total_usd")),
     }

@@ -150,6 +150,10 @@ def budget_breakdown(spark, d):
     return planning.budget_breakdown(context.cases(spark, d))
 
 
+def needs_report(spark, d):
+    return planning.needs_report_table(context.cases(spark, d))
+
+
 def rate_table(spark, d):
     return planning.rate_usage(context.cases(spark, d))
 
@@ -377,6 +381,7 @@ QUERIES: dict[str, Query] = {
     "family_costs": family_costs,
     "financial_totals": financial_totals,
     "budget_breakdown": budget_breakdown,
+    "needs_report": needs_report,
     "rate_table": rate_table,
     "needs_summary": needs_summary,
     "overview_headline": overview_headline,

@@ -260,6 +260,25 @@ def _summary_sql() -> str:
             f"CAST(COALESCE(sum({_size_int()}), 0) AS BIGINT) AS ration_people, {costs} FROM scored")
 
 
+def _report_sql() -> str:
+    """The long needs report: the four section statements mapped onto one column layout."""
+    cast = "CAST(NULL AS VARCHAR)"
+    basket = " UNION ALL ".join(
+        f"SELECT 'rations' AS section, {pos} AS pos, {q(item)} AS item, {cast} AS category, {cast} AS urgency, "
+        f"{q(unit)} AS unit, CAST(NULL AS BIGINT) AS families, round(CAST({float(qty)!r} AS DOUBLE) * scale, 1) AS amount, "
+        f"CAST(NULL AS DOUBLE) AS share FROM agg"
+        for pos, (item, qty, unit) in enumerate(S.RATION_BASKET))
+    return (
+        f", agg AS (SELECT COALESCE(sum({_size_clip()} / 4.0), 0.0) AS scale FROM scored) "
+        f"SELECT 'needs' AS section, urgency_rank AS pos, need_item AS item, category, urgency, {cast} AS unit, "
+        f"families_count AS families, CAST(NULL AS DOUBLE) AS amount, pct_of_total AS share FROM {needs_sql()} "
+        f"UNION ALL {basket} "
+        f"UNION ALL SELECT 'medical', item_pos, item, {cast}, {cast}, unit, families, CAST(total_qty AS DOUBLE), "
+        f"CAST(NULL AS DOUBLE) FROM {medical_sql()} "
+        f"UNION ALL SELECT 'budget', line_pos, category, {cast}, {cast}, 'USD', CAST(NULL AS BIGINT), "
+        f"CAST(total_usd AS DOUBLE), CAST(NULL AS DOUBLE) FROM {financial_sql()}")
+
+
 def _rate_sql() -> str:
     rate = dict(S.FINANCIAL_RATES)
     rows = []
@@ -492,6 +511,7 @@ def statements() -> dict[str, str]:
         "budget_breakdown": BASE + f"SELECT * FROM {financial_sql()} WHERE category <> {q(S.GRAND_TOTAL)} AND total_usd > 0",
         "needs_summary": BASE + _summary_sql(),
         "rate_table": BASE + _rate_sql(),
+        "needs_report": BASE + _report_sql(),
         "overview_headline": BASE + "SELECT CAST(count(*) AS BIGINT) AS families, "
                                     "CAST(trunc(COALESCE(sum(family_size), 0.0)) AS BIGINT) AS individuals, "
                                     + ", ".join(f"CAST(count_if(priority_tier = {q(t)}) AS BIGINT) AS {t.lower()}"

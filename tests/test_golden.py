@@ -114,7 +114,9 @@ def test_financial(golden_cases):
 def test_fused_report_matches_parts(golden_cases):
     rep = planning.needs_report(golden_cases)
     assert [r["need_item"] for r in rep["aggregate_needs"].collect()] == [x[0] for x in EXPECTED_NEEDS]
-    assert rep["financial_totals"].collect()[-1]["total_usd"] == 1180
+    assert rep["financial_totals"].orderBy("line_pos").collect()[-1]["total_usd"] == 1180
+    assert [r["total_qty"] for r in rep["medical_supplies"].orderBy("item_pos").collect()][:3] == [4, 2, 4]
+    assert rep["ration_totals"].where("item = 'Rice'").first()["total_needed"] == 13.2
 
 
 def test_tiers_and_means(golden_cases):
