@@ -57,9 +57,25 @@ def intake_id(payload: list[Column], chars: int = 8) -> Column:
     return F.upper(F.substring(F.md5(F.concat_ws("␟", *[c.cast("string") for c in payload])), 1, chars))
 
 
+def parsed_rows(parsed: DataFrame) -> DataFrame:
+    """The rows whose response parsed (``parse_ok``), each JSON parsed once.
+
+    A plain ``where(parse_ok)`` would be pushed below the staged parse
+    projections, where it re-evaluates ``from_json`` for every row; selecting
+    through a generator keeps the check above them.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in parsed.columns])
+    return parsed.select(F.inline(F.when(F.col("parse_ok"), F.array(row)).otherwise(F.array().cast(
+        f"array<{row_ddl(parsed)}>"))))
+
+
+def row_ddl(df: DataFrame) -> str:
+    return "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.schema.fields) + ">"
+
+
 def score_intake(parsed: DataFrame, key: str = "intake_id", id_chars: int = 8) -> DataFrame:
     """Case rows for parsed records (T1): four derived signals, the rest false, then scored."""
-    p = parsed.where(F.col("parse_ok")) if "parse_ok" in parsed.columns else parsed
+    p = parsed_rows(parsed) if "parse_ok" in parsed.columns else parsed
     disp = F.coalesce(F.col("displacement_type"), F.lit(""))
     housing = F.coalesce(F.col("housing_type"), F.lit(""))
     false = F.lit(False)
