@@ -211,3 +211,30 @@ def strict_json(span: Column, ddl: str) -> Column:
     """
     wrapped = F.from_json(F.concat(F.lit("["), span, F.lit("]")), f"array<{ddl}>", {"mode": "PERMISSIVE"})
     return F.when((span != F.lit("")) & (F.size(wrapped) == F.lit(1)), wrapped.getItem(0))
+
+
+# --- literal-heavy generators as one SQL expression ------------------------------
+
+
+def sql_literal(v) -> str:
+    """A Spark SQL literal for a Python value (doubles typed as DOUBLE, not DECIMAL)."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, float):
+        return f"CAST({v!r} AS DOUBLE)"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def inline_rows(df: DataFrame, rows: Sequence[Sequence[tuple[str, str]]]) -> DataFrame:
+    """Unpivot: one output row per entry of ``rows`` for every input row (in practice a one-row aggregate).
+
+    Each entry is a list of (column name, SQL expression over ``df``'s columns).
+    The whole generator is one SQL expression, so a rule table of dozens of
+    rows costs one plan call instead of hundreds of column constructors.
+    """
+    structs = ["named_struct(" + ", ".join(f"{sql_literal(n)}, {e}" for n, e in r) + ")" for r in rows]
+    return df.selectExpr(f"inline(array({', '.join(structs)}))")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseload import schema as S
-from caseload.functions.scalars import clipped_size, flag, truncated
+from caseload.functions.scalars import clipped_size, flag, inline_rows, sql_literal, truncated
 
 
 def _sig(df: DataFrame, signal: str | None) -> F.Column:
@@ -61,48 +61,67 @@ def _cost_columns(df: DataFrame, rates=S.FINANCIAL_RATES) -> list[tuple[str, str
     return out
 
 
+def _sig_sql(df: DataFrame, signal: str | None) -> str:
+    if signal is None:
+        return "true"
+    return f"coalesce(`{signal}`, false)" if signal in df.columns else "false"
+
+
+def _size_sql(df: DataFrame, base_people: int) -> str:
+    """SQL twin of ``clipped_size``: numeric size, NaN/unparseable → default, at least 1."""
+    if "family_size" not in df.columns:
+        return f"CAST({base_people} AS DOUBLE)"
+    d = "try_cast(family_size AS DOUBLE)"
+    return (f"greatest(coalesce(CASE WHEN isnan({d}) THEN NULL ELSE {d} END, CAST({base_people} AS DOUBLE)), "
+            "CAST(1 AS DOUBLE))")
+
+
 def needs_summary(df: DataFrame, need_rules=S.NEED_RULES, medical_rules=S.MEDICAL_RULES,
                   rates=S.FINANCIAL_RATES, base_people: int = S.RATION_BASE_PEOPLE) -> DataFrame:
-    """The fused needs report: one row holding every caseload total of A8-A11, A20-A22."""
-    size = _size(df, base_people)
-    size_int = truncated(size)
-    aggs = [F.count(F.lit(1)).alias("families")]
+    """The fused needs report: one row holding every caseload total of A8-A11, A20-A22.
+
+    One global aggregate (partial per task, one row per task merged), written
+    as SQL aggregate expressions so the ~35 rule columns cost one plan call.
+    """
+    size = _size_sql(df, base_people)
+    size_int = f"try_cast({size} AS BIGINT)"
+    aggs = ["count(1) AS families"]
     for i, (_, _, _, sigs) in enumerate(need_items(need_rules)):
-        aggs.append(F.count_if(_item_pred(df, sigs)).alias(f"need_{i}"))
-    for sig in dict.fromkeys(s for s, _, _, _ in medical_rules):
-        aggs.append(F.count_if(_sig(df, sig)).alias(f"med_{sig}"))
+        pred = "true" if any(x is None for x in sigs) else " OR ".join(_sig_sql(df, x) for x in sigs)
+        aggs.append(f"count_if({pred}) AS need_{i}")
+    for sig in dict.fromkeys(x for x, _, _, _ in medical_rules):
+        aggs.append(f"count_if({_sig_sql(df, sig)}) AS med_{sig}")
     aggs += [
-        F.sum(size / F.lit(float(base_people))).alias("ration_scale"),
-        F.sum(F.ceil(size_int / F.lit(base_people))).cast("bigint").alias("ration_packs"),
-        F.sum(size_int).cast("bigint").alias("ration_people"),
+        f"coalesce(sum({size} / CAST({base_people} AS DOUBLE)), CAST(0 AS DOUBLE)) AS ration_scale",
+        f"CAST(coalesce(sum(ceil({size_int} / {base_people})), 0) AS BIGINT) AS ration_packs",
+        f"CAST(coalesce(sum({size_int}), 0) AS BIGINT) AS ration_people",
     ]
-    costs = _cost_columns(df, rates)
-    for _, col_name, value in costs:
-        aggs.append(F.sum(value).cast("bigint").alias(f"sum_{col_name}"))
-    row = df.agg(*aggs)
-    fill = {c: 0 for c in row.columns if c != "ration_scale"}
-    return row.fillna(fill).withColumn("ration_scale", F.coalesce("ration_scale", F.lit(0.0)))
-
-
-def _unpivot(row: DataFrame, structs: list[F.Column]) -> DataFrame:
-    return row.select(F.inline(F.array(*structs)))
+    rate = dict(rates)
+    for _, col_name, rate_name, signal in S.COST_LINES:
+        amount = rate[rate_name]
+        if signal is None and "person" in rate_name:
+            value = f"{size_int} * {amount}"
+        elif signal is None:
+            value = str(amount)
+        else:
+            value = f"CASE WHEN {_sig_sql(df, signal)} THEN {amount} ELSE 0 END"
+        aggs.append(f"CAST(coalesce(sum({value}), 0) AS BIGINT) AS sum_{col_name}")
+    return df.selectExpr(*aggs)
 
 
 def aggregate_needs(df: DataFrame, rules=S.NEED_RULES, summary: DataFrame | None = None) -> DataFrame:
     """Per need item: families needing it and their share (A8, O3); zero-count items absent."""
     row = summary if summary is not None else needs_summary(df, need_rules=rules)
     rank = dict(S.URGENCY_RANK)
-    total = F.greatest(F.col("families"), F.lit(1)).cast("double")
-    structs = [
-        F.struct(
-            F.lit(item).alias("need_item"), F.lit(cat).alias("category"), F.lit(urg).alias("urgency"),
-            F.col(f"need_{i}").cast("bigint").alias("families_count"),
-            F.round(F.col(f"need_{i}").cast("double") / total * F.lit(100.0), 1).alias("pct_of_total"),
-            F.lit(rank.get(urg, len(rank))).alias("urgency_rank"),
-        )
+    total = "CAST(greatest(families, 1) AS DOUBLE)"
+    rows = [
+        [("need_item", sql_literal(item)), ("category", sql_literal(cat)), ("urgency", sql_literal(urg)),
+         ("families_count", f"CAST(need_{i} AS BIGINT)"),
+         ("pct_of_total", f"round(CAST(need_{i} AS DOUBLE) / {total} * CAST(100 AS DOUBLE), 1)"),
+         ("urgency_rank", str(rank.get(urg, len(rank))))]
         for i, (item, cat, urg, _) in enumerate(need_items(rules))
     ]
-    return _unpivot(row, structs).where(F.col("families_count") > 0)
+    return inline_rows(row, rows).where(F.col("families_count") > 0)
 
 
 def ordered_needs(needs: DataFrame) -> DataFrame:
@@ -135,15 +154,13 @@ def ration_totals(df: DataFrame, basket=S.RATION_BASKET, base_people: int = S.RA
                   summary: DataFrame | None = None) -> DataFrame:
     """Per basket item: total quantity for the caseload from the untruncated sizes."""
     row = summary if summary is not None else needs_summary(df, base_people=base_people)
-    structs = [
-        F.struct(
-            F.lit(pos).alias("item_pos"), F.lit(item).alias("item"), F.lit(unit).alias("unit"),
-            F.lit(float(qty)).alias("qty_per_basket"),
-            F.round(F.lit(float(qty)) * F.col("ration_scale"), 1).alias("total_needed"),
-        )
+    rows = [
+        [("item_pos", str(pos)), ("item", sql_literal(item)), ("unit", sql_literal(unit)),
+         ("qty_per_basket", sql_literal(float(qty))),
+         ("total_needed", f"round({sql_literal(float(qty))} * ration_scale, 1)")]
         for pos, (item, qty, unit) in enumerate(basket)
     ]
-    return _unpivot(row, structs)
+    return inline_rows(row, rows)
 
 
 def ration_headline(df: DataFrame, basket=S.RATION_BASKET, summary: DataFrame | None = None) -> DataFrame:
@@ -156,15 +173,12 @@ def ration_headline(df: DataFrame, basket=S.RATION_BASKET, summary: DataFrame |
 def medical_supplies(df: DataFrame, rules=S.MEDICAL_RULES, summary: DataFrame | None = None) -> DataFrame:
     """Per supply item: qualifying families and total quantity, rule order (A10, O4); zero items absent."""
     row = summary if summary is not None else needs_summary(df, medical_rules=rules)
-    structs = [
-        F.struct(
-            F.lit(pos).alias("item_pos"), F.lit(item).alias("item"), F.lit(unit).alias("unit"),
-            F.col(f"med_{sig}").cast("bigint").alias("families"),
-            (F.col(f"med_{sig}") * F.lit(qty)).cast("bigint").alias("total_qty"),
-        )
+    rows = [
+        [("item_pos", str(pos)), ("item", sql_literal(item)), ("unit", sql_literal(unit)),
+         ("families", f"CAST(med_{sig} AS BIGINT)"), ("total_qty", f"CAST(med_{sig} * {int(qty)} AS BIGINT)")]
         for pos, (sig, item, qty, unit) in enumerate(rules)
     ]
-    return _unpivot(row, structs).where(F.col("families") > 0)
+    return inline_rows(row, rows).where(F.col("families") > 0)
 
 
 def medical_headline(df: DataFrame, summary: DataFrame | None = None) -> DataFrame:
@@ -199,15 +213,11 @@ def family_costs(df: DataFrame, rates=S.FINANCIAL_RATES) -> DataFrame:
 def financial_totals(df: DataFrame, rates=S.FINANCIAL_RATES, summary: DataFrame | None = None) -> DataFrame:
     """Caseload totals per cost line plus the grand total, in line order."""
     row = summary if summary is not None else needs_summary(df, rates=rates)
-    lines = [(label, F.col(f"sum_{col_name}")) for label, col_name, _, _ in S.COST_LINES]
-    grand = lines[0][1]
-    for _, c in lines[1:]:
-        grand = grand + c
-    lines.append((S.GRAND_TOTAL, grand))
-    structs = [F.struct(F.lit(pos).alias("line_pos"), F.lit(label).alias("category"),
-                        value.cast("bigint").alias("total_usd"))
-               for pos, (label, value) in enumerate(lines)]
-    return _unpivot(row, structs)
+    lines = [(label, f"sum_{col_name}") for label, col_name, _, _ in S.COST_LINES]
+    lines.append((S.GRAND_TOTAL, " + ".join(expr for _, expr in lines)))
+    rows = [[("line_pos", str(pos)), ("category", sql_literal(label)), ("total_usd", f"CAST({expr} AS BIGINT)")]
+            for pos, (label, expr) in enumerate(lines)]
+    return inline_rows(row, rows)
 
 
 def budget_breakdown(df: DataFrame, rates=S.FINANCIAL_RATES, summary: DataFrame | None = None) -> DataFrame:
@@ -231,22 +241,17 @@ def rate_usage(df: DataFrame, rates=S.FINANCIAL_RATES, summary: DataFrame | None
     """
     row = summary if summary is not None else needs_summary(df, rates=rates)
     rate = dict(rates)
-    structs = []
-    for pos, (label, col_name, rate_name, signal) in enumerate(S.COST_LINES):
+    rows = []
+    for pos, (_, col_name, rate_name, signal) in enumerate(S.COST_LINES):
         per_person = "person" in rate_name
-        if per_person:
-            units = F.col("ration_people")
-        elif signal is None:
-            units = F.col("families")
-        else:
-            units = F.col(f"sum_{col_name}") / F.lit(rate[rate_name])
-        structs.append(F.struct(
-            F.lit(pos).alias("rate_pos"), F.lit(rate_name).alias("category"),
-            F.lit(rate[rate_name]).cast("bigint").alias("rate_usd"),
-            F.lit("per person" if per_person else "per qualifying family").alias("applied_to"),
-            units.cast("bigint").alias("units"), F.col(f"sum_{col_name}").cast("bigint").alias("total_usd"),
-        ))
-    return _unpivot(row, structs)
+        units = "ration_people" if per_person else "families" if signal is None else f"sum_{col_name} DIV {rate[rate_name]}"
+        rows.append([
+            ("rate_pos", str(pos)), ("category", sql_literal(rate_name)),
+            ("rate_usd", f"CAST({rate[rate_name]} AS BIGINT)"),
+            ("applied_to", sql_literal("per person" if per_person else "per qualifying family")),
+            ("units", f"CAST({units} AS BIGINT)"), ("total_usd", f"CAST(sum_{col_name} AS BIGINT)"),
+        ])
+    return inline_rows(row, rows)
 
 
 REPORT_COLUMNS = ("section", "pos", "item", "category", "urgency", "unit", "families", "amount", "share")
@@ -262,33 +267,31 @@ def needs_report_table(df: DataFrame, summary: DataFrame | None = None) -> DataF
     """
     row = summary if summary is not None else needs_summary(df)
     rank = dict(S.URGENCY_RANK)
-    total = F.greatest(F.col("families"), F.lit(1)).cast("double")
-    none_s, none_l, none_d = F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    total = "CAST(greatest(families, 1) AS DOUBLE)"
+    no_s, no_l, no_d = "CAST(NULL AS STRING)", "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)"
 
     def line(section, pos, item, category, urgency, unit, families, amount, share):
-        return F.struct(F.lit(section).alias("section"), F.lit(pos).alias("pos"), F.lit(item).alias("item"),
-                        category.alias("category"), urgency.alias("urgency"), unit.alias("unit"),
-                        families.cast("bigint").alias("families"), amount.cast("double").alias("amount"),
-                        share.cast("double").alias("share"))
+        return [("section", sql_literal(section)), ("pos", str(pos)), ("item", sql_literal(item)),
+                ("category", category), ("urgency", urgency), ("unit", unit),
+                ("families", f"CAST({families} AS BIGINT)"), ("amount", f"CAST({amount} AS DOUBLE)"),
+                ("share", f"CAST({share} AS DOUBLE)")]
 
     lines = []
     for i, (item, cat, urg, _) in enumerate(need_items()):
-        n = F.col(f"need_{i}")
-        lines.append(line("needs", rank.get(urg, len(rank)), item, F.lit(cat), F.lit(urg), none_s, n, none_d,
-                          F.round(n.cast("double") / total * F.lit(100.0), 1)))
+        share = f"round(CAST(need_{i} AS DOUBLE) / {total} * CAST(100 AS DOUBLE), 1)"
+        lines.append(line("needs", rank.get(urg, len(rank)), item, sql_literal(cat), sql_literal(urg), no_s,
+                          f"need_{i}", no_d, share))
     for pos, (item, qty, unit) in enumerate(S.RATION_BASKET):
-        lines.append(line("rations", pos, item, none_s, none_s, F.lit(unit), none_l,
-                          F.round(F.lit(float(qty)) * F.col("ration_scale"), 1), none_d))
+        lines.append(line("rations", pos, item, no_s, no_s, sql_literal(unit), no_l,
+                          f"round({sql_literal(float(qty))} * ration_scale, 1)", no_d))
     for pos, (sig, item, qty, unit) in enumerate(S.MEDICAL_RULES):
-        n = F.col(f"med_{sig}")
-        lines.append(line("medical", pos, item, none_s, none_s, F.lit(unit), n, n * F.lit(qty), none_d))
-    grand = None
-    for pos, (label, col_name, _, _) in enumerate(S.COST_LINES):
-        v = F.col(f"sum_{col_name}")
-        grand = v if grand is None else grand + v
-        lines.append(line("budget", pos, label, none_s, none_s, F.lit("USD"), none_l, v, none_d))
-    lines.append(line("budget", len(S.COST_LINES), S.GRAND_TOTAL, none_s, none_s, F.lit("USD"), none_l, grand, none_d))
-    out = row.select(F.inline(F.array(*lines)))
+        lines.append(line("medical", pos, item, no_s, no_s, sql_literal(unit), f"med_{sig}",
+                          f"med_{sig} * {int(qty)}", no_d))
+    costs = [f"sum_{col_name}" for _, col_name, _, _ in S.COST_LINES]
+    for pos, (label, _, _, _) in enumerate(S.COST_LINES):
+        lines.append(line("budget", pos, label, no_s, no_s, "'USD'", no_l, costs[pos], no_d))
+    lines.append(line("budget", len(S.COST_LINES), S.GRAND_TOTAL, no_s, no_s, "'USD'", no_l, " + ".join(costs), no_d))
+    out = inline_rows(row, lines)
     zero = F.col("section").isin("needs", "medical") & (F.col("families") == 0)
     return out.where(~zero)
 
