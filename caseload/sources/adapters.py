@@ -8,6 +8,8 @@ other survey export.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ from caseload import schema as S
 from caseload.schema import CaseTables, DamageCols, MainCols, MemberCols, NeedsCols
 
 
+@lru_cache(maxsize=256)
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # the benchmark tables are read-only: one lazy reader per (session, table) is enough
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -154,6 +158,7 @@ def damage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=64)
 def case_tables(spark: SparkSession, sf_dir: str) -> CaseTables:
     return CaseTables(
         main=main_table(spark, sf_dir),
