@@ -16,7 +16,9 @@ from caseload.functions.scalars import (  # noqa: F401
     occupation_bucket,
     row_max_is_one,
     size_bonus,
-    strict_json,
+    with_strict_json,
+    inline_rows,
+    sql_literal,
     text_int,
     tier,
     truncated,

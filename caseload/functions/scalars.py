@@ -193,9 +193,11 @@ def json_array_span(text: Column) -> Column:
 def with_strict_json(df: DataFrame, span: Column, ddl: str, name: str) -> DataFrame:
     """Add column ``name``: ``span`` parsed as exactly one JSON value of type ``ddl``, else null.
 
-    Same rule as ``strict_json`` but staged over two projections, so the
-    JSON is parsed once per row even when many fields are read from it
-    (Catalyst does not inline an expensive alias that is used repeatedly).
+    ``from_json`` tolerates trailing text after the first value; wrapping the
+    span in ``[...]`` and demanding exactly one element makes the parse strict.
+    The parse is staged over two projections, so the JSON is parsed once per
+    row even when many fields are read from it (Catalyst does not inline an
+    expensive alias that is used repeatedly).
     """
     arr = F.from_json(F.concat(F.lit("["), span, F.lit("]")), f"array<{ddl}>", {"mode": "PERMISSIVE"})
     staged = df.withColumns({"_arr": arr, "_has": span != F.lit("")})
@@ -203,16 +205,6 @@ def with_strict_json(df: DataFrame, span: Column, ddl: str, name: str) -> DataFr
     return staged.withColumn(name, pick).drop("_arr", "_has")
 
 
-def strict_json(span: Column, ddl: str) -> Column:
-    """Parse ``span`` as exactly one JSON value of type ``ddl``, else null.
-
-    ``from_json`` tolerates trailing text after the first value; wrapping the
-    span in ``[...]`` and demanding exactly one element makes the parse strict.
-    """
-    wrapped = F.from_json(F.concat(F.lit("["), span, F.lit("]")), f"array<{ddl}>", {"mode": "PERMISSIVE"})
-    return F.when((span != F.lit("")) & (F.size(wrapped) == F.lit(1)), wrapped.getItem(0))
-
-
 # --- literal-heavy generators as one SQL expression ------------------------------
 
 

@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseload import schema as S
+from caseload.functions import scalars
 from caseload.operators import cases as C
 from caseload.operators import intake, planning, privacy, reports, search
 from caseload.plans import context
 from caseload.schema import DamageCols, MemberCols, NeedsCols
 from caseload.session import checkpoint_dir
 from caseload.sources import adapters
+from caseload.streaming.intake_stream import start_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -303,18 +305,16 @@ def anonymize_members(spark, d):
 
 
 def occupation_bucket(spark, d):
-    from caseload.functions.scalars import occupation_bucket as bucket
     m = adapters.raw_members(spark, d)
     text = F.col(f"`{MemberCols.OCCUPATION_TEXT}`")
     return m.select(F.col("_index").alias("member_key"), text.alias("occupation_text"),
-                    bucket(text).alias("occupation_bucket"))
+                    scalars.occupation_bucket(text).alias("occupation_bucket"))
 
 
 def birth_year(spark, d):
-    from caseload.functions.scalars import birth_year as year_of
     m = adapters.raw_members(spark, d)
     text = F.col(f"`{MemberCols.DATE_OF_BIRTH}`")
-    return m.select(F.col("_index").alias("member_key"), text.alias("dob_text"), year_of(text).alias("birth_year"))
+    return m.select(F.col("_index").alias("member_key"), text.alias("dob_text"), scalars.birth_year(text).alias("birth_year"))
 
 
 # --- intake (T1-T3, X15-X17) -------------------------------------------------------
@@ -343,7 +343,6 @@ def intake_append(spark, d):
 
 def intake_stream(spark, d):
     """Run the streaming intake over the responses written as files; return the resulting table."""
-    from caseload.streaming.intake_stream import start_stream
     root = os.path.join(checkpoint_dir(spark), f"intake-{uuid.uuid4().hex}")
     src = os.path.join(root, "source")
     adapters.intake_texts(spark, d).write.parquet(src)
