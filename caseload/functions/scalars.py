@@ -28,6 +28,11 @@ def first_present(df: DataFrame, names: Sequence[str]) -> str | None:
     return next((n for n in names if n in df.columns), None)
 
 
+def is_one(c: Column) -> Column:
+    """A 0/1 survey flag (number or text such as "1.0") equal to 1, null read as false."""
+    return flag(num(c) == F.lit(1.0))
+
+
 def flag(pred: Column) -> Column:
     """A predicate with null read as false."""
     return F.coalesce(pred, F.lit(False))
@@ -98,10 +103,10 @@ def any_true(cols: Iterable[Column]) -> Column:
 
 
 def row_max_is_one(cols: Sequence[Column]) -> Column:
-    """Row-wise max of flags with null as 0, compared to 1.0 (X13); no columns gives false."""
+    """Row-wise max of flags with null (or unparseable text) as 0, compared to 1.0 (X13); no columns gives false."""
     if not cols:
         return F.lit(False)
-    filled = [F.coalesce(c.cast("double"), F.lit(0.0)) for c in cols]
+    filled = [F.coalesce(num(c), F.lit(0.0)) for c in cols]
     top = filled[0] if len(filled) == 1 else F.greatest(*filled)
     return top == F.lit(1.0)
 

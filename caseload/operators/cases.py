@@ -14,12 +14,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseload import schema as S
-from caseload.functions.scalars import col_or, flag, num, row_max_is_one
+from caseload.functions.scalars import col_or, flag, is_one, num, row_max_is_one
 from caseload.schema import CaseTables, DamageCols, MainCols, MemberCols, NeedsCols
 
 
 def _key(df: DataFrame, name: str) -> F.Column:
-    return F.col(f"`{name}`").cast("bigint")
+    """Family key as a long. Integer keys are cast directly (never through a double); text keys
+    such as "12" or "12.0" parse; anything else is null and never matches."""
+    c = F.col(f"`{name}`")
+    if dict(df.dtypes).get(name) == "string":
+        return F.coalesce(c.try_cast("bigint"), num(c).try_cast("bigint"))
+    return c.try_cast("bigint")
+
+
+def _typed(c: F.Column, dtype: str) -> F.Column:
+    """Numbers through ``num`` (text from a schema-less CSV parses), dates through ``try_cast``."""
+    return num(c) if dtype == "double" else c.try_cast(dtype)
 
 
 def member_signals(members: DataFrame) -> DataFrame:
@@ -28,12 +38,12 @@ def member_signals(members: DataFrame) -> DataFrame:
     hoh = flag(col_or(m, MemberCols.IS_HOH) == F.lit(S.YES))
     widow = flag(hoh & (col_or(m, MemberCols.GENDER) == F.lit(S.FEMALE))
                  & col_or(m, MemberCols.MARITAL_STATUS).isin(*S.WIDOW_MARITAL)) \
-        | flag(col_or(m, MemberCols.V_FEMALE_HOH) == F.lit(1.0))
+        | is_one(col_or(m, MemberCols.V_FEMALE_HOH))
     orphan = flag(hoh & col_or(m, MemberCols.INDIVIDUAL_STATUS).isin(*S.ORPHAN_STATUS))
-    chronic = flag(col_or(m, MemberCols.V_CHRONIC_DISEASE) == F.lit(1.0))
-    medical = flag(col_or(m, MemberCols.V_IMMEDIATE_HEALTH) == F.lit(1.0)) | chronic
+    chronic = is_one(col_or(m, MemberCols.V_CHRONIC_DISEASE))
+    medical = is_one(col_or(m, MemberCols.V_IMMEDIATE_HEALTH)) | chronic
     disabled = row_max_is_one([F.col(f"`{c}`") for c in S.DISABILITY_FLAGS if c in m.columns])
-    dropout = flag(col_or(m, MemberCols.V_CHILD_DROPOUT) == F.lit(1.0))
+    dropout = is_one(col_or(m, MemberCols.V_CHILD_DROPOUT))
     fid = _key(m, MemberCols.FAMILY_ID)
     return (
         m.where(fid.isNotNull())
@@ -132,9 +142,9 @@ def build_cases(tables: CaseTables) -> DataFrame:
     renamed = {src for src, _, _ in _RENAMES}
     passthrough = [c for c in main.columns if c != MainCols.ID and c not in S.MAIN_DROP_COLS and c not in renamed]
     base = main.select(
-        F.col(f"`{MainCols.ID}`").cast("bigint").alias("family_id"),
+        _key(main, MainCols.ID).alias("family_id"),
         *[F.col(f"`{c}`") for c in passthrough],
-        *[col_or(main, src, dtype=t).cast(t).alias(dst) for src, dst, t in _RENAMES],
+        *[_typed(col_or(main, src, dtype=t), t).alias(dst) for src, dst, t in _RENAMES],
         F.coalesce(sub, dist, gov).alias("city"),
         gov.alias("governorate"),
         disp.alias("displacement_type"),
@@ -176,13 +186,13 @@ def unserved_families(cases: DataFrame) -> DataFrame:
 def families_without(main: DataFrame, child: DataFrame, child_key: str) -> DataFrame:
     """Registrations with no row in ``child`` (anti join on the family key)."""
     keys = _distinct_keys(child, child_key)
-    return main.join(keys, F.col(f"`{MainCols.ID}`").cast("bigint") == keys.family_id, "left_anti")
+    return main.join(keys, _key(main, MainCols.ID) == keys.family_id, "left_anti")
 
 
 def families_with(main: DataFrame, child: DataFrame, child_key: str) -> DataFrame:
     """Registrations with at least one row in ``child`` (semi join on the family key)."""
     keys = _distinct_keys(child, child_key)
-    return main.join(keys, F.col(f"`{MainCols.ID}`").cast("bigint") == keys.family_id, "left_semi")
+    return main.join(keys, _key(main, MainCols.ID) == keys.family_id, "left_semi")
 
 
 def _distinct_keys(child: DataFrame, child_key: str) -> DataFrame:

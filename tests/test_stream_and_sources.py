@@ -102,3 +102,33 @@ def test_export_csv_with_arrays(spark, golden_cases):
     assert len(files) == 1
     back = spark.read.option("header", True).csv(out)
     assert back.count() == 6 and "needs_programs" in back.columns
+
+
+def test_schema_less_csv_builds_the_same_cases(spark, golden_tables, golden_cases):
+    """All-text columns (CSV read without a schema) give the same case table as typed input."""
+    from caseload.operators.cases import build_cases
+    from caseload.operators.scoring import number_cases, score
+    root = _scratch()
+    for role, df in golden_tables.as_dict().items():
+        df.write.option("header", True).csv(os.path.join(root, role))
+    text_tables = tables.load_case_tables(spark, root, fmt="csv")
+    assert all(t == "string" for df in text_tables.as_dict().values() for _, t in df.dtypes)
+    got = number_cases(score(build_cases(text_tables)))
+    cols = ["family_id", "family_num", "priority_score", "priority_tier", "need_type", "member_count",
+            "chronic_disease_members", "disability_members", "school_dropout_children", *S.SIGNALS]
+    assert sorted(got.select(cols).collect()) == sorted(golden_cases.select(cols).collect())
+
+
+def test_null_matrix_gives_false_signals(spark):
+    """Every input value null: no errors, every signal false, counts null or zero."""
+    from caseload.operators.cases import build_cases
+    from caseload.operators.scoring import score
+    from conftest import make_tables
+    main = [(1, None, None, None, None, None, None, None)]
+    members = [(1, None, None, None, None, None, None, None, None, None, None)]
+    needs = [(1, None, None, None)]
+    damage = [(None, None)]
+    r = score(build_cases(make_tables(spark, main, members, needs, damage))).first()
+    assert not any(r[s] for s in S.SIGNALS)
+    assert (r["priority_score"], r["priority_tier"], r["member_count"], r["need_type"]) == (0, "LOW", 1, "")
+    assert r["chronic_disease_members"] is None and r["city"] is None
