@@ -6,6 +6,10 @@ current maximum) and overwrites only its own ``intake_batch=<id>`` partition,
 so a replayed batch (after a failure between write and commit) replaces its
 rows instead of adding them twice. Unparseable responses go to a quarantine
 table partitioned the same way.
+
+The current maximum number comes from a high-water-mark table with one row
+per committed batch (``<table>_hwm``), not from a scan of the growing case
+table; a replayed batch overwrites its own mark.
 """
 
 from __future__ import annotations
@@ -23,38 +27,52 @@ from caseload.operators.scoring import number_cases
 RESPONSE_SCHEMA = "intake_id bigint, response string"
 
 
-def _existing_max(spark: SparkSession, table_path: str, batch_id: int) -> int:
+def _hwm_path(table_path: str) -> str:
+    return table_path.rstrip("/") + "_hwm"
+
+
+def _existing_max(spark: SparkSession, table_path: str, batch_id: int, start_number: int = 0) -> int:
+    """Highest number handed out by the batches before ``batch_id`` (``start_number`` when none)."""
     try:
-        table = spark.read.parquet(table_path)
+        marks = spark.read.parquet(_hwm_path(table_path))
     except AnalysisException:
-        return 0
-    row = table.where(F.col("intake_batch") != F.lit(batch_id)).agg(F.max("family_num")).first()
-    return int(row[0] or 0)
+        return start_number
+    row = marks.where(F.col("intake_batch") < F.lit(batch_id)).agg(F.max("max_num")).first()
+    return max(int(row[0]) if row[0] is not None else start_number, start_number)
 
 
 def process_batch(batch: DataFrame, batch_id: int, table_path: str, quarantine_path: str,
-                  start_number: int | None = None, on_commit: Callable[[DataFrame], None] | None = None) -> None:
-    """Parse, score, number and write one micro-batch idempotently."""
+                  start_number: int = 0, on_commit: Callable[[DataFrame], None] | None = None) -> None:
+    """Parse, score, number and write one micro-batch idempotently.
+
+    ``start_number`` is the highest number already in use before the stream
+    (e.g. the survey case table's maximum); intake numbers continue after it.
+    """
     spark = batch.sparkSession
     parsed = parse_responses(batch)
     writer_opts = {"partitionOverwriteMode": "dynamic"}
     bad = parsed.where(~F.col("parse_ok")).select("intake_id", "response").withColumn("intake_batch", F.lit(batch_id))
     bad.write.mode("overwrite").options(**writer_opts).partitionBy("intake_batch").parquet(quarantine_path)
-    base = start_number if start_number is not None else _existing_max(spark, table_path, batch_id)
+    base = _existing_max(spark, table_path, batch_id, start_number)
     scored = number_cases(score_intake(parsed), order_by="intake_id", start=base + 1)
     out = scored.withColumn("intake_batch", F.lit(batch_id))
     out.write.mode("overwrite").options(**writer_opts).partitionBy("intake_batch").parquet(table_path)
+    written = spark.read.parquet(table_path).where(F.col("intake_batch") == F.lit(batch_id))
+    mark = written.agg(F.coalesce(F.max("family_num"), F.lit(base)).cast("bigint").alias("max_num"))
+    (mark.withColumn("intake_batch", F.lit(batch_id))
+     .write.mode("overwrite").options(**writer_opts).partitionBy("intake_batch").parquet(_hwm_path(table_path)))
     if on_commit is not None:
         on_commit(spark.read.parquet(table_path))  # T3: recompute derived results from the table
 
 
 def start_stream(spark: SparkSession, source_dir: str, table_path: str, quarantine_path: str,
                  checkpoint_location: str, fmt: str = "parquet", trigger: dict | None = None,
-                 on_commit: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+                 start_number: int = 0, on_commit: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Start the intake stream over files of (intake_id, response) in ``source_dir``."""
     source = spark.readStream.schema(RESPONSE_SCHEMA).format(fmt).load(source_dir)
     writer = (source.writeStream
-              .foreachBatch(lambda df, bid: process_batch(df, bid, table_path, quarantine_path, on_commit=on_commit))
+              .foreachBatch(lambda df, bid: process_batch(df, bid, table_path, quarantine_path,
+                                                          start_number=start_number, on_commit=on_commit))
               .option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     return writer.start()
