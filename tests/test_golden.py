@@ -160,3 +160,31 @@ def test_search_specs(golden_cases):
         search.where(golden_cases, {"col": "no_such_column", "op": "eq", "value": 1})
     blankets = search.analyse(golden_cases, {"col": "is_displaced", "op": "is_true"}, "needs")
     assert {r["need_item"]: r["families_count"] for r in blankets.collect()}["Blankets & bedding"] == 3
+
+
+@pytest.mark.parametrize("spec,expected", [
+    ({"col": "city", "op": "eq", "value": "S4"}, [4, 6]),
+    ({"col": "city", "op": "ne", "value": "S1"}, [3, 4, 5, 6]),
+    ({"col": "family_size", "op": "lt", "value": 4.4}, [2, 6]),
+    ({"col": "family_size", "op": "le", "value": 4.4}, [2, 5, 6]),
+    ({"col": "family_size", "op": "ge", "value": 5}, [1, 4]),
+    ({"col": "priority_tier", "op": "in", "value": ["HIGH", "LOW"]}, [2, 4, 6]),
+    ({"col": "governorate", "op": "contains", "value": "2"}, [4, 5, 6]),
+    ({"col": "governorate", "op": "icontains", "value": "g1"}, [1, 2, 3]),
+    ({"col": "displacement_type", "op": "is_null"}, [3]),
+    ({"or": [{"col": "is_homeless", "op": "is_true"}, {"col": "is_renting", "op": "is_true"}]}, [1, 3]),
+    ({"not": {"col": "city", "op": "eq", "value": "S1"}}, [3, 4, 5, 6]),
+    ({"and": []}, [1, 2, 3, 4, 5, 6]),
+])
+def test_predicate_ops(golden_cases, spec, expected):
+    got = sorted(r[0] for r in search.where(golden_cases, spec).select("family_id").collect())
+    assert got == expected
+
+
+def test_analyse_measures(golden_cases):
+    assert search.analyse(golden_cases, None, "count").first()["families"] == 6
+    assert search.analyse(golden_cases, {"col": "city", "op": "eq", "value": "S1"}, "sum", "family_size").first()[0] == 12.0
+    rations = search.analyse(golden_cases, None, "rations").first()
+    assert (rations["families"], rations["total_packs"], rations["total_people"]) == (6, 8, 26)
+    with pytest.raises(ValueError):
+        search.analyse(golden_cases, None, "no_such_measure")
