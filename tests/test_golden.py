@@ -188,3 +188,21 @@ def test_analyse_measures(golden_cases):
     assert (rations["families"], rations["total_packs"], rations["total_people"]) == (6, 8, 26)
     with pytest.raises(ValueError):
         search.analyse(golden_cases, None, "no_such_measure")
+
+
+def test_empty_caseload(spark):
+    """No families gives typed empty / zero results, not errors."""
+    from caseload.operators.cases import build_cases
+    from caseload.operators.scoring import number_cases, score
+    from conftest import make_tables
+    empty = number_cases(score(build_cases(make_tables(spark, [], [], [], []))))
+    assert empty.count() == 0
+    assert planning.aggregate_needs(empty).count() == 0
+    assert planning.medical_supplies(empty).count() == 0
+    assert {r["total_needed"] for r in planning.ration_totals(empty).collect()} == {0.0}
+    assert {r["total_usd"] for r in planning.financial_totals(empty).collect()} == {0}
+    head = reports.headline(empty).first()
+    assert (head["families"], head["individuals"], head["critical"]) == (0, 0, 0)
+    assert [r["families"] for r in reports.tier_distribution(empty).collect()] == [0, 0, 0, 0]
+    assert reports.stats(empty).first()["top_cities"] == ""
+    assert planning.needs_report_table(empty).where("section = 'budget'").count() == 7
