@@ -23,7 +23,7 @@ _CASES: dict[tuple, DataFrame] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple:
-    return (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
+    return (spark.conf.get("spark.app.id", ""), id(spark), sf_dir.rstrip("/"))
 
 
 def tables(spark: SparkSession, sf_dir: str) -> CaseTables:

@@ -36,16 +36,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     cluster a missing setting is an error, because a machine-local folder
     would not survive the loss of an executor.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
+        sc = None
+    current = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if not sc.getCheckpointDir():
+        if sc and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+        return (sc.getCheckpointDir() if sc else None) or current
+    master = sc.master if sc else spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/ABFS)")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="caseload-ckpt-"))
-    return sc.getCheckpointDir()
+    scratch = tempfile.mkdtemp(prefix="caseload-ckpt-")
+    if sc:
+        sc.setCheckpointDir(scratch)
+        return sc.getCheckpointDir()
+    spark.conf.set("spark.checkpoint.dir", scratch)
+    return scratch
 
 
 def materialize(df: DataFrame) -> DataFrame:
