@@ -52,8 +52,15 @@ def parse_need_items(df: DataFrame, text_col: str = "response") -> DataFrame:
         *keep, "item_pos", *[F.col("it")[f].alias(f) for f in S.NEED_ITEM_FIELDS])
 
 
-def intake_id(payload: list[Column], chars: int = 8) -> Column:
-    """Short upper-hex id from the record payload (X22); deterministic so replays agree."""
+ID_CHARS = 16
+
+
+def intake_id(payload: list[Column], chars: int = ID_CHARS) -> Column:
+    """Upper-hex id from the record payload (X22); deterministic so replays agree.
+
+    The form tool shows 8 random hex characters; 32 bits collide after tens of
+    thousands of records, so the default keeps 16 (64 bits).
+    """
     return F.upper(F.substring(F.md5(F.concat_ws("␟", *[c.cast("string") for c in payload])), 1, chars))
 
 
@@ -73,7 +80,7 @@ def row_ddl(df: DataFrame) -> str:
     return "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.schema.fields) + ">"
 
 
-def score_intake(parsed: DataFrame, key: str = "intake_id", id_chars: int = 8) -> DataFrame:
+def score_intake(parsed: DataFrame, key: str = "intake_id", id_chars: int = ID_CHARS) -> DataFrame:
     """Case rows for parsed records (T1): four derived signals, the rest false, then scored."""
     p = parsed_rows(parsed) if "parse_ok" in parsed.columns else parsed
     disp = F.coalesce(F.col("displacement_type"), F.lit(""))

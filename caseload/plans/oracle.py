@@ -416,7 +416,7 @@ def _intake_scored(start: str) -> str:
         f"CAST({f} AS VARCHAR)" if f in S.INTAKE_NUMERIC else f for f in S.INTAKE_FIELDS])
     return (
         ",\nintake_rows AS (SELECT intake_id, "
-        f"upper(substr(md5(concat_ws('␟', {payload})), 1, 8)) AS family_id, "
+        f"upper(substr(md5(concat_ws('␟', {payload})), 1, 16)) AS family_id, "
         f"{q(S.MANUAL_SOURCE_FILE)} AS source_file, "
         f"COALESCE(NULLIF(city, ''), {q(S.UNKNOWN_CITY)}) AS city, COALESCE(governorate, '') AS governorate, "
         f"{disp} AS displacement_type, {housing} AS housing_type, CAST(family_size AS DOUBLE) AS family_size, "
