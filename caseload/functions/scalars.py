@@ -204,7 +204,8 @@ def with_strict_json(df: DataFrame, span: Column, ddl: str, name: str) -> DataFr
     row even when many fields are read from it (Catalyst does not inline an
     expensive alias that is used repeatedly).
     """
-    arr = F.from_json(F.concat(F.lit("["), span, F.lit("]")), f"array<{ddl}>", {"mode": "PERMISSIVE"})
+    arr = F.from_json(F.concat(F.lit("["), span, F.lit("]")), f"array<{ddl}>",
+                      {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
     staged = df.withColumns({"_arr": arr, "_has": span != F.lit("")})
     pick = F.when(F.col("_has") & (F.size("_arr") == F.lit(1)), F.col("_arr").getItem(0))
     return staged.withColumn(name, pick).drop("_arr", "_has")
