@@ -1,11 +1,13 @@
 """Flat case table: the four survey tables reduced to one row per family.
 
-Each child table is reduced by ONE grouped aggregation on the family key
-(all booleans and counts of that child at once; partial aggregation combines
-rows map-side, so a family holding a third of all child rows still ships one
-row per map task). The three per-family results are then left-joined to the
-registrations. Their output is already hash-partitioned on ``family_id``, so
-the joins shuffle only the registrations, once.
+Members and damage are each reduced by ONE grouped aggregation on the family
+key (all booleans and counts of that child at once); needs are first reduced
+to (family, program) pairs and then to one row per family. Partial
+aggregation combines rows map-side before every shuffle, so a family holding
+a third of all child rows still ships one row per map task. The three
+per-family results are then left-joined to the registrations. Their output is
+already hash-partitioned on ``family_id``, so the joins shuffle only the
+registrations, once.
 """
 
 from __future__ import annotations

@@ -48,7 +48,9 @@ def number_cases(df: DataFrame, order_by: str = "family_id", start=1, name: str
     1. Range-partition on (order key, row hash): the hash splits a hot key across
        ranges, so no task receives more than its share even for duplicate keys.
     2. Sort within partitions and tag each row with (partition, position).
-    3. Checkpoint, so partition membership is frozen for the next two steps.
+    3. Write the tagged rows as Parquet into the checkpoint folder, so partition
+       membership is frozen for the next two steps (a re-run of an upstream
+       shuffle could order rows differently and move the range bounds).
     4. Count rows per partition (one row per partition), prefix-sum the counts
        (a table of at most ``num_partitions`` rows, broadcast), add the offset.
 

@@ -1,9 +1,10 @@
 """Stand-in survey tables built from the driver's benchmark tables.
 
 These views only *shape* rows of the benchmark tables into the survey schema
-(see FIXTURES.md §2): every value is a plain function of one source row. They
-do none of the library's work; the operators treat their output like any
-other survey export.
+(see FIXTURES.md §2): each output row comes from one source row (joined to its
+parent key where the child needs the family id), and every value is a plain
+function of that row. They do none of the library's work; the operators treat
+their output like any other survey export.
 """
 
 from __future__ import annotations
