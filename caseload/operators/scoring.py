@@ -13,7 +13,7 @@ from caseload.session import materialize
 def score(df: DataFrame, weights=S.WEIGHTS, bonus=S.SIZE_BONUS, tiers=S.TIERS, size_col: str = "family_size") -> DataFrame:
     """Add ``priority_score`` (weights of true signals + size bonus) and ``priority_tier``."""
     size = F.col(size_col) if size_col in df.columns else F.lit(None)
-    points = (weighted_sum(weights, df.columns) + size_bonus(size, bonus)).cast("int")
+    points = (weighted_sum(weights, df.columns) + size_bonus(size, bonus)).cast("bigint")
     return df.withColumn("priority_score", points).withColumn("priority_tier", tier(F.col("priority_score"), tiers))
 
 

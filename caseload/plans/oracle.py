@@ -357,6 +357,29 @@ def _stats_json_sql() -> str:
             f"SELECT '{{' || {body} || ',\"top_cities\":{{' || {cities} || '}}}}' AS stats_json FROM scored")
 
 
+# columns of the ``scored`` CTE above, in order
+SCORED_COLUMNS = (
+    "family_id", "family_size", "dependents", "breadwinners", "survey_date", "city", "governorate",
+    "displacement_type", "housing_type", "is_widow", "is_orphan_family", "is_displaced", "is_homeless", "is_renting",
+    "is_unemployed", "has_medical", "has_disability", "is_pregnant", "has_damage", "service_received",
+    "chronic_disease_members", "disability_members", "school_dropout_children", "member_count", "need_type",
+    "needs_programs", "damage_categories", "source_file", "source_sheet", "priority_score", "priority_tier",
+    "family_num",
+)
+# DuckDB type names → Spark's simple type strings
+SPARK_TYPE = (("BIGINT", "bigint"), ("INTEGER", "int"), ("DOUBLE", "double"), ("VARCHAR", "string"),
+              ("BOOLEAN", "boolean"), ("DATE", "date"), ("VARCHAR[]", "array<string>"))
+
+
+def _column_profile_sql() -> str:
+    mapping = " ".join(f"WHEN {q(d)} THEN {q(sp)}" for d, sp in SPARK_TYPE)
+    rows = " UNION ALL ".join(
+        f"SELECT {i} AS column_pos, {q(c)} AS column, CASE max(typeof({c})) {mapping} END AS dtype, "
+        f"min(CAST({c} AS VARCHAR)) AS example FROM scored"
+        for i, c in enumerate(SCORED_COLUMNS))
+    return rows
+
+
 def _profile_sql() -> str:
     fields = ["family_size", "dependents", "breadwinners", "survey_date", "governorate", "displacement_type",
               "housing_type", "has_damage", "service_received", "chronic_disease_members", "disability_members",
@@ -537,6 +560,7 @@ def statements() -> dict[str, str]:
                                 + ", ".join(f"CASE WHEN {c} THEN {q(lbl)} END" for c, lbl in S.SIGNAL_LABELS)
                                 + ") AS signal_labels FROM scored",
         "case_profile": BASE + _profile_sql(),
+        "column_profile": BASE + _column_profile_sql(),
         "needs_display": BASE + "SELECT CASE category " + " ".join(f"WHEN {q(c)} THEN {q(i)}" for c, i in S.CATEGORY_ICON)
                          + f" ELSE {q(S.DEFAULT_ICON)} END AS icon, need_item AS need, category, urgency, "
                            f"families_count AS families, pct_of_total FROM {needs_sql()}",
