@@ -1,4 +1,4 @@
-"""The expected totals of FIXTURES.md §2 (computed independently of this code) at sf0.001 and sf0.01."""
+"""The expected totals of FIXTURES.md §2 (computed independently of this code) at sf0.001, sf0.01 and sf0.1."""
 
 from __future__ import annotations
 
@@ -20,6 +20,11 @@ EXPECTED = {
              "is_homeless": 300, "is_renting": 300, "is_unemployed": 567, "has_medical": 576, "has_disability": 358,
              "is_pregnant": 399, "has_damage": 964, "service_received": 1139, "score": 92940, "packs": 2105,
              "clipped": 6148, "monthly": 321300},
+    "0.1": {"families": 15000, "members": 150000, "needs": 47917, "damage": 16053,
+            "tiers": (4483, 5265, 3727, 1525), "is_widow": 2830, "is_orphan_family": 1541, "is_displaced": 8920,
+            "is_homeless": 3000, "is_renting": 3000, "is_unemployed": 5810, "has_medical": 5656, "has_disability": 3652,
+            "is_pregnant": 4100, "has_damage": 9560, "service_received": 11574, "score": 931420, "packs": 21059,
+            "clipped": 61506, "monthly": 3207310},
 }
 SIGNALS = ["is_widow", "is_orphan_family", "is_displaced", "is_homeless", "is_renting", "is_unemployed",
            "has_medical", "has_disability", "is_pregnant", "has_damage", "service_received"]
