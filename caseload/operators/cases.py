@@ -200,3 +200,15 @@ def families_with(main: DataFrame, child: DataFrame, child_key: str) -> DataFram
 def _distinct_keys(child: DataFrame, child_key: str) -> DataFrame:
     """Distinct non-null family keys of a child table; deduplicated map-side before the shuffle."""
     return child.select(_key(child, child_key).alias("family_id")).where(F.col("family_id").isNotNull()).distinct()
+
+
+def top_programs(needs: DataFrame, n: int = 2) -> DataFrame:
+    """Per family: the ``n`` most frequent non-null programs joined by ", " (A5, W2)."""
+    return need_signals(needs, top=n).select("family_id", "need_type")
+
+
+def distinct_list(df: DataFrame, key: str, col: str, name: str) -> DataFrame:
+    """Per key: sorted distinct non-null values of ``col`` (A6, A7); partial aggregation bounds each map task."""
+    k = _key(df, key)
+    return (df.where(k.isNotNull()).groupBy(k.alias("family_id"))
+            .agg(F.array_sort(F.collect_set(F.col(f"`{col}`"))).alias(name)))

@@ -250,3 +250,23 @@ def queue_headline(df: DataFrame) -> DataFrame:
         F.count_if(F.col("priority_tier") == "HIGH").alias("high"),
         F.coalesce(F.sum(num(F.col("family_size"))), F.lit(0.0)).alias("individuals"),
     )
+
+
+def top_cities(df: DataFrame, n: int = 10) -> DataFrame:
+    """Families per city, most first."""
+    return top_by_count(df, "city", n)
+
+
+def avg_by(df: DataFrame, dim: str, measure: str, n: int | None = None, spine=None) -> DataFrame:
+    """Mean of ``measure`` per ``dim``.
+
+    With ``spine`` the result has exactly those values of ``dim`` in order (null
+    when a value has no rows); otherwise the top ``n`` by mean, ties by value.
+    """
+    if spine is None:
+        return top_by_mean(df, dim, measure, n or 10)
+    value = num(F.col(measure))
+    row = df.agg(*[F.avg(F.when(F.col(dim) == F.lit(v), value)).alias(f"v{i}") for i, v in enumerate(spine)])
+    structs = [F.struct(F.lit(i).alias("pos"), F.lit(v).alias(dim), F.col(f"v{i}").alias("avg_value"))
+               for i, v in enumerate(spine)]
+    return row.select(F.inline(F.array(*structs)))

@@ -206,3 +206,16 @@ def test_empty_caseload(spark):
     assert [r["families"] for r in reports.tier_distribution(empty).collect()] == [0, 0, 0, 0]
     assert reports.stats(empty).first()["top_cities"] == ""
     assert planning.needs_report_table(empty).where("section = 'budget'").count() == 7
+
+
+def test_planned_api_names(golden_tables, golden_cases):
+    from caseload.operators import cases
+    top = {r["family_id"]: r["need_type"] for r in cases.top_programs(golden_tables.needs).collect()}
+    assert top[1].startswith(MED) and top[6] == ""
+    lst = {r["family_id"]: r["cats"] for r in cases.distinct_list(
+        golden_tables.damage, S.DamageCols.FAMILY_ID, S.DamageCols.CATEGORY, "cats").collect()}
+    assert lst[1] == sorted(S.DAMAGE_CATEGORIES[:2]) and lst[6] == [S.DAMAGE_CATEGORIES[0]]
+    spine = {r["priority_tier"]: r["avg_value"] for r in
+             reports.avg_by(golden_cases, "priority_tier", "family_size", spine=S.TIER_ORDER).collect()}
+    assert spine == {"CRITICAL": 8.0, "HIGH": 2.5, "MEDIUM": 4.4, "LOW": 4.0}
+    assert [r["city"] for r in reports.top_cities(golden_cases, 2).collect()] == ["S1", "S4"]
