@@ -4,7 +4,8 @@
                                          drop PII / bucket occupation / derive birth year (P1-P4),
                                          refuse to write if PII remains (P2), write the tables (S4)
   build     --input DIR --output DIR     four tables → scored, numbered case table (Parquet)
-  report    --cases DIR --output DIR     needs report, priority list and per-family plans as CSV (S5)
+  report    --cases DIR --output DIR     needs report, priority list and per-family plans as CSV (S5);
+            [--filter JSON]              optionally over a filtered caseload (predicate spec, F8)
 
 The session comes from the cluster (``getOrCreate``); checkpoints go to its
 ``spark.checkpoint.dir``. Paths may be on any Hadoop file system.
@@ -13,12 +14,13 @@ The session comes from the cluster (``getOrCreate``); checkpoints go to its
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 
 from pyspark.sql import SparkSession
 
-from caseload.operators import planning, reports
+from caseload.operators import planning, reports, search
 from caseload.operators.cases import build_cases
 from caseload.operators.scoring import number_cases, score
 from caseload.sources import tables
@@ -43,8 +45,8 @@ def build(spark: SparkSession, input_dir: str, output_dir: str, fmt: str = "parq
     cases.write.mode("overwrite").parquet(output_dir)
 
 
-def report(spark: SparkSession, cases_dir: str, output_dir: str) -> None:
-    cases = spark.read.parquet(cases_dir)
+def report(spark: SparkSession, cases_dir: str, output_dir: str, spec: dict | None = None) -> None:
+    cases = search.where(spark.read.parquet(cases_dir), spec)
     needs = planning.needs_report(cases)
     outputs = {
         "aggregate_needs": (needs["aggregate_needs"], None),  # already in urgency / count / item order
@@ -74,6 +76,7 @@ def main(argv: list[str] | None = None) -> int:
     r = sub.add_parser("report")
     r.add_argument("--cases", required=True)
     r.add_argument("--output", required=True)
+    r.add_argument("--filter", default=None, help='predicate spec, e.g. {"col": "is_homeless", "op": "is_true"}')
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName(f"caseload-{args.command}").getOrCreate()
     if args.command == "anonymize":
@@ -81,7 +84,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "build":
         build(spark, args.input, args.output, args.format)
     else:
-        report(spark, args.cases, args.output)
+        report(spark, args.cases, args.output, json.loads(args.filter) if args.filter else None)
     return 0
 
 

@@ -16,13 +16,19 @@ from caseload.operators.privacy import anonymize, assert_no_pii, route_files
 from caseload.schema import ROLES, CaseTables
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
-    """One survey table (S1). CSV without a schema keeps every column as text (coerced later)."""
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, multiline: bool = True) -> DataFrame:
+    """One survey table (S1). CSV without a schema keeps every column as text (coerced later).
+
+    Form exports hold free-text notes with line breaks, so CSV is read with
+    ``multiLine`` by default; such a file cannot be split, so parallelism comes
+    from the number of files. Pass ``multiline=False`` for exports without
+    embedded newlines to let Spark split large files.
+    """
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = (reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = (reader.option("header", True).option("multiLine", multiline).option("escape", '"')
                   .option("mode", "PERMISSIVE").option("encoding", "UTF-8"))
     return reader.format(fmt).load(path)
 

@@ -40,3 +40,8 @@ def test_anonymize_build_report(spark, golden_tables, golden_cases):
     budget = spark.read.option("header", True).csv(os.path.join(out, "budget"))
     assert budget.where(F.col("category") == "Grand Total").first()["total_usd"] == "1180"
     assert spark.read.option("header", True).csv(os.path.join(out, "priority_list")).count() == 6
+
+    homeless = os.path.join(root, "report_homeless")
+    assert cli.main(["report", "--cases", cases_dir, "--output", homeless,
+                     "--filter", '{"col": "is_homeless", "op": "is_true"}']) == 0
+    assert spark.read.option("header", True).csv(os.path.join(homeless, "priority_list")).count() == 1
