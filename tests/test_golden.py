@@ -219,3 +219,17 @@ def test_planned_api_names(golden_tables, golden_cases):
              reports.avg_by(golden_cases, "priority_tier", "family_size", spine=S.TIER_ORDER).collect()}
     assert spine == {"CRITICAL": 8.0, "HIGH": 2.5, "MEDIUM": 4.4, "LOW": 4.0}
     assert [r["city"] for r in reports.top_cities(golden_cases, 2).collect()] == ["S1", "S4"]
+
+
+def test_custom_rule_tables(golden_tables, golden_cases):
+    from caseload.operators.cases import build_cases
+    from caseload.operators.scoring import score
+    weights = [(sig, 35 if sig == "is_widow" else w) for sig, w in S.WEIGHTS]
+    rescored = {r["family_id"]: r["priority_score"] for r in score(build_cases(golden_tables), weights=weights).collect()}
+    assert rescored[5] == 30 + 10 and rescored[2] == 5  # widow weight 25 → 35; no-signal family unchanged
+    rates = [(name, 20 if name == "Food (per person)" else v) for name, v in S.FINANCIAL_RATES]
+    food = planning.financial_totals(golden_cases, rates=rates).where("category = 'Food'").first()["total_usd"]
+    assert food == 26 * 20
+    rules = S.NEED_RULES + (("is_renting", "Winter clothing", "clothing", "high"),)
+    got = {r["need_item"]: r["families_count"] for r in planning.aggregate_needs(golden_cases, rules=rules).collect()}
+    assert got["Winter clothing"] == 1 and got["Monthly food basket"] == 6
