@@ -84,21 +84,26 @@ def need_signals(needs: DataFrame, top: int = 2) -> DataFrame:
     ``need_type`` joins the ``top`` most frequent non-null programs by ", "; ties
     break by program text. ``needs_programs`` is the sorted distinct non-null list.
     Rows are first reduced to one per (family, program), so every later step
-    handles at most one row per distinct program of a family.
+    handles at most one row per distinct program of a family. The per-family
+    step is one window pass over those pairs (a single sort, no aggregation
+    node): the top programs are the first ``top`` rows of the ranked order,
+    the list and flags span the whole family, and the rank-1 row is kept.
     """
     pairs = program_counts(needs)
-    w = Window.partitionBy("family_id").orderBy(F.col("program").isNull(), F.desc("n"), F.asc("program"))
-    ranked = pairs.withColumn("_rank", F.row_number().over(w))
-    keep = F.col("program").isNotNull() & (F.col("_rank") <= F.lit(top))
-    top_list = F.array_sort(F.collect_list(F.when(keep, F.struct(F.col("_rank"), F.col("program")))))
-    return ranked.groupBy("family_id").agg(
-        F.bool_or(flag(F.col("program") == F.lit(S.PROGRAM_FINANCIAL))).alias("_n_financial"),
-        F.bool_or(flag(F.col("program") == F.lit(S.PROGRAM_MEDICAL))).alias("_n_medical"),
-        F.bool_or("baby").alias("_n_baby"),
-        F.bool_or("served").alias("_n_served"),
-        F.array_join(F.transform(top_list, lambda s: s["program"]), ", ").alias("need_type"),
-        F.array_sort(F.collect_list("program")).alias("needs_programs"),
+    order = Window.partitionBy("family_id").orderBy(F.col("program").isNull(), F.desc("n"), F.asc("program"))
+    family = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    leading = order.rowsBetween(Window.currentRow, top - 1)
+    per_family = pairs.select(
+        "family_id",
+        F.row_number().over(order).alias("_rank"),
+        F.bool_or(flag(F.col("program") == F.lit(S.PROGRAM_FINANCIAL))).over(family).alias("_n_financial"),
+        F.bool_or(flag(F.col("program") == F.lit(S.PROGRAM_MEDICAL))).over(family).alias("_n_medical"),
+        F.bool_or("baby").over(family).alias("_n_baby"),
+        F.bool_or("served").over(family).alias("_n_served"),
+        F.array_join(F.collect_list("program").over(leading), ", ").alias("need_type"),
+        F.array_sort(F.collect_list("program").over(family)).alias("needs_programs"),
     )
+    return per_family.where(F.col("_rank") == 1).drop("_rank")
 
 
 def damage_signals(damage: DataFrame) -> DataFrame:

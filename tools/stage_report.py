@@ -1,7 +1,7 @@
 """Stage and task metrics of a run, read from Spark's event log (no UI, no server).
 
 Usage:
-  python tools/stage_report.py [sf_dir] [case_build|hot_members|<query name>]
+  python tools/stage_report.py [sf_dir] [case_build|hot_members|probe_hot:<families>|<query name>]
 
 Writes the event log into a fresh scratch folder, runs the target through the
 no-op sink, stops the session and prints one markdown row per stage: tasks,
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F  # noqa: E402
 def session(log_dir: str) -> SparkSession:
     spark = (SparkSession.builder.master("local[8]").appName("caseload-stages")
              .config("spark.sql.shuffle.partitions", "8")
+             .config("spark.driver.memory", "8g")
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.ui.enabled", "false")
@@ -51,6 +52,9 @@ def run_target(spark: SparkSession, sf_dir: str, target: str) -> None:
 
     if target == "case_build":
         context.cases(spark, sf_dir)
+    elif target.startswith("probe_hot:"):  # generated tables, one family with 1/3 of the member rows
+        from tools.scale_probe import build
+        build(spark, int(target.split(":")[1]), hot=True)
     elif target == "hot_members":
         r = spark.range(0, 3_000_000, 1, 16)
         fid = F.when(r.id % 3 == 0, F.lit(0)).otherwise(r.id % 100_000 + 1)
