@@ -97,9 +97,13 @@ def filter_options(df: DataFrame, dims=("city", "displacement_type")) -> DataFra
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """Per column: name, type and one non-null example (smallest text form)."""
+    """Per column: name, type and one non-null example: the smallest value, shown as text.
+
+    The minimum is taken on the native type and only that one value is cast,
+    so no row is converted to text.
+    """
     cols = df.columns
-    row = df.agg(*[F.min(F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, c in enumerate(cols)])
+    row = df.agg(*[F.min(F.col(f"`{c}`")).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
     types = dict(df.dtypes)
     structs = [F.struct(F.lit(i).alias("column_pos"), F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"),
                         F.col(f"c{i}").alias("example"))

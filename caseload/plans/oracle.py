@@ -375,7 +375,7 @@ def _column_profile_sql() -> str:
     mapping = " ".join(f"WHEN {q(d)} THEN {q(sp)}" for d, sp in SPARK_TYPE)
     rows = " UNION ALL ".join(
         f"SELECT {i} AS column_pos, {q(c)} AS column, CASE max(typeof({c})) {mapping} END AS dtype, "
-        f"min(CAST({c} AS VARCHAR)) AS example FROM scored"
+        f"CAST(min({c}) AS VARCHAR) AS example FROM scored"
         for i, c in enumerate(SCORED_COLUMNS))
     return rows
 
