@@ -1,6 +1,7 @@
 """Scaling probe: the case build on generated survey tables of growing size (not a registered query).
 
 Usage: python tools/scale_probe.py [families ...] [--hot]
+       python tools/scale_probe.py --intake [responses ...]
 
 Tables are generated with ``spark.range`` (no input files): 10 members,
 3 need rows and 1 damage row per family. With ``--hot`` family 0 additionally
@@ -75,9 +76,33 @@ def build(spark, families: int, hot: bool) -> float:
     return time.perf_counter() - t0
 
 
+def intake_run(spark, responses: int) -> float:
+    """Parse, score and number ``responses`` generated model responses after a 100,000-family caseload."""
+    from caseload.operators import intake
+    r = spark.range(0, responses, 1, max(8, responses // 500_000))
+    good = F.concat(F.lit('note: {"family_size": "'), (F.col("id") % 10).cast("string"),
+                    F.lit('", "city": "C'), (F.col("id") % 97).cast("string"),
+                    F.lit('", "housing_type": "'), F.lit(S.HOUSING_HOMELESS),
+                    F.lit('", "breadwinners": "'), (F.col("id") % 3).cast("string"), F.lit('"} end'))
+    texts = r.select(F.col("id").alias("intake_id"),
+                     F.when(F.col("id") % 17 == 0, F.lit("note {broken")).otherwise(good).alias("response"))
+    existing = materialize(number_cases(score(build_cases(tables(spark, 100_000, False)))))
+    t0 = time.perf_counter()
+    out = intake.append(existing, intake.score_intake(intake.parse_responses(texts)))
+    out.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - t0
+
+
 def main() -> None:
     args = [a for a in sys.argv[1:] if not a.startswith("--")]
     hot = "--hot" in sys.argv
+    if "--intake" in sys.argv:
+        spark = local_session(shuffle_partitions=16, app="caseload-scale")
+        intake_run(spark, 10_000)  # warm-up
+        for n in [int(a) for a in args] or [1_000_000, 10_000_000]:
+            sec = intake_run(spark, n)
+            print(json.dumps({"responses": n, "sec": round(sec, 2), "responses_per_sec": int(n / sec)}))
+        return
     sizes = [int(a) for a in args] or [100_000, 300_000, 1_000_000]
     spark = local_session(shuffle_partitions=16, app="caseload-scale")
     build(spark, 10_000, hot)  # warm-up
