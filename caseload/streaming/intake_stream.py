@@ -67,9 +67,14 @@ def process_batch(batch: DataFrame, batch_id: int, table_path: str, quarantine_p
 
 def start_stream(spark: SparkSession, source_dir: str, table_path: str, quarantine_path: str,
                  checkpoint_location: str, fmt: str = "parquet", trigger: dict | None = None,
-                 start_number: int = 0, on_commit: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Start the intake stream over files of (intake_id, response) in ``source_dir``."""
-    source = spark.readStream.schema(RESPONSE_SCHEMA).format(fmt).load(source_dir)
+                 start_number: int = 0, on_commit: Callable[[DataFrame], None] | None = None,
+                 source_options: dict | None = None) -> StreamingQuery:
+    """Start the intake stream over files of (intake_id, response) in ``source_dir``.
+
+    ``source_options`` go to the file source (e.g. ``maxFilesPerTrigger`` to bound a micro-batch).
+    """
+    source = (spark.readStream.schema(RESPONSE_SCHEMA).format(fmt).options(**(source_options or {}))
+              .load(source_dir))
     writer = (source.writeStream
               .foreachBatch(lambda df, bid: process_batch(df, bid, table_path, quarantine_path,
                                                           start_number=start_number, on_commit=on_commit))

@@ -132,3 +132,24 @@ def test_null_matrix_gives_false_signals(spark):
     assert not any(r[s] for s in S.SIGNALS)
     assert (r["priority_score"], r["priority_tier"], r["member_count"], r["need_type"]) == (0, "LOW", 1, "")
     assert r["chronic_disease_members"] is None and r["city"] is None
+
+
+def test_stream_numbers_continue_across_micro_batches(spark):
+    root = _scratch()
+    src = os.path.join(root, "src")
+    for part in range(3):
+        rows = [(part * 100 + i, f'{{"family_size": "{i % 9}", "city": "P{part}"}}') for i in range(20)]
+        rows.append((part * 100 + 99, "broken {"))
+        spark.createDataFrame(rows, "intake_id bigint, response string").coalesce(1).write.mode("append").parquet(src)
+    table, quarantine, ckpt = (os.path.join(root, x) for x in ("table", "quarantine", "ckpt"))
+    start_stream(spark, src, table, quarantine, ckpt, start_number=1000,
+                 source_options={"maxFilesPerTrigger": 1}).awaitTermination()
+    out = spark.read.parquet(table)
+    assert out.select("intake_batch").distinct().count() == 3
+    nums = sorted(r[0] for r in out.select("family_num").collect())
+    assert nums == list(range(1001, 1061))  # contiguous after the existing caseload, 60 parsed rows
+    by_batch = {r["intake_batch"]: (r["lo"], r["hi"]) for r in
+                out.groupBy("intake_batch").agg(F.min("family_num").alias("lo"), F.max("family_num").alias("hi")).collect()}
+    spans = [by_batch[b] for b in sorted(by_batch)]
+    assert all(prev[1] < nxt[0] for prev, nxt in zip(spans, spans[1:]))
+    assert spark.read.parquet(quarantine).count() == 3
