@@ -30,12 +30,12 @@ def range_tagged(df: DataFrame, order_by: str, num_partitions: int | None = None
     """
     cols = df.columns
     tiebreak = F.xxhash64(*[F.col(f"`{c}`") for c in cols]) if cols else F.lit(0)
-    keys = (F.col(order_by), F.col("_tb"))
+    keys = (F.col(order_by).asc_nulls_last(), F.col("_tb").asc())  # rows without a key get the last numbers
     staged = df.withColumn("_tb", tiebreak)
     ranged = staged.repartitionByRange(num_partitions, *keys) if num_partitions else staged.repartitionByRange(*keys)
     return (
         ranged
-        .sortWithinPartitions(order_by, "_tb")
+        .sortWithinPartitions(*keys)
         .withColumn("_rid", F.monotonically_increasing_id())
         .drop("_tb")
     )

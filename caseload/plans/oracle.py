@@ -158,7 +158,7 @@ scored AS (
   SELECT *,
     CASE WHEN priority_score >= 80 THEN 'CRITICAL' WHEN priority_score >= 50 THEN 'HIGH'
          WHEN priority_score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS priority_tier,
-    CAST(row_number() OVER (ORDER BY family_id) AS BIGINT) AS family_num
+    CAST(row_number() OVER (ORDER BY family_id NULLS LAST) AS BIGINT) AS family_num
   FROM scored0
 )
 """

@@ -233,3 +233,10 @@ def test_custom_rule_tables(golden_tables, golden_cases):
     rules = S.NEED_RULES + (("is_renting", "Winter clothing", "clothing", "high"),)
     got = {r["need_item"]: r["families_count"] for r in planning.aggregate_needs(golden_cases, rules=rules).collect()}
     assert got["Winter clothing"] == 1 and got["Monthly food basket"] == 6
+
+
+def test_rows_without_a_key_are_numbered_last(spark):
+    from caseload.operators.scoring import number_cases
+    df = spark.createDataFrame([(5,), (None,), (2,), (None,), (9,)], "family_id bigint")
+    got = sorted((r["family_num"], r["family_id"]) for r in number_cases(df, num_partitions=2).collect())
+    assert [fid for _, fid in got] == [2, 5, 9, None, None]
