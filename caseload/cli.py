@@ -40,9 +40,14 @@ def anonymize(spark: SparkSession, input_dir: str, output_dir: str, fmt: str = "
     tables.write_tables(tables.anonymize_tables(raw), output_dir, fmt)
 
 
-def build(spark: SparkSession, input_dir: str, output_dir: str, fmt: str = "parquet") -> None:
+def build(spark: SparkSession, input_dir: str, output_dir: str, fmt: str = "parquet",
+          partition_by: list[str] | None = None) -> None:
+    """Write the case table; ``partition_by`` (e.g. governorate) lets equality filters prune directories."""
     cases = number_cases(score(build_cases(tables.load_case_tables(spark, input_dir, fmt))))
-    cases.write.mode("overwrite").parquet(output_dir)
+    writer = cases.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(output_dir)
 
 
 def report(spark: SparkSession, cases_dir: str, output_dir: str, spec: dict | None = None) -> None:
@@ -73,6 +78,7 @@ def main(argv: list[str] | None = None) -> int:
     b.add_argument("--input", required=True)
     b.add_argument("--output", required=True)
     b.add_argument("--format", default="parquet")
+    b.add_argument("--partition-by", default=None, help="comma-separated columns, e.g. governorate")
     r = sub.add_parser("report")
     r.add_argument("--cases", required=True)
     r.add_argument("--output", required=True)
@@ -82,7 +88,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "anonymize":
         anonymize(spark, args.input, args.output, args.format)
     elif args.command == "build":
-        build(spark, args.input, args.output, args.format)
+        build(spark, args.input, args.output, args.format,
+              args.partition_by.split(",") if args.partition_by else None)
     else:
         report(spark, args.cases, args.output, json.loads(args.filter) if args.filter else None)
     return 0

@@ -45,3 +45,16 @@ def test_anonymize_build_report(spark, golden_tables, golden_cases):
     assert cli.main(["report", "--cases", cases_dir, "--output", homeless,
                      "--filter", '{"col": "is_homeless", "op": "is_true"}']) == 0
     assert spark.read.option("header", True).csv(os.path.join(homeless, "priority_list")).count() == 1
+
+
+def test_build_partitioned_by_governorate(spark, golden_tables):
+    root = tempfile.mkdtemp(prefix="caseload-cli-")
+    survey = os.path.join(root, "survey")
+    for role, df in golden_tables.as_dict().items():
+        df.write.parquet(os.path.join(survey, role))
+    out = os.path.join(root, "cases")
+    assert cli.main(["build", "--input", survey, "--output", out, "--partition-by", "governorate"]) == 0
+    assert sorted(d for d in os.listdir(out) if d.startswith("governorate=")) == ["governorate=G1", "governorate=G2"]
+    g1 = spark.read.parquet(out).where(F.col("governorate") == "G1")
+    assert "PartitionFilters: [isnotnull(governorate" in g1._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r[0] for r in g1.select("family_id").collect()) == [1, 2, 3]
