@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,11 +33,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+    """The shared checkpoint folder named by the session (``spark.checkpoint.dir``).
 
-    Only a local-mode session without one gets a fresh scratch folder; on a
-    cluster a missing setting is an error, because a machine-local folder
-    would not survive the loss of an executor.
+    A single-process session (``local``, ``local[n]``) without one gets a scratch folder that is
+    removed at exit. Anything else, ``local-cluster[...]`` included, must name a shared folder: a
+    machine-local one would not survive the loss of an executor.
     """
     try:
         sc = spark.sparkContext
@@ -46,9 +49,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(current)
         return (sc.getCheckpointDir() if sc else None) or current
     master = sc.master if sc else spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/ABFS)")
     scratch = tempfile.mkdtemp(prefix="caseload-ckpt-")
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
     if sc:
         sc.setCheckpointDir(scratch)
         return sc.getCheckpointDir()
@@ -56,17 +60,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return scratch
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
     Unlike ``checkpoint()`` (row-serialised files), a Parquet table lets the
     next steps read only the columns they need, and it is a plain file scan
-    when a later query reads it twice.
+    when a later query reads it twice. ``by`` partitions the folder by a column.
+    ``drop_table`` removes the files of a table that no later step reads.
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"table-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    schema = df.schema
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._caseload_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove the files behind a frame that ``materialize`` returned."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._caseload_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scale_settings(families: int, total_cores: int, row_bytes: int = 256,
