@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing
+from . import exact_dedup, near_dedup, packing
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
