@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing
+from . import decontaminate, exact_dedup, near_dedup, packing
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE = {
+    "op9_decontamination": decontaminate.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
