@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, near_dedup, packing
+from . import decontaminate, exact_dedup, line_dedup, near_dedup, packing, url_filter
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE = {
+    "op7_line_dedup": line_dedup.SQL,
     "op9_decontamination": decontaminate.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
