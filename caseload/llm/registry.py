@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, line_dedup, near_dedup, packing, url_filter
+from . import decontaminate, exact_dedup, language, line_dedup, near_dedup, packing, quality, url_filter
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
+    "op4_quality": quality.op4_quality,
+    "op5_language": language.op5_language,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_url_filter": url_filter.op8_url_filter,
