@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, line_dedup, near_dedup, packing, pii, quality, url_filter
+from . import decontaminate, exact_dedup, language, line_dedup, near_dedup, packing, pii, quality, substring_dedup, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_pii": pii.op2_pii,
     "op3_packing": packing.op3_packing,
     "op4_quality": quality.op4_quality,
