@@ -6,10 +6,14 @@ import sys
 import types
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caseload.session import checkpoint_dir, drop_table, materialize
 
-__all__ = ["checkpoint_dir", "drop_table", "materialize", "partitions", "table", "task_cache"]
+__all__ = ["checkpoint_dir", "drop_table", "materialize", "partitions", "sample_of", "table", "task_cache", "without"]
+
+#: Rows of ids or labels (16 bytes each) up to which a side may be broadcast.
+BROADCAST_ROWS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +26,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sample_of(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """At most ``most`` rows, chosen by the hash of their id: no task sends more than it contributes."""
+    n = rows.count()
+    share = min(1.0, most / n) if n else 1.0
+    return rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 31)) < int(share * (1 << 31))).limit(most)
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is not in the one column of ``ids``."""
+    gone = materialize(ids.toDF("_id").where("_id is not null").distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(side, docs[id_col] == side["_id"], "left_anti")
+
+
 def task_cache() -> dict:
     """A per-process dictionary for what tasks load once (a vocabulary, say).
 

@@ -26,10 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, table
+from .common import BROADCAST_ROWS, drop_table, materialize, table, without
 
 SPACE = "[\\x20\\x09-\\x0D]+"
-BROADCAST_ROWS = 1 << 20
 
 
 def bound(value: Column, use) -> Column:
@@ -103,6 +102,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                       F.col("n_shared").cast("long").alias("n_shared"), (F.col("n_shared") / F.col("m")).alias("containment"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents, with all their columns, in which no item is found."""
+    return without(docs, contaminated(docs, items, id_col, **options).select(id_col), id_col)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

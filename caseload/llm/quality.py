@@ -6,7 +6,7 @@ Labelled documents are bad if their quality is 0 or they are toxic.
    over all labelled rows, in ``TABLES`` hash tables of 2^``BITS`` buckets (a word counts only if all its
    buckets agree, so collisions cancel out). They and the shape of the text (shares of kinds of
    characters, repeated words and lines) are the features of a logistic regression, fitted on at most
-   ``max_sample`` labelled rows. Less the base rate it gives a log likelihood ratio for every document.
+   ``max_sample`` labelled rows (by id hash). Less the base rate it gives a log likelihood ratio for every document.
 2. Grouped aggregation over all documents: bad ones by path and host, a labelled row by its label, another
    by the classifier's probability. The global prior is shrunk into hosts, hosts into paths: posterior
    mean (bad + m * prior) / (n + m), m from the variance between groups (method of moments), so a
@@ -34,13 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, table
+from .common import BROADCAST_ROWS, drop_table, materialize, sample_of, table, without
 from .shingles import Hasher, blocks, mix, utf8
 
 TABLES, BITS = 2, 18
 SIZE = 1 << BITS
-#: Labels or ids up to this number (about 16 MB) may be broadcast.
-BROADCAST_ROWS = 1 << 20
 #: Kinds of ASCII bytes whose shares are features; the rest of the printable signs is one kind.
 KINDS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\n\r\x0b\x0c", ".,;:'\"()-?", "!", "|", "<>[]{}=/\\_")
 N_SHAPE = len(KINDS) + 2 + 4
@@ -210,8 +208,8 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         _describe(weights), "id long, host string, path string, x array<float>").join(side, "id", "left"))
 
     known = described.where("bad is not null")
-    sample = known.orderBy(F.xxhash64("id")).limit(max_sample).select("x", "bad").collect()  # bounded by max_sample
-    x, y = np.array([r.x for r in sample], float).reshape(len(sample), -1), np.array([r.bad for r in sample], float)
+    sample = sample_of(known, "id", max_sample).orderBy("id", "x").select("x", "bad").collect()
+    x, y = np.array([r.x for r in sample], float).reshape(len(sample), N_SHAPE + N_WORDS), np.array([r.bad for r in sample], float)
     usable = 0 < y.sum() < len(y)
     model = fit_logistic(x, y) if usable else np.zeros(N_SHAPE + N_WORDS + 1)
     base = y.mean() if usable else 0.0
@@ -238,9 +236,8 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def drop_bad(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents, with all their columns, that the classifier keeps."""
-    bad = materialize(assess(docs, labels, id_col, **options).where("not kept").select(F.col(id_col).alias("_id")).where("_id is not null").distinct())
-    side = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(side, docs[id_col] == side["_id"], "left_anti")
+    judged = assess(docs, labels, id_col, **options)
+    return without(docs, judged.where("not kept").select(id_col), id_col)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

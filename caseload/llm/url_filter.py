@@ -80,14 +80,14 @@ def grow(rows: DataFrame, max_branches: int, z_limit: float) -> DataFrame:
     nodes = materialize(rows.where("seg is not null").groupBy("host", "prefix", "seg").agg(
         F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")))
     parents = nodes.groupBy("host", "prefix").agg(
-        F.count(F.lit(1)).alias("branches"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
+        F.count(F.lit(1)).alias("branches"), F.count_if(F.col("labelled") > 0).alias("known"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
     judged = nodes.join(parents, ["host", "prefix"])
     other = F.col("all_labelled") - F.col("labelled")
     share = F.try_divide("all_blocked", "all_labelled")
     spread = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1), "labelled") + F.try_divide(F.lit(1), other)))
     gap = F.try_divide("blocked", "labelled") - F.try_divide(F.col("all_blocked") - F.col("blocked"), other)
     differs = F.coalesce(F.abs(F.try_divide(gap, spread)) >= z_limit, F.lit(False))  # no evidence, no difference
-    alike = (F.col("branches") > 1) & (F.col("labelled") > 0) & ~differs
+    alike = (F.col("known") > 1) & (F.col("labelled") > 0) & ~differs
     variable = (F.col("branches") > max_branches) | alike
     judged = materialize(judged.select("host", "prefix", "seg", F.when(variable, F.lit("*")).otherwise(F.col("seg")).alias("branch")))
     drop_table(nodes)
