@@ -7,6 +7,7 @@ a predicate over a missing value is *false*, never null (``flag``).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -195,20 +196,30 @@ def json_array_span(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\[.*\]", 0)
 
 
-def with_strict_json(df: DataFrame, span: Column, ddl: str, name: str) -> DataFrame:
+def with_strict_json(df: DataFrame, span: Column, ddl: str, name: str, in_list: bool) -> DataFrame:
     """Add column ``name``: ``span`` parsed as exactly one JSON value of type ``ddl``, else null.
 
-    ``from_json`` tolerates trailing text after the first value; wrapping the
-    span in ``[...]`` and demanding exactly one element makes the parse strict.
+    ``ddl`` is a struct or, with ``in_list``, a list of structs. ``from_json`` stops after the first
+    value and ignores what follows, so the text parsed is ``[span, end]``: the parse is strict when
+    it yields exactly these two elements. ``end`` carries the digest of the span, which no
+    text within the span can foresee, so a span cannot close the list itself and still look complete.
     The parse is staged over two projections, so the JSON is parsed once per
     row even when many fields are read from it (Catalyst does not inline an
     expensive alias that is used repeatedly).
     """
-    arr = F.from_json(F.concat(F.lit("["), span, F.lit("]")), f"array<{ddl}>",
+    digest = F.sha2(span, 256)
+    end = F.concat(F.lit('{"_end": "'), digest, F.lit('"}'))
+    end = F.concat(F.lit("["), end, F.lit("]")) if in_list else end
+    marked = re.sub("struct<", "struct<_end: string, ", ddl, count=1)
+    arr = F.from_json(F.concat(F.lit("["), span, F.lit(", "), end, F.lit("]")), f"array<{marked}>",
                       {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
-    staged = df.withColumns({"_arr": arr, "_has": span != F.lit("")})
-    pick = F.when(F.col("_has") & (F.size("_arr") == F.lit(1)), F.col("_arr").getItem(0))
-    return staged.withColumn(name, pick).drop("_arr", "_has")
+    staged = df.withColumns({"_arr": arr, "_digest": F.when(span != F.lit(""), digest)})
+    last = F.get("_arr", F.lit(1))
+    seen = (F.get(last, F.lit(0)) if in_list else last)["_end"]
+    value = F.get("_arr", F.lit(0))
+    value = F.transform(value, lambda x: x.dropFields("_end")) if in_list else value.dropFields("_end")
+    pick = F.when((F.size("_arr") == F.lit(2)) & (seen == F.col("_digest")), value)
+    return staged.withColumn(name, pick).drop("_arr", "_digest")
 
 
 # --- literal-heavy generators as one SQL expression ------------------------------

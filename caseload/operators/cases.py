@@ -12,7 +12,7 @@ registrations, once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseload import schema as S
@@ -83,27 +83,21 @@ def need_signals(needs: DataFrame, top: int = 2) -> DataFrame:
 
     ``need_type`` joins the ``top`` most frequent non-null programs by ", "; ties
     break by program text. ``needs_programs`` is the sorted distinct non-null list.
-    Rows are first reduced to one per (family, program), so every later step
-    handles at most one row per distinct program of a family. The per-family
-    step is one window pass over those pairs (a single sort, no aggregation
-    node): the top programs are the first ``top`` rows of the ranked order,
-    the list and flags span the whole family, and the rank-1 row is kept.
+    Rows are first reduced to one per (family, program), so a family's list holds
+    one entry per distinct program. The branch ends in a grouped aggregate, so its key is
+    provably unique and the optimizer drops its join from queries that use none of its columns.
     """
-    pairs = program_counts(needs)
-    order = Window.partitionBy("family_id").orderBy(F.col("program").isNull(), F.desc("n"), F.asc("program"))
-    family = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    leading = order.rowsBetween(Window.currentRow, top - 1)
-    per_family = pairs.select(
-        "family_id",
-        F.row_number().over(order).alias("_rank"),
-        F.bool_or(flag(F.col("program") == F.lit(S.PROGRAM_FINANCIAL))).over(family).alias("_n_financial"),
-        F.bool_or(flag(F.col("program") == F.lit(S.PROGRAM_MEDICAL))).over(family).alias("_n_medical"),
-        F.bool_or("baby").over(family).alias("_n_baby"),
-        F.bool_or("served").over(family).alias("_n_served"),
-        F.array_join(F.collect_list("program").over(leading), ", ").alias("need_type"),
-        F.array_sort(F.collect_list("program").over(family)).alias("needs_programs"),
+    known = F.col("program").isNotNull()
+    ranked = F.array_sort(F.collect_list(F.when(known, F.struct(F.negative("n").alias("less"), F.col("program")))))
+    leading = F.transform(F.slice(ranked, 1, top), lambda x: x["program"])
+    return program_counts(needs).groupBy("family_id").agg(
+        F.bool_or(flag(F.col("program") == F.lit(S.PROGRAM_FINANCIAL))).alias("_n_financial"),
+        F.bool_or(flag(F.col("program") == F.lit(S.PROGRAM_MEDICAL))).alias("_n_medical"),
+        F.bool_or("baby").alias("_n_baby"),
+        F.bool_or("served").alias("_n_served"),
+        F.array_join(leading, ", ").alias("need_type"),
+        F.array_sort(F.collect_list("program")).alias("needs_programs"),
     )
-    return per_family.where(F.col("_rank") == 1).drop("_rank")
 
 
 def damage_signals(damage: DataFrame) -> DataFrame:
@@ -160,8 +154,14 @@ def build_cases(tables: CaseTables) -> DataFrame:
         flag(housing == F.lit(S.HOUSING_HOMELESS)).alias("is_homeless"),
         flag(housing == F.lit(S.HOUSING_RENTING)).alias("is_renting"),
         flag(num(bw) == F.lit(0.0)).alias("_no_breadwinner"),
+        # registrations without an id never match; a hash of the row spreads them over the join's tasks
+        F.coalesce(_key(main, MainCols.ID), F.xxhash64(*[F.col(f"`{c}`") for c in main.columns])).alias("_key"),
+        _key(main, MainCols.ID).isNotNull().alias("_known"),
     )
-    joined = base.join(mem, "family_id", "left").join(need, "family_id", "left").join(dmg, "family_id", "left")
+    joined = base
+    for child in (mem, need, dmg):
+        side = child.withColumnRenamed("family_id", "_key").withColumn("_known", F.lit(True))
+        joined = joined.join(side, ["_key", "_known"], "left")
     false = F.lit(False)
     return joined.select(
         "family_id",
@@ -185,11 +185,6 @@ def build_cases(tables: CaseTables) -> DataFrame:
     )
 
 
-def unserved_families(cases: DataFrame) -> DataFrame:
-    """Families without any need row (J13): ``need_type`` is empty and no program list."""
-    return cases.where(F.col("needs_programs").isNull())
-
-
 def families_without(main: DataFrame, child: DataFrame, child_key: str) -> DataFrame:
     """Registrations with no row in ``child`` (anti join on the family key)."""
     keys = _distinct_keys(child, child_key)

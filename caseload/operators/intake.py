@@ -26,7 +26,7 @@ def parse_responses(df: DataFrame, text_col: str = "response", blank_as_zero: bo
     0 with ``blank_as_zero`` (the review form's behaviour, D13).
     """
     keep = [c for c in df.columns if c != text_col]
-    staged = with_strict_json(df, json_object_span(F.col(text_col)), RECORD_DDL, "_rec")
+    staged = with_strict_json(df, json_object_span(F.col(text_col)), RECORD_DDL, "_rec", in_list=False)
     rec = F.col("_rec")
     fields = []
     for f in S.INTAKE_FIELDS:
@@ -46,22 +46,19 @@ def parse_need_items(df: DataFrame, text_col: str = "response") -> DataFrame:
     response yields no items.
     """
     keep = [c for c in df.columns if c != text_col]
-    staged = with_strict_json(df, json_array_span(F.col(text_col)), ITEM_DDL, "_items")
+    staged = with_strict_json(df, json_array_span(F.col(text_col)), ITEM_DDL, "_items", in_list=True)
     items = F.coalesce(F.col("_items"), F.array().cast(ITEM_DDL))
     return staged.select(*keep, F.posexplode(items).alias("item_pos", "it")).select(
         *keep, "item_pos", *[F.col("it")[f].alias(f) for f in S.NEED_ITEM_FIELDS])
 
 
-ID_CHARS = 16
-
-
-def intake_id(payload: list[Column], chars: int = ID_CHARS) -> Column:
+def intake_id(payload: list[Column]) -> Column:
     """Upper-hex id from the record payload (X22); deterministic so replays agree.
 
     The form tool shows 8 random hex characters; 32 bits collide after tens of
-    thousands of records, so the default keeps 16 (64 bits).
+    thousands of records, so the whole digest (128 bits) is the key.
     """
-    return F.upper(F.substring(F.md5(F.concat_ws("␟", *[c.cast("string") for c in payload])), 1, chars))
+    return F.upper(F.md5(F.concat_ws("␟", *[c.cast("string") for c in payload])))
 
 
 def parsed_rows(parsed: DataFrame) -> DataFrame:
@@ -80,7 +77,7 @@ def row_ddl(df: DataFrame) -> str:
     return "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.schema.fields) + ">"
 
 
-def score_intake(parsed: DataFrame, key: str = "intake_id", id_chars: int = ID_CHARS) -> DataFrame:
+def score_intake(parsed: DataFrame, key: str = "intake_id") -> DataFrame:
     """Case rows for parsed records (T1): four derived signals, the rest false, then scored."""
     p = parsed_rows(parsed) if "parse_ok" in parsed.columns else parsed
     disp = F.coalesce(F.col("displacement_type"), F.lit(""))
@@ -88,7 +85,7 @@ def score_intake(parsed: DataFrame, key: str = "intake_id", id_chars: int = ID_C
     false = F.lit(False)
     rows = p.select(
         F.col(key),
-        intake_id([F.col(key), *[F.col(f) for f in S.INTAKE_FIELDS]], id_chars).alias("family_id"),
+        intake_id([F.col(key), *[F.col(f) for f in S.INTAKE_FIELDS]]).alias("family_id"),
         F.lit(S.MANUAL_SOURCE_FILE).alias("source_file"),
         F.lit(S.MANUAL_SOURCE_SHEET).alias("source_sheet"),
         F.col("family_size").cast("double").alias("family_size"),
@@ -117,10 +114,14 @@ def next_number(existing: DataFrame, name: str = "family_num") -> Column:
 def append(existing: DataFrame, new_rows: DataFrame, key: str = "intake_id") -> DataFrame:
     """Number the new rows after the existing ones and align them to the existing columns.
 
+    A new row whose ``key`` repeats within the new rows, or whose record (same ``family_id``: the digest
+    of key and payload) is stored already, is added once.
     Missing columns of the new rows become null and their extra columns are
     dropped. Survey ids are long and intake ids text, so ``family_id`` is text
     in the union (D12).
     """
-    numbered = number_cases(new_rows, order_by=key, start=next_number(existing))
     old = existing.withColumn("family_id", F.col("family_id").cast("string"))
+    stored = old.where(F.col("source_file") == S.MANUAL_SOURCE_FILE).select("family_id")
+    fresh = new_rows.dropDuplicates([key]).join(stored, "family_id", "left_anti")
+    numbered = number_cases(fresh, order_by=key, start=next_number(existing))
     return old.unionByName(numbered.drop(key), allowMissingColumns=True).select(*existing.columns)

@@ -56,29 +56,25 @@ def anonymize(df: DataFrame, role: str) -> DataFrame:
     return out.drop(*S.PII[role])
 
 
-def route_files(paths: Iterable[str]) -> dict[str, str]:
-    """Assign export files to table roles by name.
+#: Role by a part of the lower-cased file name; the first that fits decides, any other name is main.
+_ROLE_NAMES = (("damage", ("damag",)), ("members", ("member", "family")), ("needs", ("need",)))
 
-    Lower-cased base name containing ``damag`` → damage; else ``member`` or
-    ``family`` → members; else ``need`` → needs; else main. If a role stays
-    empty, the first four names in sorted order are main, members, damage,
-    needs; fewer than four files is an error.
+
+def route_files(paths: Iterable[str]) -> dict[str, list[str]]:
+    """All export files of each table role, by name.
+
+    A role may have any number of files. If the names leave a role without one, exactly four files
+    in sorted order are main, members, damage, needs; any other number is an error, so no
+    file is ever left out silently.
     """
-    paths = list(paths)
-    roles: dict[str, str] = {}
-    for p in paths:
-        name = os.path.basename(p).lower()
-        if "damag" in name:
-            roles["damage"] = p
-        elif "member" in name or "family" in name:
-            roles["members"] = p
-        elif "need" in name:
-            roles["needs"] = p
-        else:
-            roles["main"] = p
-    if all(r in roles for r in S.ROLES):
-        return roles
     ordered = sorted(paths)
-    if len(ordered) < 4:
-        raise ValueError(f"expected 4 table files, found {len(ordered)}")
-    return dict(zip(S.ROLES, ordered[:4]))
+    roles: dict[str, list[str]] = {role: [] for role in S.ROLES}
+    for path in ordered:
+        name = os.path.basename(path).lower()
+        roles[next((role for role, parts in _ROLE_NAMES if any(p in name for p in parts)), "main")].append(path)
+    missing = [role for role, found in roles.items() if not found]
+    if not missing:
+        return roles
+    if len(ordered) != len(S.ROLES):
+        raise ValueError(f"no file name says {missing}, and {len(ordered)} files cannot be the four tables in order: {ordered}")
+    return {role: [path] for role, path in zip(S.ROLES, ordered)}

@@ -54,10 +54,11 @@ def top_by_count(df: DataFrame, dim: str, n: int = 10, name: str = "families") -
             .orderBy(F.desc(name), F.asc(dim)).limit(n))
 
 
-def top_by_mean(df: DataFrame, dim: str, measure: str, n: int = 10, name: str = "avg_value") -> DataFrame:
-    """Highest mean of ``measure`` per non-null ``dim`` (A17, O6); ties by value."""
-    return (df.where(F.col(dim).isNotNull()).groupBy(dim).agg(F.avg(num(F.col(measure))).alias(name))
-            .orderBy(F.desc(name), F.asc(dim)).limit(n))
+def top_by_mean(df: DataFrame, dim: str, measure: str, n: int | None = 10, name: str = "avg_value") -> DataFrame:
+    """Highest mean of ``measure`` per non-null ``dim`` (A17, O6); ties by value; all of them with ``n=None``."""
+    means = (df.where(F.col(dim).isNotNull()).groupBy(dim).agg(F.avg(num(F.col(measure))).alias(name))
+             .orderBy(F.desc(name), F.asc(dim)))
+    return means if n is None else means.limit(n)
 
 
 def signal_totals(df: DataFrame, labels=S.SIGNAL_LABELS) -> DataFrame:
@@ -66,15 +67,15 @@ def signal_totals(df: DataFrame, labels=S.SIGNAL_LABELS) -> DataFrame:
     row = df.agg(*[F.count_if(_signal(df, c)).alias(f"s{i}") for i, (c, _) in enumerate(present)])
     structs = [F.struct(F.lit(lbl).alias("signal"), F.lit(c).alias("column"), F.col(f"s{i}").cast("bigint").alias("families"))
                for i, (c, lbl) in enumerate(present)]
-    return row.select(F.inline(F.array(*structs)))
+    return row.select(F.inline(F.array(*structs))).orderBy("families", "signal")
 
 
 def needs_by_category(needs: DataFrame) -> DataFrame:
-    """Need instances per category with icon and capitalised label."""
+    """Need instances per category with icon and capitalised label, ascending by count."""
     icon = F.create_map(*[F.lit(x) for pair in S.CATEGORY_ICON for x in pair])
     return (needs.groupBy("category").agg(F.sum("families_count").cast("bigint").alias("families_count"))
             .withColumn("icon", F.coalesce(icon[F.col("category")], F.lit(S.DEFAULT_ICON)))
-            .withColumn("label", capitalize(F.col("category"))))
+            .withColumn("label", capitalize(F.col("category"))).orderBy("families_count", "category"))
 
 
 def needs_by_urgency(needs: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def filter_options(df: DataFrame, dims=("city", "displacement_type")) -> DataFra
     the distinct is combined map-side before the shuffle.
     """
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims])
-    return df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
+    return df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct().orderBy("dimension", "value")
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -265,10 +266,10 @@ def avg_by(df: DataFrame, dim: str, measure: str, n: int | None = None, spine=No
     """Mean of ``measure`` per ``dim``.
 
     With ``spine`` the result has exactly those values of ``dim`` in order (null
-    when a value has no rows); otherwise the top ``n`` by mean, ties by value.
+    when a value has no rows); otherwise the top ``n`` by mean (all with None), ties by value.
     """
     if spine is None:
-        return top_by_mean(df, dim, measure, n or 10)
+        return top_by_mean(df, dim, measure, n)
     value = num(F.col(measure))
     row = df.agg(*[F.avg(F.when(F.col(dim) == F.lit(v), value)).alias(f"v{i}") for i, v in enumerate(spine)])
     structs = [F.struct(F.lit(i).alias("pos"), F.lit(v).alias(dim), F.col(f"v{i}").alias("avg_value"))

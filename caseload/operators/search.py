@@ -5,12 +5,15 @@ A predicate spec is plain data, never code text:
     {"col": "family_size", "op": "gt", "value": 4}
     {"and": [spec, spec, ...]}   {"or": [...]}   {"not": spec}
 
-Leaves read a missing value as *false* (as a pandas mask does), so ``not``
-of a leaf over a null is true. Columns are checked against the schema.
+Leaves read a missing value as *false* (as a pandas mask does), but for ``ne``, which holds for it, so
+``not`` of a leaf over a null is true. Column, operator and value types are checked against the
+schema before anything runs.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ from caseload.operators import planning
 
 _COMPARE = {
     "eq": lambda c, v: c == F.lit(v),
-    "ne": lambda c, v: c != F.lit(v),
+    "ne": lambda c, v: ~c.eqNullSafe(F.lit(v)),
     "lt": lambda c, v: c < F.lit(v),
     "le": lambda c, v: c <= F.lit(v),
     "gt": lambda c, v: c > F.lit(v),
@@ -27,6 +30,27 @@ _COMPARE = {
 }
 
 
+def _is_number(value) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+def _is_numeric(kind: str) -> bool:
+    return kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+
+
+def _check_value(name: str, kind: str, op: str, value) -> None:
+    """A value must be comparable with the column: numbers with numbers, text with text, dates by their text."""
+    fits = (_is_number(value) and _is_numeric(kind) or isinstance(value, bool) and kind == "boolean"
+            or isinstance(value, str) and kind == "string")
+    if isinstance(value, str) and kind in ("date", "timestamp"):
+        try:
+            fits = bool(datetime.fromisoformat(value))
+        except ValueError:
+            fits = False
+    if not fits:
+        raise ValueError(f"{op} cannot compare {name!r} ({kind}) with {value!r}")
+
+
 def compile_predicate(df: DataFrame, spec: dict) -> F.Column:
     """Compile a predicate spec to a null-free boolean ``Column``."""
     if "and" in spec or "or" in spec:
@@ -45,14 +69,20 @@ def compile_predicate(df: DataFrame, spec: dict) -> F.Column:
         raise ValueError(f"unknown column {name!r}; available: {df.columns}")
     c = F.col(f"`{name}`")
     value = spec.get("value")
-    types = dict(df.dtypes)
+    kind = dict(df.dtypes)[name]
     if op in _COMPARE:
-        if isinstance(value, (int, float)) and not isinstance(value, bool) and types[name] == "string":
+        if _is_number(value) and kind == "string":
             c = num(c)
+        else:
+            _check_value(name, kind, op, value)
         return flag(_COMPARE[op](c, value))
     if op == "is_true":
+        if kind != "boolean" and not _is_numeric(kind):
+            raise ValueError(f"{op} needs a boolean or number; {name!r} is {kind}")
         return flag(c.cast("boolean"))
     if op == "in":
+        for v in value:
+            _check_value(name, kind, op, v)
         return flag(c.isin(*value))
     if op == "contains":
         return flag(c.cast("string").contains(F.lit(str(value))))
@@ -111,5 +141,8 @@ def analyse(df: DataFrame, spec: dict | None, measure: str, column: str | None =
     if measure == "count":
         return subset.agg(F.count(F.lit(1)).alias("families"))
     if measure == "sum":
+        kinds = dict(df.dtypes)
+        if column not in kinds or not (_is_numeric(kinds[column]) or kinds[column] == "string"):
+            raise ValueError(f"sum needs a column of numbers; got {column!r}")
         return subset.agg(F.coalesce(F.sum(num(F.col(column))), F.lit(0.0)).alias(f"sum_{column}"))
     raise ValueError(f"unknown measure {measure!r}; one of {MEASURES}")

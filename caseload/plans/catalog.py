@@ -341,13 +341,17 @@ def intake_append(spark, d):
     return out.select(*INTAKE_OUT).withColumn("priority_score", F.col("priority_score").cast("bigint"))
 
 
+def _last_number(spark, d) -> int:
+    return context.cases(spark, d).agg(F.coalesce(F.max("family_num"), F.lit(0))).first()[0]
+
+
 def intake_stream(spark, d):
     """Run the streaming intake over the responses written as files; return the resulting table."""
     root = os.path.join(checkpoint_dir(spark), f"intake-{uuid.uuid4().hex}")
     src = os.path.join(root, "source")
     adapters.intake_texts(spark, d).write.parquet(src)
     q = start_stream(spark, src, os.path.join(root, "table"), os.path.join(root, "quarantine"),
-                     os.path.join(root, "stream-checkpoint"))
+                     os.path.join(root, "stream-checkpoint"), start_number=_last_number(spark, d))
     q.awaitTermination()
     out = spark.read.parquet(os.path.join(root, "table"))
     return out.select(*INTAKE_OUT).withColumn("priority_score", F.col("priority_score").cast("bigint"))

@@ -73,19 +73,20 @@ members_t AS (
 ),
 needs_t AS (
   SELECT CAST(o.o_custkey AS BIGINT) AS fid,
-         CASE l.l_partkey % 16 WHEN 0 THEN {q(S.PROGRAM_FINANCIAL)} WHEN 1 THEN {q(S.PROGRAM_MEDICAL)}
+         CASE (o.o_custkey * 7 + l.l_partkey % 4) % 16 WHEN 0 THEN {q(S.PROGRAM_FINANCIAL)} WHEN 1 THEN {q(S.PROGRAM_MEDICAL)}
               WHEN 2 THEN {q(S.PROGRAM_LEGAL)} WHEN 3 THEN {q(S.PROGRAM_EDUCATION)} WHEN 15 THEN NULL
               ELSE {q(S.PROGRAM_FOOD)} END AS p,
-         CASE l.l_suppkey % 20 WHEN 0 THEN {q(S.BABY_NEEDS[0])} WHEN 1 THEN {q(S.BABY_NEEDS[1])} ELSE {q(S.NEED_BLANKETS)} END AS c,
-         CASE WHEN l.l_linestatus = 'F' THEN {q(S.YES)} ELSE {q(S.NO)} END AS s
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-  WHERE l.l_quantity >= 47
+         CASE WHEN o.o_custkey % 9 <> 0 THEN {q(S.NEED_BLANKETS)} WHEN l.l_suppkey % 3 = 0 THEN {q(S.BABY_NEEDS[0])}
+              WHEN l.l_suppkey % 3 = 1 THEN {q(S.BABY_NEEDS[1])} ELSE {q(S.NEED_BLANKETS)} END AS c,
+         CASE WHEN l.l_linestatus = 'F' AND o.o_custkey % 3 = 0 THEN {q(S.YES)} ELSE {q(S.NO)} END AS s
+  FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
+  WHERE NOT COALESCE(l.l_returnflag IN ('A', 'R') AND o.o_custkey % 5 = 0 OR o.o_custkey % 13 = 0, FALSE)
 ),
 damage_t AS (
   SELECT CAST(o.o_custkey AS BIGINT) AS fid,
-         {_case_mod("l.l_partkey % 3", [(0, S.DAMAGE_CATEGORIES[0]), (1, S.DAMAGE_CATEGORIES[1])], S.DAMAGE_CATEGORIES[2])} AS category
+         {_case_mod("(o.o_custkey + l.l_partkey % 2) % 3", [(0, S.DAMAGE_CATEGORIES[0]), (1, S.DAMAGE_CATEGORIES[1])], S.DAMAGE_CATEGORIES[2])} AS category
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-  WHERE l.l_returnflag = 'A' AND l.l_quantity <= 4
+  WHERE l.l_returnflag IN ('A', 'R') AND o.o_custkey % 5 = 0 OR o.o_custkey % 13 = 0
 ),
 mem_agg AS (
   SELECT fid AS family_id,
@@ -409,11 +410,18 @@ def _birth_year_sql(col: str) -> str:
 
 INTAKE_T = """intake_t AS (
   SELECT event_id AS intake_id,
-         CASE WHEN event_id % 17 = 0 THEN 'note {broken'
-              ELSE 'note: {"family_size": "' || CAST(event_id % 10 AS VARCHAR) || '", "city": "C' ||
-                   CAST(user_id % 8 AS VARCHAR) || '", "breadwinners": "' || CAST(event_id % 3 AS VARCHAR) || '"} end'
+         CASE event_id % 17
+              WHEN 0 THEN 'note {broken'
+              WHEN 1 THEN record || ']}'
+              WHEN 2 THEN record || '] x [' || record
+              WHEN 3 THEN record || ', ' || record
+              WHEN 4 THEN chr(10) || chr(9) || record || chr(10)
+              WHEN 5 THEN '{"family_size": 4, "city": "م", "extra": {"a": [1, {}]}}'
+              ELSE 'note: ' || record || ' end'
          END AS response
-  FROM events
+  FROM (SELECT event_id, '{"family_size": "' || CAST(event_id % 10 AS VARCHAR) || '", "city": "C' ||
+               CAST(user_id % 8 AS VARCHAR) || '", "breadwinners": "' || CAST(event_id % 3 AS VARCHAR) || '"}' AS record
+        FROM events)
 )"""
 
 
@@ -439,7 +447,7 @@ def _intake_scored(start: str) -> str:
         f"CAST({f} AS VARCHAR)" if f in S.INTAKE_NUMERIC else f for f in S.INTAKE_FIELDS])
     return (
         ",\nintake_rows AS (SELECT intake_id, "
-        f"upper(substr(md5(concat_ws('␟', {payload})), 1, 16)) AS family_id, "
+        f"upper(md5(concat_ws('␟', {payload}))) AS family_id, "
         f"{q(S.MANUAL_SOURCE_FILE)} AS source_file, "
         f"COALESCE(NULLIF(city, ''), {q(S.UNKNOWN_CITY)}) AS city, COALESCE(governorate, '') AS governorate, "
         f"{disp} AS displacement_type, {housing} AS housing_type, CAST(family_size AS DOUBLE) AS family_size, "
@@ -461,11 +469,17 @@ INTAKE_COLS = ("family_num, family_id, source_file, city, governorate, displacem
 
 NEED_ITEMS_T = """need_items_t AS (
   SELECT event_id AS response_id,
-         CASE WHEN event_id % 13 = 0 THEN 'items: [broken'
-              ELSE 'items: [{"item": "' || event_type || '", "category": "other", "urgency": "high"}, {"item": "v' ||
-                   CAST(user_id % 5 AS VARCHAR) || '", "category": "food", "urgency": "medium"}] done'
+         CASE event_id % 13
+              WHEN 0 THEN 'items: [broken'
+              WHEN 1 THEN items || '] x [[' || items || ']'
+              WHEN 2 THEN items || ', ' || items
+              WHEN 3 THEN items || '}]'
+              WHEN 4 THEN '[]'
+              ELSE 'items: ' || items || ' done'
          END AS response
-  FROM events
+  FROM (SELECT event_id, '[{"item": "' || event_type || '", "category": "other", "urgency": "high"}, {"item": "v' ||
+               CAST(user_id % 5 AS VARCHAR) || '", "category": "food", "urgency": "medium"}]' AS items
+        FROM events)
 )"""
 
 
@@ -618,6 +632,6 @@ def statements() -> dict[str, str]:
         "intake_append": BASE + _intake_parsed() + _intake_scored("(SELECT max(family_num) FROM scored)")
                          + f"SELECT {INTAKE_COLS.replace('family_id', 'CAST(family_id AS VARCHAR) AS family_id')} "
                            f"FROM scored UNION ALL SELECT {INTAKE_COLS} FROM intake_final",
-        "intake_stream": BASE + _intake_parsed() + _intake_scored("0") + f"SELECT {INTAKE_COLS} FROM intake_final",
+        "intake_stream": BASE + _intake_parsed() + _intake_scored("(SELECT max(family_num) FROM scored)") + f"SELECT {INTAKE_COLS} FROM intake_final",
     }
     return out

@@ -123,17 +123,22 @@ def members_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _member_rows(spark, sf_dir, with_free_text=False)
 
 
-def _lines_with_family(spark: SparkSession, sf_dir: str, cols: list[str], cond: F.Column) -> DataFrame:
-    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", *cols).where(cond)
+def _lines_with_family(spark: SparkSession, sf_dir: str, cols: list[str], damage: bool) -> DataFrame:
+    """Every line with its order's customer; a returned line of every fifth customer, and any line of every
+    13th, is a damage record, any other line a need record."""
+    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", *cols)
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return li.join(o, li.l_orderkey == o.o_orderkey)
+    returned = F.col("l_returnflag").isin("A", "R") & (F.col("o_custkey") % 5 == 0)
+    damaged = F.coalesce(returned | (F.col("o_custkey") % 13 == 0), F.lit(False))
+    rows = li.join(o, li.l_orderkey == o.o_orderkey, "left")
+    return rows.where(damaged if damage else ~damaged)
 
 
 def needs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lines_with_family(
-        spark, sf_dir, ["l_partkey", "l_suppkey", "l_quantity", "l_linestatus"], F.col("l_quantity") >= 47)
-    p = F.col("l_partkey") % 16
-    s = F.col("l_suppkey") % 20
+    rows = _lines_with_family(spark, sf_dir, ["l_partkey", "l_suppkey", "l_quantity", "l_linestatus"], damage=False)
+    p = (F.col("o_custkey") * 7 + F.col("l_partkey") % 4) % 16
+    s = F.when(F.col("o_custkey") % 9 == 0, F.col("l_suppkey") % 3)
+    served = (F.col("l_linestatus") == "F") & (F.col("o_custkey") % 3 == 0)
     return rows.select(
         F.col("o_custkey").cast("bigint").alias(NeedsCols.FAMILY_ID),
         F.when(p == 0, F.lit(S.PROGRAM_FINANCIAL)).when(p == 1, F.lit(S.PROGRAM_MEDICAL))
@@ -142,15 +147,13 @@ def needs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(s == 0, F.lit(S.BABY_NEEDS[0])).when(s == 1, F.lit(S.BABY_NEEDS[1]))
         .otherwise(F.lit(S.NEED_BLANKETS)).alias(NeedsCols.CLASSIFICATION),
         F.col("l_quantity").alias(NeedsCols.QUANTITY),
-        F.when(F.col("l_linestatus") == "F", F.lit(S.YES)).otherwise(F.lit(S.NO)).alias(NeedsCols.SERVICE_RECEIVED),
+        F.when(served, F.lit(S.YES)).otherwise(F.lit(S.NO)).alias(NeedsCols.SERVICE_RECEIVED),
     )
 
 
 def damage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lines_with_family(
-        spark, sf_dir, ["l_partkey", "l_quantity", "l_returnflag"],
-        (F.col("l_returnflag") == "A") & (F.col("l_quantity") <= 4))
-    c = F.col("l_partkey") % 3
+    rows = _lines_with_family(spark, sf_dir, ["l_partkey", "l_quantity"], damage=True)
+    c = (F.col("o_custkey") + F.col("l_partkey") % 2) % 3
     return rows.select(
         F.col("o_custkey").cast("bigint").alias(DamageCols.FAMILY_ID),
         F.when(c == 0, F.lit(S.DAMAGE_CATEGORIES[0])).when(c == 1, F.lit(S.DAMAGE_CATEGORIES[1]))
@@ -170,30 +173,41 @@ def case_tables(spark: SparkSession, sf_dir: str) -> CaseTables:
 
 
 def intake_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model responses for the intake path: one text per event, some malformed."""
+    """Model responses for the intake path: one text per event, some of them not one JSON object."""
     e = _read(spark, sf_dir, "events").select("event_id", "user_id")
     eid = F.col("event_id")
-    good = F.concat(
-        F.lit('note: {"family_size": "'), (eid % 10).cast("string"),
+    record = F.concat(
+        F.lit('{"family_size": "'), (eid % 10).cast("string"),
         F.lit('", "city": "C'), (F.col("user_id") % 8).cast("string"),
-        F.lit('", "breadwinners": "'), (eid % 3).cast("string"), F.lit('"} end'),
+        F.lit('", "breadwinners": "'), (eid % 3).cast("string"), F.lit('"}'),
     )
-    return e.select(
-        eid.alias("intake_id"),
-        F.when(eid % 17 == 0, F.lit("note {broken")).otherwise(good).alias("response"),
+    response = (
+        F.when(eid % 17 == 0, F.lit("note {broken"))
+        .when(eid % 17 == 1, F.concat(record, F.lit("]}")))
+        .when(eid % 17 == 2, F.concat(record, F.lit("] x ["), record))
+        .when(eid % 17 == 3, F.concat(record, F.lit(", "), record))
+        .when(eid % 17 == 4, F.concat(F.lit("\n\t"), record, F.lit("\n")))
+        .when(eid % 17 == 5, F.lit('{"family_size": 4, "city": "م", "extra": {"a": [1, {}]}}'))
+        .otherwise(F.concat(F.lit("note: "), record, F.lit(" end")))
     )
+    return e.select(eid.alias("intake_id"), response.alias("response"))
 
 
 def need_item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses holding a JSON array of need items; some malformed."""
     e = _read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     eid = F.col("event_id")
-    good = F.concat(
-        F.lit('items: [{"item": "'), F.col("event_type"),
+    items = F.concat(
+        F.lit('[{"item": "'), F.col("event_type"),
         F.lit('", "category": "other", "urgency": "high"}, {"item": "v'),
-        (F.col("user_id") % 5).cast("string"), F.lit('", "category": "food", "urgency": "medium"}] done'),
+        (F.col("user_id") % 5).cast("string"), F.lit('", "category": "food", "urgency": "medium"}]'),
     )
-    return e.select(
-        eid.alias("response_id"),
-        F.when(eid % 13 == 0, F.lit("items: [broken")).otherwise(good).alias("response"),
+    response = (
+        F.when(eid % 13 == 0, F.lit("items: [broken"))
+        .when(eid % 13 == 1, F.concat(items, F.lit("] x [["), items, F.lit("]")))
+        .when(eid % 13 == 2, F.concat(items, F.lit(", "), items))
+        .when(eid % 13 == 3, F.concat(items, F.lit("}]")))
+        .when(eid % 13 == 4, F.lit("[]"))
+        .otherwise(F.concat(F.lit("items: "), items, F.lit(" done")))
     )
+    return e.select(eid.alias("response_id"), response.alias("response"))

@@ -16,7 +16,7 @@ from caseload.operators.privacy import anonymize, assert_no_pii, route_files
 from caseload.schema import ROLES, CaseTables
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, multiline: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str | list[str], fmt: str = "parquet", schema=None, multiline: bool = True) -> DataFrame:
     """One survey table (S1). CSV without a schema keeps every column as text (coerced later).
 
     Form exports hold free-text notes with line breaks, so CSV is read with

@@ -19,10 +19,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from caseload.operators.intake import parse_responses, score_intake
 from caseload.operators.scoring import number_cases
+from caseload.session import drop_table, materialize
 
 RESPONSE_SCHEMA = "intake_id bigint, response string"
 
@@ -31,12 +31,18 @@ def _hwm_path(table_path: str) -> str:
     return table_path.rstrip("/") + "_hwm"
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything was written there yet; any other failure is not hidden."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def _existing_max(spark: SparkSession, table_path: str, batch_id: int, start_number: int = 0) -> int:
     """Highest number handed out by the batches before ``batch_id`` (``start_number`` when none)."""
-    try:
-        marks = spark.read.parquet(_hwm_path(table_path))
-    except AnalysisException:
+    path = _hwm_path(table_path)
+    if not _exists(spark, path):
         return start_number
+    marks = spark.read.schema("max_num bigint, intake_batch bigint").parquet(path)
     row = marks.where(F.col("intake_batch") < F.lit(batch_id)).agg(F.max("max_num")).first()
     return max(int(row[0]) if row[0] is not None else start_number, start_number)
 
@@ -47,22 +53,34 @@ def process_batch(batch: DataFrame, batch_id: int, table_path: str, quarantine_p
 
     ``start_number`` is the highest number already in use before the stream
     (e.g. the survey case table's maximum); intake numbers continue after it.
+    An ``intake_id`` that repeats in the batch, or that an earlier batch stored, is added once.
+    The batch is parsed once, into the checkpoint folder. ``on_commit`` gets the table after the
+    batch, also when the batch added nothing.
     """
     spark = batch.sparkSession
-    parsed = parse_responses(batch)
     writer_opts = {"partitionOverwriteMode": "dynamic"}
-    bad = parsed.where(~F.col("parse_ok")).select("intake_id", "response").withColumn("intake_batch", F.lit(batch_id))
-    bad.write.mode("overwrite").options(**writer_opts).partitionBy("intake_batch").parquet(quarantine_path)
+
+    def write(rows: DataFrame, path: str) -> None:
+        (rows.withColumn("intake_batch", F.lit(batch_id).cast("bigint"))
+         .write.mode("overwrite").options(**writer_opts).partitionBy("intake_batch").parquet(path))
+
+    parsed = materialize(parse_responses(batch.dropDuplicates(["intake_id"])))
+    write(parsed.where(~F.col("parse_ok")).select("intake_id", "response"), quarantine_path)
     base = _existing_max(spark, table_path, batch_id, start_number)
-    scored = number_cases(score_intake(parsed), order_by="intake_id", start=base + 1)
-    out = scored.withColumn("intake_batch", F.lit(batch_id))
-    out.write.mode("overwrite").options(**writer_opts).partitionBy("intake_batch").parquet(table_path)
-    written = spark.read.parquet(table_path).where(F.col("intake_batch") == F.lit(batch_id))
-    mark = written.agg(F.coalesce(F.max("family_num"), F.lit(base)).cast("bigint").alias("max_num"))
-    (mark.withColumn("intake_batch", F.lit(batch_id))
-     .write.mode("overwrite").options(**writer_opts).partitionBy("intake_batch").parquet(_hwm_path(table_path)))
+    scored = score_intake(parsed)
+    table_schema = None
+    if _exists(spark, table_path):
+        table_schema = number_cases(scored.limit(0), order_by="intake_id").withColumn("intake_batch", F.lit(0).cast("bigint")).schema
+        stored = spark.read.schema(table_schema).parquet(table_path).where(F.col("intake_batch") != F.lit(batch_id))
+        scored = scored.join(stored.select("intake_id"), "intake_id", "left_anti")
+    out = materialize(number_cases(scored, order_by="intake_id", start=base + 1))
+    write(out, table_path)
+    write(out.agg(F.coalesce(F.max("family_num"), F.lit(base)).cast("bigint").alias("max_num")), _hwm_path(table_path))
     if on_commit is not None:
-        on_commit(spark.read.parquet(table_path))  # T3: recompute derived results from the table
+        table_schema = table_schema or out.withColumn("intake_batch", F.lit(0).cast("bigint")).schema
+        on_commit(spark.read.schema(table_schema).parquet(table_path))  # T3: recompute derived results from the table
+    drop_table(parsed)
+    drop_table(out)
 
 
 def start_stream(spark: SparkSession, source_dir: str, table_path: str, quarantine_path: str,

@@ -84,7 +84,7 @@ def test_manual_append_score(spark):
             df = df.withColumn(f, F.lit(None).cast("string"))
     r = intake.score_intake(df).first()
     assert (r["priority_score"], r["priority_tier"], r["city"]) == (95, "CRITICAL", "Unknown")
-    assert r["source_file"] == "manual_entry" and len(r["family_id"]) == 16
+    assert r["source_file"] == "manual_entry" and len(r["family_id"]) == 32
 
 
 @pytest.mark.parametrize("value,expected", [(None, False), (True, True), (False, False)])

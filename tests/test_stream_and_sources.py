@@ -66,7 +66,7 @@ def test_csv_round_trip_and_routing(spark, golden_tables):
         p = os.path.join(root, names[role])
         df.write.option("header", True).csv(p)
         paths.append(p)
-    assert privacy.route_files(paths) == {r: os.path.join(root, names[r]) for r in S.ROLES}
+    assert privacy.route_files(paths) == {r: [os.path.join(root, names[r])] for r in S.ROLES}
     raw = tables.load_exports(spark, paths, schemas={
         "main": golden_tables.main.schema, "members": golden_tables.members.schema,
         "damage": golden_tables.damage.schema, "needs": golden_tables.needs.schema})
@@ -78,9 +78,14 @@ def test_csv_round_trip_and_routing(spark, golden_tables):
 
 
 def test_routing_falls_back_to_sorted_names():
-    assert privacy.route_files(["d", "c", "b", "a"]) == {"main": "a", "members": "b", "damage": "c", "needs": "d"}
+    assert privacy.route_files(["d", "c", "b", "a"]) == {"main": ["a"], "members": ["b"], "damage": ["c"], "needs": ["d"]}
     with pytest.raises(ValueError):
         privacy.route_files(["a", "b"])
+    with pytest.raises(ValueError):
+        privacy.route_files(["a", "b", "c", "d", "e"])
+    several = ["main_2.csv", "members_1.csv", "members_2.csv", "needs.csv", "damage.csv", "main_1.csv"]
+    assert privacy.route_files(several) == {"main": ["main_1.csv", "main_2.csv"], "members": ["members_1.csv", "members_2.csv"],
+                                            "damage": ["damage.csv"], "needs": ["needs.csv"]}
 
 
 def test_pii_is_removed_and_checked(spark):
