@@ -6,6 +6,8 @@
   build     --input DIR --output DIR     four tables → scored, numbered case table (Parquet)
   report    --cases DIR --output DIR     needs report, priority list and per-family plans as CSV (S5);
             [--filter JSON]              optionally over a filtered caseload (predicate spec, F8)
+  intake    --responses DIR --cases DIR  parse, score and number responses after the stored cases (T1);
+            --output DIR [--stream]      a batch table, or a stream's tables
 
 The session comes from the cluster (``getOrCreate``); checkpoints go to its
 ``spark.checkpoint.dir``. Paths may be on any Hadoop file system.
@@ -20,10 +22,12 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from caseload.operators import intake as intake_rows
 from caseload.operators import planning, reports, search
 from caseload.operators.cases import build_cases
 from caseload.operators.scoring import number_cases, score
 from caseload.sources import tables
+from caseload.streaming.intake_stream import RESPONSE_SCHEMA, start_stream
 
 
 def list_files(spark: SparkSession, directory: str, suffix: str = ".csv") -> list[str]:
@@ -65,6 +69,23 @@ def report(spark: SparkSession, cases_dir: str, output_dir: str, spec: dict | No
     for name, (df, order) in outputs.items():
         small = name not in ("priority_list", "ration_packs", "financial_needs")
         tables.export_csv(df, os.path.join(output_dir, name), order_by=order, single_file=small)
+    tables.export_json(needs["aggregate_needs"], os.path.join(output_dir, "needs_json"))
+    needs["table"].unpersist()
+
+
+def intake(spark: SparkSession, responses: str, cases_dir: str, output_dir: str, stream: bool = False) -> None:
+    """Add model responses (intake_id, response) as cases numbered after the stored ones.
+
+    A batch is written to ``output_dir``; a stream keeps its tables there (``table``, ``quarantine``).
+    """
+    cases = spark.read.parquet(cases_dir)
+    if stream:
+        last = cases.agg({"family_num": "max"}).first()[0] or 0
+        start_stream(spark, responses, os.path.join(output_dir, "table"), os.path.join(output_dir, "quarantine"),
+                     os.path.join(output_dir, "checkpoint"), start_number=last).awaitTermination()
+        return
+    parsed = intake_rows.parse_responses(spark.read.schema(RESPONSE_SCHEMA).parquet(responses))
+    intake_rows.append(cases, intake_rows.score_intake(parsed)).write.mode("overwrite").parquet(output_dir)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -83,6 +104,11 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--cases", required=True)
     r.add_argument("--output", required=True)
     r.add_argument("--filter", default=None, help='predicate spec, e.g. {"col": "is_homeless", "op": "is_true"}')
+    i = sub.add_parser("intake")
+    i.add_argument("--responses", required=True)
+    i.add_argument("--cases", required=True)
+    i.add_argument("--output", required=True)
+    i.add_argument("--stream", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName(f"caseload-{args.command}").getOrCreate()
     if args.command == "anonymize":
@@ -90,6 +116,8 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "build":
         build(spark, args.input, args.output, args.format,
               args.partition_by.split(",") if args.partition_by else None)
+    elif args.command == "intake":
+        intake(spark, args.responses, args.cases, args.output, args.stream)
     else:
         report(spark, args.cases, args.output, json.loads(args.filter) if args.filter else None)
     return 0

@@ -10,7 +10,6 @@ from caseload.functions.scalars import (  # noqa: F401
     flag,
     json_array_span,
     json_object_span,
-    label_array,
     labels_of,
     num,
     occupation_bucket,

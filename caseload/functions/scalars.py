@@ -166,15 +166,6 @@ def labels_of(pairs: Iterable[tuple[str, str]], available: Iterable[str], sep: s
     return F.concat_ws(sep, *parts) if parts else F.lit("")
 
 
-def label_array(pairs: Iterable[tuple[str, str]], available: Iterable[str]) -> Column:
-    """Array of labels of the true signals, declared order."""
-    have = set(available)
-    parts = [F.when(flag(F.col(c)), F.lit(lbl)) for c, lbl in pairs if c in have]
-    if not parts:
-        return F.array().cast("array<string>")
-    return F.filter(F.array(*parts), lambda x: x.isNotNull())
-
-
 def case_label(num_col: Column, city: Column, tier_col: Column, score: Column) -> Column:
     """``Family #007  ·  city  ·  TIER  (score n)``."""
     return F.format_string(

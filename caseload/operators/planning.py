@@ -226,13 +226,6 @@ def budget_breakdown(df: DataFrame, rates=S.FINANCIAL_RATES, summary: DataFrame
         (F.col("category") != F.lit(S.GRAND_TOTAL)) & (F.col("total_usd") > 0))
 
 
-def rate_table(spark, rates=S.FINANCIAL_RATES) -> DataFrame:
-    """The rate assumptions with what each applies to."""
-    rows = [(pos, name, int(v), "per person" if "person" in name else "per qualifying family")
-            for pos, (name, v) in enumerate(rates)]
-    return spark.createDataFrame(rows, "rate_pos int, category string, rate_usd bigint, applied_to string")
-
-
 def rate_usage(df: DataFrame, rates=S.FINANCIAL_RATES, summary: DataFrame | None = None) -> DataFrame:
     """The rate assumptions (S7) with the caseload units each applies to and the resulting line total.
 
@@ -296,6 +289,11 @@ def needs_report_table(df: DataFrame, summary: DataFrame | None = None) -> DataF
     return out.where(~zero)
 
 
+def _basket_quantity() -> F.Column:
+    """What one basket holds of the item in ``pos``."""
+    return F.get(F.array(*[F.lit(float(qty)) for _, qty, _ in S.RATION_BASKET]), F.col("pos"))
+
+
 def needs_report(df: DataFrame) -> dict[str, DataFrame]:
     """The needs report: the long table (one scan, cached; it is a few dozen rows) and per-section views."""
     table = needs_report_table(df).cache()
@@ -306,7 +304,8 @@ def needs_report(df: DataFrame) -> dict[str, DataFrame]:
         "table": table,
         "aggregate_needs": ordered_needs(needs),
         "ration_totals": table.where(F.col("section") == "rations").select(
-            F.col("pos").alias("item_pos"), "item", "unit", F.col("amount").alias("total_needed")),
+            F.col("pos").alias("item_pos"), "item", _basket_quantity().alias("qty_per_basket"), "unit",
+            F.col("amount").alias("total_needed")),
         "medical_supplies": table.where(F.col("section") == "medical").select(
             F.col("pos").alias("item_pos"), "item", "unit", "families", F.col("amount").cast("bigint").alias("total_qty")),
         "financial_totals": table.where(F.col("section") == "budget").select(

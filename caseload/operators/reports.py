@@ -97,15 +97,21 @@ def filter_options(df: DataFrame, dims=("city", "displacement_type")) -> DataFra
     return df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct().orderBy("dimension", "value")
 
 
-def column_profile(df: DataFrame) -> DataFrame:
+def json_records(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One JSON object per row with those columns."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("record"))
+
+
+def column_profile(df: DataFrame, analytics: bool = False) -> DataFrame:
     """Per column: name, type and one non-null example: the smallest value, shown as text.
 
     The minimum is taken on the native type and only that one value is cast,
-    so no row is converted to text.
+    so no row is converted to text. The analytics variant leaves out text and list columns but for
+    ``PROFILE_TEXT``.
     """
-    cols = df.columns
-    row = df.agg(*[F.min(F.col(f"`{c}`")).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
     types = dict(df.dtypes)
+    cols = [c for c in df.columns if not analytics or c in S.PROFILE_TEXT or not types[c].startswith(("string", "array", "map"))]
+    row = df.agg(*[F.min(F.col(f"`{c}`")).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
     structs = [F.struct(F.lit(i).alias("column_pos"), F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"),
                         F.col(f"c{i}").alias("example"))
                for i, c in enumerate(cols)]

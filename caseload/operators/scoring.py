@@ -68,9 +68,3 @@ def number_cases(df: DataFrame, order_by: str = "family_id", start=1, name: str
         .withColumn(name, (F.col("_off") + local + first).cast("bigint"))
         .drop("_rid", "_part", "_off")
     )
-
-
-def enrich(df: DataFrame, numbered: bool = True, **kw) -> DataFrame:
-    """Score then number (the reference's enrichment step)."""
-    out = score(df, **kw)
-    return number_cases(out) if numbered else out

@@ -255,12 +255,15 @@ SEARCHES = {
     "search_displaced_noincome": {"and": [{"col": "is_displaced", "op": "is_true"},
                                           {"col": "is_unemployed", "op": "is_true"}]},
     "search_critical": {"col": "priority_tier", "op": "eq", "value": "CRITICAL"},
+    "search_ne_null": {"col": "family_size", "op": "ne", "value": 4},
 }
 
 ANALYSES = {
     "analyse_rations_region": ({"col": "governorate", "op": "icontains", "value": "asia"}, "rations"),
     "analyse_budget_homeless": ({"col": "is_homeless", "op": "is_true"}, "financial"),
     "analyse_blankets": ({"col": "is_displaced", "op": "is_true"}, "needs"),
+    "analyse_count": ({"col": "is_homeless", "op": "is_true"}, "count"),
+    "analyse_sum": ({"col": "priority_tier", "op": "eq", "value": "HIGH"}, "sum", "family_size"),
     "analyse_medical_region": ({"col": "governorate", "op": "icontains", "value": "america"}, "medical"),
 }
 
@@ -272,9 +275,9 @@ def _search(spec: dict) -> Query:
     return run
 
 
-def _analyse(spec: dict, measure: str) -> Query:
+def _analyse(spec: dict, measure: str, column: str | None = None) -> Query:
     def run(spark, d):
-        out = search.analyse(context.cases(spark, d), spec, measure)
+        out = search.analyse(context.cases(spark, d), spec, measure, column)
         if measure == "needs":
             out = out.where(F.col("need_item") == "Blankets & bedding")
         return out
@@ -286,6 +289,24 @@ def caseload_filter(spark, d):
     return rows.select("family_num", "family_id", "priority_tier", "city", "displacement_type")
 
 
+def caseload_filter_lists(spark, d):
+    rows = search.by_options(context.cases(spark, d), tiers=["HIGH", "MEDIUM"], cities=["FRANCE-1", "FRANCE-2", "CHINA-3", "INDIA-0"],
+                             displacement=[S.DISPLACED_TYPES[0], S.HOST_COMMUNITY])
+    return rows.select("family_num", "family_id", "priority_tier", "city", "displacement_type")
+
+
+def case_profile_by_number(spark, d):
+    return reports.case_profile(context.cases(spark, d), family_num=7).select("family_num", "field", "value")
+
+
+def column_profile_analytics(spark, d):
+    return reports.column_profile(context.cases(spark, d), analytics=True)
+
+
+def needs_json(spark, d):
+    return reports.json_records(planning.aggregate_needs(context.cases(spark, d)), ["need_item", "category", "urgency", "families_count"])
+
+
 def filtered_counts(spark, d):
     return search.filtered_counts(context.cases(spark, d), tiers=["CRITICAL", "HIGH"])
 
@@ -407,6 +428,10 @@ QUERIES: dict[str, Query] = {
     "fallback_stats": fallback_stats,
     "queue_headline": queue_headline,
     "caseload_filter": caseload_filter,
+    "caseload_filter_lists": caseload_filter_lists,
+    "case_profile_by_number": case_profile_by_number,
+    "column_profile_analytics": column_profile_analytics,
+    "needs_json": needs_json,
     "filtered_counts": filtered_counts,
     **{k: _search(v) for k, v in SEARCHES.items()},
     **{k: _analyse(*v) for k, v in ANALYSES.items()},

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from caseload.operators.cases import build_cases
 from caseload.operators.scoring import number_cases, score
 from caseload.schema import CaseTables
-from caseload.session import materialize
+from caseload.session import drop_table, materialize
 from caseload.sources import adapters
 
 _CASES: dict[tuple, DataFrame] = {}
@@ -44,4 +44,6 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clear() -> None:
-    _CASES.clear()
+    """Forget the stored case tables and remove their files."""
+    while _CASES:
+        drop_table(_CASES.popitem()[1])

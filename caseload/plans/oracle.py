@@ -367,27 +367,29 @@ SCORED_COLUMNS = (
     "needs_programs", "damage_categories", "source_file", "source_sheet", "priority_score", "priority_tier",
     "family_num",
 )
+TEXT_COLUMNS = ("city", "governorate", "displacement_type", "housing_type", "need_type", "needs_programs", "damage_categories",
+                "source_file", "source_sheet", "priority_tier")
 # DuckDB type names → Spark's simple type strings
 SPARK_TYPE = (("BIGINT", "bigint"), ("INTEGER", "int"), ("DOUBLE", "double"), ("VARCHAR", "string"),
               ("BOOLEAN", "boolean"), ("DATE", "date"), ("VARCHAR[]", "array<string>"))
 
 
-def _column_profile_sql() -> str:
+def _column_profile_sql(columns=SCORED_COLUMNS) -> str:
     mapping = " ".join(f"WHEN {q(d)} THEN {q(sp)}" for d, sp in SPARK_TYPE)
     rows = " UNION ALL ".join(
         f"SELECT {i} AS column_pos, {q(c)} AS column, CASE max(typeof({c})) {mapping} END AS dtype, "
         f"CAST(min({c}) AS VARCHAR) AS example FROM scored"
-        for i, c in enumerate(SCORED_COLUMNS))
+        for i, c in enumerate(columns))
     return rows
 
 
-def _profile_sql() -> str:
+def _profile_sql(pick: str = "ORDER BY priority_score DESC, family_num LIMIT 1") -> str:
     fields = ["family_size", "dependents", "breadwinners", "survey_date", "governorate", "displacement_type",
               "housing_type", "has_damage", "service_received", "chronic_disease_members", "disability_members",
               "school_dropout_children", "member_count", "need_type"]
     rows = " UNION ALL ".join(f"SELECT family_num, {q(f)} AS field, CAST({f} AS VARCHAR) AS value FROM pick"
                               for f in fields)
-    return (", pick AS (SELECT * FROM scored ORDER BY priority_score DESC, family_num LIMIT 1) "
+    return (f", pick AS (SELECT * FROM scored {pick}) "
             f"SELECT * FROM ({rows}) WHERE value IS NOT NULL AND trim(value) <> '' AND value <> 'nan'")
 
 
@@ -575,6 +577,15 @@ def statements() -> dict[str, str]:
                                 + ") AS signal_labels FROM scored",
         "case_profile": BASE + _profile_sql(),
         "column_profile": BASE + _column_profile_sql(),
+        "column_profile_analytics": BASE + _column_profile_sql(
+            [c for c in SCORED_COLUMNS if c in S.PROFILE_TEXT or c not in TEXT_COLUMNS]),
+        "case_profile_by_number": BASE + _profile_sql("WHERE family_num = 7"),
+        "needs_json": BASE + "SELECT '{\"need_item\":\"' || need_item || '\",\"category\":\"' || category || '\",\"urgency\":\"' "
+                             "|| urgency || '\",\"families_count\":' || CAST(families_count AS VARCHAR) || '}' AS record "
+                             f"FROM {needs_sql()}",
+        "caseload_filter_lists": BASE + "SELECT family_num, family_id, priority_tier, city, displacement_type FROM scored "
+                                        "WHERE priority_tier IN ('HIGH', 'MEDIUM') AND city IN ('FRANCE-1', 'FRANCE-2', 'CHINA-3', 'INDIA-0') "
+                                        f"AND displacement_type IN ({q(S.DISPLACED_TYPES[0])}, {q(S.HOST_COMMUNITY)})",
         "needs_display": BASE + "SELECT CASE category " + " ".join(f"WHEN {q(c)} THEN {q(i)}" for c, i in S.CATEGORY_ICON)
                          + f" ELSE {q(S.DEFAULT_ICON)} END AS icon, need_item AS need, category, urgency, "
                            f"families_count AS families, pct_of_total FROM {needs_sql()}",
@@ -607,6 +618,9 @@ def statements() -> dict[str, str]:
         "search_medical": _search_sql("has_medical"),
         "search_widow_gt4": _search_sql("is_widow AND COALESCE(family_size > 4, FALSE)"),
         "search_displaced_noincome": _search_sql("is_displaced AND is_unemployed"),
+        "search_ne_null": _search_sql("COALESCE(family_size <> 4, TRUE)"),
+        "analyse_count": BASE + "SELECT CAST(count(*) AS BIGINT) AS families FROM scored WHERE is_homeless",
+        "analyse_sum": BASE + "SELECT COALESCE(sum(family_size), 0.0) AS sum_family_size FROM scored WHERE priority_tier = 'HIGH'",
         "search_critical": _search_sql("priority_tier = 'CRITICAL'"),
         "analyse_rations_region": BASE + f"SELECT CAST(count(*) AS BIGINT) AS families, "
                                          f"CAST(COALESCE(sum(ceil({_size_int()} / 4)), 0) AS BIGINT) AS total_packs, "

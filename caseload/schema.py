@@ -33,14 +33,12 @@ class MainCols:
 
 class MemberCols:
     FAMILY_ID = "_submission__id"
-    RELATION = "علاقته بالعائلة"
     IS_HOH = "هل هذا الشخص هو رب الأسرة"
     MARITAL_STATUS = "الحالة الاجتماعية"
     GENDER = "الجنس"
     INDIVIDUAL_STATUS = "حالة الفرد"
     OCCUPATION = "occupation_bucket"
     BIRTH_YEAR = "birth_year"
-    ASSAULT = "هل تعرضت لأي إعتداء سواء كان لفظي أو لفظي"
     V_IMMEDIATE_HEALTH = "نقاط الضعف/حالة صحية تطلب تدخل فوري"
     V_CHRONIC_DISEASE = "نقاط الضعف/مرض مزمن"
     V_MENTAL_DISABILITY = "نقاط الضعف/إعاقة عقلية"
@@ -48,19 +46,8 @@ class MemberCols:
     V_SPEECH_IMPAIRMENT = "نقاط الضعف/خلل في النطق"
     V_HEARING_IMPAIRMENT = "نقاط الضعف/خلل في السمع"
     V_VISION_IMPAIRMENT = "نقاط الضعف/خلل في الرؤية"
-    V_ELDERLY_WITH_CHILDREN = "نقاط الضعف/مسن مع أطفال"
-    V_ELDERLY_UNABLE = "نقاط الضعف/مسن غير قادر"
-    V_CHILD_PARENT = "نقاط الضعف/طفل والد"
-    V_MARRIED_CHILD = "نقاط الضعف/طفل متزوج"
-    V_CHILD_CAREGIVER = "نقاط الضعف/طفل مقدم رعاية"
-    V_CHILD_LABORER = "نقاط الضعف/طفل عامل"
     V_CHILD_DROPOUT = "نقاط الضعف/طفل متسرب من المدرسة"
-    V_CHILD_SPECIAL_ED = "نقاط الضعف/طفل لديه احتياجات تعليمية خاصة"
-    V_SEPARATED_CHILD = "نقاط الضعف/طفل منفصل"
-    V_UNACCOMPANIED_CHILD = "نقاط الضعف/طفل غير مصحوب"
     V_FEMALE_HOH = "نقاط الضعف/امرأة ربة اسرة"
-    V_SINGLE_FATHER = "نقاط الضعف/اب مقدم رعاية وحيد"
-    V_UNDOCUMENTED = "نقاط الضعف/شخص لا يمتلك وثائق"
     # raw (pre-anonymisation) free-text columns
     OCCUPATION_TEXT = "العمل الحالي"
     OCCUPATION_TEXT_ALT = "العمل الحالي (الرجاء التحديد)"
@@ -71,7 +58,6 @@ class MemberCols:
 class DamageCols:
     FAMILY_ID = "_submission__id"
     CATEGORY = "فئة الضرر"
-    TYPE = "نوع الضرر"
     CLASSIFICATION = "تصنيف الضرر"
     QUANTITY = "الكمية المرتبطة بالضرر"
 
@@ -266,6 +252,9 @@ COST_LINES = (
 )
 GRAND_TOTAL = "Grand Total"
 
+# text columns that the analytics column profile keeps
+PROFILE_TEXT = ("city", "governorate", "displacement_type", "housing_type", "need_type", "priority_tier")
+
 # Occupation buckets in match order: (bucket, keywords); a keyword matches as a substring.
 OCCUPATION_BUCKETS = (
     ("no_work", ("لايوجد", "لا يوجد", "لاتعمل", "لايعمل", "لا يعمل", "لا", "لاعمل",
