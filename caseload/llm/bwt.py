@@ -7,9 +7,10 @@ the transform (its row's symbol c, counted up to the row, plus the start of c's
 do the common prefixes: between two consecutive rows of symbol c they are one more than the
 least value in between, which is what a round computes for the new rows and those next to them.
 
-Columns (symbol, common prefix with the row above, string, suffix length) live in files that each round
-reads and rewrites from front to end, ``CHUNK`` rows at a time. A file stays in memory up to
-``SPOOL`` bytes and goes to the task's scratch space beyond; it has no name and vanishes with the task.
+The two columns (symbol, common prefix with the row above) live in files that each round reads and
+rewrites from front to end, ``CHUNK`` rows at a time. A file stays in memory up to ``SPOOL`` bytes and
+goes to the task's scratch space beyond; it has no name and vanishes with the task. Which string a
+row belongs to is not kept: the finished transform tells, followed from the string ends.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import numpy as np
 
 CHUNK = 1 << 20
 SPOOL = 1 << 24
-TYPES = {"symbol": np.uint8, "lcp": np.uint8, "string": np.uint32, "size": np.uint8}
+TYPES = {"symbol": np.uint8, "lcp": np.uint8}
 
 
 class Table:
-    """The four columns as sequential files."""
+    """The two columns as sequential files."""
 
     def __init__(self) -> None:
         self.files = {c: SpooledTemporaryFile(max_size=SPOOL) for c in TYPES}
@@ -67,15 +68,15 @@ def _targets(table: Table, new_rows: np.ndarray, strings: np.ndarray, begin: np.
         fresh[new_rows[done:end] - at] = True
         order = np.argsort(symbol, kind="stable")
         counts = np.bincount(symbol, minlength=256)
-        first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        here = np.flatnonzero(counts)
-        new = fresh[order]
-        after_new = np.empty(n, bool)
-        after_new[1:] = new[:-1]
-        after_new[first[here]] = last_new[here]
-        need = new | after_new
-        need[:counts[0]] = False  # finished strings
-        need = np.flatnonzero(need)
+        stop = np.cumsum(counts)
+        first = stop - counts
+        new = np.flatnonzero(fresh[order])
+        after = new + 1
+        after = after[after < stop[symbol[order[new]]]]  # the next row of the same symbol
+        opened = first[(counts > 0) & last_new]
+        need = np.sort(np.concatenate([new, after, opened]))
+        need = need[np.append(True, need[1:] != need[:-1])[:len(need)]]
+        need = need[np.searchsorted(need, counts[0]):]  # not the finished strings
         row = order[need]
         c = symbol[row].astype(np.int64)
         target = begin[c] + seen[c] + need - first[c]
@@ -88,15 +89,16 @@ def _targets(table: Table, new_rows: np.ndarray, strings: np.ndarray, begin: np.
             value = np.where(is_first, np.where(seen[c] > 0, np.minimum(value, least[c]).astype(np.int64) + 1, 0), value.astype(np.int64) + 1)
             changed.append(target)
             values.append(value.astype(np.uint8))
-            own = new[need]
+            own = fresh[row]
             inserted.append(target[own])
             who.append(strings[done:end][np.searchsorted(new_rows[done:end] - at, row[own])])
         if at + n < table.rows:
+            here = np.flatnonzero(counts)
             back = np.minimum.accumulate(lcp[::-1])[::-1]
-            ends = order[first[here] + counts[here] - 1]
+            ends = order[stop[here] - 1]
             least = np.minimum(least, lcp[:n].min())
             least[here] = back[ends + 1]
-            last_new[here] = new[first[here] + counts[here] - 1]
+            last_new[here] = fresh[ends]
         seen += counts
         done = end
     if not changed:
@@ -109,8 +111,7 @@ def _targets(table: Table, new_rows: np.ndarray, strings: np.ndarray, begin: np.
     return a, b, c, d
 
 
-def _merged(table: Table, target: np.ndarray, strings: np.ndarray, symbols: np.ndarray, size: int, changed: np.ndarray,
-            values: np.ndarray) -> Table:
+def _merged(table: Table, target: np.ndarray, symbols: np.ndarray, changed: np.ndarray, values: np.ndarray) -> Table:
     """The table with the new rows inserted and prefixes changed: one sequential pass."""
     table.rewind()
     out = Table()
@@ -124,7 +125,7 @@ def _merged(table: Table, target: np.ndarray, strings: np.ndarray, symbols: np.n
         put = target[i:i_end] - at
         old[put] = False
         columns = {}
-        for c, new in (("symbol", symbols[i:i_end]), ("lcp", 0), ("string", strings[i:i_end]), ("size", size)):
+        for c, new in (("symbol", symbols[i:i_end]), ("lcp", 0)):
             column = np.empty(n, TYPES[c])
             column[put] = new
             column[old] = table.read(c, n - len(put))
@@ -143,7 +144,7 @@ def build(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Table:
     strings = np.arange(len(starts), dtype=np.uint32)
     symbols = data[ends - 1]
     table = Table()
-    table.append(symbol=symbols, lcp=np.zeros(len(starts)), string=strings, size=np.zeros(len(starts)))
+    table.append(symbol=symbols, lcp=np.zeros(len(starts)))
     counts = np.bincount(symbols, minlength=256)
     rows = np.arange(len(starts))
     size = 0
@@ -153,27 +154,35 @@ def build(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Table:
         target, strings, changed, values = _targets(table, rows, strings, begin)
         left = sizes[strings] > size
         symbols = np.where(left, data[np.maximum(ends[strings] - 1 - size, 0)], 0).astype(np.uint8)
-        table = _merged(table, target, strings, symbols, size, changed, values)
+        table = _merged(table, target, symbols, changed, values)
         counts += np.bincount(symbols, minlength=256)
         counts[0] = 0
         rows, strings = target[left], strings[left]
     return table
 
 
-def intervals(table: Table, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(string, suffix length, first rows) of the suffixes of at least ``length`` symbols.
-
-    ``first rows`` are the indexes where a new interval of common prefix ``length`` begins.
-    """
+def locate(table: Table, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, strings, rows): where the suffixes of each length are, by following the transform."""
+    table.rewind()
+    symbol = table.read("symbol", table.rows)
+    order = np.argsort(symbol, kind="stable")
+    ends = int(np.searchsorted(symbol[order], 1))  # rows that hold a whole string
+    following = np.empty(table.rows, np.int64)
+    following[order[ends:]] = np.arange(len(sizes), len(sizes) + table.rows - ends)
+    strings = rows = np.arange(len(sizes))
+    for length in range(int(sizes.max()) + 1):
+        yield length, strings, rows
+        left = sizes[strings] > length
+        strings = strings[left]
+        rows = following[rows[left]]
+
+
+def intervals(table: Table, length: int) -> np.ndarray:
+    """The number of each row's interval of common prefixes of at least ``length`` symbols."""
     table.rewind()
-    held: dict[str, np.ndarray] = {c: np.empty(0, TYPES[c]) for c in ("lcp", "string", "size")}
+    parts, last = [], -1
     for at in range(0, table.rows, CHUNK):
         n = min(CHUNK, table.rows - at)
-        part = {c: np.concatenate([held[c], table.read(c, n)]) for c in held}
-        cuts = np.flatnonzero(part["lcp"] < length)
-        end = len(part["lcp"]) if at + n == table.rows else int(cuts[-1]) if len(cuts) else 0
-        held = {c: v[end:] for c, v in part.items()}
-        lcp, string, size = (part[c][:end] for c in ("lcp", "string", "size"))
-        long = size >= length  # shorter suffixes are intervals of their own
-        if long.any():
-            yield string[long], size[long], np.flatnonzero(lcp[long] < length)
+        parts.append(last + np.cumsum(table.read("lcp", n) < length))
+        last = int(parts[-1][-1])
+    return np.concatenate(parts).astype(np.int32)

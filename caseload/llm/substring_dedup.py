@@ -291,19 +291,22 @@ def earliest(data: np.ndarray, size: np.ndarray, low: np.ndarray, length: int) -
     start = np.cumsum(size) - size
     windows = size - length + 1
     at = np.cumsum(windows) - windows
-    out = np.empty(windows.sum(), np.int64)
     suffixes = bwt.build(data, start, size)
-    for string, suffix, first in bwt.intervals(suffixes, length):
-        group = np.repeat(np.minimum.reduceat(low[string], first), np.diff(np.append(first, len(string))))
-        out[at[string] + size[string] - suffix] = group
+    number = bwt.intervals(suffixes, length)
+    interval = np.empty(windows.sum(), np.int32)
+    first = np.full(int(number[-1]) + 1, np.iinfo(np.int64).max)
+    for suffix, strings, rows in bwt.locate(suffixes, size):
+        if suffix >= length:
+            interval[at[strings] + size[strings] - suffix] = number[rows]
+            np.minimum.at(first, number[rows], low[strings])
     suffixes.close()
-    return out
+    return first[interval]
 
 
 def _covers(length: int):
     """(key, anchor, a, b, low): windows a to b of a segment, first seen in document ``low``."""
 
-    def solve(blobs: list[tuple[bytes, ...]]) -> pa.RecordBatch:
+    def solve(blobs: list[tuple[bytes, ...]]) -> pa.RecordBatch | None:
         kinds = (np.uint64, np.uint64, np.int64, np.int64, np.uint8)
         key, anchor, low, high, size = (np.concatenate([np.frombuffer(b[i], k) for b in blobs]) for i, k in enumerate(kinds))
         size = size.astype(np.int64)
@@ -312,6 +315,14 @@ def _covers(length: int):
         order, first, low, high = _distinct(key, anchor, low, high)
         pick = order[first]
         key, anchor, start, size = key[pick], anchor[pick], start[pick], size[pick]
+        fresh = np.ones(len(anchor), bool)
+        fresh[1:] = anchor[1:] != anchor[:-1]
+        begin = np.flatnonzero(fresh)
+        shared = np.minimum.reduceat(low, begin) < np.maximum.reduceat(high, begin)
+        shared = np.repeat(shared, np.diff(np.append(begin, len(anchor))))  # the others were selected in vain
+        key, anchor, start, size, low, high = (x[shared] for x in (key, anchor, start, size, low, high))
+        if not len(key):
+            return None
         found = earliest(_gather(text, start, size), size, low, length)
         windows = size - length + 1
         owner = np.repeat(np.arange(len(size)), windows)
@@ -331,12 +342,14 @@ def _covers(length: int):
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if blobs and row[0] != last:
-                    yield solve(blobs)
-                    blobs = []
+                    found, blobs = solve(blobs), []
+                    if found:
+                        yield found
                 last = row[0]
                 blobs.append(row[1:])
-        if blobs:
-            yield solve(blobs)
+        found = solve(blobs) if blobs else None
+        if found:
+            yield found
     return run
 
 

@@ -23,12 +23,13 @@ def test_table_equals_sorted_suffixes(monkeypatch, seed, chunk):
     table.rewind()
     got = {c: table.read(c, table.rows).tolist() for c in bwt.TYPES}
     seen = [s.replace(b"\x00", b"\xff") for s in strings]
-    rows = [seen[w][len(seen[w]) - z:] for w, z in zip(got["string"], got["size"])]
-    assert sorted(zip(got["string"], got["size"])) == [(i, z) for i, s in enumerate(strings) for z in range(len(s) + 1)]
+    place = {row: (w, z) for z, words, rows in bwt.locate(table, sizes) for w, row in zip(words.tolist(), rows.tolist())}
+    assert sorted(place.values()) == [(i, z) for i, s in enumerate(strings) for z in range(len(s) + 1)]
+    rows = [seen[w][len(seen[w]) - z:] for w, z in (place[r] for r in range(table.rows))]
     assert rows == sorted(rows)
     common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     assert got["lcp"][1:] == [common(a, b) for a, b in zip(rows, rows[1:])]
-    before = [seen[w][len(seen[w]) - z - 1] if z < len(seen[w]) else 0 for w, z in zip(got["string"], got["size"])]
+    before = [seen[w][len(seen[w]) - z - 1] if z < len(seen[w]) else 0 for w, z in (place[r] for r in range(table.rows))]
     assert got["symbol"] == before
 
 
