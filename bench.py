@@ -10,6 +10,7 @@ produced, nothing is collected to the driver). Each query runs
 * ``case_build``: the four survey tables → flags, counts, need summaries →
   score → distributed numbering → checkpoint (what a nightly job writes).
 * ``case_flags`` / ``need_type``: end-to-end from the raw tables, no cache.
+* ``family_numbering``: numbers the stored, scored rows.
 * the remaining queries read the materialised case table, as the reports do.
 """
 
@@ -25,8 +26,9 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from caseload.operators import planning  # noqa: E402
+from caseload.operators.scoring import number_cases  # noqa: E402
 from caseload.plans import catalog, context  # noqa: E402
-from caseload.session import local_session  # noqa: E402
+from caseload.session import local_session, materialize  # noqa: E402
 
 
 def run(df) -> None:
@@ -63,12 +65,13 @@ def main() -> None:
     }
     cases = context.cases(spark, sf_dir)
     run(cases)
+    scored = materialize(context.built_cases(spark, sf_dir))
 
     def needs_report():
         run(planning.needs_report_table(cases))  # the whole report: one scan, one job
 
     for name, fn in (
-        ("family_numbering", lambda: run(q["family_numbering"](spark, sf_dir))),
+        ("family_numbering", lambda: run(number_cases(scored))),
         ("priority_list", lambda: run(q["priority_list"](spark, sf_dir))),
         ("top_critical", lambda: run(q["top_critical"](spark, sf_dir))),
         ("aggregate_needs", lambda: run(q["aggregate_needs"](spark, sf_dir))),
