@@ -11,11 +11,11 @@ differs in a quarter of its symbols on average and the chance to share no key is
 2. Keys: 60 rows of 16 bytes per class. A key's smallest id is its lead.
 3. Every class is compared with the lead it shares most keys with; links are confirmed by the
    exact sets and give components (a group of thousands of near copies costs a pair a row).
-4. Keys whose rows are still in different components: all pairs of different components within
-   the distance, found in tiles of at most ``TILE`` rows (a hot key is split into pairs of tiles;
-   only pairs within the distance leave a task). The closest pair of two components is confirmed
-   first; pairs that are then still between components are all confirmed. So no link that the
-   distance admits is lost, and pairs inside a component are never listed.
+4. Keys whose rows are still in different components are searched in tiles of at most ``TILE`` rows
+   (a hot key is split into pairs of tiles). For ``CLOSEST_ROUNDS`` rounds each row proposes the closest
+   row of another component, which joins nearly all that can be joined with a pair a row. Then all
+   pairs within the distance that are still between components are confirmed. So no link that
+   the distance admits is lost, and pairs inside a component are never listed.
 
 Sets are compared exactly, by 64-bit shingle hashes, natively on arrays.
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, partitions, table
+from .common import drop_table, materialize, partitions, table, without
 from .graph import components
 from .shingles import Hasher, blocks, mix, utf8
 
@@ -42,6 +42,9 @@ CHUNKS, CHUNK = 12, 5
 SYMBOLS = CHUNKS * CHUNK
 DISTANCE = 2 * CHUNKS - 1
 TILE = 1024
+CLOSEST_ROUNDS = 3
+#: Findings a task holds at most (24 MB).
+HELD = 1 << 20
 #: Ids up to this number (16 MB) may be broadcast to pick rows of the documents.
 BROADCAST_IDS = 1 << 20
 
@@ -87,20 +90,35 @@ def _describe(words: int):
     return run
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The index keys of each signature: every chunk with one of its symbols left out."""
+def index_keys(marks: np.ndarray) -> np.ndarray:
+    """The index keys of each signature (rows x SYMBOLS): every chunk with one of its symbols left out."""
     salt = _seeds(CHUNKS * CHUNK, 3).reshape(CHUNKS, CHUNK)
+    marks = marks.reshape(-1, CHUNKS, CHUNK).astype(np.uint64)
+    keys = np.empty((len(marks), CHUNKS, CHUNK), np.uint64)
+    for out in range(CHUNK):
+        left = [marks[:, :, i] for i in range(CHUNK) if i != out]
+        word = left[0] | left[1] << np.uint64(16) | left[2] << np.uint64(32) | left[3] << np.uint64(48)
+        keys[:, :, out] = mix(word ^ salt[:, out])
+    return keys.reshape(-1, SYMBOLS).view(np.int64)
+
+
+def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of its keys a signature shares first with each of others (SYMBOLS if none)."""
+    differs = (b != a).reshape(-1, CHUNKS, CHUNK)
+    errors = differs.sum(axis=2)
+    chunk = (errors <= 1).argmax(axis=1)
+    rows = np.arange(len(b))
+    out = chunk * CHUNK + differs[rows, chunk].argmax(axis=1)  # without an error the first key, else the one without that symbol
+    return np.where(errors[rows, chunk] <= 1, out, SYMBOLS)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, 4096):
             part = batch.slice(first, 4096)
-            marks = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, CHUNKS, CHUNK).astype(np.uint64)
-            keys = np.empty((len(marks), CHUNKS, CHUNK), np.uint64)
-            for out in range(CHUNK):
-                left = [marks[:, :, i] for i in range(CHUNK) if i != out]
-                word = left[0] | left[1] << np.uint64(16) | left[2] << np.uint64(32) | left[3] << np.uint64(48)
-                keys[:, :, out] = mix(word ^ salt[:, out])
+            keys = index_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16))
             ids = np.repeat(part.column(0).to_numpy(), SYMBOLS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(ids)], names=["key", "id"])
 
 
 def _sets(words: int):
@@ -119,32 +137,76 @@ def _sets(words: int):
     return run
 
 
-def _tile_pairs(percent: int):
-    """Pairs of different components within the distance, from rows sorted by (key, i, j)."""
+def _tile_pairs(percent: int, turn: int | None):
+    """Pairs (a, b, d) of different components within the distance, from rows sorted by (key, i, j).
+
+    A pair is looked at only under the first key it shares. With a ``turn``, a task reports each row's
+    closest partner only (once per ``HELD`` findings), among the pairs whose hash has that turn: every
+    round tries other pairs.
+    """
+    closest = turn is not None
 
-    def close(rows: dict[str, np.ndarray]) -> set[tuple[int, int, int]]:
+    def close(rows: dict[str, np.ndarray]) -> np.ndarray:
         order = np.argsort(rows["n"], kind="stable")
         ids, n, comp, tile = (rows[c][order] for c in ("id", "n", "comp", "tile"))
         marks = rows["mark"][order]
         across = rows["i"][0] != rows["j"][0]
-        found = set()
+        place = (index_keys(marks) == rows["key"][0]).argmax(axis=1)  # this key's place among each row's keys
+        near, partner = np.full(len(ids), DISTANCE + 1), np.zeros(len(ids), np.int64)
+        found = []
         for a in range(len(ids) - 1):
             most = int(np.searchsorted(n, n[a] * 100 // percent, side="right"))  # sizes further apart cannot be linked
             b = np.arange(a + 1, most)
             b = b[(comp[b] != comp[a]) & ((tile[b] != tile[a]) if across else True)]
-            if len(b):
-                far = (marks[b] != marks[a]).sum(axis=1)
-                for x, d in zip(b[far <= DISTANCE].tolist(), far[far <= DISTANCE].tolist()):
-                    found.add((min(ids[a], ids[x]), max(ids[a], ids[x]), d))
-        return found
+            if closest:
+                b = b[mix((ids[b] * 31 ^ ids[a] * 31).astype(np.uint64)) % np.uint64(CLOSEST_ROUNDS) == turn]
+            b = b[first_shared(marks[a], marks[b]) == place[a]]
+            if not len(b):
+                continue
+            far = (marks[b] != marks[a]).sum(axis=1)
+            if closest:
+                best = int(far.argmin())
+                if far[best] < near[a]:
+                    near[a], partner[a] = far[best], ids[b[best]]
+                nearer = far < near[b]
+                near[b[nearer]], partner[b[nearer]] = far[nearer], ids[a]
+            else:
+                hit = far <= DISTANCE
+                found.append(np.stack([np.full(hit.sum(), ids[a]), ids[b[hit]], far[hit]], axis=1))
+        if closest:
+            hit = near <= DISTANCE
+            found.append(np.stack([ids[hit], partner[hit], near[hit]], axis=1))
+        return np.concatenate([np.empty((0, 3), np.int64), *found])
+
+    def once(found: list[np.ndarray]) -> list[np.ndarray]:
+        joined = np.concatenate(found)
+        if not closest:
+            joined[:, :2] = np.sort(joined[:, :2], axis=1)
+        a, b, d = joined.T
+        joined = joined[np.lexsort((b, d, a) if closest else (d, b, a))]
+        fresh = np.ones(len(joined), bool)
+        fresh[1:] = (joined[1:, :1 if closest else 2] != joined[:-1, :1 if closest else 2]).any(axis=1)
+        return [joined[fresh]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "i", "j", "tile", "id", "n", "comp"]
 
-        def flush(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-            rows = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
-            found = sorted(close(rows))
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["a", "b", "d"])
+        held: list[np.ndarray] = []
+        size = 0
+
+        def settle(parts: list[dict[str, np.ndarray]]) -> None:
+            nonlocal held, size
+            found = close({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+            held.append(found)
+            size += len(found)
+            if size > HELD:
+                held = once(held)
+                size = len(held[0])
+
+        def report() -> pa.RecordBatch:
+            nonlocal held, size
+            rows, held, size = once(held)[0], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], names=["a", "b", "d"])
 
         last, parts = None, []
         for batch in batches:
@@ -157,12 +219,16 @@ def _tile_pairs(percent: int):
             for first, end in zip(cuts[:-1], cuts[1:]):
                 now = tuple(group[first])
                 if parts and now != last:
-                    yield flush(parts)
+                    settle(parts)
                     parts = []
                 last = now
                 parts.append({c: v[first:end] for c, v in columns.items()})
+            if size > HELD // 2:
+                yield report()
         if parts:
-            yield flush(parts)
+            settle(parts)
+        if held:
+            yield report()
     return run
 
 
@@ -214,39 +280,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         side = labels.select(F.col("node").alias(column), F.col("label").alias("_label"))
         return frame.join(side, column, "left").withColumn(name, F.coalesce("_label", column)).drop("_label")
 
-    where = labelled(hits.select("key", "id"), "id", "comp")
-    split = where.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
-    open_keys = materialize(split.where("low <> high").select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
-    tiled = where.join(open_keys, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "comp")
-    tiled = tiled.join(reps, "id").select("key", "i", "j", "tile", "id", "n", "comp", "mark")
-    tiled = tiled.repartition(partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    near = materialize(tiled.mapInArrow(_tile_pairs(percent), "a long, b long, d long").distinct())
-    drop_table(hits)
-    drop_table(open_keys)
-
-    for closest_only in (True, False):
-        across = labelled(labelled(near, "a", "ca"), "b", "cb").where("ca <> cb")
-        if closest_only:
-            across = across.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(
-                F.min(F.struct("d", "a", "b")).alias("pair")).select("pair.a", "pair.b")
-        across = materialize(across.select("a", "b"))
-        if not across.limit(1).count():
-            break
-        more = linker.confirmed(across)
+    def tiles() -> DataFrame:
+        """The rows of keys that are in different components, a hot key's once per pair of tiles."""
+        where = labelled(hits.select("key", "id"), "id", "comp")
+        split = where.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
+        split = materialize(split.where("low <> high").select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
+        rows = where.join(split, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+            "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "comp")
+        rows = rows.join(reps, "id").select("key", "i", "j", "tile", "id", "n", "comp", "mark")
+        return rows.repartition(partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    for turn in (*range(CLOSEST_ROUNDS), None):
+        found = tiles().mapInArrow(_tile_pairs(percent, turn), "a long, b long, d long")
+        if turn is not None:
+            found = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("near")).select("a", "near.b")
+        pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if not pairs.limit(1).count():
+            drop_table(pairs)
+            continue
+        more = linker.confirmed(pairs)
         if more.limit(1).count():
             old_edges, old_labels = edges, labels
             edges = materialize(edges.union(more))
             labels = components(edges)
             drop_table(old_edges)
             drop_table(old_labels)
-        drop_table(across)
+        drop_table(pairs)
+        drop_table(more)
+    drop_table(hits)
 
     out = labelled(members.select("id", "n", "rep"), "rep", "component_id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
                       F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents, with all their columns, that stay: the smallest id of each group."""
+    return without(docs, near_duplicates(docs, id_col, **options).where("not kept").select(id_col), id_col)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
