@@ -26,6 +26,7 @@ be learned. Repeated rows get each a row; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sample_of, table
 from .shingles import Hasher, blocks, mix, utf8
 
 BITS = 18
@@ -265,6 +266,20 @@ def _count(languages: list[str]):
     return run
 
 
+def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, lang, words): at most SAMPLE_WORDS words from a place that the id decides; rows without a word go."""
+    for batch in batches:
+        rows = []
+        for i, text, lang in zip(*[c.to_pylist() for c in batch.columns]):
+            found = [w.encode() for w in re.findall(r"[a-zA-Z\x80-\U0010ffff]+", text)]
+            if found:
+                begin = zlib.crc32(str(i).encode()) % max(1, len(found) - SAMPLE_WORDS + 1)
+                rows.append((i, lang, found[begin:begin + SAMPLE_WORDS]))
+        columns = list(zip(*rows)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.list_(pa.binary())))],
+                                         names=["id", "lang", "words"])
+
+
 def learn(docs: DataFrame, max_sample: int) -> Field | None:
     """The field learned from (text, lang, id); None without learning documents."""
     learning = docs.where("lang is not null and text is not null").where(~held_out(F.col("id")))
@@ -281,13 +296,8 @@ def learn(docs: DataFrame, max_sample: int) -> Field | None:
     lexicon = np.log(share + 2e-6)
     lexicon = (lexicon - lexicon.mean(axis=1, keepdims=True)).astype(np.float32)
 
-    sample = learning.orderBy(F.xxhash64("id")).limit(max_sample).select("text", "lang", "id").collect()
-    samples, rng = [], np.random.default_rng(11)
-    for row in sample:
-        found = [w.encode() for w in re.findall(r"[a-zA-Z\x80-\U0010ffff]+", row.text)]
-        if found:
-            begin = int(rng.integers(max(1, len(found) - SAMPLE_WORDS + 1)))
-            samples.append((row.lang, found[begin:begin + SAMPLE_WORDS]))
+    chosen = sample_of(learning.select("id", "text", "lang"), "id", max_sample).mapInArrow(_excerpts, "id long, lang string, words array<binary>")
+    samples = [(r.lang, [bytes(w) for w in r.words]) for r in sorted(chosen.collect())]
     if not samples:
         return None
     by_lang = {lang: [s for s in samples if s[0] == lang] for lang in languages}
