@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, exact_dedup, language, line_dedup, near_dedup, packing, pii, quality, substring_dedup, url_filter
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
