@@ -33,11 +33,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, table
+from .common import BROADCAST_ROWS, drop_table, materialize, table
 from .decontaminate import bound
 
 ENDS = " \t\n\x0b\x0c\r"
 SPACE = "[\\x20\\x09-\\x0D]+"
+#: Deleted line numbers up to this number (16 MB) may be broadcast; beyond, the texts are shuffled to them.
+BROADCAST_LINES = 1 << 22
 
 
 def _shortest(counts: Column, least: int) -> Column:
@@ -135,6 +137,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     gone = deletions(thin, min_words).withColumnRenamed("id", "_id")
+    size = gone.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("gone")).alias("lines")).first()
+    if size.rows <= BROADCAST_ROWS and (size.lines or 0) <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
     joined = docs.join(gone, docs[id_col] == gone["_id"], "left")
     text = F.when(gone["gone"].isNull(), docs[text_col]).otherwise(without_lines(docs[text_col], gone["gone"]))
     columns = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from caseload.llm import line_dedup
@@ -50,7 +51,9 @@ def cases():
     return rows
 
 
-def test_runs(docs_of):
+@pytest.mark.parametrize("most", [1 << 22, 0])
+def test_runs(docs_of, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
     rows = cases()
     out = line_dedup.drop_repeated_lines(docs_of(rows))
     assert {"kept", "id", "lang"} <= set(out.columns)
