@@ -3,9 +3,10 @@
 A document's set is its distinct five-word shingles. Its signature has ``CHUNKS * CHUNK`` symbols,
 each the last ``b`` = 16 bits of one MinHash. Two signatures differ in d symbols. Split in
 ``CHUNKS`` chunks, by the pigeonhole principle one chunk has at most one differing symbol whenever
-d <= ``DISTANCE`` = 2 * CHUNKS - 1. So a row is indexed, for every chunk, under each key that leaves
-one of its symbols out: all pairs within the distance share a key. At similarity 0.75 a signature
-differs in a quarter of its symbols on average and the chance to share no key is about 5e-6.
+d <= 2 * CHUNKS - 1. So a row is indexed, for every chunk, under each key that leaves one of its
+symbols out: all pairs within that distance share a key, and most pairs beyond it do. At similarity
+0.75 the chance to share no key is (1 - 0.75^5 - 5 * 0.75^4 * 0.25)^12, about 6e-6, and smaller above;
+this is the only way to lose a link, as the distance itself decides nothing.
 
 1. Rows with equal sets are one class, represented by the smallest id.
 2. Keys: 60 rows of 16 bytes per class. A key's smallest id is its lead.
@@ -14,8 +15,10 @@ differs in a quarter of its symbols on average and the chance to share no key is
 4. Keys whose rows are still in different components are searched in tiles of at most ``TILE`` rows
    (a hot key is split into pairs of tiles). For ``CLOSEST_ROUNDS`` rounds each row proposes the closest
    row of another component, which joins nearly all that can be joined with a pair a row. Then all
-   pairs within the distance that are still between components are confirmed. So no link that
-   the distance admits is lost, and pairs inside a component are never listed.
+   pairs that share a key and are still between components are confirmed. Pairs inside a component
+   are never listed, nor pairs that cannot be linked: by their sizes, or by their shingles' counts in
+   ``BUCKETS`` hash buckets. The counts' differences add up to at most the number of shingles that only
+   one of the two sets has, so this bound excludes no link.
 
 Sets are compared exactly, by 64-bit shingle hashes, natively on arrays.
 
@@ -40,7 +43,8 @@ from .shingles import Hasher, blocks, mix, utf8
 
 CHUNKS, CHUNK = 12, 5
 SYMBOLS = CHUNKS * CHUNK
-DISTANCE = 2 * CHUNKS - 1
+#: Hash buckets whose counts (a byte each, 255 for more, which keeps the bound) a row carries.
+BUCKETS = 256
 TILE = 1024
 CLOSEST_ROUNDS = 3
 #: Findings a task holds at most (24 MB).
@@ -65,6 +69,14 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def bucket_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles of each set are in each of the hash buckets, 255 for more."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bucket = (mix(np.concatenate(sets) ^ np.uint64(0x2545F491)) >> np.uint64(32)).astype(np.int64) % BUCKETS
+    counts = np.bincount(owner * BUCKETS + bucket, minlength=len(sets) * BUCKETS)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(len(sets), BUCKETS)
+
+
 def _describe(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(words)
@@ -77,16 +89,18 @@ def _describe(words: int):
                 full = [s for s in sets if len(s)]
                 h1, h2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
                 marks: list[bytes | None] = [None] * len(sets)
+                counts: list[bytes | None] = [None] * len(sets)
                 if full:
                     at = np.cumsum([0, *map(len, full[:-1])])
                     joined = np.concatenate(full)
                     h1[sizes > 0] = np.add.reduceat(mix(joined ^ np.uint64(0x51ED270B)), at)
                     h2[sizes > 0] = np.add.reduceat(mix(joined ^ np.uint64(0xA5A5F00D)), at)
-                    for i, s in zip(np.flatnonzero(sizes).tolist(), signatures(full)):
-                        marks[i] = s.tobytes()
+                    for i, s, c in zip(np.flatnonzero(sizes).tolist(), signatures(full), bucket_counts(full)):
+                        marks[i], counts[i] = s.tobytes(), c.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), pa.array(sizes), pa.array(h1.view(np.int64)),
-                     pa.array(h2.view(np.int64)), pa.array(marks, pa.binary())], names=["id", "n", "h1", "h2", "mark"])
+                     pa.array(h2.view(np.int64)), pa.array(marks, pa.binary()), pa.array(counts, pa.binary())],
+                    names=["id", "n", "h1", "h2", "mark", "counts"])
     return run
 
 
@@ -138,7 +152,7 @@ def _sets(words: int):
 
 
 def _tile_pairs(percent: int, turn: int | None):
-    """Pairs (a, b, d) of different components within the distance, from rows sorted by (key, i, j).
+    """Pairs (a, b, d) of different components that may be linked, from rows sorted by (key, i, j).
 
     A pair is looked at only under the first key it shares. With a ``turn``, a task reports each row's
     closest partner only (once per ``HELD`` findings), among the pairs whose hash has that turn: every
@@ -149,10 +163,10 @@ def _tile_pairs(percent: int, turn: int | None):
     def close(rows: dict[str, np.ndarray]) -> np.ndarray:
         order = np.argsort(rows["n"], kind="stable")
         ids, n, comp, tile = (rows[c][order] for c in ("id", "n", "comp", "tile"))
-        marks = rows["mark"][order]
+        marks, counts = rows["mark"][order], rows["counts"][order].astype(np.int16)
         across = rows["i"][0] != rows["j"][0]
         place = (index_keys(marks) == rows["key"][0]).argmax(axis=1)  # this key's place among each row's keys
-        near, partner = np.full(len(ids), DISTANCE + 1), np.zeros(len(ids), np.int64)
+        near, partner = np.full(len(ids), SYMBOLS + 1), np.zeros(len(ids), np.int64)
         found = []
         for a in range(len(ids) - 1):
             most = int(np.searchsorted(n, n[a] * 100 // percent, side="right"))  # sizes further apart cannot be linked
@@ -161,6 +175,8 @@ def _tile_pairs(percent: int, turn: int | None):
             if closest:
                 b = b[mix((ids[b] * 31 ^ ids[a] * 31).astype(np.uint64)) % np.uint64(CLOSEST_ROUNDS) == turn]
             b = b[first_shared(marks[a], marks[b]) == place[a]]
+            apart = np.abs(counts[b] - counts[a]).sum(axis=1, dtype=np.int64)  # at most the shingles that only one has
+            b = b[apart * (100 + percent) <= (n[a] + n[b]) * (100 - percent)]
             if not len(b):
                 continue
             far = (marks[b] != marks[a]).sum(axis=1)
@@ -171,10 +187,9 @@ def _tile_pairs(percent: int, turn: int | None):
                 nearer = far < near[b]
                 near[b[nearer]], partner[b[nearer]] = far[nearer], ids[a]
             else:
-                hit = far <= DISTANCE
-                found.append(np.stack([np.full(hit.sum(), ids[a]), ids[b[hit]], far[hit]], axis=1))
+                found.append(np.stack([np.full(len(b), ids[a]), ids[b], far], axis=1))
         if closest:
-            hit = near <= DISTANCE
+            hit = near <= SYMBOLS
             found.append(np.stack([ids[hit], partner[hit], near[hit]], axis=1))
         return np.concatenate([np.empty((0, 3), np.int64), *found])
 
@@ -214,6 +229,7 @@ def _tile_pairs(percent: int, turn: int | None):
                 continue
             columns = {c: batch.column(c).to_numpy() for c in names}
             columns["mark"] = np.frombuffer(b"".join(batch.column("mark").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            columns["counts"] = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS)
             group = np.stack([columns["key"], columns["i"], columns["j"]], axis=1)
             cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist(), len(group)]
             for first, end in zip(cuts[:-1], cuts[1:]):
@@ -257,14 +273,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     percent: int = 75) -> DataFrame:
     """One row per input row: ``id_col``, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = materialize(docs.mapInArrow(_describe(words), "id long, n long, h1 long, h2 long, mark binary"))
+    described = materialize(docs.mapInArrow(_describe(words), "id long, n long, h1 long, h2 long, mark binary, counts binary"))
     full = described.where("n > 0 and id is not null")
     classes = materialize(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")))
     members = materialize(described.join(classes, ["h1", "h2", "n"], "left").select(
-        "id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("mark")).alias("mark")))
+        "id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("mark")).alias("mark"),
+        F.when(F.col("id") == F.col("rep"), F.col("counts")).alias("counts")))
     drop_table(described)
     drop_table(classes)
-    reps = materialize(members.where("mark is not null").select("id", "n", "mark").dropDuplicates(["id"]))
+    reps = materialize(members.where("mark is not null").select("id", "n", "mark", "counts").dropDuplicates(["id"]))
 
     keys = reps.select("id", "mark").mapInArrow(_keys, "key long, id long")
     leads = materialize(keys.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1"))
@@ -288,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = where.join(split, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
             "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "comp")
-        rows = rows.join(reps, "id").select("key", "i", "j", "tile", "id", "n", "comp", "mark")
+        rows = rows.join(reps, "id").select("key", "i", "j", "tile", "id", "n", "comp", "mark", "counts")
         return rows.repartition(partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     for turn in (*range(CLOSEST_ROUNDS), None):

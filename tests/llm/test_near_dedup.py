@@ -3,9 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from caseload.llm import near_dedup
+from caseload.llm.shingles import Hasher
 
 from .conftest import SF
 
@@ -74,3 +76,33 @@ def test_empty_table_and_rows_without_id(spark, docs_of):
 def test_repeated_rows_get_the_same_result(spark, docs_of):
     rows = near_dedup.near_duplicates(docs_of([(3, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e f")])).collect()
     assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(3, 3, True), (3, 3, True), (4, 3, False)]
+
+
+def triple(seed):
+    """Three texts: the second and third are linked at 0.76, the first with neither, though it is nearest by smallest id."""
+    rng = random.Random(seed)
+    base, places = [f"s{seed}w{i}" for i in range(114)], [5 + 10 * k for k in range(11)]
+    rng.shuffle(places)
+    changed = lambda at: " ".join(f"new{i}" if i in at else w for i, w in enumerate(base))
+    return [changed([]), changed(places[:4]), changed(places[:3] + places[4:6])]
+
+
+def test_links_with_distant_signatures_beside_an_unlinked_lead(spark, docs_of):
+    seeds = (1195, 2720, 3572)  # found by search: the pair's signatures differ in more than 23 symbols
+    rows = [(10 * n + k, text) for n, seed in enumerate(seeds) for k, text in enumerate(triple(seed))]
+    data = [text.encode() for _, text in rows]
+    sets = list(Hasher(5).shingles_of(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])))
+    marks = near_dedup.signatures(sets)
+    assert all((marks[3 * n + 1] != marks[3 * n + 2]).sum() > 23 for n in range(len(seeds)))
+    expected = brute(rows)
+    assert [expected[10 * n + 2] for n in range(len(seeds))] == [(110, 10 * n + 1, False) for n in range(len(seeds))]
+    assert result(docs_of(rows)) == expected
+
+
+def test_counts_never_exclude_a_link():
+    rng = np.random.default_rng(5)
+    for size in (1, 7, 300, 200_000):
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64))
+        a, b = pool[:size], pool[size // 4:size + size // 4]
+        ca, cb = near_dedup.bucket_counts([a, b]).astype(int)
+        assert abs(ca - cb).sum() <= len(np.setxor1d(a, b))
