@@ -4,16 +4,19 @@ Fixed rules (host, path) come first: a rule fits its host and all subdomains if
 starts with the rule's; the longest rule wins. Pages without a rule get the verdict of their
 template; the pages with a rule are the labels.
 
-The tree of a host is built from the root, one segment at a time. In a segment, runs of digits and
-long hexadecimal tokens are variable and become wildcards. Under one parent, branches are
-
-* all variable if there are more than ``max_branches`` of them;
-* else each labelled one is compared with its siblings: a two-proportion z-test of the share of
-  blocked labels. Those without a significant difference merge into one wildcard branch; the others,
-  and those without labels, of which nothing is known, stay.
-
-A node is a grouped count of (host, prefix, segment); depth is bounded by ``max_depth`` (the rest
-of a longer path is one variable segment). Purity is the blocked share of a template's labels, smoothed
+The tree of a host is built from the root, level by level. In a
+segment, runs of digits and long hexadecimal tokens are variable and become wildcards. Under one parent,
+
+* each labelled branch is compared with its siblings: a two-proportion z-test of the share of
+  blocked labels. Those without a significant difference merge into one wildcard branch ``*``; the others stay,
+  however many there are;
+* branches without labels, of which nothing is known, are never merged with labelled ones. They are
+  variable, and become one wildcard branch of their own (``*``, beside labelled siblings ``*#``, as no path
+  has a ``#``), if at least half of their pages are the only ones of their branch (that share estimates
+  the chance that the next page brings a new segment); else they stay.
+
+A node is a grouped count of (host, prefix, segment). Segments that all pages below a branch
+share are taken in one step, so there are as many steps as forks on a path; depth is bounded by ``max_depth`` (the rest of a longer path is one segment). Purity is the blocked share of a template's labels, smoothed
 with ``strength`` pseudo-labels. They have the share of its host, itself smoothed in this way
 towards the domain (last two labels) and all pages, but at most ``most_prior``: labels of other
 templates alone never reject one. A template of purity ``threshold`` or more is rejected.
@@ -67,33 +70,43 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def segments(path: Column, max_depth: int) -> Column:
-    """The path's segments with digits and long hexadecimal tokens as wildcards; at most ``max_depth``."""
+    """The path's segments with digits and long hexadecimal tokens as wildcards; a ``*`` of the url is escaped; at most ``max_depth``."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     parts = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, "(?i)[0-9a-f]{16,}", "{x}"), "[0-9]+", "{n}"))
+    parts = F.transform(parts, lambda x: F.when(x == "*", "%2A").otherwise(x))
     long = F.concat(F.slice(parts, 1, max_depth - 1), F.array(F.lit("**")))
     return F.when(F.size(parts) > max_depth, long).otherwise(parts)
 
 
-def grow(rows: DataFrame, max_branches: int, z_limit: float) -> DataFrame:
-    """Rows (host, segs, prefix, label) one segment deeper: prefix extended by a branch or ``*``."""
-    rows = rows.withColumn("seg", F.get("segs", F.lit(0)))
-    nodes = materialize(rows.where("seg is not null").groupBy("host", "prefix", "seg").agg(
-        F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")))
+def grow(rows: DataFrame, z_limit: float) -> DataFrame:
+    """Rows (host, segs, prefix, label) a branch deeper: prefix extended by the branch, or a wildcard, and what all below it share."""
+    rows = rows.withColumn("seg", F.get("segs", F.lit(0))).withColumn("segs", F.slice("segs", 2, 1 << 30))
+    nodes = materialize(rows.groupBy("host", "prefix", "seg").agg(
+        F.count(F.lit(1)).alias("pages"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"),
+        F.min("segs").alias("low"), F.max("segs").alias("high")))
+    unknown = F.col("labelled") == 0
     parents = nodes.groupBy("host", "prefix").agg(
-        F.count(F.lit(1)).alias("branches"), F.count_if(F.col("labelled") > 0).alias("known"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
+        F.count_if(~unknown).alias("known"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"),
+        F.count_if(unknown).alias("unknown"), F.sum(F.when(unknown, F.col("pages"))).alias("unknown_pages"),
+        F.count_if(unknown & (F.col("pages") == 1)).alias("single"))
     judged = nodes.join(parents, ["host", "prefix"])
     other = F.col("all_labelled") - F.col("labelled")
     share = F.try_divide("all_blocked", "all_labelled")
     spread = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1), "labelled") + F.try_divide(F.lit(1), other)))
     gap = F.try_divide("blocked", "labelled") - F.try_divide(F.col("all_blocked") - F.col("blocked"), other)
     differs = F.coalesce(F.abs(F.try_divide(gap, spread)) >= z_limit, F.lit(False))  # no evidence, no difference
-    alike = (F.col("known") > 1) & (F.col("labelled") > 0) & ~differs
-    variable = (F.col("branches") > max_branches) | alike
-    judged = materialize(judged.select("host", "prefix", "seg", F.when(variable, F.lit("*")).otherwise(F.col("seg")).alias("branch")))
+    alike = (F.col("known") > 1) & ~unknown & ~differs
+    variable = unknown & (F.col("unknown") > 1) & (2 * F.col("single") >= F.col("unknown_pages"))
+    wild = F.when(alike, "*").when(variable, F.when(F.col("known") > 1, "*#").otherwise("*"))
+    same = F.zip_with("low", "high", lambda a, b: F.coalesce(a == b, F.lit(False)))  # what least and greatest share, all share
+    at = F.array_position(same, F.lit(False)).cast("int")
+    shared = F.when(wild.isNotNull(), 0).when(at > 0, at - 1).otherwise(F.size("low"))
+    judged = materialize(judged.select("host", "prefix", "seg", F.coalesce(wild, "seg").alias("branch"), shared.alias("shared")))
     drop_table(nodes)
-    deeper = rows.join(judged, ["host", "prefix", "seg"], "left")
-    grown = F.when(F.col("branch").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "branch"))
-    out = materialize(deeper.select("row", "host", "label", F.slice("segs", 2, 1 << 30).alias("segs"), grown.alias("prefix")))
+    deeper = rows.join(judged, ["host", "prefix", "seg"])
+    step = F.array_join(F.concat(F.array("branch"), F.slice("segs", F.lit(1), F.col("shared"))), "/")
+    out = materialize(deeper.select("row", "host", "label", F.slice("segs", F.col("shared") + 1, F.lit(1 << 30)).alias("segs"),
+                                    F.concat("prefix", F.lit("/"), step).alias("prefix")))
     drop_table(judged)
     return out
 
@@ -116,7 +129,7 @@ def purities(rows: DataFrame, strength: float, most_prior: float) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, rules: Sequence[tuple[str, str, str]] = RULES,
-               max_depth: int = 6, max_branches: int = 40, z_limit: float = 1.96, strength: float = 4.0,
+               max_depth: int = 6, z_limit: float = 1.96, strength: float = 4.0,
                most_prior: float = 0.4, threshold: float = 0.5) -> DataFrame:
     """(``id_col``, host, path, rule, verdict, template, purity) of every page."""
     host, path = host_and_path(F.col("url"))
@@ -125,11 +138,13 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     parsed = materialize(parsed)
     rows = parsed.select("row", "host", (F.col("found.verdict") == "block").cast("long").alias("label"),
                          segments(F.col("path"), max_depth).alias("segs"), F.lit("").alias("prefix"))
-    deepest = rows.agg(F.max(F.size("segs"))).first()[0] or 0
-    steps = []
-    for _ in range(deepest):
-        rows = grow(rows, max_branches, z_limit)
-        steps.append(rows)
+    steps, ended = [], rows.where(F.size("segs") == 0).drop("segs")
+    rows = rows.where(F.size("segs") > 0)
+    while rows.limit(1).count():
+        steps.append(grow(rows, z_limit))
+        ended = ended.union(steps[-1].where(F.size("segs") == 0).drop("segs"))
+        rows = steps[-1].where(F.size("segs") > 0)
+    rows = ended
     purity = purities(rows, strength, most_prior)
     told = materialize(rows.select("row", "host", "prefix").join(purity, ["host", "prefix"]).select("row", "prefix", "purity"))
     for old in (*steps, purity):

@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from caseload.llm import url_filter
 
 
@@ -66,6 +68,30 @@ def test_templates(spark):
     assert verdicts["http://other.org/ads/old/1"] == "allow"
 
 
+@pytest.mark.parametrize("others", [10, 38, 39, 60])
+def test_verdicts_do_not_depend_on_the_number_of_branches(spark, others):
+    names = [f"dir{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(others)]
+    urls = [f"http://x.net/{top}/{i}" for top in ("es", "fr") for i in range(8)]  # labels: all blocked
+    urls += [f"http://x.net/{top}/{i}" for top in names for i in range(3)]
+    rules = [*url_filter.RULES, ("y.org", "/ads/old/", "block")]
+    rules += [("y.org", f"/{top}/old/", "allow") for top in names]
+    urls += [f"http://y.org/{top}/old/{i}" for top in ("ads", *names) for i in range(8)]  # one bad branch among good ones
+    urls += [f"http://y.org/{top}/new" for top in ("ads", *names)]
+    rows = url_filter.judge_urls(pages_of(spark, urls), rules=rules).collect()
+    blocked = {urls[r.page_id] for r in rows if r.verdict == "block"}
+    assert blocked == {u for u in urls if "/es/" in u or "/fr/" in u or "/ads/old/" in u}
+    template = {urls[r.page_id]: r.template for r in rows}
+    assert template["http://y.org/ads/old/1"].startswith("/ads/") and template["http://y.org/dirba/old/1"].startswith("/*/")
+
+
+def test_unlabelled_branches_beside_labelled_ones(spark):
+    urls = [f"http://x.net/{top}/{i}" for top in ("es", "fr") for i in range(8)]
+    urls += [f"http://x.net/user{chr(97 + i % 26)}{chr(97 + i // 26)}/{i}" for i in range(60)] + ["http://x.net/*/7"]
+    rows = url_filter.judge_urls(pages_of(spark, urls)).collect()
+    assert {(urls[r.page_id].split("/")[3][:2], r.template, r.verdict) for r in rows} == {
+        ("es", "/*/{n}", "block"), ("fr", "/*/{n}", "block"), ("us", "/*#/{n}", "allow"), ("*", "/*#/{n}", "allow")}
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert url_filter.judge_urls(pages_of(spark, [])).count() == 0
     twice = pages_of(spark, ["http://x.net/es/1"]).union(pages_of(spark, ["http://x.net/es/1"]))
