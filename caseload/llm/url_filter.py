@@ -4,7 +4,7 @@ Fixed rules (host, path) come first: a rule fits its host and all subdomains if
 starts with the rule's; the longest rule wins. Pages without a rule get the verdict of their
 template; the pages with a rule are the labels.
 
-The tree of a host is built from the root, level by level. In a
+The tree of a host is built from the root, level by level, until no path has segments left. In a
 segment, runs of digits and long hexadecimal tokens are variable and become wildcards. Under one parent,
 
 * each labelled branch is compared with its siblings: a two-proportion z-test of the share of
@@ -16,7 +16,7 @@ segment, runs of digits and long hexadecimal tokens are variable and become wild
   the chance that the next page brings a new segment); else they stay.
 
 A node is a grouped count of (host, prefix, segment). Segments that all pages below a branch
-share are taken in one step, so there are as many steps as forks on a path; depth is bounded by ``max_depth`` (the rest of a longer path is one segment). Purity is the blocked share of a template's labels, smoothed
+share are taken in one step, so there are as many steps as forks on a path, at any depth. Purity is the blocked share of a template's labels, smoothed
 with ``strength`` pseudo-labels. They have the share of its host, itself smoothed in this way
 towards the domain (last two labels) and all pages, but at most ``most_prior``: labels of other
 templates alone never reject one. A template of purity ``threshold`` or more is rejected.
@@ -69,13 +69,11 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return out
 
 
-def segments(path: Column, max_depth: int) -> Column:
-    """The path's segments with digits and long hexadecimal tokens as wildcards; a ``*`` of the url is escaped; at most ``max_depth``."""
+def segments(path: Column) -> Column:
+    """The path's segments with digits and long hexadecimal tokens as wildcards; a ``*`` of the url is escaped."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     parts = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, "(?i)[0-9a-f]{16,}", "{x}"), "[0-9]+", "{n}"))
-    parts = F.transform(parts, lambda x: F.when(x == "*", "%2A").otherwise(x))
-    long = F.concat(F.slice(parts, 1, max_depth - 1), F.array(F.lit("**")))
-    return F.when(F.size(parts) > max_depth, long).otherwise(parts)
+    return F.transform(parts, lambda x: F.when(x == "*", "%2A").otherwise(x))
 
 
 def grow(rows: DataFrame, z_limit: float) -> DataFrame:
@@ -129,7 +127,7 @@ def purities(rows: DataFrame, strength: float, most_prior: float) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, rules: Sequence[tuple[str, str, str]] = RULES,
-               max_depth: int = 6, z_limit: float = 1.96, strength: float = 4.0,
+               z_limit: float = 1.96, strength: float = 4.0,
                most_prior: float = 0.4, threshold: float = 0.5) -> DataFrame:
     """(``id_col``, host, path, rule, verdict, template, purity) of every page."""
     host, path = host_and_path(F.col("url"))
@@ -137,7 +135,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     parsed = parsed.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).withColumn("row", F.monotonically_increasing_id())
     parsed = materialize(parsed)
     rows = parsed.select("row", "host", (F.col("found.verdict") == "block").cast("long").alias("label"),
-                         segments(F.col("path"), max_depth).alias("segs"), F.lit("").alias("prefix"))
+                         segments(F.col("path")).alias("segs"), F.lit("").alias("prefix"))
     steps, ended = [], rows.where(F.size("segs") == 0).drop("segs")
     rows = rows.where(F.size("segs") > 0)
     while rows.limit(1).count():

@@ -92,6 +92,20 @@ def test_unlabelled_branches_beside_labelled_ones(spark):
         ("es", "/*/{n}", "block"), ("fr", "/*/{n}", "block"), ("us", "/*#/{n}", "allow"), ("*", "/*#/{n}", "allow")}
 
 
+def test_pages_that_differ_deep_in_the_path(spark):
+    for depth in (4, 5, 14):
+        top = "http://d.org/" + "/".join("abcdefghijklmn"[:depth])
+        fixed = top.removeprefix("http://d.org")
+        rules = [("d.org", f"{fixed}/ads/old/", "block"), ("d.org", f"{fixed}/news/old/", "allow")]
+        urls = [f"{top}/{kind}/old/{i}" for kind in ("ads", "news") for i in range(20)]
+        urls += [f"{top}/{kind}/ne{i}" for kind in ("ads", "news") for i in range(3)]
+        rows = url_filter.judge_urls(pages_of(spark, urls), rules=rules).collect()
+        template = {urls[r.page_id]: r.template for r in rows}
+        assert template[f"{top}/ads/old/1"] == f"{fixed}/ads/old/{{n}}"
+        assert template[f"{top}/news/ne1"] == f"{fixed}/news/ne{{n}}"
+        assert {urls[r.page_id] for r in rows if r.verdict == "block"} == {u for u in urls if "/ads/old/" in u}
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert url_filter.judge_urls(pages_of(spark, [])).count() == 0
     twice = pages_of(spark, ["http://x.net/es/1"]).union(pages_of(spark, ["http://x.net/es/1"]))
