@@ -90,3 +90,9 @@ def test_empty_table_missing_and_repeated_ids(docs_of):
     assert substring_dedup.substring_dedup(docs_of([])).count() == 0
     out = substring_dedup.substring_dedup(docs_of([(None, "x" * 60), (1, "x" * 60), (1, "x" * 60), (2, "x" * 60)])).collect()
     assert sorted(((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in out)) == [(False, 1, 0), (False, 1, 0), (False, 2, 60), (True, 0, 0)]
+
+
+@pytest.mark.parametrize("length", [134, 200])
+def test_lengths_beyond_a_byte_are_refused(docs_of, length):
+    with pytest.raises(ValueError, match=f"length {length}"):
+        substring_dedup.substring_dedup(docs_of([(1, "x" * 500), (2, "x" * 500)]), length=length)
