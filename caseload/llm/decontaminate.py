@@ -2,7 +2,8 @@
 
 Items are short, documents long: similarity of the whole sets says nothing, containment of the item
 in the document does. Words are runs of characters other than white space, in lower case; a set is
-the distinct five-word shingles (a text of fewer words is one shingle).
+the distinct five-word shingles (a text of fewer words is one shingle). So an item of one to four words is
+found only in documents of exactly these words: it is not searched inside longer ones, as in the SQL.
 
 Items are partitioned by the size m of their set (powers of two). Within a partition an item's
 MinHash sketch is its k smallest shingle hashes, k = m - ceil(0.75 m) + 1 being what the partition's
