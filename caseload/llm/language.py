@@ -10,7 +10,7 @@ document's language is the one with the largest expected number of letter words,
 * The lexicon counts the words of all learning documents: dense counts per task in 2^``BITS`` buckets,
   added up by Spark, so at most that many rows reach the driver.
 * The field is fitted on the driver by stochastic gradient ascent of the conditional likelihood, on at
-  most ``max_sample`` documents (smallest id hashes) of at most ``SAMPLE_WORDS`` words each from
+  most ``max_sample`` documents, equally many of each language (smallest id hashes), of at most ``SAMPLE_WORDS`` words each from
   anywhere in the text. Code-switched training sequences are spliced from documents of several languages,
   so the transitions see switches.
 * Prediction reads every whole text once, without a shuffle; memory is bounded by blocks of text.
@@ -31,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import sample_of, table
+from .common import table
 from .shingles import Hasher, blocks, mix, utf8
 
 BITS = 18
@@ -280,6 +280,19 @@ def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["id", "lang", "words"])
 
 
+def _sample(learning: DataFrame, most: int) -> DataFrame:
+    """(id, lang, words) of each language's ``most`` documents with a word of the smallest id hashes."""
+    worded = learning.where(F.col("text").rlike("[a-zA-Z\\x{80}-\\x{10ffff}]"))
+    sizes = {r.lang: r["count"] for r in worded.groupBy("lang").count().collect()}
+    place, near = F.pmod(F.xxhash64("id"), F.lit(1 << 31)), F.lit(False)
+    enough = most + 6 * most ** 0.5 + 30  # on average: below ``most``, or none, with a chance of about 1e-9
+    for lang, size in sizes.items():
+        near = near | ((F.col("lang") == lang) & (place < int(min(1.0, enough / size) * (1 << 31))))
+    rows = worded.where(near).mapInArrow(_excerpts, "id long, lang string, words array<binary>")
+    order = Window.partitionBy("lang").orderBy(place, "id", "words")  # at most about ``enough`` rows of a language
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
+
+
 def learn(docs: DataFrame, max_sample: int) -> Field | None:
     """The field learned from (text, lang, id); None without learning documents."""
     learning = docs.where("lang is not null and text is not null").where(~held_out(F.col("id")))
@@ -296,7 +309,7 @@ def learn(docs: DataFrame, max_sample: int) -> Field | None:
     lexicon = np.log(share + 2e-6)
     lexicon = (lexicon - lexicon.mean(axis=1, keepdims=True)).astype(np.float32)
 
-    chosen = sample_of(learning.select("id", "text", "lang"), "id", max_sample).mapInArrow(_excerpts, "id long, lang string, words array<binary>")
+    chosen = _sample(learning.select("id", "text", "lang"), max(1, max_sample // n))
     samples = [(r.lang, [bytes(w) for w in r.words]) for r in sorted(chosen.collect())]
     if not samples:
         return None

@@ -67,3 +67,11 @@ def test_edge_cases(spark, docs_of):
     assert language.identify(docs_of([])).count() == 0
     unknown = docs_of(rows[:5]).withColumn("lang", language.F.lit(None).cast("string"))
     assert {r.lang_pred for r in language.identify(unknown).collect()} == {"und"}
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    rows = [(i, f"the cat and dog {i}", "en") for i in range(3000)] + [(5000 + i, "le chat et chien", "fr") for i in range(3)]
+    monkeypatch.setattr(language, "fit", lambda samples, languages, lexicon: samples)
+    samples = language.learn(spark.createDataFrame(rows, "id long, text string, lang string").repartition(3), 20)
+    assert {lang for lang, _ in samples} == {"en", "fr"}
+    assert len({tuple(words) for lang, words in samples if lang == "en"}) <= 10
