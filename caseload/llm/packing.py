@@ -15,9 +15,10 @@ one sequence for each bit of its length. A power of two needs no padding, so not
 No shuffle: a window never leaves its task, memory is bounded by the window (documents and tokens),
 and sequence ids are unique because each task numbers within its partition id.
 
-Ids are those of the byte-level BPE vocabulary, special strings as ordinary text, and then
-``eos_id``. tiktoken computes them from the same vocabulary (about four times as fast as
-tokenizers, with equal ids); what it refuses is left to tokenizers.
+Ids are those of tokenizers with the byte-level BPE vocabulary as it is loaded, and then ``eos_id``.
+tiktoken computes them from the same vocabulary (about four times as fast, with equal ids); a text that holds
+the string of an added token, which tokenizers gives an id of its own, and what tiktoken refuses are
+left to tokenizers.
 
 Defined results: null and empty texts have the one token ``eos_id``; repeated rows are packed each;
 an empty table gives no pieces. Other columns are not read.
@@ -54,14 +55,17 @@ class Tokens:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.plain = Tokenizer.from_file(public_tokenizers.path(name + ".json"))
-        self.plain.encode_special_tokens = True
+        self.added = [token.content for token in self.plain.get_added_tokens_decoder().values()]
 
     def ids(self, text: str, eos_id: int) -> np.ndarray:
-        try:
-            ids = self.fast.encode_ordinary(text)
-        except BaseException as e:
-            if not (isinstance(e, ValueError) or type(e).__name__ == "PanicException"):  # how the Rust code gives up
-                raise
+        ids = None
+        if not any(string in text for string in self.added):
+            try:
+                ids = self.fast.encode_ordinary(text)
+            except BaseException as e:
+                if not (isinstance(e, ValueError) or type(e).__name__ == "PanicException"):  # how the Rust code gives up
+                    raise
+        if ids is None:
             ids = self.plain.encode(text, add_special_tokens=False).ids
         ids.append(eos_id)
         return np.array(ids, dtype="<u4")

@@ -15,7 +15,6 @@ from .conftest import SF
 
 def plain_ids(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [np.array([*e.ids, 1], "<u4") for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -50,7 +49,9 @@ def test_table(spark):
 
 
 def test_edge_cases(docs_of):
-    texts = {1: None, 2: "", 3: "x" * 100_000, 4: " " * 50_000, 5: "<|endoftext|> é 漢字 🙂", 6: "a b c " * 9000, 7: "\n\n", 8: "same", 9: "same"}
+    texts = {1: None, 2: "", 3: "x" * 100_000, 4: " " * 50_000, 5: "<|endoftext|> é 漢字 🙂", 6: "a b c " * 9000, 7: "\n\n", 8: "same", 9: "same",
+             10: "ends with <|endoftext|>", 11: "a<|endoftext|>b <|endoftext|><|endoftext|> c", 12: "<|endoftext|>", 13: "<|endoftext|",
+             14: " <|endoftext|> " * 3000}
     rows = packing.pack_documents(docs_of(list(texts.items())), window_docs=3).collect()
     check(rows, texts)
     assert packing.pack_documents(docs_of([])).count() == 0
