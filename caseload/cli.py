@@ -24,7 +24,7 @@ from pyspark.sql import SparkSession
 
 from caseload.operators import intake as intake_rows
 from caseload.operators import planning, reports, search
-from caseload.operators.cases import build_cases
+from caseload.operators.cases import REGISTRATION_COLUMNS, build_cases
 from caseload.operators.scoring import number_cases, score
 from caseload.sources import tables
 from caseload.streaming.intake_stream import RESPONSE_SCHEMA, start_stream
@@ -47,7 +47,7 @@ def anonymize(spark: SparkSession, input_dir: str, output_dir: str, fmt: str = "
 def build(spark: SparkSession, input_dir: str, output_dir: str, fmt: str = "parquet",
           partition_by: list[str] | None = None) -> None:
     """Write the case table; ``partition_by`` (e.g. governorate) lets equality filters prune directories."""
-    cases = number_cases(score(build_cases(tables.load_case_tables(spark, input_dir, fmt))))
+    cases = number_cases(score(build_cases(tables.load_case_tables(spark, input_dir, fmt))), tie=REGISTRATION_COLUMNS)
     writer = cases.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

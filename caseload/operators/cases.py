@@ -126,6 +126,10 @@ _RENAMES = (
 )
 
 
+#: Columns of the case table that come from the registrations alone.
+REGISTRATION_COLUMNS = ["family_size", "dependents", "breadwinners", "city", "governorate", "displacement_type", "housing_type"]
+
+
 def build_cases(tables: CaseTables) -> DataFrame:
     """One row per registration row with the 11 signals, counts and need summaries (§1.4)."""
     main = tables.main

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from caseload import schema as S
 from caseload.functions.scalars import size_bonus, tier, weighted_sum
-from caseload.session import materialize
 
 
 def score(df: DataFrame, weights=S.WEIGHTS, bonus=S.SIZE_BONUS, tiers=S.TIERS, size_col: str = "family_size") -> DataFrame:
@@ -18,53 +17,103 @@ def score(df: DataFrame, weights=S.WEIGHTS, bonus=S.SIZE_BONUS, tiers=S.TIERS, s
 
 
 _ID_BITS = 33  # monotonically_increasing_id(): partition index in the upper 31 bits, row index in the lower 33
+#: Sampled places per range: the ranges' sizes then differ by little (about an eighth).
+OVERSAMPLE = 64
+_STEP = 32  # splitters per step of the two-step search
 
 
-def range_tagged(df: DataFrame, order_by: str, num_partitions: int | None = None) -> DataFrame:
+def _placed(df: DataFrame, order_by: str | list[str], tie: list[str] | None) -> DataFrame:
+    """``df`` with ``_place``: the order key (null last), then a hash of ``tie`` (by default of all columns)."""
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    tie = [f"`{c}`" for c in (df.columns if tie is None else tie)]
+    parts = []
+    for i, k in enumerate(keys):
+        parts += [F.col(f"`{k}`").isNull().alias(f"n{i}"), F.col(f"`{k}`").alias(f"k{i}")]
+    return df.withColumn("_place", F.struct(*parts, (F.xxhash64(*tie) if tie else F.lit(0)).alias("tb")))
+
+
+def _splitters(places: DataFrame, ranges: int) -> Column:
+    """The places that split the rows into about equal ranges, ascending, as a scalar subquery.
+
+    A quantile sketch: places whose hash is below a bound, about ``OVERSAMPLE * ranges`` of them and each once, so
+    neither a large table nor a hot place makes it larger. The sample depends on the rows alone, so
+    every evaluation gives the same splitters.
+    """
+    rows = places.agg(F.count(F.lit(1)).alias("n")).scalar()
+    bound = F.lit(float(OVERSAMPLE * ranges)) / rows * F.lit(float(1 << 31))
+    sample = places.where(F.pmod(F.xxhash64("_place"), F.lit(1 << 31)) < bound)
+    found = sample.agg(F.array_sort(F.collect_set("_place")).alias("s"))
+    picked = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)),
+                         lambda i: F.get(F.col("s"), F.floor(i * F.size("s") / F.lit(ranges)).cast("int")))
+    none = F.slice("s", 1, 0)
+    return found.select(F.when((F.lit(ranges) > 1) & (F.size("s") > 0), F.array_distinct(picked)).otherwise(none).alias("s")).scalar()
+
+
+def _range_of(place: Column, splitters: Column) -> Column:
+    """How many of the ascending splitters are not above the place, by a search in two steps."""
+    steps = F.filter(splitters, lambda s, i: i % _STEP == _STEP - 1)
+    step = F.size(F.filter(steps, lambda s: s <= place))
+    within = F.slice(splitters, step * _STEP + 1, _STEP)
+    return (step * _STEP + F.size(F.filter(within, lambda s: s <= place))).cast("int")
+
+
+def _ranged(df: DataFrame, order_by: str | list[str], ranges: int, tie: list[str] | None) -> DataFrame:
+    """``df`` with ``_place`` and its range ``_part`` (0 ... ranges - 1)."""
+    placed = _placed(df, order_by, tie)
+    staged = placed.withColumn("_splitters", _splitters(placed.select("_place"), ranges))
+    return staged.withColumn("_part", _range_of(F.col("_place"), F.col("_splitters"))).drop("_splitters")
+
+
+def range_tagged(df: DataFrame, order_by: str | list[str], num_partitions: int | None = None,
+                 tie: list[str] | None = None) -> DataFrame:
     """Range-partition on (order key, row hash), sort within partitions and tag each row with ``_rid``.
 
     ``_rid >> 33`` is the range partition, the low 33 bits the position in it.
-    Without ``num_partitions`` the partition count is left to the session
-    (``spark.sql.shuffle.partitions``) and AQE may merge adjacent small ranges,
-    which keeps the order.
     """
-    cols = df.columns
-    tiebreak = F.xxhash64(*[F.col(f"`{c}`") for c in cols]) if cols else F.lit(0)
-    keys = (F.col(order_by).asc_nulls_last(), F.col("_tb").asc())  # rows without a key get the last numbers
-    staged = df.withColumn("_tb", tiebreak)
-    ranged = staged.repartitionByRange(num_partitions, *keys) if num_partitions else staged.repartitionByRange(*keys)
+    ranges = num_partitions or _ranges(df)
+    return _tagged(_ranged(df, order_by, ranges, tie), ranges).drop("_part")
+
+
+def _tagged(ranged: DataFrame, ranges: int) -> DataFrame:
     return (
         ranged
-        .sortWithinPartitions(*keys)
+        .repartitionById(ranges, F.col("_part"))
+        .sortWithinPartitions("_place")
         .withColumn("_rid", F.monotonically_increasing_id())
-        .drop("_tb")
+        .drop("_place")
     )
 
 
-def number_cases(df: DataFrame, order_by: str = "family_id", start=1, name: str = "family_num",
-                 num_partitions: int | None = None) -> DataFrame:
-    """Number rows ``start, start+1, ...`` in ``order_by`` order without a single-task window.
+def _ranges(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def number_cases(df: DataFrame, order_by: str | list[str] = "family_id", start=1, name: str = "family_num",
+                 num_partitions: int | None = None, tie: list[str] | None = None) -> DataFrame:
+    """Number rows ``start, start+1, ...`` in ``order_by`` order without a single-task window and without a scratch table.
 
-    1. Range-partition on (order key, row hash): the hash splits a hot key across
-       ranges, so no task receives more than its share even for duplicate keys.
-    2. Sort within partitions and tag each row with (partition, position).
-    3. Write the tagged rows as Parquet into the checkpoint folder, so partition
-       membership is frozen for the next two steps (a re-run of an upstream
-       shuffle could order rows differently and move the range bounds).
-    4. Count rows per partition (one row per partition), prefix-sum the counts
-       (a table of at most ``num_partitions`` rows, broadcast), add the offset.
+    1. Splitters from a quantile sketch of the place (order key, row hash): the hash splits a
+       hot key across ranges, so no task receives more than its share even for duplicate keys.
+    2. Rows per range (one row per range), prefix-summed: the offsets, broadcast.
+    3. One pass over the wide rows: they go to their range's partition, are sorted there, and
+       their number is offset + position.
 
+    Steps 1 and 2 read only the columns of the place. ``tie`` names the columns of the row hash (default:
+    all); with columns that come from one input table, the joins that produce the others are dropped from
+    steps 1 and 2. Rows equal in all of these may swap their numbers. ``df`` is evaluated more than once, so it
+    must give the same rows each time (stored tables and deterministic steps on them do).
     ``start`` may be a column expression (e.g. max existing number + 1).
     """
-    tagged = materialize(range_tagged(df, order_by, num_partitions))
-    part = F.shiftright(F.col("_rid"), _ID_BITS)
-    counts = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    ranges = num_partitions or _ranges(df)
+    ranged = _ranged(df, order_by, ranges, tie)
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = F.col("_rid") - F.shiftleft(part, _ID_BITS)
+    offsets = counts.select(F.col("_part").alias("_range"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    tagged = _tagged(ranged, ranges)
+    position = F.col("_rid") - F.shiftleft(F.shiftright(F.col("_rid"), _ID_BITS), _ID_BITS)
     first = start if isinstance(start, Column) else F.lit(start)
     return (
-        tagged.join(F.broadcast(offsets), part == F.col("_part"))
-        .withColumn(name, (F.col("_off") + local + first).cast("bigint"))
-        .drop("_rid", "_part", "_off")
+        tagged.join(F.broadcast(offsets), F.col("_part") == F.col("_range"))
+        .withColumn(name, (F.col("_off") + position + first).cast("bigint"))
+        .drop("_rid", "_part", "_range", "_off")
     )

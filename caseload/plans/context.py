@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseload.operators.cases import build_cases
+from caseload.operators.cases import REGISTRATION_COLUMNS, build_cases
 from caseload.operators.scoring import number_cases, score
 from caseload.schema import CaseTables
 from caseload.session import drop_table, materialize
@@ -39,7 +39,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored and numbered case table, written once and read by every report."""
     key = _key(spark, sf_dir)
     if key not in _CASES:
-        _CASES[key] = materialize(number_cases(built_cases(spark, sf_dir)))
+        _CASES[key] = materialize(number_cases(built_cases(spark, sf_dir), tie=REGISTRATION_COLUMNS))
     return _CASES[key]
 
 

@@ -22,7 +22,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from caseload import schema as S  # noqa: E402
-from caseload.operators.cases import build_cases  # noqa: E402
+from caseload.operators.cases import REGISTRATION_COLUMNS, build_cases  # noqa: E402
 from caseload.operators.scoring import number_cases, score  # noqa: E402
 from caseload.schema import CaseTables, DamageCols, MainCols, MemberCols, NeedsCols  # noqa: E402
 from caseload.session import local_session, materialize  # noqa: E402
@@ -72,7 +72,7 @@ def tables(spark, families: int, hot: bool) -> CaseTables:
 
 def build(spark, families: int, hot: bool) -> float:
     t0 = time.perf_counter()
-    materialize(number_cases(score(build_cases(tables(spark, families, hot))))).count()
+    materialize(number_cases(score(build_cases(tables(spark, families, hot))), tie=REGISTRATION_COLUMNS)).count()
     return time.perf_counter() - t0
 
 
@@ -86,7 +86,7 @@ def intake_run(spark, responses: int) -> float:
                     F.lit('", "breadwinners": "'), (F.col("id") % 3).cast("string"), F.lit('"} end'))
     texts = r.select(F.col("id").alias("intake_id"),
                      F.when(F.col("id") % 17 == 0, F.lit("note {broken")).otherwise(good).alias("response"))
-    existing = materialize(number_cases(score(build_cases(tables(spark, 100_000, False)))))
+    existing = materialize(number_cases(score(build_cases(tables(spark, 100_000, False))), tie=REGISTRATION_COLUMNS))
     t0 = time.perf_counter()
     out = intake.append(existing, intake.score_intake(intake.parse_responses(texts)))
     out.write.format("noop").mode("overwrite").save()
