@@ -23,11 +23,11 @@ import sys
 from pyspark.sql import SparkSession
 
 from caseload.operators import intake as intake_rows
-from caseload.operators import planning, reports, search
+from caseload.operators import partials, planning, reports, search
 from caseload.operators.cases import REGISTRATION_COLUMNS, build_cases
 from caseload.operators.scoring import number_cases, score
 from caseload.sources import tables
-from caseload.streaming.intake_stream import RESPONSE_SCHEMA, start_stream
+from caseload.streaming.intake_stream import RESPONSE_SCHEMA, parts_path, start_stream
 
 
 def list_files(spark: SparkSession, directory: str, suffix: str = ".csv") -> list[str]:
@@ -82,7 +82,11 @@ def intake(spark: SparkSession, responses: str, cases_dir: str, output_dir: str,
     if stream:
         last = cases.agg({"family_num": "max"}).first()[0] or 0
         start_stream(spark, responses, os.path.join(output_dir, "table"), os.path.join(output_dir, "quarantine"),
-                     os.path.join(output_dir, "checkpoint"), start_number=last).awaitTermination()
+                     os.path.join(output_dir, "checkpoint"), start_number=last, caseload=cases).awaitTermination()
+        parts = parts_path(os.path.join(output_dir, "table"))
+        tables.export_csv(partials.needs_report(spark, parts), os.path.join(output_dir, "needs_report"),
+                          order_by=["section", "pos", "item"], single_file=True)
+        tables.export_csv(partials.headline(spark, parts), os.path.join(output_dir, "headline"), single_file=True)
         return
     parsed = intake_rows.parse_responses(spark.read.schema(RESPONSE_SCHEMA).parquet(responses))
     intake_rows.append(cases, intake_rows.score_intake(parsed)).write.mode("overwrite").parquet(output_dir)

@@ -52,13 +52,15 @@ def parse_need_items(df: DataFrame, text_col: str = "response") -> DataFrame:
         *keep, "item_pos", *[F.col("it")[f].alias(f) for f in S.NEED_ITEM_FIELDS])
 
 
-def intake_id(payload: list[Column]) -> Column:
-    """Upper-hex id from the record payload (X22); deterministic so replays agree.
+def record_id(key: Column, payload: list[Column]) -> Column:
+    """Upper-hex id of a record (X22): the digest of its intake id, or of its payload if it has none.
 
-    The form tool shows 8 random hex characters; 32 bits collide after tens of
-    thousands of records, so the whole digest (128 bits) is the key.
+    The form tool shows 8 random hex characters; 32 bits collide after tens of thousands of records,
+    so the whole digest (128 bits) is the key. Records of one intake id share it, whatever they hold, so a
+    corrected resend is known again.
     """
-    return F.upper(F.md5(F.concat_ws("␟", *[c.cast("string") for c in payload])))
+    by_payload = F.concat_ws("␟", *[c.cast("string") for c in payload])
+    return F.upper(F.md5(F.when(key.isNull(), by_payload).otherwise(F.concat(F.lit("id␟"), key.cast("string")))))
 
 
 def parsed_rows(parsed: DataFrame) -> DataFrame:
@@ -73,6 +75,22 @@ def parsed_rows(parsed: DataFrame) -> DataFrame:
         f"array<{row_ddl(parsed)}>"))))
 
 
+def first_records(parsed: DataFrame, key: str = "intake_id", text_col: str = "response") -> DataFrame:
+    """The records to add from parsed responses, the one rule of batch and stream intake.
+
+    Only responses that parsed count, so a malformed one never displaces a good one. Of the good ones
+    that share an id the one with the smallest digest of its text stays, whatever order they came in. A
+    response without id cannot be a resend of anything: each is a record of its own.
+    An id that repeats any number of times is one row per task before the shuffle.
+    """
+    good = parsed_rows(parsed)
+    columns = [c for c in good.columns if c != key]
+    known = good.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.min(F.struct(F.sha2(text_col, 256).alias("_digest"), *[F.col(c) for c in columns])).alias("_first"))
+    unknown = good.where(F.col(key).isNull())
+    return known.select(key, *[F.col("_first")[c].alias(c) for c in columns]).unionByName(unknown).select(*good.columns)
+
+
 def row_ddl(df: DataFrame) -> str:
     return "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.schema.fields) + ">"
 
@@ -85,7 +103,7 @@ def score_intake(parsed: DataFrame, key: str = "intake_id") -> DataFrame:
     false = F.lit(False)
     rows = p.select(
         F.col(key),
-        intake_id([F.col(key), *[F.col(f) for f in S.INTAKE_FIELDS]]).alias("family_id"),
+        record_id(F.col(key), [F.col(f) for f in S.INTAKE_FIELDS]).alias("family_id"),
         F.lit(S.MANUAL_SOURCE_FILE).alias("source_file"),
         F.lit(S.MANUAL_SOURCE_SHEET).alias("source_sheet"),
         F.col("family_size").cast("double").alias("family_size"),
@@ -111,17 +129,36 @@ def next_number(existing: DataFrame, name: str = "family_num") -> Column:
     return existing.agg((F.coalesce(F.max(name), F.lit(0)) + F.lit(1)).cast("bigint")).scalar()
 
 
+def fresh_rows(existing: DataFrame, new_rows: DataFrame, key: str = "intake_id") -> DataFrame:
+    """The scored rows whose record is not stored yet (same ``family_id``: the digest of the intake id).
+
+    Rows without id are all fresh. Of rows that still repeat an id the first in column order stays.
+    """
+    columns = [c for c in new_rows.columns if c != key]
+    once = new_rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*columns)).alias("_first")).select(
+        key, *[F.col("_first")[c].alias(c) for c in columns])
+    stored = existing.where(F.col("source_file") == S.MANUAL_SOURCE_FILE).select(F.col("family_id").cast("string").alias("family_id"))
+    known = once.join(stored, "family_id", "left_anti")
+    return known.unionByName(new_rows.where(F.col(key).isNull()))
+
+
+def rows_to_append(existing: DataFrame, new_rows: DataFrame, key: str = "intake_id") -> DataFrame:
+    """The fresh rows, numbered after the existing ones and with the existing columns.
+
+    Missing columns become null, extra ones are dropped. Nothing of ``existing`` but its records' ids and
+    its largest number is read.
+    """
+    fresh = fresh_rows(existing, new_rows, key)
+    numbered = number_cases(fresh, order_by=[key, "family_id"], start=next_number(existing), tie=[]).drop(key)
+    shape = existing.limit(0).withColumn("family_id", F.col("family_id").cast("string"))
+    return shape.unionByName(numbered, allowMissingColumns=True).select(*existing.columns)
+
+
 def append(existing: DataFrame, new_rows: DataFrame, key: str = "intake_id") -> DataFrame:
-    """Number the new rows after the existing ones and align them to the existing columns.
+    """The caseload with the fresh rows.
 
-    A new row whose ``key`` repeats within the new rows, or whose record (same ``family_id``: the digest
-    of key and payload) is stored already, is added once.
-    Missing columns of the new rows become null and their extra columns are
-    dropped. Survey ids are long and intake ids text, so ``family_id`` is text
-    in the union (D12).
+    Survey ids are long and intake ids text, so ``family_id`` is text in the union (D12). To store the
+    result, write ``rows_to_append`` beside the existing files instead.
     """
     old = existing.withColumn("family_id", F.col("family_id").cast("string"))
-    stored = old.where(F.col("source_file") == S.MANUAL_SOURCE_FILE).select("family_id")
-    fresh = new_rows.dropDuplicates([key]).join(stored, "family_id", "left_anti")
-    numbered = number_cases(fresh, order_by=key, start=next_number(existing))
-    return old.unionByName(numbered.drop(key), allowMissingColumns=True).select(*existing.columns)
+    return old.unionByName(rows_to_append(existing, new_rows, key))

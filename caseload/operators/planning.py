@@ -83,6 +83,12 @@ def needs_summary(df: DataFrame, need_rules=S.NEED_RULES, medical_rules=S.MEDICA
     One global aggregate (partial per task, one row per task merged), written
     as SQL aggregate expressions so the ~35 rule columns cost one plan call.
     """
+    return df.selectExpr(*summary_aggregates(df, need_rules, medical_rules, rates, base_people))
+
+
+def summary_aggregates(df: DataFrame, need_rules=S.NEED_RULES, medical_rules=S.MEDICAL_RULES,
+                       rates=S.FINANCIAL_RATES, base_people: int = S.RATION_BASE_PEOPLE) -> list[str]:
+    """The aggregate expressions of ``needs_summary``: counts and sums, so rows of parts of a table add up."""
     size = _size_sql(df, base_people)
     size_int = f"try_cast({size} AS BIGINT)"
     aggs = ["count(1) AS families"]
@@ -106,7 +112,7 @@ def needs_summary(df: DataFrame, need_rules=S.NEED_RULES, medical_rules=S.MEDICA
         else:
             value = f"CASE WHEN {_sig_sql(df, signal)} THEN {amount} ELSE 0 END"
         aggs.append(f"CAST(coalesce(sum({value}), 0) AS BIGINT) AS sum_{col_name}")
-    return df.selectExpr(*aggs)
+    return aggs
 
 
 def aggregate_needs(df: DataFrame, rules=S.NEED_RULES, summary: DataFrame | None = None) -> DataFrame:

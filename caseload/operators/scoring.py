@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseload import schema as S
-from caseload.functions.scalars import size_bonus, tier, weighted_sum
+from caseload.functions.scalars import size_bonus, sql_literal, tier, weighted_sum
 
 
 def score(df: DataFrame, weights=S.WEIGHTS, bonus=S.SIZE_BONUS, tiers=S.TIERS, size_col: str = "family_size") -> DataFrame:
@@ -32,21 +34,28 @@ def _placed(df: DataFrame, order_by: str | list[str], tie: list[str] | None) ->
     return df.withColumn("_place", F.struct(*parts, (F.xxhash64(*tie) if tie else F.lit(0)).alias("tb")))
 
 
-def _splitters(places: DataFrame, ranges: int) -> Column:
-    """The places that split the rows into about equal ranges, ascending, as a scalar subquery.
+def _splitters(places: DataFrame, ranges: int) -> list[tuple]:
+    """The places that split the rows into about equal ranges, ascending (fewer than ``ranges``).
 
     A quantile sketch: places whose hash is below a bound, about ``OVERSAMPLE * ranges`` of them and each once, so
-    neither a large table nor a hot place makes it larger. The sample depends on the rows alone, so
-    every evaluation gives the same splitters.
+    neither a large table nor a hot place makes it larger. The splitters reach the driver, the sample does not.
     """
-    rows = places.agg(F.count(F.lit(1)).alias("n")).scalar()
-    bound = F.lit(float(OVERSAMPLE * ranges)) / rows * F.lit(float(1 << 31))
-    sample = places.where(F.pmod(F.xxhash64("_place"), F.lit(1 << 31)) < bound)
+    rows = places.count() if ranges > 1 else 0
+    if not rows:
+        return []
+    bound = OVERSAMPLE * ranges / rows * (1 << 31)
+    sample = places.where(F.pmod(F.xxhash64("_place"), F.lit(1 << 31)) < F.lit(bound))
     found = sample.agg(F.array_sort(F.collect_set("_place")).alias("s"))
     picked = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)),
                          lambda i: F.get(F.col("s"), F.floor(i * F.size("s") / F.lit(ranges)).cast("int")))
-    none = F.slice("s", 1, 0)
-    return found.select(F.when((F.lit(ranges) > 1) & (F.size("s") > 0), F.array_distinct(picked)).otherwise(none).alias("s")).scalar()
+    first = found.select(F.when(F.size("s") > 0, F.array_distinct(picked)).alias("s")).first()
+    return list(first.s or [])
+
+
+def _literal(places: list[tuple], place_type: str) -> Column:
+    """An array literal of places (one expression, folded to a constant)."""
+    rows = ", ".join("struct(" + ", ".join(sql_literal(v) for v in place) + ")" for place in places)
+    return F.expr(f"CAST(array({rows}) AS array<{place_type}>)")
 
 
 def _range_of(place: Column, splitters: Column) -> Column:
@@ -60,8 +69,8 @@ def _range_of(place: Column, splitters: Column) -> Column:
 def _ranged(df: DataFrame, order_by: str | list[str], ranges: int, tie: list[str] | None) -> DataFrame:
     """``df`` with ``_place`` and its range ``_part`` (0 ... ranges - 1)."""
     placed = _placed(df, order_by, tie)
-    staged = placed.withColumn("_splitters", _splitters(placed.select("_place"), ranges))
-    return staged.withColumn("_part", _range_of(F.col("_place"), F.col("_splitters"))).drop("_splitters")
+    splitters = _literal(_splitters(placed.select("_place"), ranges), dict(placed.dtypes)["_place"])
+    return placed.withColumn("_part", _range_of(F.col("_place"), splitters))
 
 
 def range_tagged(df: DataFrame, order_by: str | list[str], num_partitions: int | None = None,
@@ -94,26 +103,22 @@ def number_cases(df: DataFrame, order_by: str | list[str] = "family_id", start=1
 
     1. Splitters from a quantile sketch of the place (order key, row hash): the hash splits a
        hot key across ranges, so no task receives more than its share even for duplicate keys.
-    2. Rows per range (one row per range), prefix-summed: the offsets, broadcast.
+    2. Rows per range, summed up to the ranges' offsets (one number per range).
     3. One pass over the wide rows: they go to their range's partition, are sorted there, and
        their number is offset + position.
 
-    Steps 1 and 2 read only the columns of the place. ``tie`` names the columns of the row hash (default:
-    all); with columns that come from one input table, the joins that produce the others are dropped from
-    steps 1 and 2. Rows equal in all of these may swap their numbers. ``df`` is evaluated more than once, so it
-    must give the same rows each time (stored tables and deterministic steps on them do).
+    Steps 1 and 2 run at once and read only the columns of the place. ``tie`` names the columns of the row hash
+    (default: all); with columns that come from one input table, the joins that produce the others are dropped
+    from steps 1 and 2. Rows equal in all of these may swap their numbers. ``df`` is evaluated more than
+    once, so it must give the same rows each time (stored tables and deterministic steps on them do).
     ``start`` may be a column expression (e.g. max existing number + 1).
     """
     ranges = num_partitions or _ranges(df)
     ranged = _ranged(df, order_by, ranges, tie)
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("_part").alias("_range"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    tagged = _tagged(ranged, ranges)
+    sizes = dict(ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).collect())  # one row per range
+    offsets = [0, *accumulate(sizes.get(part, 0) for part in range(ranges - 1))]
+    offset = F.get(F.expr(f"array({', '.join(f'{n}L' for n in offsets)})"), F.col("_part"))
     position = F.col("_rid") - F.shiftleft(F.shiftright(F.col("_rid"), _ID_BITS), _ID_BITS)
     first = start if isinstance(start, Column) else F.lit(start)
-    return (
-        tagged.join(F.broadcast(offsets), F.col("_part") == F.col("_range"))
-        .withColumn(name, (F.col("_off") + position + first).cast("bigint"))
-        .drop("_rid", "_part", "_range", "_off")
-    )
+    numbered = _tagged(ranged, ranges).withColumn(name, (offset + position + first).cast("bigint"))
+    return numbered.drop("_rid", "_part")

@@ -9,7 +9,6 @@ integer outputs are BIGINT, list outputs are ``|``-joined text.
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +17,11 @@ from pyspark.sql import functions as F
 from caseload import schema as S
 from caseload.functions import scalars
 from caseload.operators import cases as C
-from caseload.operators import intake, planning, privacy, reports, search
+from caseload.operators import intake, partials, planning, privacy, reports, search
 from caseload.plans import context
 from caseload.schema import DamageCols, MemberCols, NeedsCols
-from caseload.session import checkpoint_dir
 from caseload.sources import adapters
-from caseload.streaming.intake_stream import start_stream
+from caseload.streaming.intake_stream import parts_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -346,7 +344,7 @@ INTAKE_OUT = ["family_num", "family_id", "source_file", "city", "governorate", "
 
 
 def intake_parse(spark, d):
-    parsed = intake.parse_responses(adapters.intake_texts(spark, d))
+    parsed = intake.parse_responses(adapters.intake_texts(spark, d, resent=True))
     return parsed.drop("response")
 
 
@@ -357,27 +355,25 @@ def need_array_parse(spark, d):
 
 def intake_append(spark, d):
     existing = context.cases(spark, d)
-    new = intake.score_intake(intake.parse_responses(adapters.intake_texts(spark, d)))
+    parsed = intake.parse_responses(adapters.intake_texts(spark, d, resent=True))
+    new = context.scratch(intake.score_intake(intake.first_records(parsed)))
     out = intake.append(existing, new)
     return out.select(*INTAKE_OUT).withColumn("priority_score", F.col("priority_score").cast("bigint"))
 
 
-def _last_number(spark, d) -> int:
-    return context.cases(spark, d).agg(F.coalesce(F.max("family_num"), F.lit(0))).first()[0]
-
-
 def intake_stream(spark, d):
-    """Run the streaming intake over the responses written as files; return the resulting table."""
-    root = os.path.join(checkpoint_dir(spark), f"intake-{uuid.uuid4().hex}")
-    src = os.path.join(root, "source")
-    adapters.intake_texts(spark, d).write.parquet(src)
-    q = start_stream(spark, src, os.path.join(root, "table"), os.path.join(root, "quarantine"),
-                     os.path.join(root, "stream-checkpoint"), start_number=_last_number(spark, d))
-    q.awaitTermination()
-    out = spark.read.parquet(os.path.join(root, "table"))
+    """The table of the streaming intake over the responses."""
+    out = spark.read.parquet(os.path.join(context.intake_stream(spark, d), "table"))
     return out.select(*INTAKE_OUT).withColumn("priority_score", F.col("priority_score").cast("bigint"))
 
 
+def _after_intake(report) -> Query:
+    """A report over caseload and streamed intake, from the parts that the stream stored."""
+    def run(spark, d):
+        return report(spark, parts_path(os.path.join(context.intake_stream(spark, d), "table")))
+    return run
+
+
 # -------------------------------------------------------------------------------------
 
 QUERIES: dict[str, Query] = {
@@ -443,4 +439,9 @@ QUERIES: dict[str, Query] = {
     "need_array_parse": need_array_parse,
     "intake_append": intake_append,
     "intake_stream": intake_stream,
+    "report_after_intake": _after_intake(partials.needs_report),
+    "headline_after_intake": _after_intake(partials.headline),
+    "signals_after_intake": _after_intake(partials.signal_totals),
+    "top_cities_after_intake": _after_intake(partials.top_cities),
+    "mean_scores_after_intake": _after_intake(partials.mean_scores),
 }

@@ -11,15 +11,22 @@ itself use ``built_cases`` (lazy, end to end from the four survey tables).
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caseload.operators.cases import REGISTRATION_COLUMNS, build_cases
 from caseload.operators.scoring import number_cases, score
 from caseload.schema import CaseTables
-from caseload.session import drop_table, materialize
+from caseload.session import checkpoint_dir, drop_table, materialize, remove
 from caseload.sources import adapters
+from caseload.streaming.intake_stream import start_stream
 
 _CASES: dict[tuple, DataFrame] = {}
+_SCRATCH: list[DataFrame] = []
+_STREAMS: dict[tuple, str] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple:
@@ -43,7 +50,31 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _CASES[key]
 
 
+def scratch(df: DataFrame) -> DataFrame:
+    """``df`` as a stored table that ``clear`` removes."""
+    _SCRATCH.append(materialize(df))
+    return _SCRATCH[-1]
+
+
+def intake_stream(spark: SparkSession, sf_dir: str) -> str:
+    """Run the streaming intake over the responses, written as files, once; the folder of its tables."""
+    key = _key(spark, sf_dir)
+    if key not in _STREAMS:
+        root = os.path.join(checkpoint_dir(spark), f"intake-{uuid.uuid4().hex}")
+        adapters.intake_texts(spark, sf_dir, resent=True).write.parquet(os.path.join(root, "source"))
+        caseload = cases(spark, sf_dir)
+        last = caseload.agg(F.coalesce(F.max("family_num"), F.lit(0))).first()[0]
+        start_stream(spark, os.path.join(root, "source"), os.path.join(root, "table"), os.path.join(root, "quarantine"),
+                     os.path.join(root, "stream-checkpoint"), start_number=last, caseload=caseload).awaitTermination()
+        _STREAMS[key] = root
+    return _STREAMS[key]
+
+
 def clear() -> None:
-    """Forget the stored case tables and remove their files."""
+    """Forget the stored tables and remove their files."""
     while _CASES:
         drop_table(_CASES.popitem()[1])
+    while _SCRATCH:
+        drop_table(_SCRATCH.pop())
+    while _STREAMS:
+        remove(SparkSession.active(), _STREAMS.popitem()[1])

@@ -261,7 +261,7 @@ def _summary_sql() -> str:
             f"CAST(COALESCE(sum({_size_int()}), 0) AS BIGINT) AS ration_people, {costs} FROM scored")
 
 
-def _report_sql() -> str:
+def _report_sql(source: str = "scored") -> str:
     """The long needs report: the four section statements mapped onto one column layout."""
     cast = "CAST(NULL AS VARCHAR)"
     basket = " UNION ALL ".join(
@@ -270,14 +270,14 @@ def _report_sql() -> str:
         f"CAST(NULL AS DOUBLE) AS share FROM agg"
         for pos, (item, qty, unit) in enumerate(S.RATION_BASKET))
     return (
-        f", agg AS (SELECT COALESCE(sum({_size_clip()} / 4.0), 0.0) AS scale FROM scored) "
+        f", agg AS (SELECT COALESCE(sum({_size_clip()} / 4.0), 0.0) AS scale FROM {source}) "
         f"SELECT 'needs' AS section, urgency_rank AS pos, need_item AS item, category, urgency, {cast} AS unit, "
-        f"families_count AS families, CAST(NULL AS DOUBLE) AS amount, pct_of_total AS share FROM {needs_sql()} "
+        f"families_count AS families, CAST(NULL AS DOUBLE) AS amount, pct_of_total AS share FROM {needs_sql(source)} "
         f"UNION ALL {basket} "
         f"UNION ALL SELECT 'medical', item_pos, item, {cast}, {cast}, unit, families, CAST(total_qty AS DOUBLE), "
-        f"CAST(NULL AS DOUBLE) FROM {medical_sql()} "
+        f"CAST(NULL AS DOUBLE) FROM {medical_sql(source)} "
         f"UNION ALL SELECT 'budget', line_pos, category, {cast}, {cast}, 'USD', CAST(NULL AS BIGINT), "
-        f"CAST(total_usd AS DOUBLE), CAST(NULL AS DOUBLE) FROM {financial_sql()}")
+        f"CAST(total_usd AS DOUBLE), CAST(NULL AS DOUBLE) FROM {financial_sql(source)}")
 
 
 def _rate_sql() -> str:
@@ -308,9 +308,9 @@ def _tier_spine(value_sql: str, name: str) -> str:
             f"GROUP BY sp.tier_pos, sp.priority_tier")
 
 
-def _signal_totals_sql() -> str:
+def _signal_totals_sql(source: str = "scored") -> str:
     return " UNION ALL ".join(
-        f"SELECT {q(lbl)} AS signal, {q(c)} AS column, CAST(count_if({c}) AS BIGINT) AS families FROM scored"
+        f"SELECT {q(lbl)} AS signal, {q(c)} AS column, CAST(count_if({c}) AS BIGINT) AS families FROM {source}"
         for c, lbl in S.SIGNAL_LABELS)
 
 
@@ -411,7 +411,7 @@ def _birth_year_sql(col: str) -> str:
 
 
 INTAKE_T = """intake_t AS (
-  SELECT event_id AS intake_id,
+  SELECT CASE WHEN event_id % 19 = 0 THEN NULL WHEN event_id % 23 = 1 THEN event_id - 1 ELSE event_id END AS intake_id,
          CASE event_id % 17
               WHEN 0 THEN 'note {broken'
               WHEN 1 THEN record || ']}'
@@ -439,31 +439,34 @@ def _intake_parsed() -> str:
             "intake_span AS (SELECT intake_id, response, regexp_extract(response, '(?s)\\{.*\\}', 0) AS span FROM intake_t),\n"
             "intake_ok AS (SELECT *, CASE WHEN span <> '' AND json_valid(span) THEN json_type(span) = 'OBJECT' ELSE FALSE END AS ok "
             "FROM intake_span),\n"
-            f"intake_parsed AS (SELECT intake_id, ok AS parse_ok, {', '.join(fields)} FROM intake_ok)")
+            f"intake_read AS (SELECT intake_id, response, ok AS parse_ok, {', '.join(fields)} FROM intake_ok),\n"
+            "intake_parsed AS (SELECT * EXCLUDE (response) FROM intake_read),\n"
+            # of the good responses of an id the one with the smallest digest; all without id
+            "intake_first AS (SELECT * FROM intake_read WHERE parse_ok QUALIFY intake_id IS NULL "
+            "OR row_number() OVER (PARTITION BY intake_id ORDER BY sha256(response)) = 1)")
 
 
 def _intake_scored(start: str) -> str:
     disp = "COALESCE(displacement_type, '')"
     housing = "COALESCE(housing_type, '')"
-    payload = ", ".join(["CAST(intake_id AS VARCHAR)"] + [
-        f"CAST({f} AS VARCHAR)" if f in S.INTAKE_NUMERIC else f for f in S.INTAKE_FIELDS])
+    payload = ", ".join(f"CAST({f} AS VARCHAR)" if f in S.INTAKE_NUMERIC else f for f in S.INTAKE_FIELDS)
     return (
         ",\nintake_rows AS (SELECT intake_id, "
-        f"upper(md5(concat_ws('␟', {payload}))) AS family_id, "
+        f"upper(md5(CASE WHEN intake_id IS NULL THEN concat_ws('␟', {payload}) ELSE 'id␟' || CAST(intake_id AS VARCHAR) END)) AS family_id, "
         f"{q(S.MANUAL_SOURCE_FILE)} AS source_file, "
         f"COALESCE(NULLIF(city, ''), {q(S.UNKNOWN_CITY)}) AS city, COALESCE(governorate, '') AS governorate, "
         f"{disp} AS displacement_type, {housing} AS housing_type, CAST(family_size AS DOUBLE) AS family_size, "
         "CAST(breadwinners AS DOUBLE) AS breadwinners, COALESCE(need_type, '') AS need_type, "
         f"{disp} IN {_in(S.DISPLACED_TYPES)} AS is_displaced, {housing} = {q(S.HOUSING_HOMELESS)} AS is_homeless, "
         f"{housing} = {q(S.HOUSING_RENTING)} AS is_renting, COALESCE(breadwinners = 0, FALSE) AS is_unemployed "
-        "FROM intake_parsed WHERE parse_ok),\n"
+        "FROM intake_first),\n"
         "intake_scored AS (SELECT *, CAST((CASE WHEN is_homeless THEN 40 ELSE 0 END) + "
         "(CASE WHEN is_unemployed THEN 25 ELSE 0 END) + (CASE WHEN is_displaced THEN 20 ELSE 0 END) + "
         "(CASE WHEN is_renting THEN 10 ELSE 0 END) + (CASE WHEN family_size >= 7 THEN 15 WHEN family_size >= 5 "
         "THEN 10 WHEN family_size >= 3 THEN 5 ELSE 0 END) AS BIGINT) AS priority_score FROM intake_rows),\n"
         "intake_final AS (SELECT *, CASE WHEN priority_score >= 80 THEN 'CRITICAL' WHEN priority_score >= 50 "
         "THEN 'HIGH' WHEN priority_score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS priority_tier, "
-        f"CAST({start} + row_number() OVER (ORDER BY intake_id) AS BIGINT) AS family_num FROM intake_scored)\n")
+        f"CAST({start} + row_number() OVER (ORDER BY intake_id NULLS LAST, family_id) AS BIGINT) AS family_num FROM intake_scored)\n")
 
 
 INTAKE_COLS = ("family_num, family_id, source_file, city, governorate, displacement_type, housing_type, family_size, "
@@ -485,6 +488,15 @@ NEED_ITEMS_T = """need_items_t AS (
 )"""
 
 
+def _after_intake() -> str:
+    """Prefix with ``everyone``: the scored caseload and the intake records, with the columns that reports use."""
+    false = {s for s in S.SIGNALS} - {"is_displaced", "is_homeless", "is_renting", "is_unemployed"}
+    intake = ", ".join(f"FALSE AS {s}" if s in false else s for s in S.SIGNALS)
+    rest = "family_size, city, priority_tier, priority_score"
+    return (BASE + _intake_parsed() + _intake_scored("(SELECT max(family_num) FROM scored)")
+            + f", everyone AS (SELECT {', '.join(S.SIGNALS)}, {rest} FROM scored UNION ALL SELECT {intake}, {rest} FROM intake_final)\n")
+
+
 def _need_array_sql() -> str:
     return (
         f"WITH {NEED_ITEMS_T},\n"
@@ -647,5 +659,15 @@ def statements() -> dict[str, str]:
                          + f"SELECT {INTAKE_COLS.replace('family_id', 'CAST(family_id AS VARCHAR) AS family_id')} "
                            f"FROM scored UNION ALL SELECT {INTAKE_COLS} FROM intake_final",
         "intake_stream": BASE + _intake_parsed() + _intake_scored("(SELECT max(family_num) FROM scored)") + f"SELECT {INTAKE_COLS} FROM intake_final",
+        "report_after_intake": _after_intake() + _report_sql("everyone"),
+        "headline_after_intake": _after_intake() + "SELECT CAST(count(*) AS BIGINT) AS families, "
+                                 "CAST(trunc(COALESCE(sum(family_size), 0.0)) AS BIGINT) AS individuals, "
+                                 + ", ".join(f"CAST(count_if(priority_tier = {q(t)}) AS BIGINT) AS {t.lower()}"
+                                             for t in S.TIER_ORDER) + " FROM everyone",
+        "signals_after_intake": _after_intake() + _signal_totals_sql("everyone"),
+        "top_cities_after_intake": _after_intake() + "SELECT city, CAST(count(*) AS BIGINT) AS families FROM everyone "
+                                   "WHERE city IS NOT NULL GROUP BY city ORDER BY families DESC, city LIMIT 10",
+        "mean_scores_after_intake": _after_intake() + "SELECT city, avg(CAST(priority_score AS DOUBLE)) AS avg_value FROM everyone "
+                                    "WHERE city IS NOT NULL GROUP BY city ORDER BY avg_value DESC, city LIMIT 10",
     }
     return out

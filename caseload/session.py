@@ -77,11 +77,15 @@ def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder on any Hadoop file system, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the files behind a frame that ``materialize`` returned."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._caseload_path)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(df.sparkSession, df._caseload_path)
 
 
 def scale_settings(families: int, total_cores: int, row_bytes: int = 256,

@@ -172,8 +172,12 @@ def case_tables(spark: SparkSession, sf_dir: str) -> CaseTables:
     )
 
 
-def intake_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model responses for the intake path: one text per event, some of them not one JSON object."""
+def intake_texts(spark: SparkSession, sf_dir: str, resent: bool = False) -> DataFrame:
+    """Model responses for the intake path: one text per event, some of them not one JSON object.
+
+    With ``resent`` every 19th has no id and every 23rd the id of the response before it, which may be
+    malformed (a corrected resend) or hold another record.
+    """
     e = _read(spark, sf_dir, "events").select("event_id", "user_id")
     eid = F.col("event_id")
     record = F.concat(
@@ -190,7 +194,8 @@ def intake_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(eid % 17 == 5, F.lit('{"family_size": 4, "city": "م", "extra": {"a": [1, {}]}}'))
         .otherwise(F.concat(F.lit("note: "), record, F.lit(" end")))
     )
-    return e.select(eid.alias("intake_id"), response.alias("response"))
+    key = F.when(eid % 19 == 0, F.lit(None).cast("bigint")).when(eid % 23 == 1, eid - 1).otherwise(eid) if resent else eid
+    return e.select(key.alias("intake_id"), response.alias("response"))
 
 
 def need_item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

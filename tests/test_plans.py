@@ -13,7 +13,7 @@ from caseload.sources import adapters
 from conftest import SF
 
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas", "MapInPandas")
-SKIP = {"intake_stream"}  # runs a streaming query when called
+SKIP = {n for n in catalog.QUERIES if n == "intake_stream" or n.endswith("_after_intake")}  # run a streaming query when called
 
 
 def plan(df) -> str:
@@ -62,6 +62,5 @@ def test_numbering_has_no_global_window_over_rows(spark):
     cases = build_cases(adapters.case_tables(spark, SF))
     numbered = number_cases(cases)
     text = numbered._jdf.queryExecution().optimizedPlan().toString()
-    # the only window is over the per-partition count table (at most shuffle.partitions rows)
-    window_lines = [ln for ln in text.splitlines() if "Window [" in ln]
-    assert len(window_lines) == 1 and "_n" in window_lines[0]
+    # the offsets of the ranges are constants; positions come from the sorted partitions
+    assert not [ln for ln in text.splitlines() if "Window [" in ln]
