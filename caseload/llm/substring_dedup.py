@@ -13,7 +13,8 @@ smaller id is removed; windows are judged on the input.
 3. Construction. A part's distinct segments are one collection: its Burrows-Wheeler transform and common
    prefixes are built by column-wise insertion in sequential files (``bwt``). Rows whose common
    prefixes reach ``length`` are the occurrences of one window; their smallest document is what
-   counts. Segments get it for every window, in runs.
+   counts. Segments get it for every window, in runs. An anchor with one distinct segment needs no
+   construction: all its windows occur in that segment's documents only.
 4. The runs are joined to the segments' occurrences, also those of a hot segment, which adaptive
    execution splits; covered bytes are united per document and cut out of the texts.
 
@@ -40,7 +41,7 @@ from . import bwt
 from .common import drop_table, materialize, partitions, table
 from .shingles import _BASE, _INVERSE, blocks, mix, utf8
 
-ANCHOR = 16
+ANCHOR = 24
 BITS = 1 << 27
 #: Rows a task packs before it sends them.
 PACK = 1 << 21
@@ -318,11 +319,14 @@ def _covers(length: int):
         fresh = np.ones(len(anchor), bool)
         fresh[1:] = anchor[1:] != anchor[:-1]
         begin = np.flatnonzero(fresh)
+        several = np.diff(np.append(begin, len(anchor)))
+        alone = np.repeat(several == 1, several) & (low < high)  # its windows occur in copies of this one segment only
         shared = np.minimum.reduceat(low, begin) < np.maximum.reduceat(high, begin)
-        shared = np.repeat(shared, np.diff(np.append(begin, len(anchor))))  # the others were selected in vain
+        shared = np.repeat(shared & (several > 1), several)  # the others were selected in vain
+        simple = (key[alone].view(np.int64), anchor[alone].view(np.int64), np.zeros(alone.sum(), np.int64), size[alone] - length, low[alone])
         key, anchor, start, size, low, high = (x[shared] for x in (key, anchor, start, size, low, high))
         if not len(key):
-            return None
+            return covers(simple)
         found = earliest(_gather(text, start, size), size, low, length)
         windows = size - length + 1
         owner = np.repeat(np.arange(len(size)), windows)
@@ -334,7 +338,12 @@ def _covers(length: int):
         useful = seen < high[who]
         begin, end, who, seen = begin[useful], end[useful], who[useful], seen[useful]
         base = (np.cumsum(windows) - windows)[who]
-        columns = (key[who].view(np.int64), anchor[who].view(np.int64), begin - base, end - base, seen)
+        built = (key[who].view(np.int64), anchor[who].view(np.int64), begin - base, end - base, seen)
+        return covers([np.concatenate(both) for both in zip(simple, built)])
+
+    def covers(columns) -> pa.RecordBatch | None:
+        if not len(columns[0]):
+            return None
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "anchor", "a", "b", "low"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
