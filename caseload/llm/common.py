@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from caseload.session import checkpoint_dir, drop_table, materialize
 
-__all__ = ["checkpoint_dir", "drop_table", "materialize", "partitions", "sample_of", "table", "task_cache", "without"]
+__all__ = ["checkpoint_dir", "drop_table", "free_name", "materialize", "partitions", "sample_of", "table", "task_cache", "without"]
 
 #: Rows of ids or labels (16 bytes each) up to which a side may be broadcast.
 BROADCAST_ROWS = 1 << 20
@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of the frame has it (in any case)."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

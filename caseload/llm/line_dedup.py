@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, drop_table, materialize, table
+from .common import BROADCAST_ROWS, drop_table, free_name, materialize, table
 from .decontaminate import bound
 
 ENDS = " \t\n\x0b\x0c\r"
@@ -130,11 +130,14 @@ def without_lines(text: Column, gone: Column) -> Column:
         F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)), "\n"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 10) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 10,
+                        removed_col: str | None = None) -> DataFrame:
     """The documents with all their columns, later copies of line runs deleted from the text.
 
-    ``_removed`` is the number of deleted lines.
+    ``removed_col`` is the number of deleted lines: ``_removed``, or with more underscores in front if the
+    documents have such a column (``free_name``).
     """
+    removed_col = removed_col or free_name(docs, "_removed")
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     gone = deletions(thin, min_words).withColumnRenamed("id", "_id")
     size = gone.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("gone")).alias("lines")).first()
@@ -143,7 +146,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = docs.join(gone, docs[id_col] == gone["_id"], "left")
     text = F.when(gone["gone"].isNull(), docs[text_col]).otherwise(without_lines(docs[text_col], gone["gone"]))
     columns = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size(gone["gone"]), F.lit(0)).cast("long").alias("_removed"))
+    return joined.select(*columns, F.coalesce(F.size(gone["gone"]), F.lit(0)).cast("long").alias(removed_col))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,8 @@ from .common import drop_table, materialize, partitions, table
 from .shingles import _BASE, _INVERSE, blocks, mix, utf8
 
 ANCHOR = 24
+#: The longest window.
+LONGEST = 133
 BITS = 1 << 27
 #: Rows a task packs before it sends them.
 PACK = 1 << 21
@@ -441,8 +443,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 50) -> DataFrame:
     """One row per document: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes)."""
-    if 2 * length - ANCHOR > 250:
-        raise ValueError(f"length {length}: segments of 2 * length - {ANCHOR} bytes must have at most 250, as sizes and prefixes are one byte")
+    if length > LONGEST:
+        raise ValueError(f"length {length}: at most {LONGEST}, as segments of up to 2 * length - {ANCHOR} bytes have sizes and prefixes of one byte")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spans = repeated_spans(docs, length)
     few = (spans.agg(F.sum(F.size("starts"))).first()[0] or 0) <= BROADCAST_SPANS
