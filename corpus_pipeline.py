@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseload.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from caseload.llm.common import drop_table, materialize, table
+from caseload.llm.common import drop_table, free_name, materialize, table
 
 ORACLE_SQL = None
 
@@ -30,11 +30,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_repeated_lines(docs)
+    removed = free_name(docs, "_removed")
+    out = line_dedup.drop_repeated_lines(docs, removed_col=removed)
     blank = F.btrim("text", F.lit(line_dedup.ENDS)) == ""
-    left = out.where((F.col("_removed") == 0) | ~blank)
-    n_chars = F.when(F.col("_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", n_chars).drop("_removed")
+    left = out.where((F.col(removed) == 0) | ~blank)
+    n_chars = F.when(F.col(removed) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", n_chars).drop(removed)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
