@@ -2,7 +2,8 @@
 
   anonymize --input DIR --output DIR     route the four exports by file name (S2), read them (S1),
                                          drop PII / bucket occupation / derive birth year (P1-P4),
-                                         refuse to write if PII remains (P2), write the tables (S4)
+                                         refuse to write if PII remains (P2), write the tables (S4);
+                                         where malformed rows are goes to ``errors`` (file, reason, columns)
   build     --input DIR --output DIR     four tables → scored, numbered case table (Parquet)
   report    --cases DIR --output DIR     needs report, priority list and per-family plans as CSV (S5);
             [--filter JSON]              optionally over a filtered caseload (predicate spec, F8)
@@ -26,7 +27,8 @@ from caseload.operators import intake as intake_rows
 from caseload.operators import partials, planning, reports, search
 from caseload.operators.cases import REGISTRATION_COLUMNS, build_cases
 from caseload.operators.scoring import number_cases, score
-from caseload.sources import tables
+from caseload.operators.privacy import route_files
+from caseload.sources import tables, typed_csv
 from caseload.streaming.intake_stream import RESPONSE_SCHEMA, parts_path, start_stream
 
 
@@ -40,8 +42,9 @@ def list_files(spark: SparkSession, directory: str, suffix: str = ".csv") -> lis
 
 
 def anonymize(spark: SparkSession, input_dir: str, output_dir: str, fmt: str = "parquet") -> None:
-    raw = tables.load_exports(spark, list_files(spark, input_dir))
+    raw, errors = typed_csv.scan_tables(spark, route_files(list_files(spark, input_dir)))
     tables.write_tables(tables.anonymize_tables(raw), output_dir, fmt)
+    errors.drop("record").write.mode("overwrite").parquet(os.path.join(output_dir, "errors"))  # records may name people
 
 
 def build(spark: SparkSession, input_dir: str, output_dir: str, fmt: str = "parquet",

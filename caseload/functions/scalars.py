@@ -137,21 +137,43 @@ def occupation_bucket(c: Column, buckets=S.OCCUPATION_BUCKETS) -> Column:
     return out.otherwise(F.lit(S.OTHER_BUCKET))
 
 
-BIRTH_DATE_FORMATS = ("yyyy-MM-dd", "yyyy", "MM/dd/yyyy", "dd/MM/yyyy")
+# The forms of a whole date text: three fields of digits, with a time of day after them or not; eight digits; a year.
+_DATE_FIELDS = r"^(\d{1,4})\s*[-/.]\s*(\d{1,2})\s*[-/.]\s*(\d{1,4})(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+_DATE_DIGITS = r"^(\d{4})(\d{2})(\d{2})$"
+_YEAR_ONLY = r"^\d{4}$"
+#: Two-digit years from this on are 19xx, those below 20xx.
+YEAR_PIVOT = 69
 
 
-def birth_year(c: Column, formats: Sequence[str] = BIRTH_DATE_FORMATS) -> Column:
+def _year_if_date(year: Column, a: Column, b: Column) -> Column:
+    """The year, if ``a`` and ``b`` are month and day of it in either order; else null."""
+    day = lambda m, d: F.try_to_timestamp(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), m, d), F.lit("yyyy-M-d"))
+    return F.when(F.coalesce(day(a, b), day(b, a)).isNotNull(), year)
+
+
+def birth_year(c: Column) -> Column:
     """Year of a date-of-birth text.
 
-    Blank gives null. Otherwise the first of ``formats`` that parses the whole
-    (trimmed, ASCII-digit) text gives the year; failing that, the first
-    stand-alone 19xx/20xx number in the text; else null.
+    Blank gives null. The (trimmed, ASCII-digit) text is read by the widths of its fields: a four-digit
+    field at either end is the year; without one the last field is a two-digit year (``YEAR_PIVOT``); the two
+    other fields must be a month and a day that exist, in either order. A time of day may follow. Eight digits are
+    year, month and day; four digits are a year. Any other text gives its first stand-alone 19xx/20xx number; else null.
     """
     text = F.translate(strip(c), _ARABIC_INDIC, _ASCII_DIGITS)
-    parsed = [F.year(F.try_to_timestamp(text, F.lit(fmt))) for fmt in formats]
+    first, middle, last = (F.regexp_extract(text, _DATE_FIELDS, i) for i in (1, 2, 3))
+    short = last.try_cast("int")
+    short = F.when(short < YEAR_PIVOT, short + 2000).otherwise(short + 1900)
+    digits = [F.regexp_extract(text, _DATE_DIGITS, i) for i in (1, 2, 3)]
+    by_fields = (
+        F.when((F.length(first) == 4) & (F.length(last) <= 2), _year_if_date(first.try_cast("int"), middle, last))
+        .when((F.length(last) == 4) & (F.length(first) <= 2), _year_if_date(last.try_cast("int"), first, middle))
+        .when((F.length(last) == 2) & (F.length(first) <= 2), _year_if_date(short, first, middle))
+    )
+    by_digits = _year_if_date(digits[0].try_cast("int"), digits[1], digits[2])
+    alone = F.when(text.rlike(_YEAR_ONLY), text.try_cast("int"))
     found = F.regexp_extract(text, S.BIRTH_YEAR_PATTERN, 1)
     by_regex = F.when(found != F.lit(""), found.try_cast("int"))
-    return F.when(is_blank(c), F.lit(None).cast("int")).otherwise(F.coalesce(*parsed, by_regex))
+    return F.when(is_blank(c), F.lit(None).cast("int")).otherwise(F.coalesce(by_fields, by_digits, alone, by_regex))
 
 
 def capitalize(c: Column) -> Column:

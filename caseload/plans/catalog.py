@@ -293,6 +293,15 @@ def caseload_filter_lists(spark, d):
     return rows.select("family_num", "family_id", "priority_tier", "city", "displacement_type")
 
 
+FILTER_CITIES = [f"{nation}{part}" for nation in ("FRANCE", "CHINA", "INDIA", "PERU", "KENYA") for part in ("", "-0", "-1", "-2", "-3")]
+
+
+def caseload_filter_all_lists(spark, d):
+    rows = search.by_options(context.cases(spark, d), tiers=["CRITICAL", "HIGH", "MEDIUM"], cities=FILTER_CITIES,
+                             displacement=[*S.DISPLACED_TYPES[:2], S.HOST_COMMUNITY])
+    return rows.select("family_num", "family_id", "priority_tier", "city", "displacement_type")
+
+
 def case_profile_by_number(spark, d):
     return reports.case_profile(context.cases(spark, d), family_num=7).select("family_num", "field", "value")
 
@@ -323,6 +332,29 @@ def anonymize_members(spark, d):
         F.col(MemberCols.OCCUPATION).alias("occupation_bucket"), F.col(MemberCols.BIRTH_YEAR).alias("birth_year"))
 
 
+def anonymize_damage(spark, d):
+    out = privacy.assert_no_pii(privacy.anonymize(adapters.raw_damage(spark, d), "damage"), "damage")
+    return out.select(*[F.col(f"`{c}`").alias(a) for c, a in (
+        (DamageCols.FAMILY_ID, "family_id"), (DamageCols.CATEGORY, "category"), (DamageCols.QUANTITY, "quantity"))],
+        F.lit(len(out.columns)).cast("bigint").alias("n_columns"))
+
+
+def anonymize_needs(spark, d):
+    out = privacy.assert_no_pii(privacy.anonymize(adapters.raw_needs(spark, d), "needs"), "needs")
+    return out.select(*[F.col(f"`{c}`").alias(a) for c, a in (
+        (NeedsCols.FAMILY_ID, "family_id"), (NeedsCols.PROGRAM, "program"), (NeedsCols.CLASSIFICATION, "classification"),
+        (NeedsCols.QUANTITY, "quantity"), (NeedsCols.SERVICE_RECEIVED, "served"))],
+        F.lit(len(out.columns)).cast("bigint").alias("n_columns"))
+
+
+def birth_year_forms(spark, d):
+    return adapters.date_texts(spark, d).withColumn("birth_year", scalars.birth_year(F.col("dob_text")))
+
+
+def occupation_sentences(spark, d):
+    return adapters.occupation_texts(spark, d).withColumn("occupation_bucket", scalars.occupation_bucket(F.col("occupation_text")))
+
+
 def occupation_bucket(spark, d):
     m = adapters.raw_members(spark, d)
     text = F.col(f"`{MemberCols.OCCUPATION_TEXT}`")
@@ -425,6 +457,7 @@ QUERIES: dict[str, Query] = {
     "queue_headline": queue_headline,
     "caseload_filter": caseload_filter,
     "caseload_filter_lists": caseload_filter_lists,
+    "caseload_filter_all_lists": caseload_filter_all_lists,
     "case_profile_by_number": case_profile_by_number,
     "column_profile_analytics": column_profile_analytics,
     "needs_json": needs_json,
@@ -433,6 +466,10 @@ QUERIES: dict[str, Query] = {
     **{k: _analyse(*v) for k, v in ANALYSES.items()},
     "anonymize_main": anonymize_main,
     "anonymize_members": anonymize_members,
+    "anonymize_damage": anonymize_damage,
+    "anonymize_needs": anonymize_needs,
+    "birth_year_forms": birth_year_forms,
+    "occupation_sentences": occupation_sentences,
     "occupation_bucket": occupation_bucket,
     "birth_year": birth_year,
     "intake_parse": intake_parse,

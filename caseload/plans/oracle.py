@@ -509,6 +509,48 @@ def _need_array_sql() -> str:
         "FROM ok, LATERAL (SELECT unnest(range(CAST(json_array_length(span) AS BIGINT))) AS pos)")
 
 
+_ARABIC = "'٠١٢٣٤٥٦٧٨٩', '0123456789'"
+
+
+def _date_forms_sql() -> str:
+    """Date texts in many forms and their years, by one rule: the widths of the fields."""
+    old = "(o_orderdate - INTERVAL 100 YEAR)"
+    texts = ["strftime(o_orderdate, '%Y%m%d')", "strftime(o_orderdate, '%m/%d/%y')", f"strftime({old}, '%Y-%m-%d') || ' 00:00:00'",
+             f"strftime({old}, '%-d/%-m/%Y')", "'  ' || strftime(o_orderdate, '%d.%m.%Y') || ' '",
+             "translate(strftime(o_orderdate, '%Y/%-m/%-d'), '0123456789', '٠١٢٣٤٥٦٧٨٩')", "strftime(o_orderdate, '%Y-%d-%m')",
+             "strftime(o_orderdate, '%Y-%m-%d') || 'T07:30:00Z'", "'about ' || strftime(o_orderdate, '%Y')", "'13/45/85'", "'19901399'",
+             "strftime(o_orderdate, '%Y') || '-02-30'", "''", "'٢٠'", "strftime(o_orderdate, '%-d-%-m-%y')"]
+    cases = " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts))
+    fields = r"'^(\d{1,4})\s*[-/.]\s*(\d{1,2})\s*[-/.]\s*(\d{1,4})([T ]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$'"
+
+    def checked(year: str, a: str, b: str) -> str:
+        dates = [f"TRY_CAST(lpad(CAST({year} AS VARCHAR), 4, '0') || '-' || {m} || '-' || {d} AS DATE)" for m, d in ((a, b), (b, a))]
+        return f"CASE WHEN COALESCE({dates[0]}, {dates[1]}) IS NOT NULL THEN {year} END"
+
+    return (f"WITH raw AS (SELECT CAST(o_orderkey AS BIGINT) AS member_key, CASE o_orderkey % {len(texts) + 1} {cases} END AS dob_text FROM orders), "
+            f"t AS (SELECT *, translate(trim(dob_text), {_ARABIC}) AS x FROM raw), "
+            f"f AS (SELECT *, regexp_extract(x, {fields}, 1) AS a, regexp_extract(x, {fields}, 2) AS b, regexp_extract(x, {fields}, 3) AS c FROM t), "
+            "y AS (SELECT *, CASE WHEN TRY_CAST(c AS INTEGER) < 69 THEN 2000 ELSE 1900 END + TRY_CAST(c AS INTEGER) AS short FROM f) "
+            "SELECT member_key, dob_text, CAST(CASE WHEN dob_text IS NULL OR x = '' THEN NULL ELSE COALESCE("
+            f"CASE WHEN length(a) = 4 AND length(c) <= 2 THEN {checked('TRY_CAST(a AS INTEGER)', 'b', 'c')} "
+            f"WHEN length(c) = 4 AND length(a) <= 2 THEN {checked('TRY_CAST(c AS INTEGER)', 'a', 'b')} "
+            f"WHEN length(c) = 2 AND length(a) BETWEEN 1 AND 2 THEN {checked('short', 'a', 'b')} END, "
+            "CASE WHEN length(x) = 8 AND regexp_full_match(x, '\\d{8}') THEN "
+            f"{checked('TRY_CAST(x[1:4] AS INTEGER)', 'x[5:6]', 'x[7:8]')} END, "
+            "CASE WHEN regexp_full_match(x, '\\d{4}') THEN TRY_CAST(x AS INTEGER) END, "
+            f"TRY_CAST(NULLIF(regexp_extract(x, {q(S.BIRTH_YEAR_PATTERN)}, 1), '') AS INTEGER)) END AS INTEGER) AS birth_year FROM y")
+
+
+def _occupation_sql() -> str:
+    words = [w for _, keywords in S.OCCUPATION_BUCKETS for w in keywords]
+    return (f"WITH w AS (SELECT *, ([{', '.join(q(x) for x in words)}])[o_orderkey % {len(words)} + 1] AS word FROM orders), "
+            "t AS (SELECT CAST(o_orderkey AS BIGINT) AS member_key, CASE (o_orderkey // 32) % 8 WHEN 0 THEN word "
+            "WHEN 1 THEN '  ' || word || chr(9) WHEN 2 THEN o_orderstatus || ' ' || upper(word) || ' منذ ٢٠١٥' "
+            "WHEN 3 THEN 'كان ' || word || '، والآن ' || o_orderpriority WHEN 4 THEN ' ' || chr(9) || ' ' WHEN 5 THEN o_orderstatus "
+            "WHEN 6 THEN '' END AS occupation_text FROM w), s AS (SELECT *, trim(occupation_text, ' ' || chr(9)) AS x FROM t) "
+            f"SELECT member_key, occupation_text, {_bucket_sql('x')} AS occupation_bucket FROM s")
+
+
 def _search_sql(pred: str) -> str:
     return BASE + f"SELECT {DISPLAY} FROM scored WHERE {pred}"
 
@@ -653,6 +695,28 @@ def statements() -> dict[str, str]:
                                     f"{_bucket_sql('occ_text')} AS occupation_bucket FROM members_t",
         "birth_year": BASE + f"SELECT k AS member_key, dob_text, {_birth_year_sql('dob_text')} AS birth_year "
                              "FROM members_t",
+        "birth_year_forms": _date_forms_sql(),
+        "occupation_sentences": _occupation_sql(),
+        "anonymize_damage": "SELECT CAST(o_custkey AS BIGINT) AS family_id, CASE (o_custkey + l_partkey % 2) % 3 "
+                            f"WHEN 0 THEN {q(S.DAMAGE_CATEGORIES[0])} WHEN 1 THEN {q(S.DAMAGE_CATEGORIES[1])} "
+                            f"ELSE {q(S.DAMAGE_CATEGORIES[2])} END AS category, l_quantity AS quantity, CAST(3 AS BIGINT) AS n_columns "
+                            "FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+                            "WHERE l_returnflag IN ('A', 'R') AND o_custkey % 5 = 0 OR o_custkey % 13 = 0",
+        "anonymize_needs": BASE + ", with_quantity AS (SELECT CAST(o.o_custkey AS BIGINT) AS family_id, "
+                           f"CASE (o.o_custkey * 7 + l.l_partkey % 4) % 16 WHEN 0 THEN {q(S.PROGRAM_FINANCIAL)} "
+                           f"WHEN 1 THEN {q(S.PROGRAM_MEDICAL)} WHEN 2 THEN {q(S.PROGRAM_LEGAL)} WHEN 3 THEN {q(S.PROGRAM_EDUCATION)} "
+                           f"WHEN 15 THEN NULL ELSE {q(S.PROGRAM_FOOD)} END AS program, "
+                           f"CASE WHEN o.o_custkey % 9 <> 0 THEN {q(S.NEED_BLANKETS)} WHEN l.l_suppkey % 3 = 0 THEN {q(S.BABY_NEEDS[0])} "
+                           f"WHEN l.l_suppkey % 3 = 1 THEN {q(S.BABY_NEEDS[1])} ELSE {q(S.NEED_BLANKETS)} END AS classification, "
+                           f"l.l_quantity AS quantity, CASE WHEN l.l_linestatus = 'F' AND o.o_custkey % 3 = 0 THEN {q(S.YES)} "
+                           f"ELSE {q(S.NO)} END AS served FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey "
+                           "WHERE NOT COALESCE(l.l_returnflag IN ('A', 'R') AND o.o_custkey % 5 = 0 OR o.o_custkey % 13 = 0, FALSE)) "
+                           "SELECT *, CAST(5 AS BIGINT) AS n_columns FROM with_quantity",
+        "caseload_filter_all_lists": BASE + "SELECT family_num, family_id, priority_tier, city, displacement_type FROM scored "
+                                     "WHERE priority_tier IN ('CRITICAL', 'HIGH', 'MEDIUM') AND city IN ("
+                                     + ", ".join(q(f"{n}{p}") for n in ("FRANCE", "CHINA", "INDIA", "PERU", "KENYA")
+                                                 for p in ("", "-0", "-1", "-2", "-3"))
+                                     + f") AND displacement_type IN {_in([*S.DISPLACED_TYPES[:2], S.HOST_COMMUNITY])}",
         "intake_parse": BASE + _intake_parsed() + " SELECT * FROM intake_parsed",
         "need_array_parse": _need_array_sql(),
         "intake_append": BASE + _intake_parsed() + _intake_scored("(SELECT max(family_num) FROM scored)")

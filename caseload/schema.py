@@ -347,6 +347,17 @@ NEED_ITEM_FIELDS = ("item", "category", "urgency")
 # end of fixed values
 # ---------------------------------------------------------------------------
 
+#: Types of the columns that are not text, per table role (what a typed CSV scan converts).
+COLUMN_TYPES = {
+    "main": {MainCols.ID: "bigint", MainCols.FAMILY_SIZE: "double", MainCols.DEPENDENTS: "double", MainCols.BREADWINNERS: "double",
+             MainCols.SURVEY_DATE: "date"},
+    "members": {MemberCols.FAMILY_ID: "bigint",
+                **{c: "double" for c in (MemberCols.V_IMMEDIATE_HEALTH, MemberCols.V_CHRONIC_DISEASE, MemberCols.V_CHILD_DROPOUT,
+                                         MemberCols.V_FEMALE_HOH, *DISABILITY_FLAGS)}},
+    "damage": {DamageCols.FAMILY_ID: "bigint", DamageCols.QUANTITY: "double"},
+    "needs": {NeedsCols.FAMILY_ID: "bigint", NeedsCols.QUANTITY: "double"},
+}
+
 ROLES = ("main", "members", "damage", "needs")
 
 

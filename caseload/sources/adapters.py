@@ -113,6 +113,43 @@ def _member_rows(spark: SparkSession, sf_dir: str, with_free_text: bool) -> Data
     return o.select(*cols)
 
 
+def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of birth (one per order) in the forms that people write, some of them no date."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    day, k = F.to_date("o_orderdate"), F.col("o_orderkey")
+    old = F.add_months(day, -1200)
+    form = lambda c, f: F.date_format(c, f)
+    arabic = F.translate(form(day, "yyyy/M/d"), "0123456789", "٠١٢٣٤٥٦٧٨٩")
+    texts = [form(day, "yyyyMMdd"), form(day, "MM/dd/yy"), F.concat(form(old, "yyyy-MM-dd"), F.lit(" 00:00:00")), form(old, "d/M/yyyy"),
+             F.concat(F.lit("  "), form(day, "dd.MM.yyyy"), F.lit(" ")), arabic, form(day, "yyyy-dd-MM"),
+             F.concat(form(day, "yyyy-MM-dd"), F.lit("T07:30:00Z")), F.concat(F.lit("about "), form(day, "yyyy")), F.lit("13/45/85"),
+             F.lit("19901399"), F.concat(form(day, "yyyy"), F.lit("-02-30")), F.lit(""), F.lit("٢٠"), form(day, "d-M-yy")]
+    text = F.get(F.array(*texts), (k % (len(texts) + 1)).cast("int"))  # null for the last
+    return o.select(k.cast("bigint").alias("member_key"), text.alias("dob_text"))
+
+
+def occupation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occupations as free sentences (one per order): a keyword within other words, white space, digits, capitals."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    k = F.col("o_orderkey")
+    words = [w for _, keywords in S.OCCUPATION_BUCKETS for w in keywords]
+    word = F.get(F.array(*[F.lit(w) for w in words]), (k % len(words)).cast("int"))
+    texts = [word, F.concat(F.lit("  "), word, F.lit("\t")), F.concat(F.col("o_orderstatus"), F.lit(" "), F.upper(word), F.lit(" منذ ٢٠١٥")),
+             F.concat(F.lit("كان "), word, F.lit("، والآن "), F.col("o_orderpriority")), F.lit(" \t "), F.col("o_orderstatus"), F.lit("")]
+    text = F.get(F.array(*texts), (F.floor(k / 32) % (len(texts) + 1)).cast("int"))
+    return o.select(k.cast("bigint").alias("member_key"), text.alias("occupation_text"))
+
+
+def raw_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage rows as exported, with the form tool's columns that name people."""
+    return damage_table(spark, sf_dir).withColumn(sorted(S.PII["damage"])[0], F.concat(F.lit("by "), F.col(DamageCols.FAMILY_ID)))
+
+
+def raw_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Need rows as exported, with the form tool's columns that name people."""
+    return needs_table(spark, sf_dir).withColumn(sorted(S.PII["needs"])[0], F.concat(F.lit("by "), F.col(NeedsCols.FAMILY_ID)))
+
+
 def raw_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Person rows (one per order) as exported, with raw occupation and date-of-birth text."""
     return _member_rows(spark, sf_dir, with_free_text=True)

@@ -8,12 +8,14 @@ row, multi-line quoted fields and ``"`` escapes as the form tool writes them.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseload.operators.privacy import anonymize, assert_no_pii, route_files
 from caseload.schema import ROLES, CaseTables
+from caseload.session import remove
 
 
 def read_table(spark: SparkSession, path: str | list[str], fmt: str = "parquet", schema=None, multiline: bool = True) -> DataFrame:
@@ -53,9 +55,49 @@ def anonymize_tables(tables: CaseTables) -> CaseTables:
 
 
 def write_tables(tables: CaseTables, out: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write the four tables (S4); refuses to write a table that still holds a PII column."""
-    for role, df in tables.as_dict().items():
-        assert_no_pii(df, role).write.mode(mode).format(fmt).save(os.path.join(out, role))
+    """Write the four tables (S4), all or nothing; refuses to write a table that still holds a PII column.
+
+    Every table is first written to a staging folder beside its place. Only when all four are complete do they
+    take their places, by renames; a failure before that leaves the tables that were there untouched, and
+    one in between puts them back. ``mode="append"`` adds to the tables in place instead.
+    """
+    frames = {role: assert_no_pii(df, role) for role, df in tables.as_dict().items()}
+    if mode != "overwrite":
+        for role, df in frames.items():
+            df.write.mode(mode).format(fmt).save(os.path.join(out, role))
+        return
+    spark = tables.main.sparkSession
+    stage = os.path.join(out, f"_staging-{uuid.uuid4().hex}")
+    try:
+        for role, df in frames.items():
+            df.write.format(fmt).save(os.path.join(stage, "new", role))
+        _take_places(spark, stage, out, list(frames))
+    finally:
+        remove(spark, stage)
+
+
+def _take_places(spark: SparkSession, stage: str, out: str, names: list[str]) -> None:
+    """Rename ``stage/new/<name>`` to ``out/<name>`` for all names, or put everything back."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(stage, "old"))
+    done: list[tuple[str, str]] = []
+
+    def move(a: str, b: str) -> None:
+        if not fs.rename(path(a), path(b)):
+            raise OSError(f"cannot rename {a} to {b}")
+        done.append((a, b))
+
+    try:
+        for name in names:
+            place = os.path.join(out, name)
+            if fs.exists(path(place)):
+                move(place, os.path.join(stage, "old", name))
+            move(os.path.join(stage, "new", name), place)
+    except Exception:
+        for a, b in reversed(done):
+            fs.rename(path(b), path(a))
+        raise
 
 
 def csv_ready(df: DataFrame) -> DataFrame:

@@ -23,6 +23,14 @@ def test_occupation_bucket(spark):
     assert _one(spark, list(cases), X.occupation_bucket) == list(cases.values())
 
 
+def test_birth_year_forms(spark):
+    cases = {"19900506": 1990, "05/06/85": 1985, "1890-05-06 00:00:00": 1890, "5/6/1890": 1890, "1990-25-12": 1990, "31.12.68": 2068,
+             "31.12.69": 1969, "1990/5/6T10:20:30.5+03:00": 1990, "19901399": None, "13/13/85": None, "30/2/1890": None, "2/30/1985": 1985,
+             "1990 - 5 - 6": 1990, "٦/٥/١٨٩٠": 1890, "5/6": None, "1/2/345": None, "1890": 1890, "29/2/1900": 1900, "29/2/1896": 1896,
+             "6 May 1990": 1990, "1990-05-06 25": 1990, "0": None}
+    assert _one(spark, list(cases), X.birth_year) == list(cases.values())
+
+
 def test_birth_year(spark):
     cases = {"1985-03-02": 1985, "1985": 1985, "31/12/1990": 1990, "born 1985": 1985, "2010-13-45": 2010,
              "12": None, "unknown": None, "": None, None: None, "03/02/1985": 1985, "١٩٨٥": 1985}
