@@ -6,7 +6,8 @@
                                          where malformed rows are goes to ``errors`` (file, reason, columns)
   build     --input DIR --output DIR     four tables → scored, numbered case table (Parquet)
   report    --cases DIR --output DIR     needs report, priority list and per-family plans as CSV (S5);
-            [--filter JSON]              optionally over a filtered caseload (predicate spec, F8)
+            [--filter JSON]              optionally over a filtered caseload (predicate spec, F8);
+                                         --cases DIR,DIR reads a caseload with appended rows
   intake    --responses DIR --cases DIR  parse, score and number responses after the stored cases (T1);
             --output DIR [--stream]      a batch table, or a stream's tables
 
@@ -28,6 +29,7 @@ from caseload.operators import partials, planning, reports, search
 from caseload.operators.cases import REGISTRATION_COLUMNS, build_cases
 from caseload.operators.scoring import number_cases, score
 from caseload.operators.privacy import route_files
+from caseload.session import drop_table, materialize
 from caseload.sources import tables, typed_csv
 from caseload.streaming.intake_stream import RESPONSE_SCHEMA, parts_path, start_stream
 
@@ -51,6 +53,8 @@ def build(spark: SparkSession, input_dir: str, output_dir: str, fmt: str = "parq
           partition_by: list[str] | None = None) -> None:
     """Write the case table; ``partition_by`` (e.g. governorate) lets equality filters prune directories."""
     cases = number_cases(score(build_cases(tables.load_case_tables(spark, input_dir, fmt))), tie=REGISTRATION_COLUMNS)
+    if partition_by:  # few files a value; adaptive execution splits a value that holds much of the table
+        cases = cases.hint("rebalance", *partition_by)
     writer = cases.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -58,7 +62,7 @@ def build(spark: SparkSession, input_dir: str, output_dir: str, fmt: str = "parq
 
 
 def report(spark: SparkSession, cases_dir: str, output_dir: str, spec: dict | None = None) -> None:
-    cases = search.where(spark.read.parquet(cases_dir), spec)
+    cases = search.where(tables.load_caseload(spark, cases_dir.split(",")), spec)
     needs = planning.needs_report(cases)
     outputs = {
         "aggregate_needs": (needs["aggregate_needs"], None),  # already in urgency / count / item order
@@ -79,9 +83,10 @@ def report(spark: SparkSession, cases_dir: str, output_dir: str, spec: dict | No
 def intake(spark: SparkSession, responses: str, cases_dir: str, output_dir: str, stream: bool = False) -> None:
     """Add model responses (intake_id, response) as cases numbered after the stored ones.
 
-    A batch is written to ``output_dir``; a stream keeps its tables there (``table``, ``quarantine``).
+    Of a batch only the new rows are written, to ``output_dir``; ``cases_dir,output_dir`` then names the whole
+    caseload. A stream keeps its tables there (``table``, ``quarantine``) and ends with the reports over both.
     """
-    cases = spark.read.parquet(cases_dir)
+    cases = tables.load_caseload(spark, cases_dir.split(","))
     if stream:
         last = cases.agg({"family_num": "max"}).first()[0] or 0
         start_stream(spark, responses, os.path.join(output_dir, "table"), os.path.join(output_dir, "quarantine"),
@@ -92,7 +97,9 @@ def intake(spark: SparkSession, responses: str, cases_dir: str, output_dir: str,
         tables.export_csv(partials.headline(spark, parts), os.path.join(output_dir, "headline"), single_file=True)
         return
     parsed = intake_rows.parse_responses(spark.read.schema(RESPONSE_SCHEMA).parquet(responses))
-    intake_rows.append(cases, intake_rows.score_intake(parsed)).write.mode("overwrite").parquet(output_dir)
+    new = materialize(intake_rows.score_intake(intake_rows.first_records(parsed)))
+    intake_rows.rows_to_append(cases, new).write.mode("overwrite").parquet(output_dir)
+    drop_table(new)
 
 
 def main(argv: list[str] | None = None) -> int:

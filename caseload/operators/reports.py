@@ -8,7 +8,7 @@ Top-k lists use ``orderBy(...).limit(k)``, which plans as TakeOrderedAndProject
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseload import schema as S
@@ -118,28 +118,39 @@ def column_profile(df: DataFrame, analytics: bool = False) -> DataFrame:
     return row.select(F.inline(F.array(*structs)))
 
 
-_STAT_SIGNALS = (
-    ("widows", "is_widow"), ("orphan_families", "is_orphan_family"), ("displaced", "is_displaced"),
-    ("with_medical_needs", "has_medical"), ("homeless", "is_homeless"), ("unemployed", "is_unemployed"),
-)
+def _totals_and_top_cities(df: DataFrame, totals: dict[str, F.Column], top_n: int) -> DataFrame:
+    """One row with the totals and ``_top``: the ``top_n`` most frequent cities as (k, city, n), most first.
+
+    One scan: the grouping sets (city) and () are aggregated together, and of the cities only the first
+    ``top_n`` of each task reach the final step.
+    """
+    sets = df.groupingSets([["city"], []], "city").agg(
+        F.grouping("city").alias("_all"), F.count(F.lit(1)).alias("_n"), *[c.alias(name) for name, c in totals.items()])
+    order = Window.partitionBy("_all").orderBy(F.col("city").isNull(), F.desc("_n"), "city")
+    first = sets.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top_n)
+    whole, city = F.col("_all") == 1, (F.col("_all") == 0) & F.col("city").isNotNull()
+    entry = F.struct(F.negative("_n").alias("k"), F.col("city"), F.col("_n").alias("n"))
+    return first.agg(*[F.coalesce(F.max(F.when(whole, F.col(name))), F.lit(0)).cast("bigint").alias(name) for name in totals],
+                     F.array_sort(F.collect_list(F.when(city, entry))).alias("_top"))  # at most top_n entries
+
+
+def _people(df: DataFrame) -> F.Column:
+    return F.coalesce(F.sum(num(F.col("family_size"))), F.lit(0.0)).cast("bigint")
 
 
 def stats(df: DataFrame, top_n: int = 5) -> DataFrame:
     """Caseload statistics (A24, A25): counts plus the top cities as ``city:n`` text."""
-    totals = df.agg(
-        F.count(F.lit(1)).alias("total_families"),
-        F.coalesce(F.sum(num(F.col("family_size"))), F.lit(0.0)).cast("bigint").alias("total_individuals"),
-        F.count_if(F.col("priority_tier") == "CRITICAL").alias("critical"),
-        F.count_if(F.col("priority_tier") == "HIGH").alias("high_priority"),
-        *[F.count_if(_signal(df, c)).alias(name) for name, c in _STAT_SIGNALS],
-    )
-    top = top_by_count(df, "city", top_n, "n")
-    ranked = top.agg(F.array_sort(F.collect_list(F.struct(F.negative("n").alias("k"), F.col("city"), F.col("n")))).alias("l"))
-    as_text = ranked.select(F.coalesce(F.array_join(
-        F.transform("l", lambda s: F.concat(s["city"], F.lit(":"), s["n"].cast("string"))), "|"), F.lit("")))
-    as_map = ranked.select(F.map_from_entries(F.transform("l", lambda s: F.struct(s["city"], s["n"]))))
-    # top-n is at most n rows: attach it as scalar subqueries, not as a join
-    return totals.withColumns({"top_cities": as_text.scalar(), "_top_map": as_map.scalar()})
+    totals = {
+        "total_families": F.count(F.lit(1)),
+        "total_individuals": _people(df),
+        "critical": F.count_if(F.col("priority_tier") == "CRITICAL"),
+        "high_priority": F.count_if(F.col("priority_tier") == "HIGH"),
+        **{name: F.count_if(_signal(df, c)) for name, c in S.STAT_SIGNALS},
+    }
+    as_text = F.array_join(F.transform("_top", lambda s: F.concat(s["city"], F.lit(":"), s["n"].cast("string"))), "|")
+    as_map = F.map_from_entries(F.transform("_top", lambda s: F.struct(s["city"], s["n"])))
+    out = _totals_and_top_cities(df, totals, top_n)
+    return out.select(*totals, as_text.alias("top_cities"), as_map.alias("_top_map"))
 
 
 def stats_json(df: DataFrame, top_n: int = 5) -> DataFrame:
@@ -183,10 +194,6 @@ def signal_labels(df: DataFrame, labels=S.SIGNAL_LABELS) -> DataFrame:
     return df.select("family_id", labels_of(labels, df.columns).alias("signal_labels"))
 
 
-_PROFILE_SKIP = {"family_id", "family_num", "priority_score", "priority_tier", "source_file", "source_sheet", "city",
-                 "has_medical", "has_disability"}
-
-
 def case_profile(df: DataFrame, family_num: int | None = None) -> DataFrame:
     """Non-empty fields of one case as (field, value) rows.
 
@@ -199,7 +206,7 @@ def case_profile(df: DataFrame, family_num: int | None = None) -> DataFrame:
         case = df.where(F.col("family_num") == F.lit(family_num))
     types = dict(case.dtypes)
     fields = [c for c in case.columns
-              if c not in _PROFILE_SKIP and not c.startswith("is_") and not types[c].startswith(("array", "map"))]
+              if c not in S.PROFILE_SKIP and not c.startswith("is_") and not types[c].startswith(("array", "map"))]
     pos = {c: i for i, c in enumerate(case.columns)}
     structs = [F.struct(F.lit(pos[c]).alias("field_pos"), F.lit(c).alias("field"),
                         F.col(f"`{c}`").cast("string").alias("value")) for c in fields]
@@ -240,17 +247,15 @@ def headline_cards(df: DataFrame, budget: DataFrame) -> DataFrame:
 
 def fallback_stats(df: DataFrame, top_n: int = 5) -> DataFrame:
     """Short statistics: families, members, displaced / medical / homeless and the top city names."""
-    top = top_by_count(df, "city", top_n, "n")
-    names = top.agg(F.array_sort(F.collect_list(F.struct(F.negative("n").alias("k"), F.col("city")))).alias("l")).select(
-        F.coalesce(F.array_join(F.transform("l", lambda s: s["city"]), ", "), F.lit("")))
-    totals = df.agg(
-        F.count(F.lit(1)).alias("families"),
-        F.coalesce(F.sum(num(F.col("family_size"))), F.lit(0.0)).cast("bigint").alias("members"),
-        F.count_if(_signal(df, "is_displaced")).alias("displaced"),
-        F.count_if(_signal(df, "has_medical")).alias("with_medical_needs"),
-        F.count_if(_signal(df, "is_homeless")).alias("homeless"),
-    )
-    return totals.withColumn("top_cities", names.scalar())
+    totals = {
+        "families": F.count(F.lit(1)),
+        "members": _people(df),
+        "displaced": F.count_if(_signal(df, "is_displaced")),
+        "with_medical_needs": F.count_if(_signal(df, "has_medical")),
+        "homeless": F.count_if(_signal(df, "is_homeless")),
+    }
+    out = _totals_and_top_cities(df, totals, top_n)
+    return out.select(*totals, F.array_join(F.transform("_top", lambda s: s["city"]), ", ").alias("top_cities"))
 
 
 def queue_headline(df: DataFrame) -> DataFrame:

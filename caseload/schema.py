@@ -274,6 +274,14 @@ UNKNOWN_BUCKET = "unknown"
 OTHER_BUCKET = "other"
 BIRTH_YEAR_PATTERN = r"\b(19\d{2}|20\d{2})\b"
 
+# Signals of the statistics, and fields that a case profile leaves out.
+STAT_SIGNALS = (
+    ("widows", "is_widow"), ("orphan_families", "is_orphan_family"), ("displaced", "is_displaced"),
+    ("with_medical_needs", "has_medical"), ("homeless", "is_homeless"), ("unemployed", "is_unemployed"),
+)
+PROFILE_SKIP = {"family_id", "family_num", "priority_score", "priority_tier", "source_file", "source_sheet", "city",
+                "has_medical", "has_disability"}
+
 # PII column names removed per table role.
 PII = {
     "main": (

@@ -42,6 +42,22 @@ def load_case_tables(spark: SparkSession, base: str, fmt: str = "parquet", schem
     return CaseTables(**frames)
 
 
+def load_caseload(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The case table from its folders: the built one first, then those of appended rows.
+
+    Every folder keeps the files that it was written with; the columns are those of the first, missing ones null.
+    Survey ids are long and intake ids text, so ``family_id`` is text as soon as there are several (D12).
+    """
+    first, *rest = (spark.read.parquet(p) for p in paths)
+    if not rest:
+        return first
+    text = [df.withColumn("family_id", F.col("family_id").cast("string")) for df in (first, *rest)]
+    out = text[0]
+    for df in text[1:]:
+        out = out.unionByName(df.select(*[c for c in df.columns if c in first.columns]), allowMissingColumns=True)
+    return out
+
+
 def load_exports(spark: SparkSession, paths: list[str], fmt: str = "csv", schemas: dict | None = None) -> CaseTables:
     """Raw form exports routed to roles by file name (S2), then read."""
     roles = route_files(paths)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caseload import cli
 from caseload import schema as S
+from caseload.sources import tables
 
 
 def test_anonymize_build_report(spark, golden_tables, golden_cases):
@@ -58,3 +59,41 @@ def test_build_partitioned_by_governorate(spark, golden_tables):
     g1 = spark.read.parquet(out).where(F.col("governorate") == "G1")
     assert "PartitionFilters: [isnotnull(governorate" in g1._jdf.queryExecution().executedPlan().toString()
     assert sorted(r[0] for r in g1.select("family_id").collect()) == [1, 2, 3]
+
+
+def test_intake_writes_the_new_rows_only(spark, golden_cases, tmp_path):
+    cases, responses, first, second = (str(tmp_path / x) for x in ("cases", "responses", "first", "second"))
+    golden_cases.write.parquet(cases)
+    rows = [(1, '{"city": "Q", "family_size": "3"}'), (1, '{"city": "R"}'), (2, "bad"), (None, '{"city": "N"}')]
+    spark.createDataFrame(rows, "intake_id bigint, response string").write.parquet(responses)
+    assert cli.main(["intake", "--responses", responses, "--cases", cases, "--output", first]) == 0
+    assert spark.read.parquet(first).count() == 2
+    assert cli.main(["intake", "--responses", responses, "--cases", f"{cases},{first}", "--output", second]) == 0
+    assert spark.read.parquet(second).count() == 1  # only the record without id cannot be known again
+    whole = tables.load_caseload(spark, [cases, first, second])
+    assert whole.columns == golden_cases.columns
+    assert sorted(r[0] for r in whole.select("family_num").collect()) == list(range(1, 10))
+    out = str(tmp_path / "report")
+    assert cli.main(["report", "--cases", f"{cases},{first}", "--output", out]) == 0
+    assert spark.read.option("header", True).csv(os.path.join(out, "priority_list")).count() == 8
+
+
+def test_stream_ends_with_reports_over_caseload_and_intake(spark, golden_cases, tmp_path):
+    cases, responses, out = (str(tmp_path / x) for x in ("cases", "responses", "out"))
+    golden_cases.write.parquet(cases)
+    spark.createDataFrame([(1, '{"city": "Q"}'), (2, "bad")], "intake_id bigint, response string").write.parquet(responses)
+    assert cli.main(["intake", "--responses", responses, "--cases", cases, "--output", out, "--stream"]) == 0
+    headline = spark.read.option("header", True).csv(os.path.join(out, "headline")).first()
+    assert headline.families == str(golden_cases.count() + 1)
+
+
+def test_partitioned_build_writes_few_files(spark, golden_tables, tmp_path):
+    big = golden_tables.main.crossJoin(spark.range(2000)).drop("id").repartition(8)  # a governorate holds half of the rows
+    big.write.parquet(str(tmp_path / "survey/main"))
+    for role in ("members", "damage", "needs"):
+        golden_tables.as_dict()[role].write.parquet(str(tmp_path / "survey" / role))
+    out = tmp_path / "cases"
+    assert cli.main(["build", "--input", str(tmp_path / "survey"), "--output", str(out), "--partition-by", "governorate"]) == 0
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in out.iterdir() if d.is_dir()}
+    assert set(files) == {"governorate=G1", "governorate=G2"} and max(files.values()) <= 2
+    assert spark.read.parquet(str(out)).count() == 12_000

@@ -64,3 +64,10 @@ def test_numbering_has_no_global_window_over_rows(spark):
     text = numbered._jdf.queryExecution().optimizedPlan().toString()
     # the offsets of the ranges are constants; positions come from the sorted partitions
     assert not [ln for ln in text.splitlines() if "Window [" in ln]
+
+
+@pytest.mark.parametrize("name", ["caseload_stats", "stats_json", "fallback_stats"])
+def test_statistics_scan_the_case_table_once(spark, name):
+    text = plan(catalog.QUERIES[name](spark, SF))
+    assert text.count("FileScan parquet") == 1 and "Subquery" not in text
+    assert text.count("WindowGroupLimit") == 2  # the top cities are cut before and after the shuffle
