@@ -233,7 +233,9 @@ def _rows(batches: Iterator[pa.RecordBatch], length: int, chosen: _Chosen):
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     at = np.cumsum(size) - size
-    return data[np.arange(size.sum()) + np.repeat(start - at, size)]
+    place = np.repeat((start - at).astype(np.int32), size)  # a part or piece has less than 2 GB
+    place += np.arange(len(place), dtype=np.int32)
+    return data[place]
 
 
 def _occurrences(length: int, chosen: _Chosen):
