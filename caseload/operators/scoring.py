@@ -21,6 +21,8 @@ def score(df: DataFrame, weights=S.WEIGHTS, bonus=S.SIZE_BONUS, tiers=S.TIERS, s
 _ID_BITS = 33  # monotonically_increasing_id(): partition index in the upper 31 bits, row index in the lower 33
 #: Sampled places per range: the ranges' sizes then differ by little (about an eighth).
 OVERSAMPLE = 64
+#: Rows of a range, up to the session's number of shuffle partitions.
+RANGE_ROWS = 1 << 16
 _STEP = 32  # splitters per step of the two-step search
 
 
@@ -34,14 +36,13 @@ def _placed(df: DataFrame, order_by: str | list[str], tie: list[str] | None) ->
     return df.withColumn("_place", F.struct(*parts, (F.xxhash64(*tie) if tie else F.lit(0)).alias("tb")))
 
 
-def _splitters(places: DataFrame, ranges: int) -> list[tuple]:
+def _splitters(places: DataFrame, rows: int, ranges: int) -> list[tuple]:
     """The places that split the rows into about equal ranges, ascending (fewer than ``ranges``).
 
     A quantile sketch: places whose hash is below a bound, about ``OVERSAMPLE * ranges`` of them and each once, so
     neither a large table nor a hot place makes it larger. The splitters reach the driver, the sample does not.
     """
-    rows = places.count() if ranges > 1 else 0
-    if not rows:
+    if ranges == 1:
         return []
     bound = OVERSAMPLE * ranges / rows * (1 << 31)
     sample = places.where(F.pmod(F.xxhash64("_place"), F.lit(1 << 31)) < F.lit(bound))
@@ -66,11 +67,16 @@ def _range_of(place: Column, splitters: Column) -> Column:
     return (step * _STEP + F.size(F.filter(within, lambda s: s <= place))).cast("int")
 
 
-def _ranged(df: DataFrame, order_by: str | list[str], ranges: int, tie: list[str] | None) -> DataFrame:
-    """``df`` with ``_place`` and its range ``_part`` (0 ... ranges - 1)."""
+def _ranged(df: DataFrame, order_by: str | list[str], num_partitions: int | None, tie: list[str] | None) -> tuple[DataFrame, int]:
+    """``df`` with ``_place`` and its range ``_part``, and the number of ranges: ``num_partitions``, or one for every
+    ``RANGE_ROWS`` rows up to the session's shuffle partitions (a small batch is written as a few files)."""
     placed = _placed(df, order_by, tie)
-    splitters = _literal(_splitters(placed.select("_place"), ranges), dict(placed.dtypes)["_place"])
-    return placed.withColumn("_part", _range_of(F.col("_place"), splitters))
+    places = placed.select("_place")
+    rows = places.count()
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = (num_partitions or min(most, -(-rows // RANGE_ROWS))) if rows else 1
+    splitters = _literal(_splitters(places, rows, ranges), dict(placed.dtypes)["_place"])
+    return placed.withColumn("_part", _range_of(F.col("_place"), splitters)), ranges
 
 
 def range_tagged(df: DataFrame, order_by: str | list[str], num_partitions: int | None = None,
@@ -79,8 +85,8 @@ def range_tagged(df: DataFrame, order_by: str | list[str], num_partitions: int |
 
     ``_rid >> 33`` is the range partition, the low 33 bits the position in it.
     """
-    ranges = num_partitions or _ranges(df)
-    return _tagged(_ranged(df, order_by, ranges, tie), ranges).drop("_part")
+    ranged, ranges = _ranged(df, order_by, num_partitions, tie)
+    return _tagged(ranged, ranges).drop("_part")
 
 
 def _tagged(ranged: DataFrame, ranges: int) -> DataFrame:
@@ -93,10 +99,6 @@ def _tagged(ranged: DataFrame, ranges: int) -> DataFrame:
     )
 
 
-def _ranges(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def number_cases(df: DataFrame, order_by: str | list[str] = "family_id", start=1, name: str = "family_num",
                  num_partitions: int | None = None, tie: list[str] | None = None) -> DataFrame:
     """Number rows ``start, start+1, ...`` in ``order_by`` order without a single-task window and without a scratch table.
@@ -113,9 +115,9 @@ def number_cases(df: DataFrame, order_by: str | list[str] = "family_id", start=1
     once, so it must give the same rows each time (stored tables and deterministic steps on them do).
     ``start`` may be a column expression (e.g. max existing number + 1).
     """
-    ranges = num_partitions or _ranges(df)
-    ranged = _ranged(df, order_by, ranges, tie)
-    sizes = dict(ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).collect())  # one row per range
+    ranged, ranges = _ranged(df, order_by, num_partitions, tie)
+    counted = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")) if ranges > 1 else None
+    sizes = dict(counted.collect()) if counted else {}  # one row per range
     offsets = [0, *accumulate(sizes.get(part, 0) for part in range(ranges - 1))]
     offset = F.get(F.expr(f"array({', '.join(f'{n}L' for n in offsets)})"), F.col("_part"))
     position = F.col("_rid") - F.shiftleft(F.shiftright(F.col("_rid"), _ID_BITS), _ID_BITS)

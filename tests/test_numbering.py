@@ -61,3 +61,9 @@ def test_narrow_passes_read_the_registrations_only(spark):
     for column in ("o_orderpriority", "l_linestatus", "l_returnflag"):
         scans = lambda text: sum(column in line and "Relation" in line for line in text.splitlines())  # noqa: E731, B023
         assert scans(numbered) == scans(plain) > 0
+
+
+def test_few_rows_make_few_ranges(spark):
+    rows = spark.range(0, 500, 1, 6).select(F.col("id").alias("family_id"))
+    assert number_cases(rows).select(F.spark_partition_id()).distinct().count() == 1
+    assert sorted(r.family_num for r in number_cases(rows).collect()) == list(range(1, 501))
