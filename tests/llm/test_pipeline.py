@@ -63,6 +63,6 @@ def test_empty_table(spark, docs_of, tmp_path):
 
 
 def test_registered_once_and_optional(tmp_path):
-    assert {q.split("_")[0] for q in registry.QUERIES} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert {q.split("_")[0] for q in registry.QUERIES} == {*(f"op{n}" for n in range(1, 14)), "pipeline"}
     code = "import sys; sys.modules['caseload.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'case_flags' in q and not any(k.startswith('op1') for k in q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=corpus_pipeline.__file__.rsplit("/", 1)[0])
