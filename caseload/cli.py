@@ -53,12 +53,7 @@ def build(spark: SparkSession, input_dir: str, output_dir: str, fmt: str = "parq
           partition_by: list[str] | None = None) -> None:
     """Write the case table; ``partition_by`` (e.g. governorate) lets equality filters prune directories."""
     cases = number_cases(score(build_cases(tables.load_case_tables(spark, input_dir, fmt))), tie=REGISTRATION_COLUMNS)
-    if partition_by:  # few files a value; adaptive execution splits a value that holds much of the table
-        cases = cases.hint("rebalance", *partition_by)
-    writer = cases.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(output_dir)
+    tables.write_cases(cases, output_dir, partition_by)
 
 
 def report(spark: SparkSession, cases_dir: str, output_dir: str, spec: dict | None = None) -> None:

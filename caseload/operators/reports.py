@@ -194,16 +194,37 @@ def signal_labels(df: DataFrame, labels=S.SIGNAL_LABELS) -> DataFrame:
     return df.select("family_id", labels_of(labels, df.columns).alias("signal_labels"))
 
 
-def case_profile(df: DataFrame, family_num: int | None = None) -> DataFrame:
+def find_case(df: DataFrame, family_num: int | None = None, family_id=None) -> DataFrame:
+    """The rows of one case by its number or its id (F10): plain equalities, which the Parquet scan takes over.
+
+    On tables of ``sources.tables.write_cases`` the row groups' bounds and Bloom filters then exclude the others. The
+    value is cast to the column's type on the driver, as a cast of the column would keep the filter from the scan; an id
+    that is not of that type matches nothing.
+    """
+    if (family_num is None) == (family_id is None):
+        raise ValueError("give either family_num or family_id")
+    name, value = ("family_num", family_num) if family_id is None else ("family_id", family_id)
+    kind = dict(df.dtypes)[name]
+    if kind == "string":
+        value = str(value)
+    else:
+        try:
+            value = int(value)
+        except ValueError:
+            return df.where(F.lit(False))
+    return df.where(F.col(name) == F.lit(value).cast(kind))
+
+
+def case_profile(df: DataFrame, family_num: int | None = None, family_id=None) -> DataFrame:
     """Non-empty fields of one case as (field, value) rows.
 
-    Without ``family_num`` the first case of the priority order is shown (the
+    Without ``family_num`` or ``family_id`` the first case of the priority order is shown (the
     picker's default). Identifiers, scores, signals and list fields are skipped.
     """
-    if family_num is None:
+    if family_num is None and family_id is None:
         case = priority_order(df).limit(1)
     else:
-        case = df.where(F.col("family_num") == F.lit(family_num))
+        case = find_case(df, family_num, family_id)
     types = dict(case.dtypes)
     fields = [c for c in case.columns
               if c not in S.PROFILE_SKIP and not c.startswith("is_") and not types[c].startswith(("array", "map"))]

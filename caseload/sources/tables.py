@@ -58,6 +58,33 @@ def load_caseload(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+#: Columns a single case is looked up by.
+LOOKUP_KEYS = ("family_num", "family_id")
+
+
+def write_cases(cases: DataFrame, out: str, partition_by: list[str] | None = None, keys: tuple[str, ...] = LOOKUP_KEYS,
+                row_group_bytes: int = 32 << 20) -> None:
+    """Write a case table that answers lookups of one case from few row groups.
+
+    Rows keep the ranges of the numbering and are sorted by ``keys`` within a file, so the row groups' minima
+    and maxima exclude most of them for a value that exists; each group also has a Bloom filter of every
+    key, which excludes it for a value that lies between its bounds without being there (ids with gaps, ids
+    of appended rows). The filters' size follows the number of distinct values (1 MB a group at most).
+
+    ``partition_by`` writes a folder per value (S5). Rows are rebalanced by these columns first: a value has few
+    files, and one that holds much of the table is split by adaptive execution at its advisory partition size.
+    """
+    keys = [k for k in keys if k in cases.columns]
+    if partition_by:
+        cases = cases.hint("rebalance", *partition_by)
+    cases = cases.sortWithinPartitions(*(partition_by or []), *[k for k in keys if k not in (partition_by or [])])
+    writer = cases.write.mode("overwrite").option("parquet.block.size", row_group_bytes)
+    for key in keys:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", True)
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", True)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(out)
+
+
 def load_exports(spark: SparkSession, paths: list[str], fmt: str = "csv", schemas: dict | None = None) -> CaseTables:
     """Raw form exports routed to roles by file name (S2), then read."""
     roles = route_files(paths)
