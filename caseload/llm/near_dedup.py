@@ -15,12 +15,15 @@ this is the only way to lose a link, as the distance itself decides nothing.
 4. Keys whose rows are still in different components are searched in tiles of at most ``TILE`` rows
    (a hot key is split into pairs of tiles). For ``CLOSEST_ROUNDS`` rounds each row proposes the closest
    row of another component, which joins nearly all that can be joined with a pair a row. Then all
-   pairs that share a key and are still between components are confirmed. Pairs inside a component
-   are never listed, nor pairs that cannot be linked: by their sizes, or by their shingles' counts in
-   ``BUCKETS`` hash buckets. The counts' differences add up to at most the number of shingles that only
-   one of the two sets has, so this bound excludes no link.
+   pairs that share a key and are still between components are compared inside their tile, which writes
+   only the links that join two of its components. Not compared are pairs inside a component and pairs
+   that cannot be linked: by their sizes, or by their shingles' counts in ``BUCKETS`` hash buckets. The
+   counts' differences add up to at most the number of shingles that only one of the two sets has, so
+   this bound excludes no link. What the bounds leave in doubt gets its sets, in tiles of at most
+   ``TILE_GRAMS`` shingles a side on average.
 
-Sets are compared exactly, by 64-bit shingle hashes, natively on arrays.
+No step writes the pairs of a family: the similar but unlinked ones cost a comparison in a task's memory.
+Sets are compared exactly, by 64-bit shingle hashes.
 
 Defined results: a null or empty text has the empty set and is linked with nothing; with fewer
 than five words the whole sequence is the one shingle; a row without id is kept, without
@@ -46,6 +49,9 @@ SYMBOLS = CHUNKS * CHUNK
 #: Hash buckets whose counts (a byte each, 255 for more, which keeps the bound) a row carries.
 BUCKETS = 256
 TILE = 1024
+#: Shingles (8 bytes each) on a side of a tile that holds sets, and those compared with one row at a time.
+TILE_GRAMS = 1 << 22
+COMPARED = 1 << 20
 CLOSEST_ROUNDS = 3
 #: Findings a task holds at most (24 MB).
 HELD = 1 << 20
@@ -151,122 +157,193 @@ def _sets(words: int):
     return run
 
 
-def _tile_pairs(percent: int, turn: int | None):
-    """Pairs (a, b, d) of different components that may be linked, from rows sorted by (key, i, j).
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The columns of each tile, from rows sorted by (key, i, j); ``grams``, if there, as a list of sorted sets."""
+    last, parts = None, []
 
-    A pair is looked at only under the first key it shares. With a ``turn``, a task reports each row's
-    closest partner only (once per ``HELD`` findings), among the pairs whose hash has that turn: every
-    round tries other pairs.
-    """
-    closest = turn is not None
+    def joined() -> dict:
+        return {c: sum((p[c] for p in parts), []) if c == "grams" else np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
-    def close(rows: dict[str, np.ndarray]) -> np.ndarray:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {c: batch.column(c).to_numpy() for c in ("key", "i", "j", "tile", "id", "n", "comp")}
+        columns["mark"] = np.frombuffer(b"".join(batch.column("mark").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        columns["counts"] = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        if "grams" in batch.schema.names:
+            grams = batch.column("grams")
+            at = np.cumsum(grams.value_lengths().to_numpy())[:-1]
+            columns["grams"] = np.split(grams.flatten().to_numpy().view(np.uint64), at)
+        group = np.stack([columns["key"], columns["i"], columns["j"]], axis=1)
+        cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist(), len(group)]
+        for first, end in zip(cuts[:-1], cuts[1:]):
+            now = tuple(group[first])
+            if parts and now != last:
+                yield joined()
+                parts = []
+            last = now
+            parts.append({c: v[first:end] for c, v in columns.items()})
+    if parts:
+        yield joined()
+
+
+class _Tile:
+    """The rows of one tile by size, and which of them may be linked with a row."""
+
+    def __init__(self, rows: dict, percent: int):
         order = np.argsort(rows["n"], kind="stable")
-        ids, n, comp, tile = (rows[c][order] for c in ("id", "n", "comp", "tile"))
-        marks, counts = rows["mark"][order], rows["counts"][order].astype(np.int16)
-        across = rows["i"][0] != rows["j"][0]
-        place = (index_keys(marks) == rows["key"][0]).argmax(axis=1)  # this key's place among each row's keys
-        near, partner = np.full(len(ids), SYMBOLS + 1), np.zeros(len(ids), np.int64)
-        found = []
-        for a in range(len(ids) - 1):
-            most = int(np.searchsorted(n, n[a] * 100 // percent, side="right"))  # sizes further apart cannot be linked
-            b = np.arange(a + 1, most)
-            b = b[(comp[b] != comp[a]) & ((tile[b] != tile[a]) if across else True)]
-            if closest:
-                b = b[mix((ids[b] * 31 ^ ids[a] * 31).astype(np.uint64)) % np.uint64(CLOSEST_ROUNDS) == turn]
-            b = b[first_shared(marks[a], marks[b]) == place[a]]
-            apart = np.abs(counts[b] - counts[a]).sum(axis=1, dtype=np.int64)  # at most the shingles that only one has
-            b = b[apart * (100 + percent) <= (n[a] + n[b]) * (100 - percent)]
-            if not len(b):
-                continue
-            far = (marks[b] != marks[a]).sum(axis=1)
-            if closest:
-                best = int(far.argmin())
-                if far[best] < near[a]:
-                    near[a], partner[a] = far[best], ids[b[best]]
-                nearer = far < near[b]
-                near[b[nearer]], partner[b[nearer]] = far[nearer], ids[a]
-            else:
-                found.append(np.stack([np.full(len(b), ids[a]), ids[b], far], axis=1))
-        if closest:
-            hit = near <= SYMBOLS
-            found.append(np.stack([ids[hit], partner[hit], near[hit]], axis=1))
-        return np.concatenate([np.empty((0, 3), np.int64), *found])
-
-    def once(found: list[np.ndarray]) -> list[np.ndarray]:
+        self.percent = percent
+        self.ids, self.n, self.comp, self.tile = (rows[c][order] for c in ("id", "n", "comp", "tile"))
+        self.marks, self.counts = rows["mark"][order], rows["counts"][order].astype(np.int16)
+        self.grams = [rows["grams"][k] for k in order.tolist()] if "grams" in rows else []
+        self.across = rows["i"][0] != rows["j"][0]
+        self.key = rows["key"][0]
+        self.place = (index_keys(self.marks) == self.key).argmax(axis=1)  # this key's place among each row's keys
+
+    def partners(self, a: int, turn: int | None = None) -> np.ndarray:
+        """Rows after ``a``, of another component, that may be linked with it and share no earlier key with it."""
+        n, percent = self.n, self.percent
+        b = np.arange(a + 1, int(np.searchsorted(n, n[a] * 100 // percent, side="right")))  # sizes further apart cannot be linked
+        b = b[(self.comp[b] != self.comp[a]) & ((self.tile[b] != self.tile[a]) if self.across else True)]
+        if turn is not None:
+            b = b[mix((self.ids[b] * 31 ^ self.ids[a] * 31).astype(np.uint64)) % np.uint64(CLOSEST_ROUNDS) == turn]
+        b = b[first_shared(self.marks[a], self.marks[b]) == self.place[a]]
+        apart = np.abs(self.counts[b] - self.counts[a]).sum(axis=1, dtype=np.int64)  # at most the shingles that only one has
+        return b[apart * (100 + percent) <= (n[a] + n[b]) * (100 - percent)]
+
+    def linked(self, a: int, b: np.ndarray) -> np.ndarray:
+        """Those of ``b`` whose sets are linked with that of ``a``."""
+        own, out = self.grams[a], []
+        step = max(1, COMPARED // max(1, int(self.n[b].max(initial=1))))
+        for first in range(0, len(b), step):
+            part = b[first:first + step]
+            joined = np.concatenate([self.grams[k] for k in part.tolist()])
+            hit = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
+            both = np.add.reduceat(hit, np.cumsum([0, *self.n[part[:-1]]]), dtype=np.int64)
+            out.append(part[100 * both >= self.percent * (self.n[a] + self.n[part] - both)])
+        return np.concatenate(out) if out else b
+
+
+def _closest(percent: int, turn: int):
+    """(a, b, d): each row's closest partner that may be linked, among the pairs whose hash has this turn.
+
+    A task reports a row once per ``HELD`` findings; every round tries other pairs.
+    """
+    def once(found: list[np.ndarray]) -> np.ndarray:
         joined = np.concatenate(found)
-        if not closest:
-            joined[:, :2] = np.sort(joined[:, :2], axis=1)
-        a, b, d = joined.T
-        joined = joined[np.lexsort((b, d, a) if closest else (d, b, a))]
+        joined = joined[np.lexsort((joined[:, 1], joined[:, 2], joined[:, 0]))]
         fresh = np.ones(len(joined), bool)
-        fresh[1:] = (joined[1:, :1 if closest else 2] != joined[:-1, :1 if closest else 2]).any(axis=1)
-        return [joined[fresh]]
+        fresh[1:] = joined[1:, 0] != joined[:-1, 0]
+        return joined[fresh]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "i", "j", "tile", "id", "n", "comp"]
-
-        held: list[np.ndarray] = []
-        size = 0
-
-        def settle(parts: list[dict[str, np.ndarray]]) -> None:
-            nonlocal held, size
-            found = close({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
-            held.append(found)
-            size += len(found)
+        held, size = [np.empty((0, 3), np.int64)], 0
+        for rows in _groups(batches):
+            tile = _Tile(rows, percent)
+            near, partner = np.full(len(tile.ids), SYMBOLS + 1), np.zeros(len(tile.ids), np.int64)
+            for a in range(len(tile.ids) - 1):
+                b = tile.partners(a, turn)
+                if not len(b):
+                    continue
+                far = (tile.marks[b] != tile.marks[a]).sum(axis=1)
+                best = int(far.argmin())
+                if far[best] < near[a]:
+                    near[a], partner[a] = far[best], tile.ids[b[best]]
+                nearer = far < near[b]
+                near[b[nearer]], partner[b[nearer]] = far[nearer], tile.ids[a]
+            hit = near <= SYMBOLS
+            held.append(np.stack([tile.ids[hit], partner[hit], near[hit]], axis=1))
+            size += len(held[-1])
             if size > HELD:
-                held = once(held)
+                held = [once(held)]
                 size = len(held[0])
+                if size > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0].T], names=["a", "b", "d"])
+                    held, size = [np.empty((0, 3), np.int64)], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in once(held).T], names=["a", "b", "d"])
+    return run
 
-        def report() -> pa.RecordBatch:
-            nonlocal held, size
-            rows, held, size = once(held)[0], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], names=["a", "b", "d"])
 
-        last, parts = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = {c: batch.column(c).to_numpy() for c in names}
-            columns["mark"] = np.frombuffer(b"".join(batch.column("mark").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            columns["counts"] = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS)
-            group = np.stack([columns["key"], columns["i"], columns["j"]], axis=1)
-            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist(), len(group)]
-            for first, end in zip(cuts[:-1], cuts[1:]):
-                now = tuple(group[first])
-                if parts and now != last:
-                    settle(parts)
-                    parts = []
-                last = now
-                parts.append({c: v[first:end] for c, v in columns.items()})
-            if size > HELD // 2:
-                yield report()
-        if parts:
-            settle(parts)
-        if held:
-            yield report()
+def _doubtful(percent: int):
+    """(key, id) of the rows that may be linked with another row of their tile: at most the tile's rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            tile = _Tile(rows, percent)
+            marked = np.zeros(len(tile.ids), bool)
+            for a in range(len(tile.ids) - 1):
+                b = tile.partners(a)
+                marked[b] = True
+                marked[a] |= len(b) > 0
+            ids = tile.ids[marked]
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), tile.key)), pa.array(ids)], names=["key", "id"])
     return run
 
 
-class _Linker:
-    """Confirms pairs by the exact sets of the documents."""
+def _links(percent: int):
+    """Links (a, b) that the exact sets confirm, within each tile: fewer than its rows, as they join its components."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            tile = _Tile(rows, percent)
+            found = []
+            for a in range(len(tile.ids) - 1):
+                for b in tile.linked(a, tile.partners(a)).tolist():
+                    if tile.comp[b] != tile.comp[a]:
+                        found.append((tile.ids[a], tile.ids[b]))
+                        tile.comp[tile.comp == tile.comp[b]] = tile.comp[a]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*found)], names=["a", "b"])
+    return run
+
 
-    def __init__(self, docs: DataFrame, words: int, percent: int):
-        self.docs, self.words, self.percent = docs, words, percent
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """The rows of ``pairs`` (a, b) with 100 * intersection >= percent * union, as a written table.
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The rows of ``pairs`` (a, b) with 100 * intersection >= percent * union, as a written table."""
+    ``every`` says that the pairs name most of the sets, so picking those first saves nothing.
+    """
+    ids = None
+    if not every:
         ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        few = ids.count() <= BROADCAST_IDS
-        rows = self.docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-        sets = materialize(rows.mapInArrow(_sets(self.words), "id long, grams array<long>"))
+        sets = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    sets_of = lambda c: sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}"))
+    both = F.size(F.array_intersect("grams_a", "grams_b"))
+    linked = materialize(pairs.join(sets_of("a"), "a").join(sets_of("b"), "b").where(
+        100 * both >= percent * (F.size("grams_a") + F.size("grams_b") - both)).select("a", "b").distinct())
+    if ids is not None:
         drop_table(ids)
-        sets_of = lambda c: sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}"))
-        both = F.size(F.array_intersect("grams_a", "grams_b"))
-        linked = materialize(pairs.join(sets_of("a"), "a").join(sets_of("b"), "b").where(
-            100 * both >= self.percent * (F.size("grams_a") + F.size("grams_b") - both)).select("a", "b").distinct())
-        drop_table(sets)
-        return linked
+    return linked
+
+
+def _tiled(rows: DataFrame, reps: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Rows (key, id, comp) of the keys that are in different components, a hot key's once per pair of tiles.
+
+    A tile has ``TILE`` rows at most on average; with their ``sets``, ``TILE_GRAMS`` shingles.
+    """
+    rows = rows.join(reps.select("id", "n"), "id")
+    load = F.count(F.lit(1)) / TILE
+    if sets is not None:
+        load = F.greatest(load, F.sum("n") / TILE_GRAMS)
+    split = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(load).cast("int").alias("tiles"))
+    split = materialize(split.where("low <> high").select("key", "tiles"))
+    rows = rows.join(split, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "comp")
+    rows = rows.join(reps, "id").select("key", "i", "j", "tile", "id", "n", "comp", "mark", "counts")
+    if sets is not None:
+        rows = rows.join(sets, "id")
+    return rows.repartition(partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def links_between(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join all components of (key, id, comp) that can be joined, as a written table.
+
+    The first pass finds the rows that sizes and counts leave in doubt; the second compares these, and only
+    these, by their sets. Both write fewer rows than they read.
+    """
+    doubt = materialize(_tiled(rows, reps).mapInArrow(_doubtful(percent), "key long, id long").distinct())
+    links = materialize(_tiled(doubt.join(rows, ["key", "id"]), reps, sets).mapInArrow(_links(percent), "a long, b long").distinct())
+    drop_table(doubt)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5,
@@ -289,43 +366,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop_table(leads)
     best = hits.where("id <> lead").groupBy("id", "lead").count().groupBy("id").agg(
         F.max_by("lead", F.struct("count", F.bitwise_not("lead"))).alias("lead"))
-    linker = _Linker(docs, words, percent)
-    edges = linker.confirmed(materialize(best.select(F.col("id").alias("b"), F.col("lead").alias("a"))))
+    ids = materialize(hits.select("id").distinct())
+    named = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    sets = materialize(named.mapInArrow(_sets(words), "id long, grams array<long>"))  # read by every confirmation
+    drop_table(ids)
+    edges = _confirmed(materialize(best.select(F.col("id").alias("b"), F.col("lead").alias("a"))), sets, percent, every=True)
     labels = components(edges)
 
     def labelled(frame: DataFrame, column: str, name: str) -> DataFrame:
         side = labels.select(F.col("node").alias(column), F.col("label").alias("_label"))
         return frame.join(side, column, "left").withColumn(name, F.coalesce("_label", column)).drop("_label")
 
-    def tiles() -> DataFrame:
-        """The rows of keys that are in different components, a hot key's once per pair of tiles."""
-        where = labelled(hits.select("key", "id"), "id", "comp")
-        split = where.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
-        split = materialize(split.where("low <> high").select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
-        rows = where.join(split, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-            "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "comp")
-        rows = rows.join(reps, "id").select("key", "i", "j", "tile", "id", "n", "comp", "mark", "counts")
-        return rows.repartition(partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-
     for turn in (*range(CLOSEST_ROUNDS), None):
-        found = tiles().mapInArrow(_tile_pairs(percent, turn), "a long, b long, d long")
-        if turn is not None:
+        rows = labelled(hits.select("key", "id"), "id", "comp")
+        if turn is None:
+            more = links_between(rows, reps, sets, percent)
+        else:
+            found = _tiled(rows, reps).mapInArrow(_closest(percent, turn), "a long, b long, d long")
             found = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("near")).select("a", "near.b")
-        pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if not pairs.limit(1).count():
+            pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            more = _confirmed(pairs, sets, percent)
             drop_table(pairs)
-            continue
-        more = linker.confirmed(pairs)
         if more.limit(1).count():
             old_edges, old_labels = edges, labels
             edges = materialize(edges.union(more))
             labels = components(edges)
             drop_table(old_edges)
             drop_table(old_labels)
-        drop_table(pairs)
         drop_table(more)
     drop_table(hits)
+    drop_table(sets)
 
     out = labelled(members.select("id", "n", "rep"), "rep", "component_id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",

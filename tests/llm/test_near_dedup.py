@@ -99,6 +99,51 @@ def test_links_with_distant_signatures_beside_an_unlinked_lead(spark, docs_of):
     assert result(docs_of(rows)) == expected
 
 
+def family(n, changed=9, length=400):
+    """Texts with other words at ``changed`` of 39 places of one text: nearly all pairs are similar, few are linked."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(length)]
+    out = []
+    for i in range(n):
+        at = set(rng.sample(range(5, length - 5, 10), changed))
+        out.append((i, " ".join(f"t{i}x{k}" if k in at else w for k, w in enumerate(base))))
+    return out
+
+
+@pytest.mark.parametrize("grams", [1 << 22, 4000])
+def test_similar_but_unlinked_family(spark, docs_of, monkeypatch, grams):
+    monkeypatch.setattr(near_dedup, "TILE_GRAMS", grams)  # the smaller: several tiles of sets a key
+    monkeypatch.setattr(near_dedup, "CLOSEST_ROUNDS", 0)  # all is left to the last round
+    seen, find = {}, near_dedup.links_between
+
+    def watched(rows, *rest):
+        links = find(rows, *rest)
+        seen.update(rows=rows.count(), links=links.count())
+        return links
+
+    monkeypatch.setattr(near_dedup, "links_between", watched)
+    rows = family(150)
+    expected = brute(rows)
+    assert 130 < sum(kept for _, _, kept in expected.values()) < 150
+    assert result(docs_of(rows)) == expected
+    assert seen["rows"] <= 60 * 150 and seen["links"] < 3 * 150  # of 11,175 pairs
+
+
+def test_links_in_a_tile_join_its_components_only():
+    sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 2, 4, 6, 200, 203)]
+    marks, counts = near_dedup.signatures(sets), near_dedup.bucket_counts(sets)
+    marks[:] = marks[0]  # one key for all
+    n = len(sets)
+    rows = {"key": np.full(n, near_dedup.index_keys(marks[:1])[0, 0]), "i": np.zeros(n, int), "j": np.zeros(n, int), "tile": np.zeros(n, int),
+            "id": np.arange(n), "n": np.full(n, 100), "comp": np.arange(n), "mark": marks, "counts": counts, "grams": sets}
+    columns = [near_dedup.pa.array(rows[c]) for c in ("key", "i", "j", "tile", "id", "n", "comp")]
+    columns += [near_dedup.pa.array([m.tobytes() for m in marks]), near_dedup.pa.array([c.tobytes() for c in counts]),
+                near_dedup.pa.array([s.view(np.int64) for s in sets])]
+    batch = near_dedup.pa.RecordBatch.from_arrays(columns, names=list(rows))
+    found = [tuple(r.values()) for out in near_dedup._links(75)(iter([batch.slice(0, 2), batch.slice(2)])) for r in out.to_pylist()]
+    assert len(found) == 4 and {frozenset(p) <= {0, 1, 2, 3} for p in found} == {True, False}
+
+
 def test_counts_never_exclude_a_link():
     rng = np.random.default_rng(5)
     for size in (1, 7, 300, 200_000):
