@@ -35,10 +35,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def sample_of(rows: DataFrame, id_col: str, most: int) -> DataFrame:
-    """At most ``most`` rows, chosen by the hash of their id: no task sends more than it contributes."""
+    """At most ``most`` rows, those with the smallest hash of their id, however the rows are stored.
+
+    Only hashes below a bound that few more rows have are sorted, so no task receives more than about that many.
+    """
     n = rows.count()
-    share = min(1.0, most / n) if n else 1.0
-    return rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 31)) < int(share * (1 << 31))).limit(most)
+    share = min(1.0, (1.1 * most + 100) / n) if n else 1.0
+    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 31))
+    return rows.where(place < int(share * (1 << 31))).orderBy(place, id_col).limit(most)
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

@@ -11,7 +11,9 @@ Labelled documents are bad if their quality is 0 or they are toxic.
    by the classifier's probability. The global prior is shrunk into hosts, hosts into paths: posterior
    mean (bad + m * prior) / (n + m), m from the variance between groups (method of moments), so a
    sparse site stays near its parent.
-3. A document's log odds are its path's posterior log odds plus its own evidence; it is kept below
+3. A document's host and path posteriors leave the document itself out, at every level: what it says counts
+   once, as evidence. The only document of a path has its host's posterior, that of a host the global prior.
+4. A document's log odds are its path's posterior log odds plus its own evidence; it is kept below
    ``threshold``.
 
 In ``documents`` the host is ``source`` and the path within it ``lang``; both are parameters.
@@ -180,8 +182,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return np.concatenate([w[:-1] / scale, [w[-1] - (w[:-1] * mean / scale).sum()]])
 
 
-def shrunk(groups: DataFrame, prior: str, name: str, keys: list[str]) -> DataFrame:
-    """Groups (n, bad, prior) with posterior mean ``name``; the prior's weight comes from all groups' moments."""
+def prior_weight(groups: DataFrame, prior: str) -> float:
+    """How many rows the prior counts for, from all groups' (n, bad, prior) moments."""
     # between-group variance of the shares, less what sampling explains (weights n)
     share = F.col("bad") / F.col("n")
     one = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(share - F.col(prior), F.lit(2))).alias("spread"),
@@ -190,10 +192,20 @@ def shrunk(groups: DataFrame, prior: str, name: str, keys: list[str]) -> DataFra
     n = one.n or 0
     variance = max(((one.spread or 0.0) - (one.noise or 0.0)) / n, 0.0) if n else 0.0
     inside = (one.whole or 0.0) / n if n else 0.0
-    m = min(max(inside / variance - 1 if variance > 0 else 1e6, 2.0), 1e6)
+    return min(max(inside / variance - 1 if variance > 0 else 1e6, 2.0), 1e6)
+
+
+def shrunk(groups: DataFrame, prior: str, name: str, keys: list[str]) -> DataFrame:
+    """Groups (n, bad, prior) with posterior mean ``name``."""
+    m = prior_weight(groups, prior)
     return groups.withColumn(name, (F.col("bad") + m * F.col(prior)) / (F.col("n") + m)).select(*keys, name)
 
 
+def _of_others(n, bad, own, prior, m: float):
+    """A group's posterior mean without one of its rows, which counts ``own``."""
+    return (F.greatest(bad - own, F.lit(0.0)) + m * prior) / (n - 1 + m)
+
+
 def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
            path_col: str = "lang", *, max_sample: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """One row per document: ``id_col``, evidence, host_posterior, path_posterior, p_bad, kept."""
@@ -222,13 +234,19 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     paths = materialize(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(soft).alias("bad")))
     whole = paths.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     prior = (whole.bad or 0.0) / whole.n if whole.n else 0.0
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("prior", F.lit(prior))
-    hosts = materialize(shrunk(hosts, "prior", "host_posterior", ["host"]))
-    paths_with = paths.join(hosts, "host")
-    sites = materialize(shrunk(paths_with, "host_posterior", "path_posterior", ["host", "path", "host_posterior"]))
+    hosts = materialize(paths.groupBy("host").agg(F.sum("n").alias("n_host"), F.sum("bad").alias("bad_host")))
+    of_host = hosts.select("host", F.col("n_host").alias("n"), F.col("bad_host").alias("bad"), F.lit(prior).alias("prior"))
+    host_weight = prior_weight(of_host, "prior")
+    with_hosts = paths.join(shrunk(of_host, "prior", "host_posterior", ["host"]), "host")
+    path_weight = prior_weight(with_hosts, "host_posterior")
+    sites = materialize(paths.join(hosts, "host"))
+    n = F.lit(whole.n or 0)
+    out = scored.withColumn("own", soft).join(sites.withColumnRenamed("bad", "bad_path"), ["host", "path"])
+    out = out.withColumn("others", F.when(n > 1, _of_others(n, F.lit(whole.bad or 0.0), F.col("own"), F.lit(0.0), 0.0)).otherwise(F.lit(prior)))
+    out = out.withColumn("host_posterior", _of_others(F.col("n_host"), F.col("bad_host"), F.col("own"), F.col("others"), host_weight))
+    out = out.withColumn("path_posterior", _of_others(F.col("n"), F.col("bad_path"), F.col("own"), F.col("host_posterior"), path_weight))
     odds = F.least(F.greatest(F.col("path_posterior"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    p_bad = 1 / (1 + F.exp(-(F.log(odds / (1 - odds)) + F.col("evidence")))) if usable else F.lit(0.0)
-    out = scored.join(sites, ["host", "path"]).withColumn("p_bad", p_bad)
+    out = out.withColumn("p_bad", 1 / (1 + F.exp(-(F.log(odds / (1 - odds)) + F.col("evidence")))) if usable else F.lit(0.0))
     for old in (labelled, described, paths, hosts):
         drop_table(old)
     return out.select(F.col("id").alias(id_col), "evidence", "host_posterior", "path_posterior", "p_bad", (F.col("p_bad") < threshold).alias("kept"))

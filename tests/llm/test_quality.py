@@ -48,6 +48,61 @@ def test_sparse_sites_stay_near_the_prior(spark):
     assert post["big"] > 0.4 and 0.1 < post["small"] < 0.5
 
 
+def plain_posteriors(rows, base):
+    """Host and path posterior of each row (host, path, bad or None, evidence), with plain loops over the other rows."""
+    offset = np.log(base / (1 - base))
+    own = [float(b) if b is not None else 1 / (1 + np.exp(-(e + offset))) for _, _, b, e in rows]
+
+    def weight(groups):  # (n, bad, prior)
+        n = sum(g[0] for g in groups)
+        between = (sum(g[0] * (g[1] / g[0] - g[2]) ** 2 for g in groups) - sum(g[2] * (1 - g[2]) for g in groups)) / n
+        inside = sum(g[0] * g[2] * (1 - g[2]) for g in groups) / n
+        return min(max(inside / between - 1 if between > 0 else 1e6, 2.0), 1e6)
+
+    def at(*site):
+        picked = [o for r, o in zip(rows, own) if r[:len(site)] == site]
+        return len(picked), sum(picked)
+
+    prior = sum(own) / len(own)
+    hosts = {h: (*at(h), prior) for h in {r[0] for r in rows}}
+    m_host = weight(list(hosts.values()))
+    mean = {h: (bad + m_host * prior) / (n + m_host) for h, (n, bad, _) in hosts.items()}
+    m_path = weight([(*at(*site), mean[site[0]]) for site in sorted({r[:2] for r in rows})])
+    out = []
+    for k, (host, path, _, _) in enumerate(rows):
+        rest = [(r, o) for j, (r, o) in enumerate(zip(rows, own)) if j != k]
+        whole = [o for _, o in rest]
+        of_host = [o for r, o in rest if r[0] == host]
+        of_path = [o for r, o in rest if r[:2] == (host, path)]
+        h = (sum(of_host) + m_host * sum(whole) / len(whole)) / (len(of_host) + m_host)
+        out.append((h, (sum(of_path) + m_path * h) / (len(of_path) + m_path)))
+    return out
+
+
+def test_posteriors_of_the_other_rows(spark, docs_of):
+    docs, labels = corpus(240, seed=3)
+    rng = random.Random(4)
+    site = {i: (f"h{min(int(rng.expovariate(0.5)), 9)}", f"p{rng.randrange(4)}") for i, _ in docs}
+    site[7] = ("lonely", "only")
+    sites = spark.createDataFrame([(i, *s) for i, s in site.items()], "doc_id long, source string, lang string")
+    frame = docs_of(docs).drop("source", "lang").join(sites, "doc_id")
+    known = spark.createDataFrame(labels[:160], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.assess(frame, known).collect()}
+    bad = {i: int(q == 0 or t == 1) for i, q, t in labels[:160]}
+    ids = sorted(got)
+    expected = plain_posteriors([(*site[i], bad.get(i), got[i].evidence) for i in ids], sum(bad.values()) / len(bad))
+    for i, (host, path) in zip(ids, expected):
+        p = 1 / (1 + np.exp(-(np.log(path / (1 - path)) + got[i].evidence)))
+        assert np.allclose([got[i].host_posterior, got[i].path_posterior, got[i].p_bad], [host, path, p], atol=1e-9)
+
+
+def test_sample_does_not_depend_on_the_layout(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "key")
+    one, other = (sorted(r.key for r in quality.sample_of(f, "key", 300).collect()) for f in (rows.coalesce(1), rows.orderBy(quality.F.desc("key")).repartition(7)))
+    assert one == other and len(one) == 300
+    assert quality.sample_of(rows, "key", 9000).count() == 5000
+
+
 def test_edge_cases(spark, docs_of):
     docs, labels = corpus(200)
     extra = [(1000, None), (1001, ""), (1002, "x" * 100_000), (1003, "word " * 20_000), (None, docs[0][1]), (0, docs[0][1])]
