@@ -2,17 +2,19 @@
 
 Every text is reduced to one thin row (id, length, SHA-256 of the normalised text), written once.
 
-1. Each hash sets ``HASHES`` slots of a Bloom filter with counters that stop at two; only slots
-   hit twice or more are kept, packed into 4 KB bitmaps.
-2. Each thin row probes those bitmaps. A row with an unrepeated slot is certainly unique: it
+1. The filter consists of blocks of 64 bits. A hash chooses one block and two of its bits: its cell, a single
+   number. Cells are counted (the counters of the filter, partially per task); the bits of those hit
+   twice or more are set and packed into 4 KB bitmaps of 512 blocks.
+2. Each thin row probes the bitmap of its block, both bits in one look-up. A row with an unset bit is certainly unique: it
    passes straight through. The others, and only they, are shuffled and grouped by the full hash.
 
-Bloom errors are one-sided, so the result is exact: an unlucky unique row is grouped alone.
+Filter errors are one-sided, so the result is exact: an unlucky unique row is grouped alone.
 
-The bitmaps are broadcast, so their size must have a bound: the filter has ``bits_per_row`` bits
-for each row, and never more than ``max_bits`` (8 MB) at a time. Larger tables are split by hash
-into ranges of that size, each with its own filter; the thin table is stored by range, so a range
-reads only its own rows. Texts are read once and never shuffled.
+The first pass moves one number a row, and the second grouping only cells that repeat. Bitmaps merged from every task
+would move tasks x filter instead, which is more as soon as a task holds fewer rows than an eighth of the filter's bytes.
+The bitmaps are broadcast, so their size has a bound: the filter has ``bits_per_row`` bits for each row and never more than
+``max_bits`` (64 MB). Beyond (33 million rows) it only becomes fuller: more unique rows are
+grouped in vain, the plan and the result stay the same. Texts are read once and never shuffled.
 
 A group of copies of any size is counted by partial aggregates; its rows meet the group's one row
 in a join of two written tables, where adaptive execution splits a hot key.
@@ -24,15 +26,12 @@ id, one stays. An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_table, materialize, table
 
 WHITE_SPACE = "[\\x20\\x09-\\x0D]"
-HASHES = 2
 
 
 def normalised(text: Column) -> Column:
@@ -40,18 +39,26 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
 
 
-def _slot(k: int, bits: int) -> Column:
-    """Slot ``k`` of a row in its range's filter."""
-    return F.pmod(F.xxhash64(F.col("sha"), F.lit(k)), F.lit(bits))
+def _place(bits: int) -> tuple[Column, Column]:
+    """A row's block of 64 bits and its two bits there, as one number below 4096."""
+    return F.pmod(F.xxhash64(F.col("sha"), F.lit(0)), F.lit(max(1, bits // 64))), F.pmod(F.xxhash64(F.col("sha"), F.lit(1)), F.lit(4096))
+
+
+def _slots(block: Column, pair: Column) -> list[Column]:
+    """The numbers of the pair's bits in the whole filter."""
+    return [block * 64 + F.floor(pair / 64), block * 64 + pair % 64]
 
 
 def repeated_slots(thin: DataFrame, bits: int) -> DataFrame:
-    """Pass 1: (range, bucket, bitmap) of the slots that were hit twice or more."""
-    slots = thin.select("range", F.explode(F.array(*[_slot(k, bits) for k in range(HASHES)])).alias("slot"))
-    twice = slots.groupBy("range", "slot").count().where("count > 1")
-    # bitmap_bit_position and bitmap_bucket_number number from one; slots start at zero
-    return twice.groupBy("range", F.expr("bitmap_bucket_number(slot + 1)").alias("bucket")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(slot + 1))").alias("bitmap"))
+    """Pass 1: (bucket, bitmap) of the bits of cells that were hit twice or more."""
+    block, pair = _place(bits)
+    twice = thin.select((block * 4096 + pair).alias("cell")).groupBy("cell").count().where("count > 1")
+    # both bits lie in one bucket of 512 blocks, so cells move there and bitmaps never move
+    block, pair = F.floor(F.col("cell") / 4096), F.col("cell") % 4096
+    placed = twice.select((F.floor(block / 512) + 1).alias("bucket"), "cell").repartition("bucket")
+    bits_set = placed.select("bucket", F.explode(F.array(*_slots(block, pair))).alias("slot"))
+    # bitmap_bit_position numbers from one; slots start at zero
+    return bits_set.groupBy("bucket").agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot + 1))").alias("bitmap"))
 
 
 def _bit(bitmap: Column, position: Column) -> Column:
@@ -62,20 +69,15 @@ def _bit(bitmap: Column, position: Column) -> Column:
 
 def probe(thin: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
     """Pass 2: the thin rows with ``maybe``, false if the row is certainly unique."""
+    block, pair = _place(bits)
     # at most bits / 8 bytes of bitmaps: a proven bound
-    out = thin
-    for k in range(HASHES):
-        side = F.broadcast(bitmaps.select(F.col("bucket").alias(f"bucket{k}"), F.col("bitmap").alias(f"bitmap{k}")))
-        out = out.withColumn(f"bucket{k}", F.floor(_slot(k, bits) / 32768) + 1)
-        out = out.join(side, f"bucket{k}", "left")
-        out = out.withColumn(f"hit{k}", _bit(F.col(f"bitmap{k}"), F.pmod(_slot(k, bits), F.lit(32768))))
-        out = out.drop(f"bucket{k}", f"bitmap{k}")
-    hits = [f"hit{k}" for k in range(HASHES)]
-    return out.withColumn("maybe", reduce(lambda a, b: a & b, [F.col(h) for h in hits])).drop(*hits)
+    out = thin.withColumn("bucket", F.floor(block / 512) + 1).join(F.broadcast(bitmaps), "bucket", "left")
+    hits = [_bit(F.col("bitmap"), F.pmod(slot, F.lit(32768))) for slot in _slots(block, pair)]
+    return out.withColumn("maybe", hits[0] & hits[1]).drop("bucket", "bitmap")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-                bits_per_row: int = 16, max_bits: int = 1 << 26) -> DataFrame:
+                bits_per_row: int = 16, max_bits: int = 1 << 29) -> DataFrame:
     """One row per input row: ``id_col``, keep_id, group_size, kept, text_sha256."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     thin = docs.select(F.col(id_col).alias("id"), F.char_length(text).alias("points"),
@@ -83,16 +85,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stored = materialize(thin.withColumn("row", F.monotonically_increasing_id()))
     rows = stored.count()
     bits = min(max_bits, max(32768, 1 << (rows * bits_per_row - 1).bit_length() if rows else 0))
-    ranges = max(1, -(-rows * bits_per_row // max_bits))
-    thin = stored.withColumn("range", F.pmod(F.xxhash64("sha", F.lit(HASHES)), F.lit(ranges)))
-    if ranges > 1:
-        plain, stored = stored, materialize(thin, by="range")
-        thin = stored
-        drop_table(plain)
-    bitmaps = materialize(repeated_slots(thin, bits), by="range" if ranges > 1 else None)
-    probed = reduce(DataFrame.unionByName, [
-        probe(thin.where(F.col("range") == r), bitmaps.where(F.col("range") == r), bits) for r in range(ranges)])
-    probed = materialize(probed.drop("range"))
+    bitmaps = materialize(repeated_slots(stored, bits))
+    probed = materialize(probe(stored, bitmaps, bits))
     again = probed.where("maybe")
     order = F.struct("points", F.bitwise_not(F.col("id")), F.bitwise_not(F.col("row")))
     groups = materialize(again.groupBy("sha").agg(

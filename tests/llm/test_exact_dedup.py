@@ -38,6 +38,19 @@ def test_several_filter_ranges(docs_of):
     assert result(exact_dedup.exact_dedup(docs_of(CASES), max_bits=4096)) == brute(CASES)
 
 
+def test_a_full_filter_is_exact_and_keeps_the_plan(docs_of):
+    full = exact_dedup.exact_dedup(docs_of(CASES), max_bits=64)
+    assert result(full) == brute(CASES)
+    shape = lambda frame: [line.strip(" :+-").split("(")[0].split(" ")[0] for line in frame._jdf.queryExecution().analyzed().toString().splitlines()]
+    assert shape(full) == shape(exact_dedup.exact_dedup(docs_of(CASES)))
+
+
+def test_first_pass_moves_one_number_a_row(docs_of):
+    thin = docs_of(CASES).selectExpr("doc_id AS id", "unhex(sha2(text, 256)) AS sha")
+    plan = exact_dedup.repeated_slots(thin, 1 << 18)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # cells, then repeated cells; no bitmaps
+
+
 def test_unrepeated_rows_pass_straight_through(spark, docs_of):
     from pyspark.sql import functions as F
 
