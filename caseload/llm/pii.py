@@ -6,12 +6,14 @@
    Six labelers vote on each, for (+), against (-) or not at all (0): base pattern, loose shape,
    gazetteer (top-level domains, country codes, given names, key words), context cue to the left,
    borders, and checksum or composition.
-3. Reliabilities: candidates are counted by votes and features, over all documents (grouped
-   aggregation; the number of patterns is bounded by the labelers and feature values, so the table goes
-   to the driver). Expectation-maximisation estimates every labeler's vote probabilities for
-   personal and other spans and each kind's prior, hence a posterior for every pattern.
-4. Span classifier: a logistic regression on the votes and features, fitted to all patterns weighted by
-   count and posterior. Candidates at ``threshold`` or more that overlap no base span are added.
+3. Reliabilities: candidates are counted by kind and votes over all documents (grouped aggregation; at most 6 x 3^6
+   rows, which go to the driver). For each kind expectation-maximisation estimates how often every labeler that votes is
+   right, on personal and on other spans, and the kind's prior, hence a posterior for every combination of votes.
+   Abstaining says nothing.
+4. Span classifier: a logistic regression for each kind on features of the span and its surroundings (length, digits,
+   case, separators, checksum, the signs on both sides, the word before), never on votes. It is fitted to all candidates, grouped by
+   features (at most 6 x 96,000 rows) with the sum of their posteriors. Candidates at ``threshold`` or more that
+   overlap no base span are added.
 
 Texts are read once, without a shuffle; only spans, not texts, are written in between.
 
@@ -56,6 +58,16 @@ CUES = {
 }
 AGAINST = ("version", "license", "isbn", "page", "chapter", "section", "figure", "table", "copyright")
 
+#: How often each labeler is first taken to be right: fixed pattern, shape, gazetteer, context, borders, check.
+TRUST = (0.95, 0.8, 0.7, 0.8, 0.6, 0.6)
+#: The same for kinds whose check is exact (checksum, value range).
+TRUST_EXACT = (*TRUST[:-1], 0.95)
+#: Votes that this first estimate counts for.
+TRUST_VOTES = 5.0
+
+#: The values of each feature of a span, in the order of its string.
+FEATURES = ("01234", "0123", "wqlao", "wqlao", "ulmn", "0123", "+-0", "cnw0")
+
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9][0-9\x20.()-]*")
@@ -64,6 +76,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 WORD = re.compile(r"[A-Za-z0-9_-]*")
 SURNAME = re.compile(r"\.?\x20[A-ZÀ-Þ][a-zß-ÿ]+")
+WORD_LIKE = re.compile(r"[a-z]{7}|[A-Z]{7}")
 LEFT_WORD = re.compile(r"[^\W\d_]+")
 
 Span = tuple[str, int, int]
@@ -136,7 +149,7 @@ def candidates(text: str, found: list[Span], names) -> list[Span]:
     while at >= 0:
         if 0 < at < len(text) - 1 and text[at - 1] in LOCAL and at not in addressed:
             start, stop = at, WORD.match(text, at + 1).end()
-            while start and text[start - 1] in LOCAL and at - start < 64:
+            while start and text[start - 1] in LOCAL:
                 start -= 1
             if stop > at + 1:
                 out.add(("email", start, stop))
@@ -153,7 +166,8 @@ def candidates(text: str, found: list[Span], names) -> list[Span]:
                 out.add(("secret", begin, token_end))
         part = chunk.group().rstrip(" .()-")
         if 7 <= len(digits_of(part)) <= 12 and len(part) <= 24 and start >= token_end - len(part):
-            out.add(("phone", start, start + len(part)))
+            opened = ")" in part and text[start - 1:start] == "("
+            out.add(("phone", start - opened, start + len(part)))
     for end, (name, kind) in names.iter(text) if names is not None else ():
         begin = end - len(name) + 1
         after = SURNAME.match(text, end + 1)
@@ -190,19 +204,29 @@ def votes(text: str, span: Span, base: set[Span]) -> tuple[str, str]:
     apart = not (left.isalnum() or right.isalnum())
     border = sign(apart, not apart)
     if kind == "card":
-        check = sign(luhn(digits), True)
+        check = sign(13 <= len(digits) <= 19 and luhn(digits), True)
     elif kind == "ip":
         check = sign(small_parts(body), True)
     elif kind == "secret":
-        check = sign(6 <= len(digits) < len(body) - 2, True)
+        check = sign(6 <= len(digits) < len(body) - 2 and not WORD_LIKE.search(body), True)
     elif kind == "phone":
         check = sign(9 <= len(digits) <= 15, True)
     else:
         check = "0"
-    feature = f"{min(len(body) // 8, 6)}{min(4, 4 * len(digits) // len(body))}{'q' if left in tuple(chr(34) + chr(39)) else 's' if left.isspace() or not left else 'o'}"
+    word = "0" if not before else "c" if context == "+" else "n" if context == "-" else "w"
+    case = "u" if body.isupper() else "l" if body.islower() else "m" if body.lower() != body.upper() else "n"
+    feature = (f"{min(len(body) // 8, 4)}{min(3, 4 * len(digits) // len(body))}{_side(left)}{_side(right)}{case}"
+               f"{min(3, sum(map(body.count, ' .-()')))}{check}{word}")
     return pattern + shape + gazetteer + context + border + check, feature
 
 
+def _side(sign: str) -> str:
+    """Class of the character beside a span: white space or none, quote, label, alphanumeric, other."""
+    if not sign or sign.isspace():
+        return "w"
+    return "q" if sign in "\"'`" else "l" if sign in ":=" else "a" if sign.isalnum() else "o"
+
+
 def _gazetteer():
     cache = task_cache()
     if "names" not in cache:
@@ -242,70 +266,66 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def posteriors(patterns: list[tuple[str, str, int]], rounds: int = 100) -> dict[tuple[str, str], float]:
-    """Posterior of (kind, votes) by expectation-maximisation over counted patterns (kind, votes, n)."""
-    if not patterns:
-        return {}
-    kinds = np.array([KINDS.index(k) for k, _, _ in patterns])
-    vote = np.array([["-0+".index(c) for c in v] for _, v, _ in patterns])
-    n = np.array([c for _, _, c in patterns], float)
-    labelers = vote.shape[1]
-    prior = np.full(len(KINDS), 0.5)
-    # a vote is first taken to be right four times in five
-    chance = np.tile(np.array([[0.5, 0.3, 0.2], [0.2, 0.3, 0.5]])[:, None, :], (1, labelers, 1))
-    post = np.full(len(n), 0.5)
-    for _ in range(rounds):
-        log = np.stack([np.log(np.where(y, prior[kinds], 1 - prior[kinds])) + sum(np.log(chance[y, j, vote[:, j]]) for j in range(labelers))
-                        for y in (0, 1)])
-        new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
-        moved, post = np.abs(new - post).max(), new
-        weight = np.stack([n * (1 - post), n * post])
-        for k in range(len(KINDS)):
-            here = kinds == k
-            prior[k] = (weight[1][here].sum() + 1) / (n[here].sum() + 2)
-        for y in (0, 1):
-            for j in range(labelers):
-                counts = np.bincount(vote[:, j], weight[y], minlength=3) + np.array([[2.0, 1.0, 0.5], [0.5, 1.0, 2.0]])[y]
-                chance[y, j] = counts / counts.sum()
-        if moved < 1e-6:
-            break
-    return {(k, v): float(p) for (k, v, _), p in zip(patterns, post)}
-
-
-def _vector(kind: str, vote: str, feature: str) -> np.ndarray:
-    out = np.zeros(len(KINDS) + 2 * len(vote) + 7 + 5 + 3 + 1)
-    out[KINDS.index(kind)] = 1
-    at = len(KINDS)
-    for j, c in enumerate(vote):
-        out[at + 2 * j + (c == "-")] = c != "0"
-    at += 2 * len(vote)
-    for value, size in ((int(feature[0]), 7), (int(feature[1]), 5), ("qso".index(feature[2]), 3)):
-        out[at + value] = 1
-        at += size
+    """Posterior of (kind, votes) by expectation-maximisation over counted patterns (kind, votes, n), kind by kind."""
+    out = {}
+    for kind in sorted({k for k, _, _ in patterns}):
+        rows = [(v, n) for k, v, n in patterns if k == kind]
+        yes = np.array([[c == "+" for c in v] for v, _ in rows], float)
+        no = np.array([[c == "-" for c in v] for v, _ in rows], float)
+        n = np.array([c for _, c in rows], float)
+        # chance of + when a labeler votes, for other and for personal spans
+        trust = np.array(TRUST_EXACT if kind in ("card", "ip") else TRUST)
+        first = plus = np.stack([1 - trust, trust])
+        prior, post = 0.5, np.full(len(n), 0.5)
+        for _ in range(rounds):
+            odds = np.log(prior / (1 - prior)) + yes @ np.log(plus[1] / plus[0]) + no @ np.log((1 - plus[1]) / (1 - plus[0]))
+            new = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+            moved, post = np.abs(new - post).max(), new
+            weight = np.stack([n * (1 - post), n * post])
+            prior = (weight[1].sum() + 1) / (n.sum() + 2)
+            good, voted = weight @ yes, weight @ (yes + no)
+            good, voted = good + TRUST_VOTES * first, voted + TRUST_VOTES
+            plus = good / voted
+            # a labeler whose votes point the wrong way counts as saying nothing
+            plus = np.where(plus[1] < plus[0], good.sum(0) / voted.sum(0), plus)
+            if moved < 1e-6:
+                break
+        out.update({(kind, v): float(p) for (v, _), p in zip(rows, post)})
+    return out
+
+
+def _vector(feature: str) -> np.ndarray:
+    out = np.zeros(sum(map(len, FEATURES)) + 1)
+    at = 0
+    for value, values in zip(feature, FEATURES):
+        out[at + values.index(value)] = 1
+        at += len(values)
     out[-1] = 1
     return out
 
 
-def train(patterns: list[tuple[str, str, str, int]], ridge: float = 1.0) -> dict[tuple[str, str, str], float]:
-    """The span classifier's probability of every counted pattern (kind, votes, feature, n)."""
-    if not patterns:
-        return {}
-    sums: dict[tuple[str, str], int] = {}
-    for kind, vote, _, n in patterns:
-        sums[kind, vote] = sums.get((kind, vote), 0) + n
-    target = posteriors([(k, v, n) for (k, v), n in sorted(sums.items())])
-    x = np.stack([_vector(k, v, f) for k, v, f, _ in patterns])
-    y = np.array([target[k, v] for k, v, _, _ in patterns])
-    n = np.array([c for *_, c in patterns], float)
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(curve, x.T @ (n * (y - p)) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return {(k, v, f): float(q) for (k, v, f, _), q in zip(patterns, p)}
+def _chance(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+
+
+def train(patterns: list[tuple[str, str, int, float]], ridge: float = 1.0) -> dict[str, np.ndarray]:
+    """The span classifier: weights by kind, from (kind, feature, spans, sum of their posteriors)."""
+    out = {}
+    for kind in sorted({k for k, *_ in patterns}):
+        rows = [r[1:] for r in patterns if r[0] == kind]
+        x = np.stack([_vector(f) for f, _, _ in rows])
+        n = np.array([c for _, c, _ in rows], float)
+        y = np.array([t for *_, t in rows]) / n
+        w = np.zeros(x.shape[1])
+        for _ in range(30):
+            p = _chance(x, w)
+            curve = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+            step = np.linalg.solve(curve, x.T @ (n * (y - p)) - ridge * w)
+            w += step
+            if np.abs(step).max() < 1e-6:
+                break
+        out[kind] = w
+    return out
 
 
 def _union(spans) -> list[tuple[int, int]]:
@@ -319,8 +339,16 @@ def _union(spans) -> list[tuple[int, int]]:
     return out
 
 
-def _decide(chance: dict[tuple[str, str, str], float], threshold: float):
+def _decide(weights: dict[str, np.ndarray], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, str], float] = {}  # at most as many as there are features
+
+        def chance(span) -> float:
+            key = span["kind"], span["feature"]
+            if key not in known:
+                known[key] = float(_chance(_vector(key[1]), weights[key[0]]))
+            return known[key]
+
         listed = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         for batch in batches:
             rows = []
@@ -328,8 +356,8 @@ def _decide(chance: dict[tuple[str, str, str], float], threshold: float):
                 base = [(s["kind"], s["start"], s["end"]) for s in base]
                 taken = _union((a, b) for _, a, b in base)
                 added = []
-                for s in sorted(spans, key=lambda s: -chance[s["kind"], s["votes"], s["feature"]]):
-                    if chance[s["kind"], s["votes"], s["feature"]] < threshold:
+                for s in sorted(spans, key=lambda s: -chance(s)):
+                    if chance(s) < threshold:
                         break
                     at = bisect.bisect(taken, (s["start"], s["end"]))
                     if (at == 0 or taken[at - 1][1] <= s["start"]) and (at == len(taken) or s["end"] <= taken[at][0]):
@@ -349,9 +377,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     span = "array<struct<kind:string,start:long,end:long,votes:string,feature:string>>"
     found = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         _find, f"id long, base {span}, spans {span}"))
-    counted = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.feature").count()
-    patterns = sorted((r.kind, r.votes, r.feature, r["count"]) for r in counted.collect())  # bounded: see the head of the module
-    out = found.mapInArrow(_decide(train(patterns), threshold),
+    spans = found.select(F.explode("spans").alias("s")).select("s.kind", "s.votes", "s.feature")
+    voted = sorted(map(tuple, spans.groupBy("kind", "votes").count().collect()))  # bounded: see the head of the module
+    posterior = docs.sparkSession.createDataFrame([(*k, p) for k, p in posteriors(voted).items()], "kind string, votes string, p double")
+    grouped = spans.join(F.broadcast(posterior), ["kind", "votes"]).groupBy("kind", "feature").agg(F.count(F.lit(1)), F.sum("p"))
+    out = found.mapInArrow(_decide(train(sorted(map(tuple, grouped.collect()))), threshold),  # bounded likewise
                            "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
     return out.withColumnRenamed("id", id_col)
 

@@ -68,3 +68,55 @@ def test_documents(spark, docs_of):
 def test_em_prefers_agreeing_labelers():
     found = pii.posteriors([("secret", "0+0+++", 90), ("secret", "0-0---", 60), ("secret", "0+0-+-", 5)])
     assert found["secret", "0+0+++"] > 0.9 and found["secret", "0-0---"] < 0.1
+
+
+def test_a_labeler_is_judged_by_kind_and_abstaining_says_nothing():
+    # the gazetteer contradicts the others on emails and agrees with them on phones
+    counts = [("email", "++-+++", 50), ("email", "--+---", 50), ("phone", "++++++", 50), ("phone", "------", 50),
+              ("email", "00+000", 1), ("phone", "00+000", 1), ("phone", "000000", 1)]
+    found = pii.posteriors(counts)
+    assert found["phone", "00+000"] > 0.8 and abs(found["email", "00+000"] - 0.5) < 0.1
+    assert abs(found["phone", "000000"] - 0.5) < 0.1
+
+
+def test_the_classifier_reads_no_votes():
+    seen = {pii.votes("my " + body + " x", ("email", 3, 3 + len(body)), known)[1] for body in ["ab@cd"] for known in (set(), {("email", 3, 8)})}
+    assert len(seen) == 1
+
+
+def planted():
+    """Documents with the spans that a reader would add to the base spans, and look-alikes."""
+    docs, truth = [], set()
+
+    def add(left, body, right, kind):
+        docs.append((len(docs) + 1, left + body + right))
+        if kind:
+            truth.add((len(docs), f"{kind}:{len(left)}:{len(left) + len(body)}"))
+
+    for i in range(120):
+        digest = hashlib.sha256(bytes([i])).hexdigest()
+        add(f'entry {"api key" if i % 2 else "token"} = "', digest[: 32 + i % 9], '" end', "secret")
+        add("see part ", f"{digest[:8]}-chapter-one-of-{digest[9]}-many", " there", None)
+        add("please call ", f"(0{20 + i}) {200 + i}-{4000 + 7 * i}", " today", "phone")
+        add("on page ", f"{20 + i}.{100 + i}.{1000 + i}", " of it", None)
+        add("said by ", ("Mary", "Hans", "José")[i % 3] + " " + ("Keller", "Novak", "Brandt")[i // 3 % 3], " then", "person")
+        add("left at ", "noon@" + ("home", "work")[i % 2], " again", None)
+        add("written to ", f"user{i}@mail.example.com", " once", None)  # a base span: never added
+        add("account ", f"card 4539 5787 6362 {1480 + i % 6}", "", None)
+    return docs, truth
+
+
+def test_precision_and_recall_of_added_spans(docs_of):
+    docs, truth = planted()
+    added = set()
+    for r in pii.personal_data(docs_of(docs)).collect():
+        text = dict(docs)[r.doc_id]
+        fixed = {f"{k}:{a}:{b}" for k, a, b in plain(text)}
+        added |= {(r.doc_id, s) for s in r.spans.split(",") if s and s not in fixed}
+    hit = len(added & truth)
+    assert hit / len(added) >= 0.95 and hit / len(truth) >= 0.95
+
+
+def test_near_miss_with_a_long_local_part_is_whole(docs_of):
+    text = "x " + "a" * 5000 + "@host"
+    assert pii.candidates(text, pii.matches(text), None) == [("email", 2, len(text))]
