@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, materialize, partitions, table, without
 from .graph import components
-from .shingles import Hasher, blocks, mix, utf8
+from .shingles import SMALL_BLOCK, Hasher, blocks, mix, utf8
 
 CHUNKS, CHUNK = 12, 5
 SYMBOLS = CHUNKS * CHUNK
@@ -88,7 +88,7 @@ def _describe(words: int):
         hasher = Hasher(words)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for first, end in blocks(offsets):
+            for first, end in blocks(offsets, SMALL_BLOCK):
                 part = offsets[first:end + 1]
                 sets = list(hasher.shingles_of(data[part[0]:part[-1]], part - part[0]))
                 sizes = np.array([len(s) for s in sets], np.int64)
@@ -146,7 +146,7 @@ def _sets(words: int):
         hasher = Hasher(words)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for first, end in blocks(offsets):
+            for first, end in blocks(offsets, SMALL_BLOCK):
                 part = offsets[first:end + 1]
                 sets = list(hasher.shingles_of(data[part[0]:part[-1]], part - part[0]))
                 at = np.cumsum([0, *map(len, sets)]).astype(np.int32)

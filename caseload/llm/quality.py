@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, drop_table, materialize, sample_of, table, without
-from .shingles import Hasher, blocks, mix, utf8
+from .shingles import SMALL_BLOCK, Hasher, blocks, mix, utf8
 
 TABLES, BITS = 2, 18
 SIZE = 1 << BITS
@@ -106,7 +106,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column(0))
         bad = batch.column(1).to_numpy()
-        for first, end in blocks(offsets):
+        for first, end in blocks(offsets, SMALL_BLOCK):
             part = offsets[first:end + 1]
             rows, buckets = features.buckets(data[part[0]:part[-1]], part - part[0])
             label = bad[first:end]
@@ -114,7 +114,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for kind in (0, 1):
                 here = buckets[:, label[rows] == kind]
                 for t in range(TABLES):
-                    counts[kind, t] += np.bincount(here[t], minlength=SIZE)
+                    np.add.at(counts[kind, t], here[t], 1)
     t, bucket = np.nonzero(counts.sum(axis=0))
     yield pa.RecordBatch.from_arrays([
         pa.array(np.append(t * SIZE + bucket, -1)), pa.array(np.append(counts[0, t, bucket], rows_of[0])),
@@ -146,7 +146,7 @@ def _describe(weights: np.ndarray):
         tables = weights.reshape(TABLES, SIZE)
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            for first, end in blocks(offsets):
+            for first, end in blocks(offsets, SMALL_BLOCK):
                 part = offsets[first:end + 1]
                 own, at = data[part[0]:part[-1]], part - part[0]
                 rows, buckets = features.buckets(own, at)

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at a time (a longer document is handled alone).
 BLOCK = 1 << 20
+#: The same where a block's arrays take many times its bytes, in every Python worker.
+SMALL_BLOCK = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WEIGHTS = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F,
@@ -67,7 +69,7 @@ class Hasher:
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
-            n = max(n, 2 * BLOCK)
+            n = max(n, 2 * SMALL_BLOCK, min(2 * len(self.powers), 2 * BLOCK))
             for name, base in (("powers", _BASE), ("inverses", _INVERSE)):
                 steps = np.full(n, base, np.uint64)
                 steps[0] = 1

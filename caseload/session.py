@@ -60,6 +60,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return scratch
 
 
+#: Bytes of an Arrow batch that a stored table's Python steps receive, unless the session sets its own. Spark's
+#: default (10,000 rows of any width) is held several times over by the executor and each of its Python workers.
+BATCH_BYTES = str(2 << 20)
+_BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
@@ -71,7 +77,14 @@ def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"table-{uuid.uuid4().hex}")
     schema = df.schema
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    own = spark.conf.get(_BATCH_BYTES_KEY, None) is not None
+    if not own:
+        spark.conf.set(_BATCH_BYTES_KEY, BATCH_BYTES)
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        if not own:
+            spark.conf.unset(_BATCH_BYTES_KEY)
     out = spark.read.schema(schema).parquet(path)
     out._caseload_path = path
     return out

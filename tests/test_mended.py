@@ -123,3 +123,21 @@ def test_registrations_without_id_are_spread(spark):
     key = F.coalesce(F.lit(None).cast("bigint"), F.xxhash64(*[F.col(f"`{c}`") for c in main.columns]))
     assert main.select(F.pmod(F.hash(key), F.lit(8)).alias("p")).groupBy("p").count().agg(F.max("count")).first()[0] < main.count() / 3
     assert S.ROLES
+
+
+def test_stored_tables_get_small_arrow_batches(spark):
+    """A stored table's Python steps receive bounded batches; the session's setting is as before."""
+    from caseload.session import BATCH_BYTES, drop_table, materialize
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    wide = spark.range(0, 6000, 1, 1).selectExpr("repeat('x', 2000) AS t")
+    stored = materialize(wide.mapInArrow(sizes, "n long"))
+    assert max(r.n for r in stored.collect()) <= int(BATCH_BYTES) + 4000
+    drop_table(stored)
+    assert spark.conf.get(key, None) == before
