@@ -63,16 +63,20 @@ def record_id(key: Column, payload: list[Column]) -> Column:
     return F.upper(F.md5(F.when(key.isNull(), by_payload).otherwise(F.concat(F.lit("id␟"), key.cast("string")))))
 
 
-def parsed_rows(parsed: DataFrame) -> DataFrame:
-    """The rows whose response parsed (``parse_ok``), each JSON parsed once.
+def rows_where(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows that satisfy a condition on columns which are costly to compute, each computed once.
 
-    A plain ``where(parse_ok)`` would be pushed below the staged parse
-    projections, where it re-evaluates ``from_json`` for every row; selecting
-    through a generator keeps the check above them.
+    A plain ``where`` would be pushed below the staged parse projections, where it
+    re-evaluates ``from_json`` (several times a row); selecting through a generator
+    keeps the check above them.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in parsed.columns])
-    return parsed.select(F.inline(F.when(F.col("parse_ok"), F.array(row)).otherwise(F.array().cast(
-        f"array<{row_ddl(parsed)}>"))))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(F.inline(F.when(condition, F.array(row)).otherwise(F.array().cast(f"array<{row_ddl(df)}>"))))
+
+
+def parsed_rows(parsed: DataFrame) -> DataFrame:
+    """The rows whose response parsed (``parse_ok``), each JSON parsed once."""
+    return rows_where(parsed, F.col("parse_ok"))
 
 
 def first_records(parsed: DataFrame, key: str = "intake_id", text_col: str = "response") -> DataFrame:

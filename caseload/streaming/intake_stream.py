@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from caseload.operators import partials
-from caseload.operators.intake import first_records, parse_responses, parsed_rows, score_intake
+from caseload.operators.intake import first_records, parse_responses, parsed_rows, rows_where, score_intake
 from caseload.operators.scoring import number_cases
 from caseload.session import drop_table, materialize
 
@@ -33,6 +33,7 @@ RESPONSE_SCHEMA = "intake_id bigint, response string"
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",  # else every put looks its key up again
 }
 _BATCH = re.compile(r"intake_batch=(-?\d+)")
 
@@ -136,12 +137,13 @@ def new_records(responses: DataFrame) -> DataFrame:
     """
     parsed = parse_responses(responses)
     columns = [c for c in parsed.columns if c not in ("intake_id", "response", "parse_ok")]
-    good = parsed_rows(parsed).where("intake_id is not null").withColumn("_arrival", F.current_timestamp())
+    known = parse_responses(responses.where("intake_id is not null"))
+    good = parsed_rows(known).withColumn("_arrival", F.current_timestamp())
     record = F.struct("_arrival", F.sha2("response", 256).alias("_digest"), *columns)
     first = good.groupBy("intake_id").agg(F.min(record).alias("_first")).where(F.col("_first._arrival") == F.current_timestamp())
     fresh = first.select("intake_id", F.lit(None).cast("string").alias("response"), F.lit(True).alias("parse_ok"),
                          *[F.col("_first")[c].alias(c) for c in columns])
-    return fresh.unionByName(parsed.where("intake_id is null or not parse_ok"))
+    return fresh.unionByName(rows_where(parsed, F.col("intake_id").isNull() | ~F.col("parse_ok")))
 
 
 def start_stream(spark: SparkSession, source_dir: str, table_path: str, quarantine_path: str,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from caseload import schema as S
 from caseload.operators import intake, partials, planning, reports
 from caseload.session import checkpoint_dir
-from caseload.streaming.intake_stream import parts_path, process_batch, start_stream
+from caseload.streaming.intake_stream import new_records, parts_path, process_batch, start_stream
 
 RECORDS = "intake_id bigint, response string"
 
@@ -140,3 +140,13 @@ def test_parts_add_up_to_the_whole(spark, job, golden_cases):
     assert sorted(partials.needs_report(spark, root).collect(), key=repr) == sorted(expected, key=repr)
     files = partials.needs_report(spark, root).inputFiles()
     assert len(files) == 3 and all("table_parts/totals" in f for f in files)
+
+
+def test_each_response_is_parsed_once_a_branch(spark):
+    """No filter repeats the JSON parse below the projections that hold it."""
+    rows = spark.createDataFrame([(1, city("A")), (2, "{"), (None, city("N")), (None, "x")], RECORDS)
+    out = new_records(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and ("from_json" in line or "jsontostructs" in line.lower())]
+    assert sorted((r.intake_id or 0, r.parse_ok, r.city) for r in out.collect()) == [
+        (0, False, None), (0, True, "N"), (1, True, "A"), (2, False, None)]
